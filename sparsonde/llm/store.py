@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,8 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def token() -> str:
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{token()}"
+
+
+def release() -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that have ended: it goes by what the driver still refers to."""
+    gc.collect()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 
