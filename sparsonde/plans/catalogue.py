@@ -1,15 +1,657 @@
-"""The library's queries by name, and the SQL that gives the same rows."""
+"""The library's queries by name, and the SQL that gives the same rows.
+
+Floating-point results are rounded (6 digits unless said otherwise) on both sides, as sums depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparsonde import functions as fn
+from sparsonde.operators import frame as fr
+from sparsonde.operators import grids, resample, stability
+from sparsonde.operators.resample import hash_sql
+from sparsonde.sources import tables
+
+SEED = 11
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r(c: Column, name: str, digits: int = 6) -> Column:
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
+
+
+# preprocessing
+
+
+@query("""SELECT 'l_quantity' AS feature, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem
+UNION ALL SELECT 'l_extendedprice', round(avg(l_extendedprice), 6), round(stddev_pop(l_extendedprice), 6) FROM lineitem
+UNION ALL SELECT 'l_discount', round(avg(l_discount), 6), round(stddev_pop(l_discount), 6) FROM lineitem
+UNION ALL SELECT 'l_tax', round(avg(l_tax), 6), round(stddev_pop(l_tax), 6) FROM lineitem""")
+def column_stats(spark, d):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    one = t(spark, d, "lineitem").agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), r(F.col(f"m_{c}"), "mean"), r(F.col(f"s_{c}"), "std")) for c in names])
+    return one.select(F.inline(rows))
+
+
+@query("""SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / CASE WHEN stddev_pop(o_totalprice) OVER () = 0 THEN 1 ELSE stddev_pop(o_totalprice) OVER () END, 6) + 0.0 AS z FROM orders""")
+def standardize_features(spark, d):
+    return fr.standardised(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]).select("o_orderkey", r(F.col("o_totalprice"), "z"))
+
+
+@query("SELECT min(l_tax) = max(l_tax) AS constant_tax, min(l_quantity) >= 0 AS quantity_ok, count(*) FILTER (WHERE l_tax IS NULL OR isnan(l_tax) OR isinf(l_tax)) AS bad_tax FROM lineitem")
+def response_checks(spark, d):
+    df = t(spark, d, "lineitem")
+    return df.agg((F.min("l_tax") == F.max("l_tax")).alias("constant_tax"), (F.min("l_quantity") >= 0).alias("quantity_ok"), F.count_if(fr.bad_value(df, "l_tax")).alias("bad_tax"))
+
+
+@query("SELECT l_returnflag, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label_index, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def label_encode(spark, d):
+    return fr.encoded(t(spark, d, "lineitem").select("l_returnflag"), "l_returnflag").groupBy("l_returnflag", F.col("label_index").cast("long").alias("label_index")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_linestatus, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS is_a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::BIGINT AS is_n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS is_r FROM lineitem GROUP BY l_linestatus")
+def one_hot(spark, d):
+    hot = t(spark, d, "lineitem").select("l_linestatus", *fr.one_hot(F.col("l_returnflag"), ["A", "N", "R"]))
+    return hot.groupBy("l_linestatus").agg(*[F.sum(f"is_{k}").alias(f"is_{k.lower()}") for k in "ANR"])
+
+
+@query("SELECT l_returnflag, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM lineitem GROUP BY l_returnflag")
+def class_weights(spark, d):
+    return fr.class_weights(t(spark, d, "lineitem"), "l_returnflag").select("l_returnflag", r(F.col("weight"), "weight"))
+
+
+@query("""WITH best AS (SELECT 2.5 AS c1, -1.25 AS c2, avg(l_extendedprice) AS ym, stddev_pop(l_extendedprice) AS ys, avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_tax) AS m2, stddev_pop(l_tax) AS s2 FROM lineitem)
+SELECT round(c1 * ys / s1, 4) AS coef_quantity, round(c2 * ys / s2, 4) AS coef_tax, round(ym - m1 * c1 * ys / s1 - m2 * c2 * ys / s2, 4) AS intercept FROM best""")
+def unstandardise_linear(spark, d):
+    s = t(spark, d, "lineitem").agg(F.avg("l_extendedprice").alias("ym"), F.stddev_pop("l_extendedprice").alias("ys"), F.avg("l_quantity").alias("m1"), F.stddev_pop("l_quantity").alias("s1"), F.avg("l_tax").alias("m2"), F.stddev_pop("l_tax").alias("s2"))
+    a, b = 2.5 * F.col("ys") / F.col("s1"), -1.25 * F.col("ys") / F.col("s2")
+    return s.select(r(a, "coef_quantity", 4), r(b, "coef_tax", 4), r(F.col("ym") - F.col("m1") * a - F.col("m2") * b, "intercept", 4))
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd FROM lineitem)
+SELECT round(0.4 / sd, 8) AS coef, round(1.5 - m * 0.4 / sd, 8) AS intercept FROM s""")
+def unstandardise_glm(spark, d):
+    s = t(spark, d, "lineitem").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("sd"))
+    return s.select(r(0.4 / F.col("sd"), "coef", 8), r(1.5 - F.col("m") * 0.4 / F.col("sd"), "intercept", 8))
+
+
+@query("SELECT f.feature, coalesce(e.coef, 0.0) AS coef FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) f(feature) LEFT JOIN (SELECT 'l_tax' AS feature, round(regr_slope(l_extendedprice, l_tax), 4) AS coef FROM lineitem) e ON e.feature = f.feature")
+def scatter_estimates(spark, d):
+    part = t(spark, d, "lineitem").agg(r(F.regr_slope("l_extendedprice", "l_tax"), "coef", 4)).withColumn("feature", F.lit("l_tax"))
+    every = spark.createDataFrame([("l_quantity",), ("l_discount",), ("l_tax",)], "feature string")
+    return every.join(part, "feature", "left").select("feature", F.coalesce("coef", F.lit(0.0)).alias("coef"))
+
+
+# resampling
+
+_SPLIT = f"""SELECT o_orderkey AS id, boot, o_totalprice AS y, row_number() OVER (PARTITION BY boot ORDER BY {hash_sql('o_orderkey', 'boot', SEED)}, o_orderkey) > ceil(0.1 * count(*) OVER (PARTITION BY boot) - 1e-9) AS is_train
+FROM orders, range(6) b(boot)"""
+
+
+@query(f"SELECT boot, is_train, count(*) AS n, sum(id)::BIGINT AS ids FROM ({_SPLIT}) GROUP BY boot, is_train")
+def resample_split(spark, d):
+    rows = resample.split(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 6, 0.9, SEED)
+    return rows.groupBy(F.col("boot").cast("long").alias("boot"), "is_train").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+
+
+@query(f"""SELECT boot, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, event_type, boot, row_number() OVER (PARTITION BY boot, event_type ORDER BY {hash_sql('event_id', 'boot', SEED)}, event_id) > ceil((1 - 0.8) * count(*) OVER (PARTITION BY boot, event_type) - 1e-9) AS is_train
+FROM events, range(4) b(boot)) WHERE is_train GROUP BY boot, event_type""")
+def resample_stratified(spark, d):
+    rows = resample.split(t(spark, d, "events").select("event_id", "event_type"), "event_id", 4, 0.8, SEED, "event_type").filter("is_train")
+    return rows.groupBy(F.col("boot").cast("long").alias("boot"), "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""SELECT boot, count(*) AS rows_drawn, sum(times)::BIGINT AS draws, sum(times * row_id)::BIGINT AS checksum FROM (
+SELECT boot, {hash_sql('event_id', 'boot', SEED)} % (SELECT count(*) FROM events) AS row_id, count(*) AS times FROM events, range(5) b(boot) GROUP BY 1, 2) GROUP BY boot""")
+def bootstrap_multiplicity(spark, d):
+    m = resample.multiplicities(t(spark, d, "events"), "event_id", 5, SEED)
+    return m.groupBy(F.col("boot").cast("long").alias("boot")).agg(F.count("*").alias("rows_drawn"), F.sum("times").alias("draws"), F.sum(F.col("times") * F.col("row_id")).alias("checksum"))
+
+
+@query(f"SELECT boot, is_train, count(*) AS n, round(avg(y), 4) AS y_mean, round(avg(y * y) / 1e6, 4) AS yy FROM ({_SPLIT}) GROUP BY boot, is_train")
+def gram_by_boot(spark, d):
+    from sparsonde.operators import suffstats
+
+    df = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    p = np.zeros(0)
+    rows = suffstats.boot_grams(fr.FeatureFrame(df, [], "o_totalprice", "o_orderkey"), fr.Stats(0, p, p, 0.0, 1.0, 0.0, 0.0), {"sel": (6, 0.9, SEED)}).collect()
+    out = []
+    for row in rows:
+        for side in ("train", "test"):
+            a = suffstats.parsed(row[side])
+            out.append((row["boot"], side == "train", int(a[0, 0]), float(a[0, 1] / a[0, 0]), float(a[1, 1] / a[0, 0] / 1e6)))
+    sums = spark.createDataFrame(out, "boot long, is_train boolean, n long, y_mean double, yy double")
+    return sums.select("boot", "is_train", "n", r(F.col("y_mean"), "y_mean", 4), r(F.col("yy"), "yy", 4))
+
+
+# regularisation paths
+
+_TOP = "greatest(abs(covar_pop(l_quantity, l_extendedprice)), abs(covar_pop(l_discount, l_extendedprice)), abs(covar_pop(l_tax, l_extendedprice)))"
+
+
+@query(f"SELECT i AS reg_idx, round(top * power(0.001, i / 11.0), 4) AS lambda FROM (SELECT {_TOP} AS top FROM lineitem), range(12) g(i)")
+def lambda_grid_lasso(spark, d):
+    g = grids.lambda_table(t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 12, 1e-3)
+    return g.select(F.col("reg_idx").cast("long").alias("reg_idx"), r(F.col("lambda"), "lambda", 4))
+
+
+@query(f"SELECT a.k * 12 + i AS reg_idx, a.ratio AS l1_ratio, round(top / a.ratio * power(0.001, i / 11.0), 4) AS lambda FROM (SELECT {_TOP} AS top FROM lineitem), range(12) g(i), (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE)) a(k, ratio)")
+def lambda_grid_enet(spark, d):
+    names = ["l_quantity", "l_discount", "l_tax"]
+    top = t(spark, d, "lineitem").agg(*[F.covar_pop(c, "l_extendedprice") for c in names]).first()
+    rows = [(i, a, lam) for i, (lam, a) in enumerate(grids.elastic_net_grid(np.array(top), [0.25, 0.5], 12))]
+    return spark.createDataFrame(rows, "reg_idx long, l1_ratio double, lambda double").select("reg_idx", "l1_ratio", r(F.col("lambda"), "lambda", 4))
+
+
+@query("""WITH x AS (SELECT l_quantity AS x1, l_tax AS x2, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), m AS (SELECT avg(y) AS p, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM x),
+g AS (SELECT greatest(abs(avg((p - y) * (x1 - m1) / s1)), abs(avg((p - y) * (x2 - m2) / s2))) AS top FROM x, m) SELECT i AS reg_idx, round(ln(1 / (top * power(1e-5, i / 7.0))), 5) AS log_c FROM g, range(8) r(i)""")
+def lambda_grid_logistic(spark, d):
+    x = t(spark, d, "lineitem").select("l_quantity", "l_tax", (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    s = x.agg(F.covar_pop("l_quantity", "y") / F.stddev_pop("l_quantity"), F.covar_pop("l_tax", "y") / F.stddev_pop("l_tax")).first()
+    rows = [(i, float(np.log(c))) for i, c in enumerate(grids.logistic_grid(np.array(s), 8))]
+    return spark.createDataFrame(rows, "reg_idx long, log_c double").select("reg_idx", r(F.col("log_c"), "log_c", 5))
+
+
+_LINES = "SELECT o_orderkey, o_totalprice / 1e5 AS x, count(l_orderkey)::DOUBLE AS y FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice"
+
+
+def _lines(spark, d) -> DataFrame:
+    """Lines per order: the lines are counted before the join."""
+    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("y"))
+    return t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("x")).join(n, "o_orderkey", "left").fillna(0.0, ["y"])
+
+
+@query(f"SELECT i AS reg_idx, round(top / 0.5 * power(0.001, i / 7.0), 8) AS lambda FROM (SELECT abs(covar_pop(x, y)) AS top FROM ({_LINES})), range(8) g(i)")
+def lambda_grid_poisson(spark, d):
+    top = _lines(spark, d).agg(F.covar_pop("x", "y")).first()
+    rows = [(i, lam) for i, (lam, _) in enumerate(grids.poisson_grid(np.array(top), [0.5], 8))]
+    return spark.createDataFrame(rows, "reg_idx long, lambda double").select("reg_idx", r(F.col("lambda"), "lambda", 8))
+
+
+# scalar functions
+
+
+@query("SELECT event_id, round(sign(value - 50) * greatest(abs(value - 50) - 12.5, 0), 6) + 0.0 AS shrunk FROM events")
+def soft_threshold(spark, d):
+    return t(spark, d, "events").select("event_id", r(fn.soft_threshold(F.col("value") - 50, 12.5), "shrunk"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 8) AS p, round(CASE WHEN value >= 50 THEN -ln(1 + exp(-(value - 50) / 10)) ELSE (value - 50) / 10 - ln(1 + exp((value - 50) / 10)) END, 6) + 0.0 AS log_p FROM events")
+def sigmoid(spark, d):
+    z = (F.col("value") - 50) / 10
+    return t(spark, d, "events").select("event_id", r(fn.sigmoid(z), "p", 8), r(fn.log_logistic(z), "log_p"))
+
+
+@query("""SELECT vec_id, round(exp(embedding[1]::DOUBLE - top) / total, 6) AS p1, round(exp(embedding[2]::DOUBLE - top) / total, 6) AS p2, round(top + ln(total), 6) AS lse FROM (
+SELECT vec_id, embedding, list_max(embedding)::DOUBLE AS top, list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE))) AS total FROM embeddings)""")
+def softmax(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    e = e.select("vec_id", fn.softmax(F.col("e")).alias("p"), r(fn.logsumexp(F.col("e")), "lse"))
+    return e.select("vec_id", r(F.col("p")[0], "p1"), r(F.col("p")[1], "p2"), "lse")
+
+
+@query(f"SELECT o_orderkey, round(exp(0.5 + 0.2 * x), 6) AS w, round(0.5 + 0.2 * x + y / exp(0.5 + 0.2 * x) - 1, 6) + 0.0 AS z FROM ({_LINES})")
+def working_response(spark, d):
+    eta = 0.5 + 0.2 * F.col("x")
+    return _lines(spark, d).select("o_orderkey", r(fn.poisson_weight(eta), "w"), r(fn.poisson_response(eta, F.col("y")), "z"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 5) AS norm FROM embeddings")
+def squared_norm(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", r(fn.squared_norm(F.col("embedding").cast("array<double>")), "norm", 5))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(100 + 20.5 * l_quantity - 300 * l_tax, 4) AS prediction FROM lineitem")
+def predict_linear(spark, d):
+    from .linear import LinearModel
+
+    model = LinearModel(["l_quantity", "l_discount", "l_tax"], [20.5, 0.0, -300.0], 100.0)
+    return model.transform(t(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.col("prediction"), "prediction", 4))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20)), 6) AS p, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS prediction FROM events")
+def predict_logistic(spark, d):
+    from .glm import LogisticModel
+
+    model = LogisticModel(["value"], np.array([[0.05]]), np.array([-2.5]), ["low", "high"])
+    return model.transform(t(spark, d, "events")).select("event_id", r(F.col("probability")[1], "p"), "prediction")
+
+
+@query(f"SELECT o_orderkey, round(exp(0.5 + 0.2 * x), 6) AS mean, floor(exp(0.5 + 0.2 * x))::BIGINT AS prediction FROM ({_LINES})")
+def poisson_predict_mode(spark, d):
+    from .glm import PoissonModel
+
+    return PoissonModel(["x"], [0.2], 0.5).transform(_lines(spark, d)).select("o_orderkey", r(F.col("mean"), "mean"), "prediction")
+
+
+# solvers in closed form
+
+
+def _univariate_sql(ratio: float) -> str:
+    """One standardised feature: the soft-thresholded correlation over 1 + lambda (1 - ratio)."""
+    return f"""SELECT i AS reg_idx, round(CASE WHEN abs(c) > lam * {ratio} THEN sign(c) * (abs(c) - lam * {ratio}) / (1 + lam * {1 - ratio}) ELSE 0 END, 7) + 0.0 AS coef
+FROM (SELECT corr(value, user_id) AS c FROM events), (SELECT i, 0.02 * power(0.5, i) AS lam FROM range(8) g(i))"""
+
+
+def _univariate(spark, d, ratio: float) -> DataFrame:
+    from sparsonde.operators import kernels
+
+    c = t(spark, d, "events").agg(F.corr("value", "user_id")).first()[0]
+    b = kernels.path(np.eye(1), np.array([c]), [(0.02 * 0.5**i, ratio) for i in range(8)], tol=1e-12)
+    return spark.createDataFrame([(i, float(x[0])) for i, x in enumerate(b)], "reg_idx long, coef double").select("reg_idx", r(F.col("coef"), "coef", 7))
+
+
+@query(_univariate_sql(1.0))
+def lasso_univariate_path(spark, d):
+    return _univariate(spark, d, 1.0)
+
+
+@query(_univariate_sql(0.5))
+def enet_univariate_path(spark, d):
+    return _univariate(spark, d, 0.5)
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
+def ols_univariate(spark, d):
+    from .linear import PathLasso
+
+    m = PathLasso([0.0], tol=1e-14).fit(t(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([(float(m.coef_[0][0]), float(m.intercept_[0]))], "slope double, intercept double").select(r(F.col("slope"), "slope", 4), r(F.col("intercept"), "intercept", 3))
+
+
+@query("""WITH c AS (SELECT var_pop(l_quantity) AS a, covar_pop(l_quantity, l_tax) AS b, var_pop(l_tax) AS e, covar_pop(l_quantity, l_extendedprice) AS u, covar_pop(l_tax, l_extendedprice) AS v FROM lineitem)
+SELECT round((u * e - b * v) / (a * e - b * b), 4) AS b_quantity, round((a * v - b * u) / (a * e - b * b), 2) AS b_tax FROM c""")
+def ols_bivariate(spark, d):
+    from sparsonde.operators import kernels
+
+    df = t(spark, d, "lineitem")
+    a, b, e, u, v = df.agg(F.var_pop("l_quantity"), F.covar_pop("l_quantity", "l_tax"), F.var_pop("l_tax"), F.covar_pop("l_quantity", "l_extendedprice"), F.covar_pop("l_tax", "l_extendedprice")).first()
+    x = kernels.least_squares(np.array([[a, b], [b, e]]), np.array([u, v]))
+    return spark.createDataFrame([(float(x[0]), float(x[1]))], "b_quantity double, b_tax double").select(r(F.col("b_quantity"), "b_quantity", 4), r(F.col("b_tax"), "b_tax", 2))
+
+
+# selection
+
+_COEFS = f"""SELECT boot, k.feature, i AS reg_idx, CASE WHEN abs(c) > 0.04 * power(0.7, i) THEN sign(c) * (abs(c) - 0.04 * power(0.7, i)) ELSE 0 END AS coef FROM (
+SELECT boot, unnest([0, 1, 2]) AS feature, unnest([corr(user_id, value), corr(event_id % 97, value), corr((event_id * 7) % 1009, value)]) AS c FROM (
+SELECT *, row_number() OVER (PARTITION BY boot ORDER BY {hash_sql('event_id', 'boot', SEED)}, event_id) > ceil((1 - 0.8) * count(*) OVER (PARTITION BY boot) - 1e-9) AS is_train FROM events, range(6) b(boot)) WHERE is_train GROUP BY boot) k, range(10) g(i)"""
+
+
+def _coefs(spark, d) -> DataFrame:
+    """(boot, reg_idx, feature, coef): one-feature lasso paths of three features on six resamples."""
+    rows = resample.split(t(spark, d, "events").select("event_id", "user_id", "value"), "event_id", 6, 0.8, SEED).filter("is_train")
+    features = [F.col("user_id"), F.col("event_id") % 97, (F.col("event_id") * 7) % 1009]
+    c = rows.groupBy("boot").agg(*[F.corr(x.cast("double"), F.col("value")).alias(f"c{j}") for j, x in enumerate(features)])
+    long = c.select("boot", F.posexplode(F.array("c0", "c1", "c2")).alias("feature", "c")).withColumn("reg_idx", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return long.select("boot", "reg_idx", "feature", fn.soft_threshold(F.col("c"), 0.04 * F.pow(F.lit(0.7), F.col("reg_idx"))).alias("coef"))
+
+
+@query(f"SELECT reg_idx, feature::BIGINT AS feature, count(*) FILTER (WHERE coef <> 0) AS times FROM ({_COEFS}) GROUP BY reg_idx, feature")
+def support_counts(spark, d):
+    return stability.selection_counts(_coefs(spark, d)).select(F.col("reg_idx").cast("long").alias("reg_idx"), F.col("feature").cast("long").alias("feature"), "times")
+
+
+_SUPPORTS = f"""SELECT DISTINCT support FROM (SELECT l.lim, reg_idx, string_agg(CASE WHEN times >= l.lim THEN '1' ELSE '0' END, '' ORDER BY feature) AS support
+FROM (SELECT reg_idx, feature, count(*) FILTER (WHERE coef <> 0) AS times FROM ({_COEFS}) GROUP BY reg_idx, feature), (VALUES (6), (3)) l(lim) GROUP BY l.lim, reg_idx)"""
+
+
+def _bits(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), "")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY support) - 1 AS support_id, support FROM ({_SUPPORTS})")
+def stability_supports(spark, d):
+    return stability.intersections(_coefs(spark, d), stability.thresholds([1.0, 0.5], 6)).select(F.col("support_id").cast("long").alias("support_id"), _bits("support").alias("support"))
+
+
+@query("""WITH s(support) AS (VALUES ('100010'), ('000000'), ('010100'), ('100100'), ('000011')) SELECT row_number() OVER (ORDER BY support) - 1 AS support_id, support FROM (
+SELECT DISTINCT (CASE WHEN substr(support, 1, 1) = '1' OR substr(support, 4, 1) = '1' THEN '1' ELSE '0' END) || (CASE WHEN substr(support, 2, 1) = '1' OR substr(support, 5, 1) = '1' THEN '1' ELSE '0' END) || (CASE WHEN substr(support, 3, 1) = '1' OR substr(support, 6, 1) = '1' THEN '1' ELSE '0' END) AS support FROM s)""")
+def shared_supports(spark, d):
+    s = spark.createDataFrame([(i, [c == "1" for c in x]) for i, x in enumerate(["100010", "000000", "010100", "100100", "000011"])], "support_id int, support array<boolean>")
+    return stability.shared(s, 2).select(F.col("support_id").cast("long").alias("support_id"), _bits("support").alias("support"))
+
+
+# intercepts
+
+
+@query("SELECT round(avg(l_extendedprice), 4) AS linear, round(ln(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) / (1 - avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END))), 6) AS logistic, round(ln(avg(l_linenumber)), 6) AS poisson FROM lineitem")
+def intercept_only(spark, d):
+    q = F.least(F.greatest(F.avg((F.col("l_returnflag") == "R").cast("double")), F.lit(1e-10)), F.lit(1 - 1e-10))
+    return t(spark, d, "lineitem").agg(r(F.avg("l_extendedprice"), "linear", 4), r(F.ln(q / (1 - q)), "logistic"), r(F.ln(F.avg("l_linenumber")), "poisson"))
+
+
+@query("SELECT l_returnflag, round(ln(count(*) / sum(count(*)) OVER ()) - max(ln(count(*))) OVER () + ln(sum(count(*)) OVER ()), 6) + 0.0 AS intercept FROM lineitem GROUP BY l_returnflag")
+def intercept_only_multinomial(spark, d):
+    share = t(spark, d, "lineitem").groupBy("l_returnflag").count().withColumn("log", F.ln(F.greatest(F.col("count") / F.sum("count").over(Window.partitionBy()), F.lit(1e-10))))
+    return share.select("l_returnflag", r(F.col("log") - F.max("log").over(Window.partitionBy()), "intercept"))
+
+
+@query(f"SELECT round(avg(y) - 0.3 * avg(x), 6) AS linear, round(ln(avg(y) / avg(exp(0.2 * x))), 6) AS poisson FROM ({_LINES})")
+def final_intercept(spark, d):
+    return _lines(spark, d).agg(r(F.avg("y") - 0.3 * F.avg("x"), "linear"), r(F.ln(F.avg("y") / F.avg(F.exp(0.2 * F.col("x")))), "poisson"))
+
+
+# scores
+
+
+@query("SELECT round(1 - sum(power(l_extendedprice - (1000 + 1500 * l_quantity), 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, round(-count(*) / 2.0 * (1 + ln(avg(power(l_extendedprice - (1000 + 1500 * l_quantity), 2)))) / count(*), 6) AS ll_per_row FROM lineitem")
+def score_linear(spark, d):
+    y, mu = F.col("l_extendedprice"), 1000 + 1500 * F.col("l_quantity")
+    return t(spark, d, "lineitem").agg(r(fn.r2(y, mu), "r2"), r(fn.gaussian_ll(y, mu) / F.count("*"), "ll_per_row"))
+
+
+@query(f"SELECT round(avg(CASE WHEN y = 0 THEN -mu ELSE y * ln(mu) - mu END), 6) AS ll FROM (SELECT y, exp(0.5 + 0.2 * x) AS mu FROM ({_LINES}))")
+def poisson_ll(spark, d):
+    return _lines(spark, d).agg(r(fn.poisson_ll(F.col("y"), F.exp(0.5 + 0.2 * F.col("x"))), "ll"))
+
+
+@query("SELECT k, n, round(2 * k - 2 * ll, 6) AS aic, round(2 * k - 2 * ll + CASE WHEN n > k + 1 THEN 2.0 * (k * k + k) / (n - k - 1) ELSE 0 END, 6) AS aicc, round(k * ln(n) - 2 * ll, 6) AS bic FROM (SELECT i AS k, n, -1.5 * i AS ll FROM range(1, 7) g(i), (VALUES (5), (1000)) v(n))")
+def information_criteria(spark, d):
+    rows = spark.range(1, 7).withColumnRenamed("id", "k").withColumn("n", F.explode(F.array(F.lit(5), F.lit(1000)))).withColumn("ll", -1.5 * F.col("k"))
+    return rows.select("k", "n", r(fn.aic(F.col("ll"), F.col("k")), "aic"), r(fn.aicc(F.col("ll"), F.col("k"), F.col("n")), "aicc"), r(fn.bic(F.col("ll"), F.col("k"), F.col("n")), "bic"))
+
+
+@query("SELECT round(avg(CASE WHEN (value > 50) = (user_id % 2 = 1) THEN 1.0 ELSE 0.0 END), 8) AS accuracy, round(-avg(CASE WHEN user_id % 2 = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM (SELECT user_id, value, 1 / (1 + exp(-(value - 50) / 40)) AS p FROM events)")
+def score_classes(spark, d):
+    e = t(spark, d, "events").select((F.col("user_id") % 2).alias("y"), (F.col("value") > 50).cast("long").alias("label"), fn.sigmoid((F.col("value") - 50) / 40).alias("p"))
+    return e.agg(r(fn.accuracy(F.col("y"), F.col("label")), "accuracy", 8), r(fn.log_loss(F.col("y"), F.col("p")), "log_loss"))
+
+
+_SCORES = f"SELECT boot, s AS support_id, round(score, 1) AS score, score * 100 AS coef FROM (SELECT boot, s, avg(CASE WHEN {hash_sql('event_id', 'boot', SEED)} % 5 = s THEN value END) AS score FROM events, range(8) b(boot), range(5) g(s) GROUP BY boot, s)"
+
+
+def _scores(spark, d) -> DataFrame:
+    e = t(spark, d, "events").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    e = e.groupBy("boot", (resample.hash_column(F.col("event_id"), F.col("boot"), SEED) % 5).alias("support_id")).agg(F.avg("value").alias("score"))
+    return e.select("boot", "support_id", F.round("score", 1).alias("score"), F.array(F.col("score") * 100).alias("coefs"))
+
+
+@query(f"SELECT boot, support_id, score FROM (SELECT *, row_number() OVER (PARTITION BY boot ORDER BY score DESC, support_id) AS rn FROM ({_SCORES})) WHERE rn = 1")
+def best_support_per_boot(spark, d):
+    return stability.best_supports(_scores(spark, d)).select(F.col("boot").cast("long").alias("boot"), "support_id", "score")
+
+
+@query(f"SELECT 0::BIGINT AS feature, round(median(coef), 5) AS coef FROM (SELECT *, row_number() OVER (PARTITION BY boot ORDER BY score DESC, support_id) AS rn FROM ({_SCORES})) WHERE rn = 1")
+def median_union(spark, d):
+    return stability.median_union(stability.best_supports(_scores(spark, d))).select(F.col("feature").cast("long").alias("feature"), r(F.col("coef"), "coef", 5))
+
+
+# losses and gradients
+
+
+@query("SELECT round(avg(ln(1 + exp(-s * z))), 6) AS loss, round(avg((1 / (1 + exp(-s * z)) - 1) * s * x), 6) AS g_x, round(avg((1 / (1 + exp(-s * z)) - 1) * s), 6) AS g_1 FROM (SELECT value / 100 AS x, 0.4 * value / 100 - 0.2 AS z, CASE WHEN user_id % 3 = 0 THEN 1 ELSE -1 END AS s FROM events)")
+def logistic_loss_grad(spark, d):
+    x = F.col("value") / 100
+    e = t(spark, d, "events").select(x.alias("x"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(-1).alias("s")).withColumn("sz", F.col("s") * (0.4 * F.col("x") - 0.2))
+    g = (fn.sigmoid(F.col("sz")) - 1) * F.col("s")
+    return e.agg(r(F.avg(-fn.log_logistic(F.col("sz"))), "loss"), r(F.avg(g * F.col("x")), "g_x"), r(F.avg(g), "g_1"))
+
+
+@query("""SELECT k, round(avg(loss), 6) AS loss, round(avg((p - CASE WHEN y = k THEN 1 ELSE 0 END) * x), 6) + 0.0 AS g_x FROM (SELECT x, y, k, exp(w * x) / (exp(0.3 * x) + exp(-0.1 * x) + exp(0.5 * x)) AS p, CASE WHEN y = k THEN -ln(exp(w * x) / (exp(0.3 * x) + exp(-0.1 * x) + exp(0.5 * x))) ELSE 0 END AS loss
+FROM (SELECT l_quantity / 50 AS x, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem), (VALUES (0, 0.3), (1, -0.1), (2, 0.5)) c(k, w)) GROUP BY k""")
+def multinomial_loss_grad(spark, d):
+    x = t(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("y"))
+    p = fn.softmax(F.array(0.3 * F.col("x"), -0.1 * F.col("x"), 0.5 * F.col("x")))
+    x = x.select("x", "y", F.posexplode(p).alias("k", "p")).withColumn("hit", (F.col("y") == F.col("k")).cast("int"))
+    return x.groupBy("k").agg(r(F.avg(F.when(F.col("hit") == 1, -F.ln("p")).otherwise(0.0)), "loss"), r(F.avg((F.col("p") - F.col("hit")) * F.col("x")), "g_x"))
+
+
+@query(f"SELECT round(avg(mu - y * eta), 6) AS loss, round(avg((mu - y) * x), 6) AS g_x, round(avg(mu - y), 6) AS g_1 FROM (SELECT x, y, 0.5 + 0.2 * x AS eta, exp(0.5 + 0.2 * x) AS mu FROM ({_LINES}))")
+def poisson_loss_grad(spark, d):
+    eta = 0.5 + 0.2 * F.col("x")
+    mu = F.exp(eta)
+    return _lines(spark, d).agg(r(F.avg(mu - F.col("y") * eta), "loss"), r(F.avg((mu - F.col("y")) * F.col("x")), "g_x"), r(F.avg(mu - F.col("y")), "g_1"))
+
+
+# decomposition
+
+_V = f"SELECT i AS j, ({hash_sql('i', '1', SEED)} % 1000) / 500.0 - 1 AS v1, ({hash_sql('i', '2', SEED)} % 1000) / 500.0 - 1 AS v2 FROM range(64) g(i)"
+
+
+def _v(spark) -> DataFrame:
+    h = lambda k: (resample.hash_column(F.col("j"), F.lit(k), SEED) % 1000) / 500.0 - 1
+    return spark.range(64).withColumnRenamed("id", "j").withColumn("v1", h(1)).withColumn("v2", h(2))
+
+
+@query(f"SELECT j, round((v1 * v1 + v2 * v2) / 2, 6) AS leverage FROM ({_V})")
+def leverage_scores(spark, d):
+    return _v(spark).select("j", r((F.col("v1") * F.col("v1") + F.col("v2") * F.col("v2")) / 2, "leverage"))
+
+
+@query(f"SELECT j FROM ({_V}) WHERE {hash_sql('j', '2', SEED)} / 2147483647.0 < least(1, 2 * (v1 * v1 + v2 * v2) / 2)")
+def column_select(spark, d):
+    from .decomposition import column_select as draw
+
+    v = _v(spark).orderBy("j").toPandas()[["v1", "v2"]].to_numpy()
+    return spark.createDataFrame([(int(j),) for j in sorted(draw(v, 2.0, SEED))], "j long")
+
+
+@query("""WITH f(boot, k, j) AS (VALUES (0, 1, 3), (1, 1, 3), (2, 1, 3), (0, 1, 4), (2, 1, 4), (0, 2, 5), (1, 2, 5), (2, 2, 5), (1, 2, 3)) SELECT DISTINCT j FROM (SELECT k, j FROM f GROUP BY k, j HAVING count(*) >= 3)""")
+def column_consensus(spark, d):
+    from .decomposition import chosen_columns
+
+    rows = [(0, 1, 3), (1, 1, 3), (2, 1, 3), (0, 1, 4), (2, 1, 4), (0, 2, 5), (1, 2, 5), (2, 2, 5), (1, 2, 3)]
+    return chosen_columns(spark.createDataFrame(rows, "boot int, k int, j int"), 3)
+
+
+_BASES = "SELECT label, comp, h FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS comp, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS h FROM embeddings) WHERE comp < 4"
+
+
+def _bases(spark, d) -> DataFrame:
+    """Four bases of each label: the feature here is the choice of the first four."""
+    e = t(spark, d, "embeddings").withColumn("comp", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).filter("comp < 4")
+    return e.select("label", "comp", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("h"))
+
+
+def _unit(c: str) -> Column:
+    return F.transform(c, lambda v: v / F.sqrt(fn.squared_norm(F.col(c))))
+
+
+_DISSIMILARITY = f"""SELECT la, lb, 1 - (sum(ra) / 2 + sum(rb) / 2) / 4 AS apart FROM (SELECT la, lb, sum(m) AS ra, 0.0 AS rb FROM (SELECT a.label AS la, b.label AS lb, a.comp AS k, max(list_cosine_similarity(a.h, b.h)) AS m FROM ({_BASES}) a JOIN ({_BASES}) b ON a.label < b.label GROUP BY a.label, b.label, a.comp) GROUP BY la, lb
+UNION ALL SELECT la, lb, 0.0, sum(m) FROM (SELECT a.label AS la, b.label AS lb, b.comp AS k, max(list_cosine_similarity(a.h, b.h)) AS m FROM ({_BASES}) a JOIN ({_BASES}) b ON a.label < b.label GROUP BY a.label, b.label, b.comp) GROUP BY la, lb) GROUP BY la, lb"""
+
+
+def _dissimilarities(spark, d) -> DataFrame:
+    b = _bases(spark, d).select("label", "comp", _unit("h").alias("u"))
+    pairs = b.select(F.col("label").alias("la"), F.col("comp").alias("ca"), F.col("u").alias("ua")).join(b.select(F.col("label").alias("lb"), F.col("comp").alias("cb"), F.col("u").alias("ub")), F.col("la") < F.col("lb"))
+    c = pairs.select("la", "lb", "ca", "cb", F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v).alias("c"))
+    rows = c.groupBy("la", "lb", "ca").agg(F.max("c").alias("m")).groupBy("la", "lb").agg(F.sum("m").alias("ra"))
+    cols = c.groupBy("la", "lb", "cb").agg(F.max("c").alias("m")).groupBy("la", "lb").agg(F.sum("m").alias("rb"))
+    return rows.join(cols, ["la", "lb"]).select("la", "lb", (1 - (F.col("ra") + F.col("rb")) / 8).alias("apart"))
+
+
+@query(f"SELECT la, lb, round(apart, 6) AS apart FROM ({_DISSIMILARITY})")
+def basis_dissimilarity(spark, d):
+    return _dissimilarities(spark, d).select("la", "lb", r(F.col("apart"), "apart"))
+
+
+@query(f"SELECT la AS rank FROM (SELECT la, avg(apart) AS a FROM ({_DISSIMILARITY}) GROUP BY la ORDER BY round(a, 9), la LIMIT 1)")
+def rank_choice(spark, d):
+    mean = _dissimilarities(spark, d).groupBy("la").agg(F.round(F.avg("apart"), 9).alias("a"))
+    return mean.agg(F.min_by("la", F.struct("a", "la")).alias("rank"))
+
+
+@query(f"""SELECT label, j, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v FROM (SELECT label, j, avg(u) AS m FROM (SELECT label, unnest(range(64)) AS j, unnest(list_transform(h, lambda v: v / sqrt(list_sum(list_transform(h, lambda w: w * w))))) AS u FROM ({_BASES})) GROUP BY label, j)""")
+def consensus_bases(spark, d):
+    u = _bases(spark, d).filter(fn.squared_norm(F.col("h")) > 0).select("label", F.posexplode(_unit("h")).alias("j", "u"))
+    m = u.groupBy("label", F.col("j").cast("long").alias("j")).agg(F.avg("u").alias("m"))
+    return m.select("label", "j", r(F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label"))), "v"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON abs(a.s_acctbal - b.s_acctbal) <= 40),
+core AS (SELECT x FROM e GROUP BY x HAVING count(*) >= 3), links AS (SELECT e.x, e.y FROM e JOIN core c ON c.x = e.x JOIN core k ON k.x = e.y),
+reach(x, c) AS (SELECT x, x FROM core UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.x), comp AS (SELECT x, min(c) AS c FROM reach GROUP BY x),
+every AS (SELECT s_suppkey AS x, coalesce(comp.c, (SELECT min(k.c) FROM e JOIN comp k ON k.x = e.y WHERE e.x = s_suppkey)) AS c FROM supplier LEFT JOIN comp ON comp.x = s_suppkey)
+SELECT x AS s_suppkey, coalesce(c, -1) AS cluster FROM every""")
+def dbscan_components(spark, d):
+    from sparsonde.operators import kernels
+
+    rows = t(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").toPandas()
+    x = rows["s_acctbal"].to_numpy()
+    label = kernels.dbscan(x[:, None] - x.mean(), 40.0, 3)
+    keys = rows["s_suppkey"].to_numpy()
+    core = np.array([(np.abs(x - v) <= 40).sum() >= 3 for v in x])
+    first = {c: int(keys[(label == c) & core].min()) for c in set(label.tolist()) - {-1}}
+    out = []
+    for i, k in enumerate(keys):
+        near = [first[label[j]] for j in np.flatnonzero((np.abs(x - x[i]) <= 40) & core)]
+        out.append((int(k), min(near) if near else -1))
+    return spark.createDataFrame(out, "s_suppkey long, cluster long")
+
+
+_COUNTS = "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM (SELECT DISTINCT event_type FROM events ORDER BY event_type OFFSET {k})))::DOUBLE AS x{k}" for k in range(3)) + " FROM events GROUP BY user_id"
+
+
+def _counts(spark, d) -> DataFrame:
+    """Events of the first three types per user."""
+    e = t(spark, d, "events")
+    names = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
+    return e.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == n).cast("double").alias(f"x{k}") for k, n in enumerate(names)])
+
+
+@query(f"SELECT user_id, round(greatest(0, (0.5 * x0 + 0.3 * x1 + 0.2 * x2) / 0.38), 6) AS w FROM ({_COUNTS})")
+def nnls_single_component(spark, d):
+    from .decomposition import NMFModel
+
+    out = NMFModel(["x0", "x1", "x2"], np.array([[0.5, 0.3, 0.2]])).transform(_counts(spark, d))
+    return out.select("user_id", r(F.col("weights")[0], "w"))
+
+
+@query(f"SELECT user_id, round(0.5 * x0 + 0.1 * x1, 6) AS y0, round(0.3 * x0 + 0.9 * x1, 6) AS y1 FROM ({_COUNTS})")
+def nmf_reconstruct(spark, d):
+    from .decomposition import NMFModel
+
+    model = NMFModel(["a", "b"], np.array([[0.5, 0.3], [0.1, 0.9]]))
+    out = model.inverse_transform(_counts(spark, d).withColumn("weights", F.array("x0", "x1")))
+    return out.select("user_id", r(F.col("reconstructed")[0], "y0"), r(F.col("reconstructed")[1], "y1"))
+
+
+# whole models: no SQL, rows only
+
+
+def _priced(spark, d) -> DataFrame:
+    """Orders with a synthetic price of their lines' sums, so that there is something to find."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(*[F.sum(c).alias(c) for c in names], F.sum("l_extendedprice").alias("price"))
+    return lines
+
+
+@query()
+def stable_lasso(spark, d):
+    from .linear import StableLasso
+
+    df = _priced(spark, d)
+    return StableLasso(random_state=SEED, n_lambdas=24).fit(df, ["l_quantity", "l_discount", "l_tax"], "price", "row_id").table(spark)
+
+
+@query()
+def stable_elastic_net(spark, d):
+    from .linear import StableElasticNet
+
+    df = _priced(spark, d)
+    return StableElasticNet(random_state=SEED, n_lambdas=16, alphas=(0.3, 0.9), estimation_score="BIC").fit(df, ["l_quantity", "l_discount", "l_tax"], "price", "row_id").table(spark)
+
+
+def _wide(spark, d, p: int = 12) -> tuple[DataFrame, list[str]]:
+    e = tables.vector_columns(t(spark, d, "embeddings"), "embedding", "e", p)
+    return e, [f"e{j}" for j in range(p)]
+
+
+def _coefficients(spark, model) -> DataFrame:
+    rows = [(k, f, float(c)) for k, row in enumerate(np.atleast_2d(model.coef_)) for f, c in zip(model.features, row, strict=True)]
+    return spark.createDataFrame(rows, "output int, feature string, coef double")
+
+
+@query()
+def stable_logistic(spark, d):
+    from .glm import StableL1Logistic
+
+    df, names = _wide(spark, d)
+    df = df.withColumn("y", (F.col("label") < 3).cast("int"))
+    return _coefficients(spark, StableL1Logistic(n_boots_sel=8, n_boots_est=8, n_C=8, random_state=SEED).fit(df, names, "y", "vec_id"))
+
+
+@query()
+def stable_multinomial(spark, d):
+    from .glm import StableL1Logistic
+
+    df, names = _wide(spark, d, 6)
+    df = df.withColumn("y", F.col("label") % 3)
+    return _coefficients(spark, StableL1Logistic(n_boots_sel=6, n_boots_est=6, n_C=6, multi_class="multinomial", random_state=SEED).fit(df, names, "y", "vec_id"))
+
+
+@query()
+def stable_poisson(spark, d):
+    from .glm import StablePoisson
+
+    df = _lines(spark, d).withColumn("x2", F.col("o_orderkey") % 7)
+    return _coefficients(spark, StablePoisson(n_boots_sel=8, n_boots_est=8, n_lambdas=10, random_state=SEED).fit(df, ["x", "x2"], "y", "o_orderkey"))
+
+
+@query()
+def distributed_poisson(spark, d):
+    from .glm import StablePoisson
+
+    df = _lines(spark, d).withColumn("x2", F.col("o_orderkey") % 7)
+    return _coefficients(spark, StablePoisson(n_boots_sel=4, n_boots_est=4, n_lambdas=3, random_state=SEED, block_mb=0).fit(df, ["x", "x2"], "y", "o_orderkey"))
+
+
+@query()
+def stable_columns(spark, d):
+    from .decomposition import StableColumns
+
+    df, names = _wide(spark, d, 64)
+    model = StableColumns(6, 8, 0.8, 0.5, random_state=SEED).fit(df, names, ks=[4, 8], cs=[10, 12], id_col="vec_id")
+    return spark.createDataFrame([(c,) for c in model.columns_], "column string")
+
+
+@query()
+def stable_nmf(spark, d):
+    from .decomposition import StableNMF
+
+    e = t(spark, d, "events")
+    names = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").collect()]
+    x = e.groupBy("user_id").pivot("event_type", names).agg(F.sum("value")).fillna(0.0)
+    model = StableNMF(n_boots=6, ranks=3, random_state=SEED, nmf_max_iter=150).fit(x, names, "user_id")
+    return model.transform(x, error="squared_error").select("user_id", "weights", "squared_error")
+
+
+@query()
+def synthetic_data(spark, d):
+    from sparsonde.sources import datasets
+
+    a = datasets.linear_regression(spark, 200, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("linear"))
+    b = datasets.classification(spark, 200, n_classes=3, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("classes"))
+    c = datasets.poisson_regression(spark, 200, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("counts"))
+    return a.unionByName(b).unionByName(c)
