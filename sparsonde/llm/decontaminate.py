@@ -272,4 +272,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows alike in doc_id and text go together."""
     found = leaks(docs, benchmark, **more).select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"))
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("d_")) & (th == F.col("t_")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["d_"]) & (th == found["t_"]), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -85,10 +85,12 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     gone = dropped_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).agg(F.collect_list("pos").alias("gone"))
     gone = store.written(gone, "line-gone")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.withColumn("th_", F.xxhash64(text)).join(gone, docs["doc_id"].eqNullSafe(F.col("d_")) & (F.col("th_") == F.col("t_")), "left")
-    parts = F.split(text, "\n", -1)
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs["doc_id"].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")), "left")
+    parts = F.split("text", "\n", -1)
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     count = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    own = [docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    return rows.select(*own, count.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    dropped = F.coalesce(F.size("gone"), F.lit(0))
+    return rows.select("row.*", count.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
