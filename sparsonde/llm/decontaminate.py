@@ -24,11 +24,11 @@ from . import store
 from .licenses import bare_hashes
 from .textblock import Words, blocks
 
-BLOCK_WORDS, ITEMS, RANK, SPARE = 64, 512, 256, 8
-COSINE, LCS, PARAPHRASE = 0.3, 0.7, 0.5
+BLOCK_WORDS, ITEMS, RANK, SPARE = 64, 512, 128, 8
+COSINE, LCS, PARAPHRASE = 0.45, 0.7, 0.5
 ANSWER_WORDS, ANSWER = 8, 0.75
 #: Words in more than this share of blocks aren't features, but each piece keeps its rarest LEAST.
-MAX_DF, LEAST = 0.05, 8
+MAX_DF, LEAST = 0.02, 8
 
 
 @dataclass
@@ -76,9 +76,30 @@ def _layout(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return base[w.doc] + (np.arange(len(w.doc)) - w.at[w.doc]) // BLOCK_WORDS, base
 
 
-def _feature(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, at, -1)
+class Vocabulary:
+    """Sorted word hashes with a table by their low bits; slots that two of them share are looked up by bisection."""
+
+    BITS = 20
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+        self.table = np.full(1 << self.BITS, -1, np.int32)
+        slot = (known & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+        self.table[slot] = np.arange(len(known))
+        self.table[np.flatnonzero(np.bincount(slot, minlength=1 << self.BITS) > 1)] = -2
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it isn't known."""
+        at = self.table[(h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)]
+        some = np.flatnonzero(at != -1)
+        place = at[some].astype(np.int64)
+        shared = place == -2
+        if shared.any():
+            place[shared] = np.minimum(np.searchsorted(self.known, h[some[shared]]), len(self.known) - 1)
+        out = np.full(len(h), -1, np.int64)
+        right = self.known[place] == h[some]
+        out[some[right]] = place[right]
+        return out
 
 
 def block_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -86,15 +107,16 @@ def block_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total, seen = 0, np.zeros(len(known), np.int64)
+        known = Vocabulary(shared.value)
+        total, seen, size = 0, np.zeros(len(shared.value), np.int64), len(shared.value)
         for batch in batches:
             for w in blocks(batch.column("text")):
-                f = _feature(known, bare_hashes(w))
+                f = known(bare_hashes(w))
                 block, base = _layout(w)
                 total += int(base[-1])
                 hit = f >= 0
-                seen += np.bincount(np.unique(block[hit] * len(known) + f[hit]) % len(known), minlength=len(known))
+                pairs = np.sort(block[hit] * size + f[hit])
+                seen += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] % size if len(pairs) else pairs, minlength=size)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[seen[some], total])], ["feature", "n"])
 
@@ -108,15 +130,15 @@ def block_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return out, total
 
 
-def _projected(f: np.ndarray, block: np.ndarray, base: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each passage's TF-IDF vector times ``basis``; passage b is blocks b and b + 1 of one text. Also whether b has a next block."""
+def _projected(f: np.ndarray, block: np.ndarray, base: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each passage's vector of word counts times ``basis`` (whose rows are weighted already); passage b is blocks b and b + 1 of one text. Also whether b has a next block."""
     n = int(base[-1])
     out = np.zeros((n, basis.shape[1]), np.float32)
     hit = np.flatnonzero(f >= 0)
     if len(hit):
         b = block[hit]
         start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        out[b[start]] = np.add.reduceat(basis[f[hit]] * idf[f[hit], None], start, axis=0)
+        out[b[start]] = np.add.reduceat(basis[f[hit]], start, axis=0)
     more = np.ones(n, bool)
     more[base[1:][base[1:] > base[:-1]] - 1] = False
     both = out.copy()
@@ -131,13 +153,14 @@ def _cross_products(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, ra
     k = random.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight, basis = shared.value
+        words, weight, basis = shared.value
+        known, weighted = Vocabulary(words), basis * weight[:, None]
         z = np.zeros(basis.shape, np.float32)
         for batch in batches:
             for w in blocks(batch.column("text")):
-                f = _feature(known, bare_hashes(w))
+                f = known(bare_hashes(w))
                 block, base = _layout(w)
-                y, more = _projected(f, block, base, weight, basis)
+                y, more = _projected(f, block, base, weighted)
                 y[1:][more[:-1]] += y[:-1][more[:-1]].copy()  # a block is in its own passage and in the one before
                 hit = np.flatnonzero(f >= 0)
                 if len(hit):
@@ -192,9 +215,9 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
     rank = min(RANK, len(pieces), len(vocabulary))
     random = np.random.default_rng(seed).standard_normal((len(vocabulary), min(rank + SPARE, len(vocabulary)))).astype(np.float32)
     z = _cross_products(docs, vocabulary, idf, random)
-    own = np.zeros((len(pieces), len(vocabulary)), np.float32)
+    own, place = np.zeros((len(pieces), len(vocabulary)), np.float32), Vocabulary(vocabulary)
     for i, p in enumerate(pieces):
-        f = _feature(vocabulary, p.words)
+        f = place(p.words)
         np.add.at(own[i], f[f >= 0], idf[f[f >= 0]])
     # The benchmark's passages count as much as the corpus's, so that the latent space tells its items apart.
     mine = own.T @ (own @ random)
@@ -205,14 +228,15 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, basis, latent, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight, basis, latent, pieces = shared.value
+        vocabulary, weight, basis, latent, pieces = shared.value
+        known, weighted = Vocabulary(vocabulary), basis * weight[:, None]
         least = [int(np.ceil(paraphrase * len(p.words))) for p in pieces]
         for batch in batches:
             rows, best = [], []
             for w in blocks(batch.column("text")):
                 h = bare_hashes(w)
                 block, base = _layout(w)
-                x, more = _projected(_feature(known, h), block, base, weight, basis)
+                x, more = _projected(known(h), block, base, weighted)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
                 at, piece = np.nonzero(x @ latent.T >= cosine)
                 if not len(at):
