@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from . import oracles
+
 #: Folder of the public tokenizers' files, on the driver.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -75,7 +77,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import write_temporary
 
-    return write_temporary(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return write_temporary(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -83,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": oracles.OP3, "op6_minhash_near_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8}
