@@ -4,7 +4,8 @@ A signature has 128 symbols of 16 bits. The first 64 are cut into 15 chunks; by
 that differ in at most 29 of these 64 symbols have a chunk with at most one difference. Each chunk therefore gives one
 key for each symbol that may be wrong (the others hashed), 64 keys in all, and every such pair shares a key. Pairs that
 share a key and differ in at most 47 of all 128 symbols are compared on their full shingle sets. A pair of similarity
-0.8 has 12.8 +- 3.2 differences in 64 and 25.6 +- 4.5 in 128 symbols, so under one in 10,000 such pairs is missed.
+0.8 has 12.8 +- 3.2 differences in 64 and 25.6 +- 4.5 in 128 symbols, so under one in 10,000 such pairs is missed. Texts
+that share buckets get 2048 more symbols of 2 bits, of which at most 384 may differ (307 +- 16 at 0.8).
 
 Equal sets become one class first. Groups of similar texts are never spelt out as pairs: (1) each member of a bucket is
 compared with the bucket's smallest member; (2) what is then in another component than most of the bucket is compared
@@ -25,14 +26,15 @@ from . import store
 from .components import components
 from .textblock import U, blocks, mix, window_hashes
 
-SYMBOLS, KEYED = 128, 64
+SYMBOLS, KEYED, LONGER = 128, 64, 128 + 2048
 CHUNKS = 15
-MOST = 47
+MOST, MOST_LONGER = 47, 384
+SMALL = 32
 NEAREST = 3
 BLOCK_ROWS = 1024
 _rng = np.random.default_rng(20240611)
-_MUL = (_rng.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64) | U(1)).astype(np.uint32)
-_XOR = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
+_MUL = (_rng.integers(1, 1 << 32, LONGER, dtype=np.uint64) | U(1)).astype(np.uint32)
+_XOR = _rng.integers(0, 1 << 32, LONGER, dtype=np.uint64).astype(np.uint32)
 #: (chunk, symbol left out, symbols used) of each key.
 KEYS = [(c, out, [i for i in chunk if i != out]) for c, chunk in enumerate(np.array_split(np.arange(KEYED), CHUNKS)) for out in chunk]
 
@@ -52,15 +54,23 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The 128 16-bit symbols of a set."""
-    low = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
+def signature(shingles: np.ndarray, first: int = 0, last: int = SYMBOLS) -> np.ndarray:
+    """The 16-bit symbols ``first`` to ``last`` of a set."""
+    low = np.full(last - first, 0xFFFFFFFF, np.uint32)
     x = (shingles >> U(32)).astype(np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, ((x[None, at : at + 2048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=low)
+    for f in range(0, last - first, 128):  # so many functions and shingles at once as fit the cache
+        xor, mul = _XOR[first + f : min(first + f + 128, last), None], _MUL[first + f : min(first + f + 128, last), None]
+        for at in range(0, len(x), 1024):
+            np.minimum(low[f : f + 128], ((x[None, at : at + 1024] ^ xor) * mul).min(axis=1), out=low[f : f + 128])
     return (mix(low.astype(U)) & U(0xFFFF)).astype(np.uint16)
 
 
+def packed(symbols: np.ndarray) -> bytes:
+    """The low 2 bits of each symbol, four to a byte."""
+    two = (symbols & 3).astype(np.uint8).reshape(-1, 4)
+    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+
+
 def bucket_keys(sigs: np.ndarray) -> np.ndarray:
     """The 64 keys of each signature (rows)."""
     out = np.empty((len(sigs), len(KEYS)), U)
@@ -100,75 +110,118 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _lengthened(texts: DataFrame, n: int) -> DataFrame:
+    """(node, more): the symbols beyond the first 128, 2 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [packed(signature(s, SYMBOLS, LONGER)) for s in shingle_sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(more, pa.binary())], ["node", "more"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, more binary")
+
+
+_USED = np.zeros((KEYED, len(KEYS)), np.float32)
+for _k, (_, _, _u) in enumerate(KEYS):
+    _USED[_u, _k] = 1
+_NEED = _USED.sum(axis=0)
+
+
+class _Rows:
+    """Bucket rows as arrays, and the test of pairs of them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.key, self.block, self.node, self.comp = (table[c].to_numpy() for c in ("key", "block", "node", "comp"))
+        self.main = table["main"].to_numpy()
+        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        self.more = np.frombuffer(b"".join(table["more"].to_pylist()), U).reshape(-1, (LONGER - SYMBOLS) // 32)
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs (i, j) of one bucket that pass both thresholds and have no earlier key in common, and their differences."""
+        ins, outs, aparts = [], [], []
+        for at in range(0, len(i), 8192):
+            x, y = i[at : at + 8192], j[at : at + 8192]
+            equal = self.sig[x] == self.sig[y]
+            apart = SYMBOLS - equal.sum(axis=1)
+            ok = np.flatnonzero(apart <= MOST)
+            bits = self.more[x[ok]] ^ self.more[y[ok]]
+            apart = np.bitwise_count((bits | bits >> U(1)) & U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            near = apart <= MOST_LONGER
+            ok, apart = ok[near], apart[near]
+            if len(ok):
+                first = np.argmax(equal[ok, :KEYED].astype(np.float32) @ _USED == _NEED, axis=1)
+                own = np.argmax(bucket_keys(self.sig[x[ok]]).view(np.int64) == self.key[x[ok], None], axis=1)
+                ok, apart = ok[first == own], apart[first == own]
+            ins.append(x[ok])
+            outs.append(y[ok])
+            aparts.append(apart)
+        return np.concatenate(ins), np.concatenate(outs), np.concatenate(aparts)
+
+    def pairs(self, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.block[1:] != self.block[:-1]), True])
+        size = np.diff(cut)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in range(2, SMALL + 1):
+            begin = cut[:-1][size == m]
+            if len(begin):
+                x, y = np.triu_indices(m, 1)
+                left.append((begin[:, None] + x[None, :]).ravel())
+                right.append((begin[:, None] + y[None, :]).ravel())
+        i, j = np.concatenate(left), np.concatenate(right)
+        apart = (self.comp[i] != self.comp[j]) & (self.main[i] | self.main[j] | (self.block[i] == 0))
+        i, j = i[apart], j[apart]
+        found = [self.close(i, j)[:2]] if len(i) else []
+        for s, e in zip(cut[:-1][size > SMALL], cut[1:][size > SMALL], strict=True):
+            at = np.arange(s, e)
+            for u in at[~self.main[s:e]]:
+                other = at[(self.comp[s:e] != self.comp[u]) & (self.main[s:e] | ((self.node[s:e] < self.node[u]) & (self.block[s] == 0)))]
+                if not len(other):
+                    continue
+                i, j, apart = self.close(np.full(len(other), u), other)
+                if nearest is not None and len(j) > nearest:
+                    order = np.lexsort((apart, self.comp[j]))
+                    c = self.comp[j][order]
+                    start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                    rank = np.arange(len(c)) - np.repeat(start, np.diff(np.r_[start, len(c)]))
+                    i, j = i[order[rank < nearest]], j[order[rank < nearest]]
+                found.append((i, j))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (self.node[np.concatenate(x)] for x in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+
 def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of different components within (key, block) that pass the signature threshold, each from the first key that it shares.
+    """Pairs of different components within (key, block) that pass the signature thresholds, each from the first key that it shares.
 
-    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), sig. Rows that aren't main stand in
-    each block of their bucket and are compared with its main rows there, and in block 0 with each other.
+    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), sig, more. Rows that aren't main stand in
+    each block of their bucket and are compared with its main rows there, and in block 0 with each other. ``nearest``: in
+    buckets of over SMALL rows only so many of each other component.
     """
-    used = np.zeros((len(KEYS), KEYED), bool)
-    for k, (_, _, u) in enumerate(KEYS):
-        used[k, u] = True
-    used_t = used.T.astype(np.uint8)
-    need = used.sum(axis=1)
-
-    def first_key(equal: np.ndarray) -> np.ndarray:
-        return np.argmax(equal[:, :KEYED].astype(np.uint8) @ used_t == need, axis=1)
-
-    def group(key: int, block: int, node: np.ndarray, comp: np.ndarray, main: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
-        keys = bucket_keys(sig[:1])[0].view(np.int64)
-        own = int(np.flatnonzero(keys == key)[0])
-        for i in np.flatnonzero(~main):
-            other = np.flatnonzero(comp != comp[i])
-            other = other[main[other] | ((node[other] < node[i]) & (block == 0))]
-            if not len(other):
-                continue
-            equal = sig[i][None, :] == sig[other]
-            apart = SYMBOLS - equal.sum(axis=1)
-            ok = apart <= MOST
-            ok[ok] = first_key(equal[ok]) == own
-            other, apart = other[ok], apart[ok]
-            if nearest is not None and len(other) > nearest:
-                order = np.lexsort((apart, comp[other]))
-                c = comp[other][order]
-                start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                rank = np.arange(len(c)) - np.repeat(start, np.diff(np.r_[start, len(c)]))
-                other = other[order[rank < nearest]]
-            for j in other:
-                yield int(node[i]), int(node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, block = table["key"].to_numpy(), table["block"].to_numpy()
-            node, comp, main = table["node"].to_numpy(), table["comp"].to_numpy(), table["main"].to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
-            a, b = [], []
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e - s > 1:
-                    for x, y in group(int(key[s]), int(block[s]), node[s:e], comp[s:e], main[s:e], sig[s:e]):
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = _Rows(table).pairs(nearest)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, bl = batch.column("key").to_numpy(), batch.column("block").to_numpy()
-            last = batch.num_rows - 1
             split = int(np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (bl[1:] != bl[:-1])])[-1])
-            if split == 0 and held and held[-1].column("key")[-1].as_py() == k[last] and held[-1].column("block")[-1].as_py() == bl[last]:
+            if split == 0 and held and held[-1].column("key")[-1].as_py() == k[-1] and held[-1].column("block")[-1].as_py() == bl[-1]:
                 held.append(batch)
                 continue
-            yield from flush(pa.Table.from_batches([*held, batch.slice(0, split)])) if held or split else ()
+            if held or split:
+                yield from flush(pa.Table.from_batches([*held, batch.slice(0, split)]))
             held = [batch.slice(split)]
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "sig")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "sig", "more")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -238,8 +291,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     involved = buckets.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(involved, "node")
     texts = store.written(texts.groupBy("node").agg(F.min("text").alias("text")), "neardup-texts")
-    own = classes.join(involved, "node").select("node", "sig")
-    sigs = store.written(own, "neardup-sigs")
+    sigs = store.written(classes.join(_lengthened(texts, shingle_words), "node").select("node", "sig", "more"), "neardup-sigs")
 
     first = _close(buckets.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), _low_bytes(sigs))
     links = store.written(_confirmed(first, texts, shingle_words, percent), "neardup-links")
@@ -274,5 +326,5 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     """``docs`` with one document of each group: that with the smallest doc_id (all rows of that doc_id)."""
     kept = near_duplicates(docs, shingle_words, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("k_")).distinct()
     cols = [docs[c] for c in docs.columns]
-    some = docs.join(kept, docs["doc_id"] == F.col("k_"), "left_semi").select(*cols)
+    some = docs.join(kept, docs["doc_id"] == kept["k_"], "left_semi").select(*cols)
     return some.union(docs.filter(docs["doc_id"].isNull()).select(*cols))
