@@ -3,7 +3,8 @@
 Each window of 35 words is represented in the index by its smallest 18-word hash, so about a tenth of all word positions
 is indexed and equal windows always have an equal entry. A batch's entries are written as a run: an immutable Parquet
 table sorted by hash. New batches are merge-joined with the runs by hash; compaction merges runs into one. What an index
-lookup finds is verified on hashes of the whole 35-word windows, which are compared only within their index entry.
+lookup finds is verified on hashes of the whole 35-word windows, which are compared only within their index entry. An index
+that keeps windows has runs of those as well, so that later batches are verified against batches whose texts are gone.
 """
 
 from __future__ import annotations
@@ -76,15 +77,16 @@ def _entry_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of window hashes in a folder; ``runs`` are their paths, oldest first."""
+    """Runs of window hashes in a folder; ``runs`` are their paths, oldest first, and ``window_runs`` those of whole windows if they are kept."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM) -> None:
-        self.spark, self.window, self.gram = spark, window, gram
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, keep_windows: bool = False) -> None:
+        self.spark, self.window, self.gram, self.keep_windows = spark, window, gram, keep_windows
         self.path = path or store.new_path(spark, "fingerprints")
         self.runs: list[str] = []
+        self.window_runs: list[str] = []
 
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{len(self.runs):05d}-{store.token()}"
+    def _write(self, rows: DataFrame, name: str = "run") -> str:
+        path = f"{self.path}/{name}-{store.token()}"
         rows.sortWithinPartitions("fp").write.option("compression", "zstd").parquet(path)
         store.release()
         return path
@@ -95,8 +97,11 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Appends the batch ``docs`` (doc_id, text) as one run."""
-        rows = _entry_rows(_text_hashes(docs), self.window, self.gram)
+        texts = _text_hashes(docs)
+        rows = _entry_rows(texts, self.window, self.gram)
         self.runs.append(self._write(rows.groupBy("fp").agg(F.sum("n").alias("n"))))
+        if self.keep_windows:
+            self.window_runs.append(self._write(_all_windows(texts, self.window, self.gram).repartition("fp"), "windows"))
 
     def lookup(self, docs: DataFrame) -> DataFrame:
         """(fp, h1, h2, n, seen): the entries of the batch's texts that the index holds, with the index's count."""
@@ -108,10 +113,50 @@ class FingerprintIndex:
         if len(self.runs) > 1:
             old, merged = self.runs, self._write(self.read().groupBy("fp").agg(F.sum("n").alias("n")))
             self.runs = [merged]
+            if self.window_runs:
+                old, kept = [*old, *self.window_runs], self.spark.read.parquet(*self.window_runs)
+                self.window_runs = [self._write(kept.repartition("fp"), "windows")]
             for path in old:
                 store.delete(self.spark, path)
 
 
+def _all_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(fp, hashes): the whole hashes of each text's windows, by index entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in blocks(batch.column("text")):
+                low, whole, _, _ = entries(w, window, gram)
+                at = np.flatnonzero(low)
+                if len(at):
+                    cut = np.flatnonzero(np.r_[True, (low[at][1:] != low[at][:-1]) | (np.diff(at) > 1)])
+                    pieces = [whole[at[a:b]].tobytes() for a, b in zip(cut, [*cut[1:], len(at)], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(low[at[cut]].view(np.int64)), pa.array(pieces, pa.binary())], ["fp", "hashes"])
+
+    return texts.select("text").mapInArrow(run, "fp long, hashes binary")
+
+
+def _earlier_groups(rows: DataFrame) -> DataFrame:
+    """Windows of earlier batches (fp, hashes, seen) as rows for _repeated, without a text of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, parts, starts, hashes = [], [], [], []
+            for fp, raw, seen in zip(batch.column("fp").to_pylist(), batch.column("hashes").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                h = np.frombuffer(raw, U)
+                part = (h % U(max(seen // GROUP, 1))).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    own = h[part == k]
+                    fps.append(fp)
+                    parts.append(k)
+                    starts.append(bytes(4 * len(own)))
+                    hashes.append(own.tobytes())
+            none = pa.nulls(len(fps), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(parts, pa.int32()), none, none, pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())], ["fp", "part", "h1", "h2", "starts", "hashes"])
+
+    return rows.select("fp", "hashes", "seen").mapInArrow(run, "fp long, part int, h1 long, h2 long, starts binary, hashes binary")
+
+
 def _digests(w: Words, gone: np.ndarray) -> list[str]:
     """The SHA-256 of each text's words that aren't ``gone``, joined by one space."""
     kept = np.flatnonzero(~gone)
@@ -212,7 +257,8 @@ def _repeated(groups: DataFrame) -> DataFrame:
             s = starts[again]
             pieces = [s[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(row)], strict=True)]
             keep = pa.array(row[cut])
-            yield pa.RecordBatch.from_arrays([table["h1"].chunk(0).take(keep), table["h2"].chunk(0).take(keep), pa.array(pieces, pa.binary())], ["h1", "h2", "starts"])
+            out = pa.RecordBatch.from_arrays([table["h1"].chunk(0).take(keep), table["h2"].chunk(0).take(keep), pa.array(pieces, pa.binary())], ["h1", "h2", "starts"])
+            yield out.filter(out.column("h1").is_valid())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -252,12 +298,13 @@ def _last_pass(rows: DataFrame, kind: str, window: int) -> DataFrame:
 def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``: the words covered by a window that also starts elsewhere are removed.
 
-    The rows are added to ``index`` (a new one if None) in ``batches`` batches, dealt by their text's hash, and it is compacted;
-    an index with earlier runs makes windows of those batches count as elsewhere once they are also met here twice or verified
-    in this call's texts. Null, empty and short texts have no window and stay whole. Rows alike in text are copies of each other.
+    The rows are added to ``index`` (a new one if None) in ``batches`` batches, dealt by their text's hash, and it is compacted.
+    If the index keeps windows, those of its earlier batches count as elsewhere; otherwise only this call's. Null, empty and
+    short texts have no window and stay whole. Rows alike in text are copies of each other.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
+    earlier = store.written(spark.read.parquet(*index.window_runs), "substr-earlier") if index.window_runs else None
     window, gram = index.window, index.gram
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _text_hashes(docs)
@@ -270,7 +317,10 @@ def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, batches:
     known = store.written(copies.join(hits, ["h1", "h2"], "left").filter("copies > 1 or fps is not null"), "substr-known")
     rows = texts.join(known, ["h1", "h2"], "left").select("doc_id", "h1", "h2", "text", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("doc_id").eqNullSafe(F.col("first_id")).alias("first"), "fps")
     passed = store.written(_first_pass(rows, kind, window, gram), "substr-first")
-    found = store.written(_repeated(_window_groups(passed.filter("emit"), window, gram)), "substr-found")
+    groups = _window_groups(passed.filter("emit"), window, gram)
+    if earlier is not None:
+        groups = groups.union(_earlier_groups(earlier.join(shared, "fp")))
+    found = store.written(_repeated(groups), "substr-found")
     open_rows = passed.filter("not done").select("doc_id", "h1", "h2", "text")
     lists = found.groupBy("h1", "h2").agg(F.collect_list("starts").alias("found"))
     last = _last_pass(open_rows.join(lists, ["h1", "h2"], "left"), kind, window)
