@@ -32,6 +32,8 @@ NOISE = frozenset(
     "comment comments commentlist disqus reply replies respond widget widgets toolbar pagination pager skip contentinfo complementary search alert dialog outbrain taboola".split()
 )
 HEADER = frozenset("header masthead".split())
+#: With one of these a name says what the element has, not what it is, as in has-sidebar.
+ABOUT = frozenset("has no with without layout".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -48,7 +50,7 @@ class Node:
         self.kids: list[Node] = []
 
 
-def _noise(name: str, attrs: str, in_article: bool) -> bool:
+def _noise(name: str, attrs: str, in_article: bool, by_name: bool) -> bool:
     if name in NOT_TEXT:
         return True
     if name == "header" and not in_article:
@@ -59,15 +61,16 @@ def _noise(name: str, attrs: str, in_article: bool) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
             return True
-        if key in ("class", "id", "role"):
-            words = {w.lower() for w in PARTS.findall(value)}
-            if words & NOISE or (not in_article and words & HEADER):
-                return True
+        if by_name and key in ("class", "id", "role"):
+            for one in value.split():
+                words = {w.lower() for w in PARTS.findall(one)}
+                if not words & ABOUT and (words & NOISE or (not in_article and words & HEADER)):
+                    return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The DOM tree of ``page``, without noise; unclosed and misnested tags are mended as browsers do."""
+def parse(page: str, by_name: bool = True) -> Node:
+    """The DOM tree of ``page``, without noise (``by_name``: also by classes, ids and roles); unclosed and misnested tags are mended as browsers do."""
     root = here = Node("#root", None)
     skipped: list[str] = []  # open elements below an element that is left out
     depth = {"article": 0}
@@ -139,7 +142,7 @@ def parse(page: str) -> Node:
             if name == "wbr":
                 here.children.pop()
             continue
-        if _noise(name, attrs, depth["article"] > 0):
+        if _noise(name, attrs, depth["article"] > 0, by_name):
             if name not in INLINE:
                 here.children.append("\0")
             if not void:
@@ -225,6 +228,9 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = _measure(root)
+    if not root.chars:  # names can mislead: all of the page may stand in an element called after a part of it
+        root = parse(page, by_name=False)
+        order = _measure(root)
     if not root.chars:
         return ""
     core = max(reversed(order), key=lambda n: n.sum)  # the first in page order of equal ones

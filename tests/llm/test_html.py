@@ -21,6 +21,8 @@ PAGES = {
     "white space": ("<article><p>  one\n\ttwo&nbsp;three   <b>four</b>five <br>six</p>\n\n<p>&#65;&#x42;&lt;tag&gt; &eacute;</p></article>", "one two three fourfive six\nAB<tag> é"),
     "upper case": (f"<BODY><NAV>x</NAV><ARTICLE><P>{A}<P>{B}</ARTICLE></BODY>", f"{A}\n{B_}"),
     "links inside": (f'<article><p>{A} <a href="/x">a link</a>.</p><p><a href="/y">Another link that is a paragraph</a></p></article>', f"{A} a link.\nAnother link that is a paragraph"),
+    "names of a layout": (f'<body class="has-sidebar"><div class="page with-sidebar"><div class="sidebar"><p>{A}</p></div><div class="no-ads post"><p>{A}</p><p>{B}</p></div></div></body>', f"{A}\n{B_}"),
+    "all in a widget": (f'<body><div class="widget"><p>{A}</p><p>{B}</p></div></body>', f"{A}\n{B_}"),
     "table": (f"<article><p>{A}</p><table><tr><td>a<td>b<tr><td>c</table><p>{B}</p></article>", f"{A}\na\nb\nc\n{B_}"),
 }
 
