@@ -144,6 +144,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, penalty: str = "l1"
     return coef.T, w[p] if intercept else np.zeros(classes)
 
 
+def logistic_path(x: np.ndarray, y: np.ndarray, classes: int, cs: list[float], penalty: str = "l1", intercept: bool = True, warm_start: bool = True, **more) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (settings x outputs x features) and intercepts (settings x outputs) along inverse strengths ``cs``."""
+    coefs, intercepts, start = [], [], None
+    multi = more.get("multinomial", False) or classes > 2
+    for c in cs:
+        coef, b = fit_logistic(x, y, classes, penalty, c, intercept, start=start, **more)
+        coefs.append(coef)
+        intercepts.append(b)
+        if warm_start:
+            start = (np.vstack([coef.T, b[None, :]]) if intercept else coef.T.copy()) if multi else np.r_[coef[0], b] if intercept else coef[0].copy()
+    return np.array(coefs), np.array(intercepts)
+
+
 def fit_poisson(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, ratio: float = 1.0, intercept: bool = True, weight: np.ndarray | None = None, solver: str = "lbfgs", start: np.ndarray | None = None, max_iter: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of an elastic-net Poisson model, by the orthant-wise minimiser or by reweighted least squares with coordinate descent."""
     n, p = x.shape

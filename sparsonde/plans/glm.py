@@ -142,15 +142,8 @@ class StableL1Logistic(_Stable):
         self._check(("acc", "log", "AIC", "AICc", "BIC"))
 
     def _path(self, x, y, settings):
-        out, start = [], None
-        k = self._classes
-        multi = self._outputs > 1
-        for c in settings:
-            coef, b = kernels.fit_logistic(x, y, k, "l1", c, self.fit_intercept, start=start, max_iter=self.max_iter, tol=self.tol, multinomial=multi)
-            out.append(coef.ravel())
-            if self.warm_start:
-                start = np.vstack([coef.T, b[None, :]]) if multi and self.fit_intercept else coef.T.copy() if multi else np.r_[coef[0], b] if self.fit_intercept else coef[0].copy()
-        return np.array(out)
+        coefs, _ = kernels.logistic_path(x, y, self._classes, settings, "l1", self.fit_intercept, self.warm_start, max_iter=self.max_iter, tol=self.tol, multinomial=self._outputs > 1)
+        return coefs.reshape(len(settings), -1)
 
     def _refit(self, x, y, on):
         k, p, multi = self._classes, x.shape[1], self._outputs > 1

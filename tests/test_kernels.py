@@ -83,6 +83,15 @@ def test_logistic_fits():
     assert kernels.fit_logistic(X, y, 2, "l1", 1 / (top * 0.9), tol=1e-8)[0].any()
 
 
+def test_path_equals_single_fits():
+    y = rng.integers(0, 3, 300)
+    cs = [0.5, 5.0, 50.0]
+    coefs, intercepts = kernels.logistic_path(X, y, 3, cs, tol=1e-7)
+    for c, coef, b in zip(cs, coefs, intercepts, strict=True):
+        alone, b0 = kernels.fit_logistic(X, y, 3, "l1", c, tol=1e-7)
+        assert np.allclose(coef, alone, atol=1e-3) and np.allclose(b - b.mean(), b0 - b0.mean(), atol=1e-3)
+
+
 def test_intercepts_at_fixed_coefficients():
     y = rng.integers(0, 3, 300)
     eta = rng.standard_normal((300, 3))
