@@ -30,7 +30,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token ids in training order; returns each sequence's slot."""
-    return shards.write_temporary(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return shards.write_temporary(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 STAGES = [

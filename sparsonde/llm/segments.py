@@ -6,34 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textblock import SPACE, span_hashes
+from .textblock import span_hashes
 
 #: Distinct segments held by a worker; beyond that it starts afresh, which costs time only.
 HELD = 400_000
 
 
-def single_space_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Byte offsets at which segments begin: before a lone space, and before and after a lone newline.
-
-    Lone: within a text, with no ASCII white space on either side. Byte-level BPE with the usual pattern splits there in any case.
-    """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    white = SPACE[data]
-    first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    first[ends[:-1]] = True
-    last[ends[1:]] = True
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:] = ~white[:-1] & ~first[1:n]
-    after[:-1] = ~white[1:] & ~last[1:n]
-    lone = before & after
-    cut = lone & ((data == 0x20) | (data == 0x0A))
-    cut[1:] |= (lone & (data == 0x0A))[:-1]
-    cut[ends[:-1][ends[:-1] < ends[1:]]] = True
-    return np.flatnonzero(cut)
-
-
 def space_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Byte offsets at which segments begin: at each space and each text."""
     cut = data == 0x20

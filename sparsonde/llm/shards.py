@@ -8,6 +8,7 @@ Spark's own writer makes the files, so they can lie in any store and a task that
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -16,15 +17,17 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .segments import Memo, single_space_cuts
-from .textblock import U, blocks, mix
+from .textblock import BLOCK, U, mix
 
 LENGTH, SHARD, EOS = 512, 4096, 50256
+#: Fixed value: the usual splitting pattern of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
 
 
@@ -60,74 +63,64 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_loaded: dict[str, Memo] = {}
+_loaded: dict[str, tiktoken.Encoding] = {}
 
 
-def _memo(name: str) -> Memo:
+def _encoding(name: str, pattern: str) -> tiktoken.Encoding:
     if name not in _loaded:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(SparkFiles.get(name))
-        t.encode_special_tokens = True
-        _loaded[name] = Memo(lambda new: [np.array(e.ids, np.uint16).tobytes() for e in t.encode_batch([k.decode() for k in new], add_special_tokens=False)])
+        with open(SparkFiles.get(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _loaded[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _loaded[name]
 
 
-def _ragged(values: list[bytes], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All segments' ids one after the other, and each segment's number of ids."""
-    flat = np.frombuffer(b"".join(values), np.uint16)
-    size = np.fromiter((len(v) // 2 for v in values), np.int64, len(values))
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    n = size[back]
-    at = np.repeat(begin[back] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    return flat[at], n
-
-
-def sequences(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, eos: int = EOS) -> DataFrame:
+def sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, eos: int = EOS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, part, n_tokens, ids, task, row): the sequences of each text's tokens and the end mark; ``ids`` are ``length`` 16-bit ids.
 
-    A null or empty text has the end mark alone. ``task`` and ``row`` say where a sequence was made; they number it.
+    ``ranks_file``: a byte-level BPE vocabulary as ranks, on the driver; its ids must be below 65,536. A null or empty text has
+    the end mark alone. ``task`` and ``row`` say where a sequence was made; they number it.
     """
-    docs.sparkSession.sparkContext.addFile(tokenizer_file)
-    name = tokenizer_file.rsplit("/", 1)[-1]
+    docs.sparkSession.sparkContext.addFile(ranks_file)
+    name = ranks_file.rsplit("/", 1)[-1]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, task, made = _memo(name), TaskContext.get().partitionId(), 0
+        encode, task, made = _encoding(name, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for w in blocks(batch.column("text")):
-                start = single_space_cuts(w.data, w.ends)
-                total = np.zeros(w.rows, np.int64)
-                ids = np.zeros(0, np.uint16)
-                if len(start):
-                    values, back = memo(w.data, start, np.r_[start[1:], len(w.data)])
-                    ids, n = _ragged(values, back)
-                    total = np.bincount(np.searchsorted(w.ends, start, "right") - 1, weights=n, minlength=w.rows).astype(np.int64)
-                parts = total // length + 1
+            held: list[np.ndarray] = []
+            texts = batch.column("text")
+            first = waiting = 0
+            for i in range(batch.num_rows):
+                held.append(np.array([*encode(texts[i].as_py() or ""), eos], np.uint16))
+                waiting += len(held[-1])
+                if waiting * 4 < BLOCK and i + 1 < batch.num_rows:
+                    continue
+                total = np.array([len(x) for x in held])
+                parts = -(-total // length)
+                begin = np.r_[0, np.cumsum(parts)[:-1]]
                 seqs = int(parts.sum())
-                row = np.repeat(np.arange(w.rows), parts)
-                part = np.arange(seqs) - np.repeat(np.r_[0, np.cumsum(parts)[:-1]], parts)
+                row = np.repeat(np.arange(len(held)), parts)
+                part = np.arange(seqs) - begin[row]
                 out = np.full((seqs, length), eos, np.uint16)
-                out.ravel()[np.repeat(np.r_[0, np.cumsum(parts)[:-1]] * length, total) + np.arange(len(ids)) - np.repeat(np.r_[0, np.cumsum(total)[:-1]], total)] = ids
-                tokens = np.minimum(total[row] + 1 - part * length, length)
-                picked = batch.column("doc_id").take(pa.array(row + w.first))
+                for x, at in zip(held, begin * length, strict=True):
+                    out.ravel()[at : at + len(x)] = x
+                tokens = np.minimum(total[row] - part * length, length)
                 raw = pa.Array.from_buffers(pa.binary(), seqs, [None, pa.py_buffer((np.arange(seqs + 1) * (2 * length)).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([picked, pa.array(part), pa.array(tokens), raw, pa.array(np.full(seqs, task)), pa.array(np.arange(made, made + seqs))], ["doc_id", "part", "n_tokens", "ids", "task", "row"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + first)), pa.array(part), pa.array(tokens), raw, pa.array(np.full(seqs, task)), pa.array(np.arange(made, made + seqs))], ["doc_id", "part", "n_tokens", "ids", "task", "row"])
                 made += seqs
+                held, first, waiting = [], i + 1, 0
 
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, part long, n_tokens long, ids binary, task long, row long")
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: int = 20240611, length: int = LENGTH, shard: int = SHARD, eos: int = EOS) -> DataFrame:
+def write_shards(docs: DataFrame, ranks_file: str, path: str, key: int = 20240611, length: int = LENGTH, shard: int = SHARD, eos: int = EOS) -> DataFrame:
     """Writes the shards and their manifest below ``path``; returns doc_id, part, n_tokens, slot, shard and offset of each sequence.
 
     doc_id is carried, not used: rows may repeat, and null ids are written like others. No rows: no shards, N = 0.
     """
     spark = docs.sparkSession
-    made = store.written(sequences(docs, tokenizer_file, length, eos), "sequences")
+    made_at = store.new_path(spark, "sequences")
+    made = store.written(sequences(docs, ranks_file, length, eos), "sequences", made_at)
     per_task = made.groupBy("task").agg(F.count("*").alias("n"))  # a row per task
     first = store.written(per_task.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("all")), "sequence-offsets")
     total = first.agg(F.max("all")).first()[0] or 0
@@ -139,14 +132,28 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: int = 202
 
     placed = made.join(F.broadcast(first) if first.count() <= 100_000 else first, "task").withColumn("slot", slot(F.col("first") + F.col("row")))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard))
+    place = store.written(placed.select("doc_id", "part", "n_tokens", "slot", "shard", ((F.col("slot") % shard) * about.stride).alias("offset")), "slots")
+    ordered_at = _ordered(placed, total, shard)
+    del placed, made
+    store.release(wait=2.0)
+    store.delete(spark, made_at)
+    ordered = spark.read.schema("slot long, ids binary, shard long").parquet(ordered_at) if total else spark.createDataFrame([], "slot long, ids binary, shard long")
+    records = ordered.sortWithinPartitions("shard", "slot").select(F.col("ids").cast("string").alias("value"), "shard")  # a shard is one small file, so one task has it whole
+    records.write.partitionBy("shard").mode("overwrite").text(f"{path}/shards")
+    store.delete(spark, ordered_at)
+    spark.createDataFrame([(json.dumps(asdict(about)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return place
+
+
+def _ordered(placed: DataFrame, total: int, shard: int) -> str:
+    """Range-partitions the sequences by slot into a compressed table, a file per shard: so the unsorted sequences and the shuffle's files can go before the records are written at their full size."""
+    spark = placed.sparkSession
     shards = -(-total // shard)
     ways = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.select("slot", "shard", "ids").repartitionById(ways, F.floor(F.col("shard") * ways / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
-    dealt.select(F.col("ids").cast("string").alias("value"), "shard").write.partitionBy("shard").mode("overwrite").text(f"{path}/shards")
-    store.release()
-    spark.createDataFrame([(json.dumps(asdict(about)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    place = placed.select("doc_id", "part", "n_tokens", "slot", "shard", ((F.col("slot") % shard) * about.stride).alias("offset"))
-    return store.written(place, "slots")
+    dealt = placed.select("slot", "ids", "shard").repartitionById(ways, F.floor(F.col("shard") * ways / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
+    path = store.new_path(spark, "ordered")
+    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return path
 
 
 def read_manifest(path: str) -> Manifest:
@@ -166,6 +173,6 @@ def read_slots(path: str, start: int, count: int) -> Iterator[np.ndarray]:
         at += n
 
 
-def write_temporary(docs: DataFrame, tokenizer_file: str, **more) -> DataFrame:
+def write_temporary(docs: DataFrame, ranks_file: str, **more) -> DataFrame:
     """As write_shards, into a new folder of the shared directory."""
-    return write_shards(docs, tokenizer_file, store.new_path(docs.sparkSession, "shards"), **more)
+    return write_shards(docs, ranks_file, store.new_path(docs.sparkSession, "shards"), **more)

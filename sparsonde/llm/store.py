@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +30,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{token()}"
 
 
-def release() -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that have ended: it goes by what the driver still refers to."""
+def release(wait: float = 0.0) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that have ended: it goes by what the driver still refers to.
+
+    The last step's plan only goes in a second collection; ``wait``: make that one as well, and leave the cleaner so many seconds.
+    """
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
     gc.collect()
-    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+    jvm.System.gc()
+    if wait:
+        time.sleep(wait / 2)
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(wait / 2)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table of the shared folder: its lineage ends there, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     release()
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from sparsonde.llm.queries import TOKENIZERS
 from .conftest import table, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BPE, MODEL = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE, RANKS, MODEL = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/piece_bpe_32k.model"
 texts = st.lists(st.text(alphabet="ab c\n\té　.Z", max_size=60), max_size=8)
 
 
@@ -124,6 +124,21 @@ def test_index_runs(spark):
     assert index.lookup(table(spark, [(9, words(rng, 60, 9000), "a", "en")])).count() == 0
 
 
+def test_later_batches_meet_earlier_ones(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 2)
+    rng = random.Random(5)
+    old = [(i, words(rng, 80, 9000), "a", "en") for i in range(6)]
+    index = substring_dedup.FingerprintIndex(spark, keep_windows=True)
+    assert all(x.n_removed == 0 for x in substring_dedup.deduplicate(table(spark, old), index).collect())
+    part = " ".join(old[2][1].split()[20:65])
+    new = [(10, words(rng, 50, 9000), "a", "en"), (11, words(rng, 9, 9000) + " " + part + " " + words(rng, 9, 9000), "a", "en"), (12, old[0][1], "a", "en"), (13, " ".join(old[1][1].split()[:34]), "a", "en")]
+    assert {x.doc_id: x.n_removed for x in substring_dedup.deduplicate(table(spark, new), index).collect()} == {10: 0, 11: 45, 12: 80, 13: 0}
+    assert len(index.runs) == len(index.window_runs) == 1
+    plain = substring_dedup.FingerprintIndex(spark)
+    plain.add(table(spark, old))
+    assert all(x.n_removed == 0 for x in substring_dedup.deduplicate(table(spark, new), plain).collect())
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_duplicates(corpus, n):
     rows, df = corpus
@@ -229,22 +244,6 @@ def test_unigram_ties():
     assert unigram.Unigram({"a": -1.0}).count("aéa") == 4  # an unknown character counts its bytes
 
 
-@given(texts)
-@settings(max_examples=30, deadline=None)
-def test_bpe_segments(batch):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(BPE)
-    for w in textblock.blocks(pa.array(batch, pa.string())):
-        cut = shards.single_space_cuts(w.data, w.ends)
-        raw = w.data.tobytes()
-        ids = {}
-        for a, b in zip(cut, [*cut[1:], len(raw)][: len(cut)], strict=True):
-            r = int(np.searchsorted(w.ends, a, "right")) - 1
-            ids.setdefault(r, []).extend(t.encode(raw[a:b].decode()).ids)
-        assert [ids.get(r, []) for r in range(w.rows)] == [t.encode(x).ids for x in batch[w.first : w.first + w.rows]]
-
-
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4096, 4097, 50_001])
 def test_feistel(n):
     slots = shards.feistel(np.arange(n), n, 7)
@@ -258,7 +257,7 @@ def test_shards_round_trip(spark, corpus, tmp_path):
 
     rows, df = corpus
     path = str(tmp_path / "out")
-    place = shards.write_shards(df, BPE, path, length=32, shard=16).collect()
+    place = shards.write_shards(df, RANKS, path, length=32, shard=16).collect()
     seqs = list(shards.read_slots(path, 0, 10**9))
     assert len(seqs) == len(place) == shards.read_manifest(path).sequences
     t = Tokenizer.from_file(BPE)
@@ -354,3 +353,12 @@ def test_license_windows(spark):
     x = next(x for x in out if x.doc_id == 0)
     start = len(rows[0][1].split()[: x.spans[0]["first"]])
     assert rows[0][1].split()[start : x.spans[0]["last"]] == " ".join(grant).upper().split()
+
+
+def test_languages_in_several_passes(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, words(rng, 80, 300) if i % 7 else None, "a", ["en", "de", None][i % 3]) for i in range(40)] + [(99, "", "a", "xx")]
+    df = table(spark, rows)
+    once = sorted(map(tuple, perplexity.quality(df).collect()))
+    monkeypatch.setattr(perplexity, "GRAMS_AT_ONCE", 1)
+    assert sorted(map(tuple, perplexity.quality(df).collect())) == once and len(once) == 41

@@ -11,7 +11,7 @@ from sparsonde.llm.queries import TOKENIZERS
 
 from .conftest import table
 
-MODEL, BPE = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+MODEL, BPE = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def bench(spark, rows=((1, "the quick brown fox jumps over the lazy dog again and again"),)):
