@@ -284,9 +284,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = store.written(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "neardup-classes")
     of_doc = full.select("doc_id", "h1", "h2", "n_shingles").join(classes.drop("sig"), ["h1", "h2", "n_shingles"]).select("doc_id", "node")
-    keys = store.written(_keys(classes), "neardup-keys")
+    keys_at = store.new_path(docs.sparkSession, "neardup-keys")
+    keys = store.written(_keys(classes), "neardup-keys", keys_at)
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     buckets = store.written(keys.join(shared, "key"), "neardup-buckets")
+    store.delete(docs.sparkSession, keys_at)
 
     involved = buckets.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(involved, "node")
