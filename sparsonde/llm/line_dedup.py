@@ -1,13 +1,14 @@
 """Line deduplication by a deletion-neighbourhood join. DataFrame functions only.
 
 Two lines of MIN_CHARS characters or more are near if they are within one edit (a character put in, left out or changed);
-shorter ones only if they are the same. Every candidate line gives the hashes of all its variants with one character left
-out, each with its place, and its own hash as the variant of longer lines: lines that share a key are within one edit,
-which Levenshtein's distance then confirms. A key's group holds at most one line for each character that can stand at its
-place, so groups are bounded. Of near lines the earliest stays, by doc_id and line.
-
-A line is a candidate only if another shares its first or its last part, at least a quarter of it: one edit leaves either
-whole. The parts' sizes are powers of two, and lines one character apart share one.
+shorter ones only if they are the same. A candidate gives the hashes of its variants with one character left out, each with
+its place, and its own hash as the variant of longer lines: lines that share a key are within one edit, which Levenshtein's
+distance then confirms. A key's group holds at most one line for each character that can stand at its place, so groups are
+bounded. Of near lines the earliest stays, by doc_id and line.
+
+Variants are made only where they can meet another's. A line is a candidate if another shares its first or its last half: one
+edit leaves either whole (each line is cut as the longer and as the shorter of two). And a character is left out only in
+stretches of STRETCH characters beside which another line is the same.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from . import store
 
 MIN_CHARS = 16
+STRETCH = 16
+#: Bits of the filter that keeps other lines' texts out of the shuffle: at most 8 MB, whatever the number of candidates.
+FILTER_BITS = 1 << 26
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -31,16 +35,32 @@ def _part_keys() -> Column:
     """Hashes of a line's ends, of the sizes that it shares with lines as long or one character shorter or longer."""
     keys = []
     for less in (1, 2):
-        size = f"shiftleft(1, cast(floor(log2((n - {less}) / 2.0D)) as int))"
+        size = f"cast((n - {less}) div 2 as int)"
         keys += [F.expr(f"xxhash64('first', {size}, left(line, {size}))"), F.expr(f"xxhash64('last', {size}, right(line, {size}))")]
     return F.array_distinct(F.array(*keys))
 
 
+def _stretch_keys() -> Column:
+    """(i, key) of each stretch: all before place i and all behind the stretch, hashed; behind it as the longer and as the shorter of two lines."""
+    behind = lambda less: f"greatest(0, n - i - {less})"
+    key = lambda less: f"struct(i, xxhash64(i, {behind(less)}, left(line, i), right(line, {behind(less)})) AS key)"
+    return F.expr(f"flatten(transform(sequence(0, n, {STRETCH}), i -> array({key(STRETCH)}, {key(STRETCH - 1)})))")
+
+
 def _variant_keys() -> Column:
-    """Keys of a line: (length, place, rest) with the lowest bit 0 for a changed character, the bare rest with 1 for one left out, and its own hash with 1."""
-    rest = "concat(left(line, i - 1), substring(line, i + 1))"
-    return F.expr(f"""flatten(transform(sequence(0, n), i -> if(i = 0, array(xxhash64(line) | 1L),
-        array(xxhash64(n, i, {rest}) & -2L, xxhash64({rest}) | 1L))))""")
+    """Keys of a line with a character left out in the stretch at i: (length, place, rest) with the lowest bit 0 for a changed character, the bare rest with 1 for one left out; and its own hash with 1."""
+    rest = "concat(left(line, p - 1), substring(line, p + 1))"
+    return F.expr(f"""flatten(array(array(xxhash64(line) | 1L), flatten(transform(filter(sequence(i + 1, i + {STRETCH}), p -> p <= n), p ->
+        array(xxhash64(n, p, {rest}) & -2L, xxhash64({rest}) | 1L)))))""")
+
+
+def _mostly(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """``lines`` whose lid may be among ``some``'s: a bitmap of hashed lids, sent to all tasks; a few others come through as well."""
+    place = F.pmod("lid", F.lit(FILTER_BITS)) + 1
+    bits = some.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    rows = lines.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place)).join(F.broadcast(bits), "bucket")
+    on = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return rows.filter(on).select(*lines.columns)
 
 
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -52,8 +72,12 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keys = store.written(keys, "line-keys")
     shared = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).filter("a < b").select("key")
     some = store.written(keys.join(shared, "key").select("lid").distinct(), "line-candidates")
-    texts = store.written(long.join(some, "lid", "left_semi").dropDuplicates(["lid"]), "line-texts")
-    variants = texts.select("lid", F.explode(_variant_keys()).alias("key")).withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1").select("key", "lid")
+    # An inner join (lids in ``some`` are distinct): a semi-join would be pushed below the filter.
+    texts = store.written(_mostly(long, some).join(some, "lid").dropDuplicates(["lid"]), "line-texts")
+    stretches = store.written(texts.select("lid", F.inline(_stretch_keys())).distinct(), "line-stretches")
+    twice = stretches.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).filter("a < b").select("key")
+    places = stretches.join(twice, "key").select("lid", "i").distinct()
+    variants = texts.join(places, "lid").select("lid", F.explode(_variant_keys()).alias("key")).distinct().withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1").select("key", "lid")
     met = store.written(variants, "line-variants").join(texts.select("lid", "n"), "lid").join(first, "lid")
     by_key = met.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("first").alias("any"), F.min_by("first", F.struct("n", "first")).alias("short"))
     met = met.join(by_key, "key")
