@@ -1,9 +1,11 @@
 """Quality rules by n-gram perplexity.
 
+The language model is one of word pairs (``wordmodel``), which grows with the corpus. Beside it stands a model of spelling:
 Spark counts the 4-grams of byte classes of every text, per language; from them comes an interpolated modified
 Kneser-Ney model per language, stored as a sorted array of grams with their log-probabilities. A document's
-perplexity per word and per byte is compared with its language's bands: median +- WIDTH robust deviations over all
-documents of the language, wider for texts of under LONG words, whose perplexities scatter more.
+perplexity per word by the language model, and per word and per byte by spelling, are compared with its language's bands:
+median +- WIDTH robust deviations over all documents of the language, wider for texts of under LONG words, whose
+perplexities scatter more. Only above its band is the language model's a fault: copies of other texts are below it.
 
 A byte class has 6 bits, so a language's model has at most 2**24 grams whatever the size of the corpus: that bounds what
 is broadcast. Languages are packed into groups of at most GRAMS_AT_ONCE grams, each with its own broadcast and pass.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, wordmodel
 from .textblock import SPACE, U, Words, blocks, mix, span_hashes, window_hashes
 
 ORDER, BITS = 4, 6
@@ -229,19 +231,20 @@ def features(w: Words) -> dict[str, np.ndarray]:
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+UNITS = ("by_word", "by_spelling", "by_byte")
 
 
 def _scored(docs: DataFrame, models: dict) -> DataFrame:
-    """doc_id, lang, the counts and the log-perplexities (null for a text without words) of each row."""
+    """doc_id, lang, the counts and the log-perplexities (null for a text without words) of each row; ``docs`` has word_lp."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs, word_lp = batch.column("lang").to_pylist(), batch.column("word_lp").to_numpy(zero_copy_only=False)
             names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             own = np.array([names[x] for x in langs], np.int64)
-            cols: dict[str, list[np.ndarray]] = {c: [] for c in (*COLUMNS, "by_word", "by_byte")}
+            cols: dict[str, list[np.ndarray]] = {c: [] for c in (*COLUMNS, *UNITS)}
             for w in blocks(batch.column("text")):
                 for c, v in features(w).items():
                     cols[c].append(v)
@@ -258,21 +261,24 @@ def _scored(docs: DataFrame, models: dict) -> DataFrame:
                     gram, times = _run_lengths(((part >> U(20)) & U(0xFFFFFF)).astype(np.uint32))
                     lp = look_up(known[name], gram)
                     total += np.bincount((part & U(0xFFFFF)).astype(np.int64), weights=np.repeat(lp, times), minlength=w.rows)
-                for c, size in (("by_word", w.counts()), ("by_byte", np.diff(w.ends))):
-                    cols[c].append(np.where(w.counts() > 0, -total / np.maximum(size, 1), np.nan))
+                by = word_lp[w.first : w.first + w.rows]
+                for c, lp, size in (("by_word", by, w.counts()), ("by_spelling", total, w.counts()), ("by_byte", total, np.diff(w.ends))):
+                    cols[c].append(np.where(w.counts() > 0, -lp / np.maximum(size, 1), np.nan))
             joined = {c: np.concatenate(v) if v else np.zeros(0) for c, v in cols.items()}
-            arrays = [batch.column("doc_id"), batch.column("lang"), *[pa.array(joined[c].astype(np.int64)) for c in COLUMNS], *[pa.array(np.round(joined[c], 6), from_pandas=True) for c in ("by_word", "by_byte")]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *COLUMNS, "by_word", "by_byte"])
+            arrays = [batch.column("doc_id"), batch.column("lang"), *[pa.array(joined[c].astype(np.int64)) for c in COLUMNS], *[pa.array(np.round(joined[c], 6), from_pandas=True) for c in UNITS]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *COLUMNS, *UNITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", by_word double, by_byte double")
+    return docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + "".join(f", {c} double" for c in UNITS))
 
 
 def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
-    """doc_id, the counts, base_failed, the perplexities per word and per byte, their bands and kept of every row of ``docs``.
+    """doc_id, the counts, base_failed, the perplexities, their bands and kept of every row of ``docs``.
+
+    word_perplexity is the language model's per word, spelling_perplexity and byte_perplexity are those of spelling per word and byte.
 
     A null text counts as empty: no words, base_failed, null perplexity. A null language is a language of its own. kept: not
-    base_failed and both perplexities within their bands. A band is exp(median -+ max(width * 1.4826 * MAD, least) *
+    base_failed, word_perplexity not above its band and the others within theirs. A band is exp(median -+ max(width * 1.4826 * MAD, least) *
     sqrt(max(1, LONG / n_words))) of the log-perplexities of the language's documents that don't fail the base rules, from a
     histogram of 0.001 nats of all of them.
     """
@@ -287,6 +293,9 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
             room = GRAMS_AT_ONCE
         groups[-1].append(name)
         room -= size
+    own = wordmodel.with_word_scores(own)
+    if len(groups) > 1:
+        own = store.written(own, "lm-words")
     found = None
     for names in groups:
         rows = counts.filter(F.col("lang").isin(names)) if len(groups) > 1 else counts
@@ -303,19 +312,21 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
         found = found.union(_scored(own.filter(~F.col("lang").isin(known)), {}))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     scored = store.written(found.withColumn("base_failed", failed), "lm-scores")
-    good = scored.filter("not base_failed and by_word is not null").select("lang", F.explode(F.map_from_arrays(F.array(F.lit("by_word"), F.lit("by_byte")), F.array("by_word", "by_byte"))).alias("unit", "lp"))
+    good = scored.filter("not base_failed and by_word is not null").select("lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, UNITS)), F.array(*UNITS))).alias("unit", "lp"))
     hist = good.groupBy("lang", "unit", F.round(F.col("lp") / BIN).cast("long").alias("bin")).count()
     mid = hist.groupBy("lang", "unit").agg(F.expr("percentile(bin, 0.5, count)").alias("mid"))
     off = hist.join(mid, ["lang", "unit"]).withColumn("off", F.abs(F.col("bin") - F.col("mid")))
     spread = off.groupBy("lang", "unit", "mid").agg(F.expr("percentile(off, 0.5, count)").alias("mad"))
     half = F.greatest(F.col("mad") * BIN * 1.4826 * width, F.lit(least))
     per = F.struct((F.col("mid") * BIN).alias("mid"), half.alias("half"))
-    band = spread.groupBy("lang").agg(*[F.max(F.when(F.col("unit") == u, per)).alias(f"{u}_band") for u in ("by_word", "by_byte")])
+    band = spread.groupBy("lang").agg(*[F.max(F.when(F.col("unit") == u, per)).alias(f"{u}_band") for u in UNITS])
     out = scored.join(band, "lang", "left")
     wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(LONG)) / F.greatest("n_words", F.lit(1))))
-    inside = [F.coalesce(F.abs(F.col(u) - F.col(f"{u}_band.mid")) <= F.col(f"{u}_band.half") * wider, F.lit(False)) for u in ("by_word", "by_byte")]
-    edges = [F.exp(F.col(f"{u}_band.mid") + s * F.col(f"{u}_band.half") * wider).alias(f"{n}_{u[3:]}") for u in ("by_word", "by_byte") for s, n in ((-1, "low"), (1, "high"))]
-    return out.select("doc_id", *COLUMNS, "base_failed", F.exp("by_word").alias("word_perplexity"), F.exp("by_byte").alias("byte_perplexity"), *[F.when(F.col("n_words") > 0, e).alias(n) for e, n in zip(edges, ("low_word", "high_word", "low_byte", "high_byte"), strict=True)], (~F.col("base_failed") & inside[0] & inside[1]).alias("kept"))
+    off = [F.col(u) - F.col(f"{u}_band.mid") for u in UNITS]
+    inside = [F.coalesce((x if u == "by_word" else F.abs(x)) <= F.col(f"{u}_band.half") * wider, F.lit(False)) for u, x in zip(UNITS, off, strict=True)]
+    edge = lambda u, s: F.when(F.col("n_words") > 0, F.exp(F.col(f"{u}_band.mid") + s * F.col(f"{u}_band.half") * wider))
+    edges = [edge(u, s).alias(f"{n}_{u[3:]}") for u in UNITS for s, n in ((-1, "low"), (1, "high"))]
+    return out.select("doc_id", *COLUMNS, "base_failed", *[F.exp(u).alias(f"{u[3:]}_perplexity") for u in UNITS], *edges, (~F.col("base_failed") & inside[0] & inside[1] & inside[2]).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
