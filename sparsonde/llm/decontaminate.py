@@ -3,7 +3,8 @@
 Texts are cut into passages of two blocks of BLOCK_WORDS words, a block apart. Passages and benchmark pieces are TF-IDF vectors
 over the benchmark's words; a randomised singular value decomposition, one distributed pass over all passages, gives the
 latent space: with M the passages' cross products and W random, Z = M W is summed over the tasks and the Nystroem formula makes
-singular vectors of it. Passages whose cosine with a piece is COSINE or more are its candidates. A candidate is a leak if the
+singular vectors of it. Passages whose cosine with a piece is COSINE or more are its candidates, and so are those that share
+a run of RUN words with it: words of frequent leaks weigh little, and short pieces are little of a passage. A candidate is a leak if the
 longest common subsequence of words holds a share LCS of the piece, or a share PARAPHRASE and the piece's answer (its last
 words) as well.
 
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from . import store
 from .licenses import bare_hashes
-from .textblock import Words, blocks
+from .textblock import Words, blocks, same_doc, window_hashes
 
-BLOCK_WORDS, ITEMS, RANK, SPARE = 64, 512, 128, 8
-COSINE, LCS, PARAPHRASE = 0.45, 0.7, 0.5
+BLOCK_WORDS, ITEMS, RANK, SPARE = 64, 512, 256, 8
+COSINE, LCS, PARAPHRASE = 0.3, 0.7, 0.5
 ANSWER_WORDS, ANSWER = 8, 0.75
 #: Words in more than this share of blocks aren't features, but each piece keeps its rarest LEAST.
-MAX_DF, LEAST = 0.02, 8
+MAX_DF, LEAST = 0.05, 8
+#: Passages that share a run of so many words with a piece (the whole piece, if it is shorter) are its candidates whatever their cosine.
+RUN = 6
 
 
 @dataclass
@@ -197,6 +200,34 @@ def latent_basis(z: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray:
     return u[:, :rank][:, s[:rank] > 0]
 
 
+class Runs:
+    """The runs of RUN words of the pieces, and which pieces hold each."""
+
+    def __init__(self, pieces: list[Piece]) -> None:
+        self.known: dict[int, tuple[Vocabulary, list[list[int]]]] = {}
+        of: dict[int, dict[int, list[int]]] = {}
+        for i, p in enumerate(pieces):
+            n = min(RUN, len(p.words))
+            for g in np.unique(window_hashes(p.words, n)).tolist():
+                of.setdefault(n, {}).setdefault(g, []).append(i)
+        for n, found in of.items():
+            keys = sorted(found)
+            self.known[n] = Vocabulary(np.array(keys, np.uint64)), [found[g] for g in keys]
+
+    def find(self, w: Words, h: np.ndarray, block: np.ndarray, base: np.ndarray) -> set[tuple[int, int]]:
+        """(passage, piece) of all passages in which such a run begins."""
+        out = set()
+        for n, (known, pieces) in self.known.items():
+            place = known(window_hashes(h, n))
+            for k in np.flatnonzero((place >= 0) & same_doc(w, n)).tolist():
+                b = int(block[k])
+                for i in pieces[place[k]]:
+                    out.add((b, i))
+                    if b > base[w.doc[k]]:
+                        out.add((b - 1, i))
+        return out
+
+
 def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs: float, paraphrase: float, seed: int) -> DataFrame:
     """(doc_id, text hash th, item_id, lcs): the best leak of one benchmark block in each row that has one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -225,10 +256,10 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
     basis = latent_basis(z, random, rank).astype(np.float32)
     latent = own @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, basis, latent, pieces))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, basis, latent, pieces, Runs(pieces)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, basis, latent, pieces = shared.value
+        vocabulary, weight, basis, latent, pieces, runs = shared.value
         known, weighted = Vocabulary(vocabulary), basis * weight[:, None]
         least = [int(np.ceil(paraphrase * len(p.words))) for p in pieces]
         for batch in batches:
@@ -238,7 +269,10 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
                 block, base = _layout(w)
                 x, more = _projected(known(h), block, base, weighted)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                at, piece = np.nonzero(x @ latent.T >= cosine)
+                near = x @ latent.T >= cosine
+                if same := runs.find(w, h, block, base):
+                    near[tuple(np.array(list(same)).T)] = True
+                at, piece = np.nonzero(near)
                 if not len(at):
                     continue
                 row = np.searchsorted(base, at, "right") - 1
