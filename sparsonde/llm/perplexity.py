@@ -31,6 +31,8 @@ WIDTH, LEAST = 6.0, 0.02
 LONG = 200
 BIN = 1e-3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+#: Rows of a table of bands that is broadcast; a larger one is joined.
+BROADCAST_ROWS = 100_000
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -101,7 +103,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _language(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -232,19 +235,20 @@ def features(w: Words) -> dict[str, np.ndarray]:
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 UNITS = ("by_word", "by_spelling", "by_byte")
+SPELLING = UNITS[1:]
 
 
 def _scored(docs: DataFrame, models: dict) -> DataFrame:
-    """doc_id, lang, the counts and the log-perplexities (null for a text without words) of each row; ``docs`` has word_lp."""
+    """doc_id, th, lang, the counts and the log-perplexities by spelling (null for a text without words) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            langs, word_lp = batch.column("lang").to_pylist(), batch.column("word_lp").to_numpy(zero_copy_only=False)
+            langs = batch.column("lang").to_pylist()
             names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             own = np.array([names[x] for x in langs], np.int64)
-            cols: dict[str, list[np.ndarray]] = {c: [] for c in (*COLUMNS, *UNITS)}
+            cols: dict[str, list[np.ndarray]] = {c: [] for c in (*COLUMNS, *SPELLING)}
             for w in blocks(batch.column("text")):
                 for c, v in features(w).items():
                     cols[c].append(v)
@@ -261,15 +265,14 @@ def _scored(docs: DataFrame, models: dict) -> DataFrame:
                     gram, times = _run_lengths(((part >> U(20)) & U(0xFFFFFF)).astype(np.uint32))
                     lp = look_up(known[name], gram)
                     total += np.bincount((part & U(0xFFFFF)).astype(np.int64), weights=np.repeat(lp, times), minlength=w.rows)
-                by = word_lp[w.first : w.first + w.rows]
-                for c, lp, size in (("by_word", by, w.counts()), ("by_spelling", total, w.counts()), ("by_byte", total, np.diff(w.ends))):
-                    cols[c].append(np.where(w.counts() > 0, -lp / np.maximum(size, 1), np.nan))
+                for c, size in zip(SPELLING, (w.counts(), np.diff(w.ends)), strict=True):
+                    cols[c].append(np.where(w.counts() > 0, -total / np.maximum(size, 1), np.nan))
             joined = {c: np.concatenate(v) if v else np.zeros(0) for c, v in cols.items()}
-            arrays = [batch.column("doc_id"), batch.column("lang"), *[pa.array(joined[c].astype(np.int64)) for c in COLUMNS], *[pa.array(np.round(joined[c], 6), from_pandas=True) for c in UNITS]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *COLUMNS, *UNITS])
+            arrays = [batch.column("doc_id"), batch.column("th"), batch.column("lang"), *[pa.array(joined[c].astype(np.int64)) for c in COLUMNS], *[pa.array(np.round(joined[c], 6), from_pandas=True) for c in SPELLING]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "lang", *COLUMNS, *SPELLING])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + "".join(f", {c} double" for c in UNITS))
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + "".join(f", {c} double" for c in SPELLING))
 
 
 def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
@@ -293,9 +296,7 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
             room = GRAMS_AT_ONCE
         groups[-1].append(name)
         room -= size
-    own = wordmodel.with_word_scores(own)
-    if len(groups) > 1:
-        own = store.written(own, "lm-words")
+    words = wordmodel.word_scores(own).filter("word_lp <> 0").groupBy(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).agg(F.max("word_lp").alias("word_lp"))  # rows alike in both score alike
     found = None
     for names in groups:
         rows = counts.filter(F.col("lang").isin(names)) if len(groups) > 1 else counts
@@ -311,7 +312,9 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     if len(groups) > 1:  # languages without any text
         found = found.union(_scored(own.filter(~F.col("lang").isin(known)), {}))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    scored = store.written(found.withColumn("base_failed", failed), "lm-scores")
+    found = found.join(words, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")), "left").drop("d_", "t_", "th")
+    found = found.withColumn("by_word", F.when(F.col("n_words") > 0, F.round(-F.col("word_lp") / F.col("n_words"), 6)))
+    scored = store.written(found.withColumn("base_failed", failed), "lm-quality")
     good = scored.filter("not base_failed and by_word is not null").select("lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, UNITS)), F.array(*UNITS))).alias("unit", "lp"))
     hist = good.groupBy("lang", "unit", F.round(F.col("lp") / BIN).cast("long").alias("bin")).count()
     mid = hist.groupBy("lang", "unit").agg(F.expr("percentile(bin, 0.5, count)").alias("mid"))
@@ -319,8 +322,8 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     spread = off.groupBy("lang", "unit", "mid").agg(F.expr("percentile(off, 0.5, count)").alias("mad"))
     half = F.greatest(F.col("mad") * BIN * 1.4826 * width, F.lit(least))
     per = F.struct((F.col("mid") * BIN).alias("mid"), half.alias("half"))
-    band = spread.groupBy("lang").agg(*[F.max(F.when(F.col("unit") == u, per)).alias(f"{u}_band") for u in UNITS])
-    out = scored.join(band, "lang", "left")
+    band = store.written(spread.groupBy("lang").agg(*[F.max(F.when(F.col("unit") == u, per)).alias(f"{u}_band") for u in UNITS]), "lm-bands")
+    out = scored.join(F.broadcast(band) if band.count() <= BROADCAST_ROWS else band, "lang", "left")  # a row per language
     wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(LONG)) / F.greatest("n_words", F.lit(1))))
     off = [F.col(u) - F.col(f"{u}_band.mid") for u in UNITS]
     inside = [F.coalesce((x if u == "by_word" else F.abs(x)) <= F.col(f"{u}_band.half") * wider, F.lit(False)) for u, x in zip(UNITS, off, strict=True)]

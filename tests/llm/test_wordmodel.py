@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 from sparsonde.llm import perplexity, wordmodel
@@ -43,7 +44,7 @@ def test_word_scores(spark, monkeypatch):
     for piece, part in ((1 << 23, 1 << 24), (300, 500)):
         monkeypatch.setattr(wordmodel, "PIECE", piece)
         monkeypatch.setattr(wordmodel, "PART", part)
-        got = {x.doc_id: x.word_lp for x in wordmodel.with_word_scores(table(spark, rows).select("doc_id", "lang", "text")).collect()}
+        got = {x.doc_id: x.word_lp for x in wordmodel.word_scores(perplexity._language(table(spark, rows))).collect()}
         assert len(got) == len(rows) and got[200] == 0 and got[201] == pytest.approx(2 * math.log(1 / 3))
         assert [got[i] for i in range(len(texts))] == pytest.approx(expected) and [got[100 + i] for i in range(len(texts))] == pytest.approx(expected)
 
@@ -71,6 +72,17 @@ def test_model_grows_with_the_corpus(spark):
     rng = random.Random(3)
     sizes = []
     for n in (20, 200):
-        df = table(spark, [(i, words(rng, 100, 10**6), "a", "en") for i in range(n)]).select("text", "lang").selectExpr("0 as piece", "lang", "text")
-        sizes.append(sum(x.stats[4] for x in wordmodel._counted(df, 2).filter("kind = 2").collect()))
+        df = perplexity._language(table(spark, [(i, words(rng, 100, 10**6), "a", "en") for i in range(n)]))
+        state = wordmodel._pieces(df, "bigint")
+        counted = wordmodel._counted(state, 40, 2)
+        sizes.append(sum(x.stats[4] for x in wordmodel._continued(state, counted, 40, 2).filter("kind = 2").collect()))
     assert sizes[1] > 9 * sizes[0]
+
+
+def test_numbers_as_bytes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5000):
+        x = np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert np.array_equal(wordmodel._of_rising(wordmodel._rising(x)), x)
+        y = rng.integers(0, 1 << 40, n)
+        assert np.array_equal(wordmodel._of_small(wordmodel._small(y)), y)
