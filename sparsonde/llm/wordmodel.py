@@ -30,7 +30,7 @@ from . import store
 from .textblock import U, blocks, mix
 
 PIECE, PART = 1 << 24, 1 << 24
-WORD_BITS, SPARE = 48, 16
+WORD_BITS, SPARE = 48, 12
 #: Words of which the log-probabilities are worked out at a time.
 AT_ONCE = 300_000
 MOST_BUCKETS = 50_000
