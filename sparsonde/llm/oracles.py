@@ -23,8 +23,8 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, m.c = d.doc_
 OP8 = r"""WITH line AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 full_line AS (SELECT * FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 first AS (SELECT x, min((doc_id, pos)) AS f, length(x) AS n FROM full_line GROUP BY x),
-part AS (SELECT x, f, n, unnest([left(x, (n - 1) // 2), left(x, (n - 2) // 2), '>' || right(x, (n - 1) // 2), '>' || right(x, (n - 2) // 2)]) AS k FROM first WHERE n >= 16),
-near AS (SELECT DISTINCT a.x FROM part a JOIN part b ON a.k = b.k AND b.f < a.f AND abs(a.n - b.n) <= 1 AND levenshtein(a.x, b.x) <= 1),
+part AS (SELECT x, f, n, unnest([left(x, (n - 1) // 2), left(x, greatest(n - 2, 0) // 2), '>' || right(x, (n - 1) // 2), '>' || right(x, greatest(n - 2, 0) // 2)]) AS k FROM first),
+near AS (SELECT DISTINCT a.x FROM part a JOIN part b ON a.k = b.k AND b.f < a.f AND abs(a.n - b.n) <= 1 AND len(list_filter(range(greatest(a.n, b.n)), lambda p: left(a.x, p) = left(b.x, p) AND substr(a.x, p + 1 + (a.n >= b.n)::INT) = substr(b.x, p + 1 + (b.n >= a.n)::INT))) > 0),
 gone AS (SELECT doc_id, pos FROM full_line l JOIN first USING (x) WHERE (doc_id, pos) <> f OR x IN (SELECT x FROM near)),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS t FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, (SELECT count(*) FROM full_line f WHERE f.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)"""

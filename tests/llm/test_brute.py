@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -194,8 +195,11 @@ def test_components(spark, pairs):
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
-def test_lines(corpus):
-    rows, df = corpus
+def test_lines(spark, corpus):
+    rng = random.Random(12)
+    short = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 20))) for _ in range(60)]
+    rows = [*corpus[0], (9_000, "The cat sat on\nThe cat sat om\nThe cat sat", "a", "en"), *[(9_001 + i, "\n".join(short[i::6]), "a", "en") for i in range(6)]]
+    df = table(spark, rows)
     first, order = {}, {}
     for i, t, *_ in rows:
         for k, x in enumerate(t.split("\n")):
@@ -203,12 +207,13 @@ def test_lines(corpus):
                 first.setdefault(x, (i, k))
 
     def close(a, b):
-        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.MIN_CHARS:
+        if abs(len(a) - len(b)) > 1:
             return False
         p = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
 
     lines = list(first)
+    assert sum(len(x) < 16 for x in lines) > 20
     for a in lines:
         order[a] = any(first[b] < first[a] and close(a, b) for b in lines if b != a)
     assert any(order.values())
@@ -218,6 +223,14 @@ def test_lines(corpus):
         assert got[i].kept_text == "\n".join(kept)
 
 
+def test_a_document_of_many_equal_lines(spark):
+    df = table(spark, [(1, "\n".join(["the same line again"] * 300_000 + ["another"]), "a", "en"), (2, "the same line again", "a", "en")])
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in line_dedup.deduplicated(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_dropped == 299_999 and got[1].kept_text == "the same line again\nanother" and got[2].kept_text == ""
+
+
 @given(st.lists(st.text(alphabet="abcdeñé .\n中🙂▁", max_size=40), min_size=1, max_size=5))
 @settings(max_examples=40, deadline=None)
 def test_unigram_counts(batch):
