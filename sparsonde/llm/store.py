@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         there = spark.sparkContext.getCheckpointDir()
         if there is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparsonde-"))
             there = spark.sparkContext.getCheckpointDir()
         folder = there
@@ -54,8 +56,43 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, system = _system(spark, path)
+    system.delete(p, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what lies in a folder of any store; none if there is no such folder."""
+    p, system = _system(spark, folder)
+    return sorted(x.getPath().getName() for x in system.listStatus(p)) if system.exists(p) else []
+
+
+def read_bytes(spark: SparkSession, path: str, start: int = 0, size: int | None = None) -> bytes:
+    """``size`` bytes of a file of any store from ``start`` on; all of the rest if None."""
+    p, system = _system(spark, path)
+    if size is None:
+        size = system.getFileStatus(p).getLen() - start
+    stream = system.open(p)
+    try:
+        stream.seek(start)
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole or not at all: under another name, then renamed. There must be none of that name."""
+    p, system = _system(spark, path)
+    part, _ = _system(spark, f"{path}.{token()}.tmp")
+    stream = system.create(part)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if system.exists(p) or not system.rename(part, p):
+        system.delete(part, False)
+        raise FileExistsError(path)

@@ -1,15 +1,22 @@
 """Substring deduplication over a log-structured index of window hashes.
 
 Each window of 35 words is represented in the index by its smallest 18-word hash, so about a tenth of all word positions
-is indexed and equal windows always have an equal entry. A batch's entries are written as a run: an immutable Parquet
-table sorted by hash. New batches are merge-joined with the runs by hash; compaction merges runs into one. What an index
-lookup finds is verified on hashes of the whole 35-word windows, which are compared only within their index entry. An index
-that keeps windows has runs of those as well, so that later batches are verified against batches whose texts are gone.
+is indexed and equal windows always have an equal entry. A batch's entries are written as a run: an immutable table, bucketed
+and sorted by hash. A new batch's run is merge-joined with each run of the index, which moves no history, and then becomes one
+of them; when runs pile up, they are merged into one. The index is a folder: a numbered manifest, committed by a rename, lists
+its runs, so what a lost driver had written but not committed is not part of it, and another session can go on with it.
+
+What a lookup finds is verified on hashes of the whole 35-word windows, which are compared only within their index entry. The
+index keeps those of its batches as well (32 bits each, within a 64-bit entry), so that later batches are verified against batches
+whose texts are gone. An entry with many texts is verified in groups dealt by text: a window that is in a group twice is decided
+there, and what is in each group once at most goes on to groups dealt by window. So no group grows with one entry or window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +29,10 @@ from . import store
 from .textblock import SPACE, U, Words, blocks, same_doc, window_hashes
 
 WINDOW, GRAM = 35, 18
-#: An entry with more texts than this is verified in several groups, dealt by the windows' hashes.
-GROUP = 4096
+#: An entry with more texts than this is verified in several groups.
+GROUP = 1024
+#: Runs of an index before they are merged, buckets of a run at least, and the bytes of text of the first batch for each bucket.
+RUNS, BUCKETS, BUCKET_BYTES = 4, 16, 1 << 26
 
 
 def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -77,47 +86,107 @@ def _entry_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of window hashes in a folder; ``runs`` are their paths, oldest first, and ``window_runs`` those of whole windows if they are kept."""
+    """An index in a folder of the shared store. Opened on a folder that holds one, it goes on with it.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, keep_windows: bool = False) -> None:
-        self.spark, self.window, self.gram, self.keep_windows = spark, window, gram, keep_windows
-        self.path = path or store.new_path(spark, "fingerprints")
-        self.runs: list[str] = []
-        self.window_runs: list[str] = []
+    ``runs`` are the paths of its runs of entries (fp, n), oldest first, ``window_runs`` those of whole windows (fp, hashes).
+    ``keep_windows=False`` saves those; then only batches of one call are verified against each other.
+    """
 
-    def _write(self, rows: DataFrame, name: str = "run") -> str:
-        path = f"{self.path}/{name}-{store.token()}"
-        rows.sortWithinPartitions("fp").write.option("compression", "zstd").parquet(path)
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, keep_windows: bool = True) -> None:
+        self.spark, self.keep_windows = spark, keep_windows
+        self.path = path or store.new_path(spark, "fingerprints")
+        self.state = {"version": 0, "window": window, "gram": gram, "buckets": None, "runs": [], "window_runs": []}
+        found = [int(n.removeprefix("manifest-")) for n in store.names(spark, self.path) if n.startswith("manifest-") and not n.endswith(".tmp")]
+        if found:
+            self.state = json.loads(store.read_bytes(spark, f"{self.path}/manifest-{max(found)}"))
+        if (self.window, self.gram) != (window, gram):
+            raise ValueError(f"the index in {self.path} has windows of {self.window} and grams of {self.gram} words")
+
+    window, gram, buckets, runs, window_runs = (property(lambda self, k=k: self.state[k]) for k in ("window", "gram", "buckets", "runs", "window_runs"))
+
+    def _commit(self, **changed) -> None:
+        """The index as it is from now on."""
+        state = {**self.state, **changed, "version": self.state["version"] + 1}
+        store.commit(self.spark, f"{self.path}/manifest-{state['version']}", json.dumps(state))
+        self.state = state
+
+    def _write(self, rows: DataFrame) -> str:
+        """A run, in a folder of its own; it isn't part of the index before it is committed."""
+        path = f"{self.path}/run-{store.token()}"
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        rows.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         store.release()
         return path
 
+    def _run(self, path: str) -> DataFrame:
+        """A run as a bucketed table, whichever session wrote it."""
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _drop(self, paths: list[str]) -> None:
+        for path in paths:
+            self.spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1].replace('-', '_')}")
+            store.delete(self.spark, path)
+
     def read(self) -> DataFrame:
         """(fp, n) of all runs."""
-        return self.spark.read.schema("fp long, n long").parquet(*self.runs) if self.runs else self.spark.createDataFrame([], "fp long, n long")
+        out = self.spark.createDataFrame([], "fp long, n long")
+        for path in self.runs:
+            out = out.union(self._run(path))
+        return out
+
+    def _found(self, run: str) -> DataFrame:
+        """(fp, seen): the entries of a run that it holds twice or that the index holds; how often at least, together."""
+        own = self._run(run)
+        out = own.filter("n > 1").select("fp", F.col("n").alias("seen"))
+        for path in self.runs:
+            if path != run:
+                out = out.union(own.join(self._run(path).withColumnRenamed("n", "before"), "fp").select("fp", (F.col("n") + F.col("before")).alias("seen")))
+        return out.groupBy("fp").agg(F.max("seen").alias("seen"))
 
-    def add(self, docs: DataFrame) -> None:
-        """Appends the batch ``docs`` (doc_id, text) as one run."""
+    def lookup(self, docs: DataFrame) -> DataFrame:
+        """(fp, seen): the entries of the batch ``docs`` (doc_id, text) that it or the index holds again. The index stays as it is."""
+        self._size_for(docs)
+        run = self._write(_entry_rows(_text_hashes(docs), self.window, self.gram).groupBy("fp").agg(F.sum("n").alias("n")))
+        found = store.written(self._found(run), "substr-lookup")
+        self._drop([run])
+        return found
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Looks the batch ``docs`` (doc_id, text) up and appends its run; returns what lookup() gives, as a written table."""
+        self._size_for(docs)
         texts = _text_hashes(docs)
-        rows = _entry_rows(texts, self.window, self.gram)
-        self.runs.append(self._write(rows.groupBy("fp").agg(F.sum("n").alias("n"))))
+        run = self._write(_entry_rows(texts, self.window, self.gram).groupBy("fp").agg(F.sum("n").alias("n")))
+        found = store.written(self._found(run), "substr-lookup")
+        windows = list(self.window_runs)
         if self.keep_windows:
-            self.window_runs.append(self._write(_all_windows(texts, self.window, self.gram).repartition("fp"), "windows"))
-
-    def lookup(self, docs: DataFrame) -> DataFrame:
-        """(fp, h1, h2, n, seen): the entries of the batch's texts that the index holds, with the index's count."""
-        rows = _entry_rows(_text_hashes(docs), self.window, self.gram)
-        return rows.join(self.read().groupBy("fp").agg(F.sum("n").alias("seen")), "fp")
+            windows.append(f"{self.path}/windows-{store.token()}")
+            _all_windows(texts, self.window, self.gram).sortWithinPartitions("fp").write.option("compression", "uncompressed").parquet(windows[-1])
+        self._commit(runs=[*self.runs, run], window_runs=windows)
+        if len(self.runs) > RUNS:
+            self.compact()
+        return found
+
+    def _size_for(self, docs: DataFrame) -> None:
+        if self.buckets is None:
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            self.state["buckets"] = max(BUCKETS, -(-size // BUCKET_BYTES))
 
     def compact(self) -> None:
-        """Merges all runs into one and deletes them."""
+        """Merges the runs into one and deletes them."""
         if len(self.runs) > 1:
             old, merged = self.runs, self._write(self.read().groupBy("fp").agg(F.sum("n").alias("n")))
-            self.runs = [merged]
-            if self.window_runs:
-                old, kept = [*old, *self.window_runs], self.spark.read.parquet(*self.window_runs)
-                self.window_runs = [self._write(kept.repartition("fp"), "windows")]
-            for path in old:
-                store.delete(self.spark, path)
+            self._commit(runs=[merged])
+            self._drop(old)
+
+    def windows(self) -> DataFrame | None:
+        """(fp, hashes): the windows of all batches, 32 bits each; None if there are none."""
+        return self.spark.read.schema("fp long, hashes binary").parquet(*self.window_runs) if self.window_runs else None
+
+
+def _short(whole: np.ndarray) -> np.ndarray:
+    return (whole >> U(32)).astype(np.uint32)
 
 
 def _all_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -130,31 +199,33 @@ def _all_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 at = np.flatnonzero(low)
                 if len(at):
                     cut = np.flatnonzero(np.r_[True, (low[at][1:] != low[at][:-1]) | (np.diff(at) > 1)])
-                    pieces = [whole[at[a:b]].tobytes() for a, b in zip(cut, [*cut[1:], len(at)], strict=True)]
+                    pieces = [_short(whole[at[a:b]]).tobytes() for a, b in zip(cut, [*cut[1:], len(at)], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(low[at[cut]].view(np.int64)), pa.array(pieces, pa.binary())], ["fp", "hashes"])
 
     return texts.select("text").mapInArrow(run, "fp long, hashes binary")
 
 
+GROUPED = "fp long, part int, parts int, h1 long, h2 long, starts binary, hashes binary"
+
+
+def _grouped(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    cols = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in GROUPED.split(", ")])
+
+
 def _earlier_groups(rows: DataFrame) -> DataFrame:
     """Windows of earlier batches (fp, hashes, seen) as rows for _repeated, without a text of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, parts, starts, hashes = [], [], [], []
-            for fp, raw, seen in zip(batch.column("fp").to_pylist(), batch.column("hashes").to_pylist(), batch.column("seen").to_pylist(), strict=True):
-                h = np.frombuffer(raw, U)
-                part = (h % U(max(seen // GROUP, 1))).astype(np.int64)
-                for k in np.unique(part).tolist():
-                    own = h[part == k]
-                    fps.append(fp)
-                    parts.append(k)
-                    starts.append(bytes(4 * len(own)))
-                    hashes.append(own.tobytes())
-            none = pa.nulls(len(fps), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(parts, pa.int32()), none, none, pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())], ["fp", "part", "h1", "h2", "starts", "hashes"])
-
-    return rows.select("fp", "hashes", "seen").mapInArrow(run, "fp long, part int, h1 long, h2 long, starts binary, hashes binary")
+            out = []
+            for fp, raw, seen in zip(*[batch.column(c).to_pylist() for c in ("fp", "hashes", "seen")], strict=True):
+                groups = max(-(-seen // GROUP), 1)
+                out.append((fp, zlib.crc32(raw) % groups, groups, None, None, bytes(len(raw)), raw))
+            yield _grouped(out)
+
+    return rows.select("fp", "hashes", "seen").mapInArrow(run, GROUPED)
 
 
 def _digests(w: Words, gone: np.ndarray) -> list[str]:
@@ -205,7 +276,7 @@ def _first_pass(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame
 
 
 def _window_groups(pending: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, part, h1, h2, starts, hashes): the windows of each text by index entry; those of a large entry dealt into parts by their hash."""
+    """(fp, part, parts, h1, h2, starts, hashes): the windows of each text by index entry; those of a large entry are dealt into parts by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +285,7 @@ def _window_groups(pending: DataFrame, window: int, gram: int) -> DataFrame:
             known, seen = lists.values.field("fp").to_numpy().view(U), lists.values.field("seen").to_numpy()
             for w in blocks(batch.column("text")):
                 low, whole, _, _ = entries(w, window, gram)
-                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                out = []
                 for r in range(w.rows):
                     a, b = w.at[r], w.at[r + 1] - window + 1
                     if b <= a:
@@ -226,39 +297,21 @@ def _window_groups(pending: DataFrame, window: int, gram: int) -> DataFrame:
                     pick = np.flatnonzero(k[at] == low[a:b])
                     if not len(pick):
                         continue
-                    part = (whole[a:b][pick] % np.maximum(many[at[pick]] // GROUP, 1).astype(U)).astype(np.int64)
+                    pick = pick[np.argsort(low[a:b][pick], kind="stable")]
                     fp = low[a:b][pick]
-                    order = np.lexsort((part, fp))
-                    fp, part, pick = fp[order], part[order], pick[order]
-                    cut = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (part[1:] != part[:-1])])
+                    cut = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
+                    one, two = int(h1[w.first + r]), int(h2[w.first + r])
                     for x, y in zip(cut, [*cut[1:], len(fp)], strict=True):
-                        for c, v in zip(cols, (fp[x], part[x], h1[w.first + r], h2[w.first + r], pick[x:y].astype(np.int32).tobytes(), whole[a:b][pick[x:y]].tobytes()), strict=True):
-                            c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], U).view(np.int64)), pa.array(np.array(cols[1], np.int32)), pa.array(np.array(cols[2], np.int64)), pa.array(np.array(cols[3], np.int64)), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["fp", "part", "h1", "h2", "starts", "hashes"])
-
-    return pending.select("h1", "h2", "text", "fps").mapInArrow(run, "fp long, part int, h1 long, h2 long, starts binary, hashes binary")
+                        groups = max(-(-int(many[at[pick[x]]]) // GROUP), 1)
+                        out.append((int(fp[x : x + 1].view(np.int64)[0]), (one ^ two) % groups, groups, one, two, pick[x:y].astype(np.int32).tobytes(), _short(whole[a:b][pick[x:y]]).tobytes()))
+                if out:
+                    yield _grouped(out)
 
+    return pending.select("h1", "h2", "text", "fps").mapInArrow(run, GROUPED)
 
-def _repeated(groups: DataFrame) -> DataFrame:
-    """(h1, h2, starts): the windows whose hash occurs twice or more within their group."""
 
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        lists = table["hashes"].to_pylist()
-        size = np.fromiter((len(x) // 8 for x in lists), np.int64, len(lists))
-        h = np.frombuffer(b"".join(lists), U)
-        starts = np.frombuffer(b"".join(table["starts"].to_pylist()), np.int32)
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        again = times[back] > 1
-        row = np.repeat(np.arange(len(lists)), size)[again]
-        if len(row):
-            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            s = starts[again]
-            pieces = [s[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(row)], strict=True)]
-            keep = pa.array(row[cut])
-            out = pa.RecordBatch.from_arrays([table["h1"].chunk(0).take(keep), table["h2"].chunk(0).take(keep), pa.array(pieces, pa.binary())], ["h1", "h2", "starts"])
-            yield out.filter(out.column("h1").is_valid())
+def _by_group(groups: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (fp, part) or several of them, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -271,12 +324,61 @@ def _repeated(groups: DataFrame) -> DataFrame:
                 held.append(batch)
                 continue
             if held or split:
-                yield from found(pa.Table.from_batches([*held, batch.slice(0, split)]))
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, split)]).combine_chunks())
             held = [batch.slice(split)]
         if held:
-            yield from found(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return groups.repartition("fp", "part").sortWithinPartitions("fp", "part").mapInArrow(run, schema)
+
 
-    return groups.repartition("fp", "part").sortWithinPartitions("fp", "part").mapInArrow(run, "h1 long, h2 long, starts binary")
+def _repeated(groups: DataFrame) -> DataFrame:
+    """(h1, h2, starts): the windows whose hash occurs twice or more in their entry.
+
+    First in groups dealt by text; of large entries, windows that are in their group once go on to groups dealt by window.
+    """
+
+    def compared(table: pa.Table, go_on: bool) -> Iterator[pa.RecordBatch]:
+        lists = table["hashes"].to_pylist()
+        size = np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
+        h = np.frombuffer(b"".join(lists), np.uint32)
+        starts = np.frombuffer(b"".join(table["starts"].to_pylist()), np.int32)
+        row = np.repeat(np.arange(len(lists)), size)
+        fp, part = table["fp"].to_numpy(), table["part"].to_numpy()
+        group = np.cumsum(np.r_[False, (fp[1:] != fp[:-1]) | (part[1:] != part[:-1])])
+        _, back, times = np.unique(group[row].astype(U) << U(32) | h.astype(U), return_inverse=True, return_counts=True)
+        again = times[back] > 1
+        groups, h1, h2 = table["parts"].to_numpy()[row], table["h1"].to_pylist(), table["h2"].to_pylist()
+        ask = (groups > 1) & go_on
+        parts = np.where(ask, h.astype(np.int64) % groups, 0)
+        use = np.flatnonzero(again | ask)
+        # One window that is repeated goes on for its group, so that it meets those that are alone in theirs.
+        if go_on:
+            _, first = np.unique(back, return_index=True)
+            lead = np.zeros(len(row), bool)
+            lead[first] = True
+            more = np.flatnonzero(again & ask & lead)
+        else:
+            more = np.zeros(0, np.int64)
+        out = []
+        key = np.stack([row, again, np.where(again, 0, parts)])
+        use = use[np.lexsort(key[::-1, use])]
+        cut = np.flatnonzero(np.r_[True, (key[:, use][:, 1:] != key[:, use][:, :-1]).any(axis=0)]) if len(use) else np.zeros(0, np.int64)
+        for x, y in zip(cut, np.r_[cut[1:], len(use)][: len(cut)], strict=True):
+            at = use[x:y]
+            r = int(row[at[0]])
+            if again[at[0]]:
+                if h1[r] is not None:
+                    out.append((None, None, 1, h1[r], h2[r], starts[at].tobytes(), None))
+            else:
+                out.append((int(fp[r]), int(parts[at[0]]), 1, h1[r], h2[r], starts[at].tobytes(), h[at].tobytes()))
+        out += [(int(fp[row[k]]), int(parts[k]), 1, None, None, bytes(4), h[k : k + 1].tobytes()) for k in more]
+        if out:
+            yield _grouped(out)
+
+    first = store.written(_by_group(groups, lambda t: compared(t, True), GROUPED), "substr-compared")
+    second = _by_group(first.filter("fp is not null"), lambda t: compared(t, False), GROUPED)
+    return first.filter("fp is null").union(second).select("h1", "h2", "starts")
 
 
 def _last_pass(rows: DataFrame, kind: str, window: int) -> DataFrame:
@@ -298,20 +400,23 @@ def _last_pass(rows: DataFrame, kind: str, window: int) -> DataFrame:
 def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``: the words covered by a window that also starts elsewhere are removed.
 
-    The rows are added to ``index`` (a new one if None) in ``batches`` batches, dealt by their text's hash, and it is compacted.
-    If the index keeps windows, those of its earlier batches count as elsewhere; otherwise only this call's. Null, empty and
-    short texts have no window and stay whole. Rows alike in text are copies of each other.
+    The rows go through ``index`` (a new one if None) in ``batches`` batches, dealt by their text's hash: each is looked up, then
+    appended. What the lookups found is verified, and the runs are merged. Windows of the index's earlier batches count as
+    elsewhere if it keeps windows. Null, empty and short texts have no window and stay whole. Rows alike in text are copies
+    of each other.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
-    earlier = store.written(spark.read.parquet(*index.window_runs), "substr-earlier") if index.window_runs else None
+    earlier = index.windows()
     window, gram = index.window, index.gram
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _text_hashes(docs)
+    found = None
     for b in range(batches):
-        index.add(texts.filter(F.pmod("h1", F.lit(batches)) == b))
+        part = index.add(texts.filter(F.pmod("h1", F.lit(batches)) == b))
+        found = part if found is None else found.union(part)
     index.compact()
-    shared = index.read().filter("n > 1").withColumnRenamed("n", "seen")
+    shared = store.written(found.groupBy("fp").agg(F.max("seen").alias("seen")), "substr-shared")
     hits = _entry_rows(texts, window, gram).join(shared, "fp").dropDuplicates(["h1", "h2", "fp"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("fp", "seen")).alias("fps"))
     copies = texts.groupBy("h1", "h2").agg(F.count("*").cast("int").alias("copies"), F.min("doc_id").alias("first_id"))
     known = store.written(copies.join(hits, ["h1", "h2"], "left").filter("copies > 1 or fps is not null"), "substr-known")
@@ -320,8 +425,8 @@ def deduplicate(docs: DataFrame, index: FingerprintIndex | None = None, batches:
     groups = _window_groups(passed.filter("emit"), window, gram)
     if earlier is not None:
         groups = groups.union(_earlier_groups(earlier.join(shared, "fp")))
-    found = store.written(_repeated(groups), "substr-found")
+    repeated = store.written(_repeated(groups), "substr-found")
     open_rows = passed.filter("not done").select("doc_id", "h1", "h2", "text")
-    lists = found.groupBy("h1", "h2").agg(F.collect_list("starts").alias("found"))
+    lists = repeated.groupBy("h1", "h2").agg(F.collect_list("starts").alias("found"))
     last = _last_pass(open_rows.join(lists, ["h1", "h2"], "left"), kind, window)
     return passed.filter("done").select("doc_id", "n_words", "n_removed", "kept_sha256").union(last)

@@ -129,17 +129,56 @@ def test_later_batches_meet_earlier_ones(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", 2)
     rng = random.Random(5)
     old = [(i, words(rng, 80, 9000), "a", "en") for i in range(6)]
-    index = substring_dedup.FingerprintIndex(spark, keep_windows=True)
+    index = substring_dedup.FingerprintIndex(spark)
     assert all(x.n_removed == 0 for x in substring_dedup.deduplicate(table(spark, old), index).collect())
     part = " ".join(old[2][1].split()[20:65])
     new = [(10, words(rng, 50, 9000), "a", "en"), (11, words(rng, 9, 9000) + " " + part + " " + words(rng, 9, 9000), "a", "en"), (12, old[0][1], "a", "en"), (13, " ".join(old[1][1].split()[:34]), "a", "en")]
     assert {x.doc_id: x.n_removed for x in substring_dedup.deduplicate(table(spark, new), index).collect()} == {10: 0, 11: 45, 12: 80, 13: 0}
-    assert len(index.runs) == len(index.window_runs) == 1
-    plain = substring_dedup.FingerprintIndex(spark)
+    assert len(index.runs) == 1 and len(index.window_runs) == 4
+    plain = substring_dedup.FingerprintIndex(spark, keep_windows=False)
     plain.add(table(spark, old))
     assert all(x.n_removed == 0 for x in substring_dedup.deduplicate(table(spark, new), plain).collect())
 
 
+def test_index_is_reopened_and_survives_a_crash(spark, monkeypatch):
+    rng = random.Random(15)
+    old, lost = [(i, words(rng, 80, 9000), "a", "en") for i in range(4)], [(9, words(rng, 80, 9000), "a", "en")]
+    index = substring_dedup.FingerprintIndex(spark)
+    index.add(table(spark, old[:2]))
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.store, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            index.add(table(spark, lost))  # its run is written, but not part of the index
+    again = substring_dedup.FingerprintIndex(spark, index.path)
+    assert len(again.runs) == 1 and again.buckets == index.buckets
+    again.add(table(spark, old[2:]))
+    again.compact()
+    third = substring_dedup.FingerprintIndex(spark, index.path)
+    assert third.lookup(table(spark, old)).count() > 0 and third.lookup(table(spark, lost)).count() == 0
+    new = [(i + 20, t, s, lang) for i, t, s, lang in [*old, *lost]]
+    assert [x.n_removed for x in sorted(substring_dedup.deduplicate(table(spark, new), third).collect())] == [80] * 4 + [0]
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, index.path, window=20)
+
+
+@pytest.mark.parametrize("group", [1, 4, 1024])
+def test_windows_alone_in_their_groups(spark, monkeypatch, group):
+    """A frequent 18-gram in many contexts: some windows repeat, and their copies are in other groups."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    rng = random.Random(31)
+    gram = words(rng, 18, 9000)
+    contexts = [(words(rng, 30, 9000), words(rng, 30, 9000)) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        left, right = contexts[rng.randrange(12)] if rng.random() < 0.5 else (words(rng, 30, 9000), words(rng, 30, 9000))
+        rows.append((i, f"x{i} {left} {gram} {right} y{i}", "a", "en"))
+    seen = collections.Counter(tuple(w[j : j + 35]) for _, t, *_ in rows for w in [t.split()] for j in range(len(w) - 34))
+    got = {x.doc_id: x.n_removed for x in substring_dedup.deduplicate(table(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        w = t.split()
+        assert got[i] == len({k for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for k in range(j, j + 35)})
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_duplicates(corpus, n):
     rows, df = corpus
