@@ -8,7 +8,9 @@ a run of RUN words with it: words of frequent leaks weigh little, and short piec
 longest common subsequence of words holds a share LCS of the piece, or a share PARAPHRASE and the piece's answer (its last
 words) as well.
 
-The benchmark is a query set: it is read in blocks of ITEMS items, each with its own passes, which bounds what is broadcast.
+The benchmark is a query set: its words are counted in one pass, then it is read in blocks of ITEMS items with two passes each
+(latent space, search), which bounds what is broadcast. Ordinary texts hold any few words: an item of fewer than SHORT words is
+leaked only by a text of just these words.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from . import store
 from .licenses import bare_hashes
 from .textblock import Words, blocks, same_doc, window_hashes
 
-BLOCK_WORDS, ITEMS, RANK, SPARE = 64, 512, 256, 8
+BLOCK_WORDS, ITEMS, RANK, SPARE, SHORT = 64, 2048, 256, 8, 5
 COSINE, LCS, PARAPHRASE = 0.3, 0.7, 0.5
 ANSWER_WORDS, ANSWER = 8, 0.75
 #: Words in more than this share of blocks aren't features, but each piece keeps its rarest LEAST.
 MAX_DF, LEAST = 0.05, 8
 #: Passages that share a run of so many words with a piece (the whole piece, if it is shorter) are its candidates whatever their cosine.
 RUN = 6
+#: Different words of a benchmark, which are broadcast.
+MOST_WORDS = 10_000_000
 
 
 @dataclass
@@ -39,6 +43,7 @@ class Piece:
     item: int
     words: np.ndarray
     answer: np.ndarray
+    short: bool = False
     masks: dict[int, int] = field(default_factory=dict)
     answer_masks: dict[int, int] = field(default_factory=dict)
 
@@ -68,7 +73,7 @@ def pieces_of(items: list[tuple[int, str]]) -> list[Piece]:
         h = bare_hashes(w) if w is not None else np.zeros(0, np.uint64)
         parts = -(-len(h) // BLOCK_WORDS)
         for p in np.array_split(h, parts) if parts else []:
-            out.append(Piece(item, p, p[-ANSWER_WORDS:]))
+            out.append(Piece(item, p, p[-ANSWER_WORDS:], len(h) < SHORT))
     return out
 
 
@@ -228,15 +233,15 @@ class Runs:
         return out
 
 
-def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs: float, paraphrase: float, seed: int) -> DataFrame:
-    """(doc_id, text hash th, item_id, lcs): the best leak of one benchmark block in each row that has one."""
+def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], words: np.ndarray, counts: np.ndarray, total: int, cosine: float, lcs: float, paraphrase: float, seed: int) -> DataFrame:
+    """(doc_id, text hash th, item_id, lcs): the best leak of one benchmark block in each row that has one; ``counts``: of the sorted ``words``, in ``total`` blocks of text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = pieces_of(items)
     everything = np.unique(np.concatenate([p.words for p in pieces])) if pieces else np.zeros(0, np.uint64)
     schema = f"doc_id {kind}, th long, item_id long, lcs double"
     if not len(everything):
         return docs.sparkSession.createDataFrame([], schema)
-    seen, total = block_counts(docs, everything)
+    seen = counts[np.searchsorted(words, everything)]
     chosen = seen <= MAX_DF * total
     for p in pieces:
         own = np.unique(np.searchsorted(everything, p.words))
@@ -284,6 +289,8 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
                         words = h[a : min(a + 2 * BLOCK_WORDS, int(w.at[r + 1]))].tolist()
                         have, held = set(words), b
                     p = pieces[i]
+                    if p.short and w.counts()[r] != len(p.words):
+                        continue
                     if sum(m.bit_count() for k, m in p.masks.items() if k in have) < least[i]:
                         continue  # the longest common subsequence can't be longer
                     n = len(p.words)
@@ -300,19 +307,35 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], cosine: float, lcs:
     return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
 
 
+def _benchmark_words(items: DataFrame) -> np.ndarray:
+    """The sorted hashes of all words of the benchmark: 8 bytes each, MOST_WORDS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in blocks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(bare_hashes(w)).view(np.int64))], ["h"])
+
+    found = items.select("text").mapInArrow(run, "h long").distinct().limit(MOST_WORDS + 1).toArrow()
+    if found.num_rows > MOST_WORDS:
+        raise ValueError(f"a benchmark of more than {MOST_WORDS} different words: look for some of its items at a time")
+    return np.sort(found["h"].to_numpy().view(np.uint64))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, paraphrase: float = PARAPHRASE, seed: int = 5) -> DataFrame:
     """(doc_id, th, item_id, lcs): each row of ``docs`` with a leaked benchmark item, its longest one (of equal ones the smallest id); th is the text's hash.
 
-    Items without words, null texts and empty tables leak nothing; items that share an id are one.
+    Items without words, null texts and empty tables leak nothing; items that share an id are one; an item of fewer than SHORT words is leaked by texts of just these words.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     numbered = store.written(items.withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id", "text")) - 1) / ITEMS)), "benchmark")
     found = None
+    words = _benchmark_words(numbered)
+    counts, total = block_counts(rows, words)
     for b in range((numbered.agg(F.max("block")).first()[0] or 0) + 1):
         block = [(r.item_id, r.text) for r in numbered.filter(F.col("block") == b).orderBy("item_id", "text").collect()]  # ITEMS rows
-        part = _leaks_of(rows, block, cosine, lcs, paraphrase, seed)
+        part = _leaks_of(rows, block, words, counts, total, cosine, lcs, paraphrase, seed)
         found = part if found is None else found.union(part)
     best = F.max(F.struct("lcs", (-F.col("item_id")).alias("item")))
     return store.written(found.groupBy("doc_id", "th").agg(best.alias("b")).select("doc_id", "th", (-F.col("b.item")).alias("item_id"), F.col("b.lcs").alias("lcs")), "leaks")

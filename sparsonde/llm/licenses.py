@@ -15,21 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
 from .textblock import LOWER, U, Words, blocks, same_doc, span_hashes, window_hashes
 
 SHINGLE, CONTAINED, MISSED = 5, 0.8, 1e-4
-#: Notices by which licences are declared.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT": "Released under the MIT License",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-}
+#: Words of all templates together: what is broadcast.
+MOST_WORDS = 5_000_000
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,;:!?()[]{}\"'`*")] = True
 LENGTHS = [8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
@@ -60,6 +51,8 @@ class Templates:
         self.words = [len(_text_words(t)) for t in texts.values()]
         if short := [n for n, s in zip(self.names, self.sets, strict=True) if not len(s)]:
             raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+        if sum(self.words) > MOST_WORDS:
+            raise ValueError(f"templates of more than {MOST_WORDS} words in all: scan for some of them at a time")
         rng = np.random.default_rng(7)
         self.classes: dict[tuple[int, int], list[int]] = {}
         bands = {}
@@ -124,10 +117,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     """doc_id, n_licenses, licenses and spans of every row of ``docs``.
 
     licenses: names of the templates found, sorted. spans: (name, first word, last word + 1, containment) of each, windows that
-    overlap merged, with their best containment. Null, empty and short texts have none. Templates are a parameter of bounded size.
+    overlap merged, with their best containment. Null, empty and short texts have none. Templates (name -> text of five words or
+    more) are broadcast: MOST_WORDS words at most, which is checked.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates or NOTICES, contained))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, contained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -31,11 +31,15 @@ def _draw(id_: Column, text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), id_, text)
 
 
-def _measured(docs: DataFrame, seed: int) -> DataFrame:
+def _class(quality: Column | None, text: Column, size: Column) -> Column:
+    return quality_class(text, size) if quality is None else F.least(F.greatest(F.coalesce(quality.cast("int"), F.lit(len(QUALITY) - 1)), F.lit(0)), F.lit(len(QUALITY) - 1))
+
+
+def _measured(docs: DataFrame, seed: int, quality: Column | None = None) -> DataFrame:
     """doc_id, source, size, quality class ``q`` and the draw's 64 bits ``h`` of every row."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce("text", F.lit("")).alias("t"))
-    return rows.select("doc_id", "source", "size", quality_class(F.col("t"), F.col("size")).alias("q"), _draw(F.col("doc_id"), F.col("t"), seed).alias("h"))
+    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce("text", F.lit("")).alias("t"), (F.lit(0) if quality is None else quality).alias("q"))
+    return rows.select("doc_id", "source", "size", _class(None if quality is None else F.col("q"), F.col("t"), F.col("size")).alias("q"), _draw(F.col("doc_id"), F.col("t"), seed).alias("h"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -100,24 +104,25 @@ def _taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
     return got.withColumn("copies", F.col("epochs") + drawn.cast("long"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, quality: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row of ``docs``.
 
     Sources in code point order, null last, get ``weights`` in turn. A null text has size 0 and is taken or not like any other.
-    Rows alike in doc_id, source and text share one draw. Sources without words have target 0; an empty table gives none.
+    ``quality``: the index in QUALITY of each row's weight (a model's verdict, say; null counts as the last); by default that
+    of its symbols per word. Rows alike in doc_id, source and text share one draw. Sources without words have target 0; an empty table gives none.
     """
-    rows = store.written(_measured(docs.select("doc_id", "text", "source"), seed), "mix-rows")
+    rows = store.written(_measured(docs, seed, quality), "mix-rows")
     got = _taken(rows, _ends(rows, weights, share, cap))
     return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mixture itself: ``docs`` with each row as often as it is taken, its columns unchanged."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, quality: Column | None = None) -> DataFrame:
+    """The mixture itself: ``docs`` with each row as often as it is taken, its columns unchanged; parameters as for mix_plan."""
     cols = docs.columns
-    rows = store.written(_measured(docs.select("doc_id", "text", "source"), seed), "mix-rows")
+    rows = store.written(_measured(docs, seed, quality), "mix-rows")
     ends = _ends(rows, weights, share, cap)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    full = docs.select("doc_id", "source", F.struct(*[docs[c] for c in cols]).alias("row"), F.coalesce("text", F.lit("")).alias("t"), size.alias("size"))
-    full = full.select("doc_id", "source", "row", quality_class(F.col("t"), F.col("size")).alias("q"), _draw(F.col("doc_id"), F.col("t"), seed).alias("h"))
+    full = docs.select("doc_id", "source", F.struct(*[docs[c] for c in cols]).alias("row"), F.coalesce("text", F.lit("")).alias("t"), size.alias("size"), (F.lit(0) if quality is None else quality).alias("q"))
+    full = full.select("doc_id", "source", "row", _class(None if quality is None else F.col("q"), F.col("t"), F.col("size")).alias("q"), _draw(F.col("doc_id"), F.col("t"), seed).alias("h"))
     got = _taken(full, ends).filter("copies > 0")
     return got.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -1,16 +1,18 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
 A signature has 128 symbols of 16 bits. The first 64 are cut into 15 chunks; by the pigeonhole principle two signatures
-that differ in at most 29 of these 64 symbols have a chunk with at most one difference. Each chunk therefore gives one
-key for each symbol that may be wrong (the others hashed), 64 keys in all, and every such pair shares a key. Pairs that
-share a key and differ in at most 47 of all 128 symbols are compared on their full shingle sets. A pair of similarity
-0.8 has 12.8 +- 3.2 differences in 64 and 25.6 +- 4.5 in 128 symbols, so under one in 10,000 such pairs is missed. Texts
-that share buckets get 2048 more symbols of 2 bits, of which at most 384 may differ (307 +- 16 at 0.8).
+that differ in at most APART = 29 of these 64 symbols have a chunk with at most one difference. Each chunk therefore gives one
+key for each symbol that may be wrong (the others hashed), 64 keys in all, and every such pair shares a key: APART is the
+distance below which no pair is missed. A pair of similarity 0.8 has 12.8 +- 3.2 differences there. Pairs that share a key and
+differ in at most APART of the 64, 47 of all 128 symbols (25.6 +- 4.5 at 0.8) and 384 of 2048 more symbols of 2 bits (307 +- 16)
+are compared on their full shingle sets.
 
 Equal sets become one class first. Groups of similar texts are never spelt out as pairs: (1) each member of a bucket is
 compared with the bucket's smallest member; (2) what is then in another component than most of the bucket is compared
 with the three nearest signatures of each other component in it; (3) what is still apart is compared with all that it
 shares a bucket with. Links inside one component are not needed any more, so the components are those of all links.
+A bucket with more than SPLIT texts outside its largest component is indexed again, by the keys of the other 64 symbols, of
+which near pairs differ in at most APART as well; so texts that are apart don't meet, however many share a bucket.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .textblock import U, blocks, mix, window_hashes
 SYMBOLS, KEYED, LONGER = 128, 64, 128 + 2048
 CHUNKS = 15
 MOST, MOST_LONGER = 47, 384
-SMALL = 32
+APART = 2 * CHUNKS - 1
+SMALL, SPLIT = 32, 512
 NEAREST = 3
 BLOCK_ROWS = 1024
 _rng = np.random.default_rng(20240611)
@@ -72,7 +75,7 @@ def packed(symbols: np.ndarray) -> bytes:
 
 
 def bucket_keys(sigs: np.ndarray) -> np.ndarray:
-    """The 64 keys of each signature (rows)."""
+    """The 64 keys of each signature (rows), by its first 64 symbols."""
     out = np.empty((len(sigs), len(KEYS)), U)
     s = sigs.astype(U)
     for k, (_, _, used) in enumerate(KEYS):
@@ -132,7 +135,7 @@ class _Rows:
 
     def __init__(self, table: pa.Table) -> None:
         self.key, self.block, self.node, self.comp = (table[c].to_numpy() for c in ("key", "block", "node", "comp"))
-        self.main = table["main"].to_numpy()
+        self.main, self.again = table["main"].to_numpy(), table["again"].to_numpy()
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.more = np.frombuffer(b"".join(table["more"].to_pylist()), U).reshape(-1, (LONGER - SYMBOLS) // 32)
 
@@ -143,7 +146,7 @@ class _Rows:
             x, y = i[at : at + 8192], j[at : at + 8192]
             equal = self.sig[x] == self.sig[y]
             apart = SYMBOLS - equal.sum(axis=1)
-            ok = np.flatnonzero(apart <= MOST)
+            ok = np.flatnonzero((apart <= MOST) & (KEYED - equal[:, :KEYED].sum(axis=1) <= APART))
             bits = self.more[x[ok]] ^ self.more[y[ok]]
             apart = np.bitwise_count((bits | bits >> U(1)) & U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             near = apart <= MOST_LONGER
@@ -151,7 +154,8 @@ class _Rows:
             if len(ok):
                 first = np.argmax(equal[ok, :KEYED].astype(np.float32) @ _USED == _NEED, axis=1)
                 own = np.argmax(bucket_keys(self.sig[x[ok]]).view(np.int64) == self.key[x[ok], None], axis=1)
-                ok, apart = ok[first == own], apart[first == own]
+                keep = (first == own) | self.again[x[ok]]
+                ok, apart = ok[keep], apart[keep]
             ins.append(x[ok])
             outs.append(y[ok])
             aparts.append(apart)
@@ -194,7 +198,7 @@ class _Rows:
 def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     """Pairs of different components within (key, block) that pass the signature thresholds, each from the first key that it shares.
 
-    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), sig, more. Rows that aren't main stand in
+    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), again (a bucket of a bucket), sig, more. Rows that aren't main stand in
     each block of their bucket and are compared with its main rows there, and in block 0 with each other. ``nearest``: in
     buckets of over SMALL rows only so many of each other component.
     """
@@ -221,7 +225,7 @@ def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "sig", "more")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "again", "sig", "more")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -312,16 +316,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _apart(buckets: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold more than one component, with blocks of bounded size."""
+def _mixed(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold more than one component: key, node, comp, main, rows and others (those outside the largest component)."""
     labelled = buckets.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    split = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("rows"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("comps > 1")
-    rows = labelled.join(split, "key").withColumn("main", F.col("comp") == F.col("most"))
+    split = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("others"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("comps > 1")
+    return labelled.join(split, "key").withColumn("main", F.col("comp") == F.col("most"))
+
+
+def _indexed_again(rows: DataFrame) -> DataFrame:
+    """(key, node): the rows (key, node, sig) of large buckets, by the keys of the other symbols within each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+                keys = mix(bucket_keys(sigs[:, KEYED:]) ^ part.column("key").to_numpy().view(U)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), keys.shape[1]))], ["key", "node"])
+
+    return rows.select("key", "node", "sig").mapInArrow(run, "key long, node long")
+
+
+def _apart(buckets: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold more than one component, with blocks of bounded size."""
+    rows = store.written(_mixed(buckets, comp), "neardup-mixed")
+    large = F.col("others") > SPLIT
+    finer = store.written(_indexed_again(rows.filter(large).join(sigs.select("node", "sig"), "node")), "neardup-finer")
+    shared = finer.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    again = _mixed(finer.join(shared, "key"), comp).withColumn("again", F.lit(True))
+    rows = rows.filter(~large).withColumn("again", F.lit(False)).unionByName(again)
     count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     block = F.explode(F.when(F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), count - 1)))
-    return rows.select("key", "node", "comp", "main", block.alias("block")).join(sigs, "node")
+    return rows.select("key", "node", "comp", "main", "again", block.alias("block")).join(sigs, "node")
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 
 from .textblock import span_hashes
 
-#: Distinct segments held by a worker; beyond that it starts afresh, which costs time only.
-HELD = 400_000
+#: Bytes of distinct segments held by a worker, with OVERHEAD for each; beyond that it starts afresh, which costs time only.
+HELD, OVERHEAD = 1 << 26, 150
 
 
 def space_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -23,7 +23,7 @@ class Memo:
     """Values of segments by their bytes; ``make`` gets a list of new segments and returns their values."""
 
     def __init__(self, make: Callable[[list[bytes]], list]) -> None:
-        self.make, self.held = make, {}
+        self.make, self.held, self.size = make, {}, 0
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, np.ndarray]:
         """The values of the distinct segments, and for each segment the index of its value."""
@@ -34,8 +34,13 @@ class Memo:
         values = [held.get(k) for k in keys]
         new = [i for i, v in enumerate(values) if v is None]
         if new:
-            if len(held) + len(new) > HELD:
-                held.clear()
             for i, v in zip(new, self.make([keys[i] for i in new]), strict=True):
-                held[keys[i]] = values[i] = v
+                values[i] = v
+                more = len(keys[i]) + OVERHEAD
+                if self.size + more > HELD:
+                    held.clear()
+                    self.size = 0
+                if more <= HELD:
+                    held[keys[i]] = v
+                    self.size += more
         return values, back
