@@ -153,8 +153,11 @@ class _Rows:
             ok, apart = ok[near], apart[near]
             if len(ok):
                 first = np.argmax(equal[ok, :KEYED].astype(np.float32) @ _USED == _NEED, axis=1)
-                own = np.argmax(bucket_keys(self.sig[x[ok]]).view(np.int64) == self.key[x[ok], None], axis=1)
-                keep = (first == own) | self.again[x[ok]]
+                own = bucket_keys(self.sig[x[ok]])[np.arange(len(ok)), first]
+                if (again := np.flatnonzero(self.again[x[ok]])).size:  # of a bucket of a bucket, the first of either
+                    other = np.argmax(equal[ok[again], KEYED:].astype(np.float32) @ _USED == _NEED, axis=1)
+                    own[again] = mix(bucket_keys(self.sig[x[ok[again]], KEYED:])[np.arange(len(again)), other] ^ own[again])
+                keep = own.view(np.int64) == self.key[x[ok]]
                 ok, apart = ok[keep], apart[keep]
             ins.append(x[ok])
             outs.append(y[ok])
@@ -165,8 +168,11 @@ class _Rows:
         cut = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.block[1:] != self.block[:-1]), True])
         size = np.diff(cut)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        whole = size <= SMALL
+        if nearest is not None:
+            whole &= ~self.again[cut[:-1]]
         for m in range(2, SMALL + 1):
-            begin = cut[:-1][size == m]
+            begin = cut[:-1][whole & (size == m)]
             if len(begin):
                 x, y = np.triu_indices(m, 1)
                 left.append((begin[:, None] + x[None, :]).ravel())
@@ -175,7 +181,7 @@ class _Rows:
         apart = (self.comp[i] != self.comp[j]) & (self.main[i] | self.main[j] | (self.block[i] == 0))
         i, j = i[apart], j[apart]
         found = [self.close(i, j)[:2]] if len(i) else []
-        for s, e in zip(cut[:-1][size > SMALL], cut[1:][size > SMALL], strict=True):
+        for s, e in zip(cut[:-1][~whole], cut[1:][~whole], strict=True):
             at = np.arange(s, e)
             for u in at[~self.main[s:e]]:
                 other = at[(self.comp[s:e] != self.comp[u]) & (self.main[s:e] | ((self.node[s:e] < self.node[u]) & (self.block[s] == 0)))]
@@ -200,7 +206,7 @@ def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
 
     ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), again (a bucket of a bucket), sig, more. Rows that aren't main stand in
     each block of their bucket and are compared with its main rows there, and in block 0 with each other. ``nearest``: in
-    buckets of over SMALL rows only so many of each other component.
+    buckets of over SMALL rows and in buckets of buckets only so many of each other component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
