@@ -18,16 +18,24 @@ def log_logistic(x: Column) -> Column:
     return F.when(x >= 0, -F.log1p(F.exp(-x))).otherwise(x - F.log1p(F.exp(x)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row: a lambda works out again for each element what it takes from outside."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
 def logsumexp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+    shifted = lambda a: bound(F.array_max(a), lambda top: top + F.ln(_total(F.transform(a, lambda v: F.exp(v - top)))))
+    return bound(values, shifted)
 
 
 def softmax(values: Column) -> Column:
-    """Softmax of an array column, shifted by its largest value."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.transform(values, lambda v: F.exp(v - top) / total)
+    """Softmax of an array column, shifted by its largest value; linear in the array's length."""
+    shifted = bound(values, lambda a: bound(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp(v - top))))
+    return bound(shifted, lambda e: bound(_total(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def squared_norm(values: Column) -> Column:

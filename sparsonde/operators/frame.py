@@ -78,6 +78,12 @@ def standardised(df: DataFrame, columns: Sequence[str], with_mean: bool = True)
     return out.select(*df.columns)
 
 
+def restored(coef: np.ndarray, intercept: float | np.ndarray, mean: np.ndarray, std: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, float | np.ndarray]:
+    """Coefficients (outputs x features, or features) and intercept for the columns as they were: features had been less ``mean`` over ``std``, and the label over ``scale``."""
+    coef = coef * scale / std
+    return coef, intercept - coef @ mean
+
+
 def encoded(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
     """``df`` with the label's place among the sorted distinct labels, from 0. The distinct labels are joined, not the rows ranked."""
     classes = df.select(label).distinct().withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int")).withColumnRenamed(label, "label_")

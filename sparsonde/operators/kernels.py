@@ -194,6 +194,24 @@ def fit_poisson(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, ratio: float =
     return b, b0
 
 
+def intercept_alone(means: np.ndarray, family: str) -> float | np.ndarray:
+    """The intercept of a model without features: of the label's mean, or of the classes' shares.
+
+    linear: the mean; logistic: the logit of the share, which is kept 1e-10 from 0 and 1; multinomial: logarithms of the shares
+    (absent classes 1e-10), the largest 0; poisson: the mean's logarithm, minus infinity if there is nothing to count.
+    """
+    means = np.asarray(means, float)
+    if family == "linear":
+        return float(means)
+    if family == "poisson":
+        return float(np.log(means)) if means > 0 else -np.inf
+    if family == "logistic":
+        q = np.clip(means, 1e-10, 1 - 1e-10)
+        return float(np.log(q / (1 - q)))
+    q = np.log(np.maximum(means, 1e-10))
+    return q - q.max()
+
+
 def intercept_of_logistic(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Best intercepts at fixed linear predictors ``eta`` (rows x outputs), by Newton steps; of several outputs the largest is 0."""
     if eta.shape[1] == 1:

@@ -38,14 +38,23 @@ def hash_array(row: np.ndarray, boot: int | np.ndarray, seed: int) -> np.ndarray
     return (x * x + boot + seed) % M
 
 
+#: Ranges of a hash in which rows are numbered.
+ID_BITS = 14
+
+
 def seed_of(random_state: int | None) -> int:
     """An integer seed; None draws one, once, on the driver."""
     return random.randrange(1, 100_000) if random_state is None else int(random_state) % 100_000
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Numbers rows in the order of ``keys``. One ordered window over all rows: for tables without an id of their own; give an id column where tables are large."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    """Numbers rows from 0 in the order of a hash of ``keys``, so that content alone decides: rows are counted in 2**ID_BITS ranges of the hash and ranked within them, never all in one task."""
+    h = F.xxhash64(*keys)
+    binned = df.withColumn("hash__", h).withColumn("bin__", F.shiftrightunsigned("hash__", 64 - ID_BITS))
+    ahead = Window.orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    first = binned.groupBy("bin__").agg(F.count("*").alias("n__")).select("bin__", F.coalesce(F.sum("n__").over(ahead), F.lit(0)).alias("first__"))
+    rank = F.row_number().over(Window.partitionBy("bin__").orderBy("hash__", *keys)) - 1
+    return binned.join(F.broadcast(first), "bin__").select(*df.columns, (F.col("first__") + rank).cast("long").alias(name))
 
 
 def test_size(n: int, fraction: float) -> int:

@@ -13,10 +13,32 @@ from .frame import FeatureFrame, Stats
 from .resample import cutoffs, hash_array
 
 
+def strata_of(batch: pa.RecordBatch, stratum: str) -> tuple[list, np.ndarray]:
+    """The distinct strata of a batch, and the place of each row's among them."""
+    found = batch.column(stratum).dictionary_encode(null_encoding="encode")
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
+
+
 def matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([np.ones(batch.num_rows), *[batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names]]) if names else np.ones((batch.num_rows, 1))
 
 
+def mean_loss(df: DataFrame, names: Sequence[str], loss) -> tuple[float, np.ndarray]:
+    """Value and gradient of a mean loss over all rows: ``loss(matrix of names)`` gives those of a batch; tasks weigh them by rows and Spark adds them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                value, grad = loss(matrix(batch, names)[:, 1:])
+                n, total = n + batch.num_rows, total + batch.num_rows * np.r_[value, grad.ravel()]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], ["k", "total", "n"])
+
+    rows = df.select(*names).mapInArrow(run, "k long, total double, n long").groupBy("k").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("k").collect()  # a row per coefficient
+    return rows[0]["mean"], np.array([r["mean"] for r in rows[1:]])
+
+
 def boot_grams(frame: FeatureFrame, stats: Stats, families: dict[str, tuple[int, float, int]], stratum: str | None = None) -> DataFrame:
     """(family, boot, train, test): Gram matrices (float64 bytes) of each family's boots; ``families``: name -> (boots, train fraction, seed).
 
@@ -38,15 +60,14 @@ def boot_grams(frame: FeatureFrame, stats: Stats, families: dict[str, tuple[int,
             v = matrix(batch, names)
             v[:, 1:] = (v[:, 1:] - mean) / std
             ids = batch.column(id_col).cast(pa.int64()).to_numpy()
-            strata = np.array(batch.column(stratum).to_pylist(), object) if stratum else None
+            strata, place = strata_of(batch, stratum) if stratum else (None, None)
             for f, (boots, _, seed) in families.items():
                 for b in range(boots):
                     h = hash_array(ids, b, seed)
                     if strata is None:
                         ch, ci = cuts[f].get((b, None), (-1, -1))
                     else:
-                        at = [cuts[f].get((b, s), (-1, -1)) for s in strata]
-                        ch, ci = np.array([a[0] for a in at]), np.array([a[1] for a in at])
+                        ch, ci = np.array([cuts[f].get((b, s), (-1, -1)) for s in strata]).T[:, place]
                     test = (h < ch) | ((h == ch) & (ids <= ci))
                     sums[f, b][0] += v[~test].T @ v[~test]
                     sums[f, b][1] += v[test].T @ v[test]

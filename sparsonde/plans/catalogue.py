@@ -72,7 +72,14 @@ def standardize_features(spark, d):
 @query("SELECT min(l_tax) = max(l_tax) AS constant_tax, min(l_quantity) >= 0 AS quantity_ok, count(*) FILTER (WHERE l_tax IS NULL OR isnan(l_tax) OR isinf(l_tax)) AS bad_tax FROM lineitem")
 def response_checks(spark, d):
     df = t(spark, d, "lineitem")
-    return df.agg((F.min("l_tax") == F.max("l_tax")).alias("constant_tax"), (F.min("l_quantity") >= 0).alias("quantity_ok"), F.count_if(fr.bad_value(df, "l_tax")).alias("bad_tax"))
+    tax = fr.FeatureFrame(df, ["l_quantity"], "l_tax", "l_orderkey").stats()
+    try:
+        fr.check_non_negative(df, ["l_quantity"])
+        ok = True
+    except ValueError:
+        ok = False
+    bad = df.agg(F.count_if(fr.bad_value(df, "l_tax"))).first()[0]
+    return spark.createDataFrame([(tax.y_min == tax.y_max, ok, bad)], "constant_tax boolean, quantity_ok boolean, bad_tax long")
 
 
 @query("SELECT l_returnflag, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label_index, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -94,23 +101,33 @@ def class_weights(spark, d):
 @query("""WITH best AS (SELECT 2.5 AS c1, -1.25 AS c2, avg(l_extendedprice) AS ym, stddev_pop(l_extendedprice) AS ys, avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_tax) AS m2, stddev_pop(l_tax) AS s2 FROM lineitem)
 SELECT round(c1 * ys / s1, 4) AS coef_quantity, round(c2 * ys / s2, 4) AS coef_tax, round(ym - m1 * c1 * ys / s1 - m2 * c2 * ys / s2, 4) AS intercept FROM best""")
 def unstandardise_linear(spark, d):
-    s = t(spark, d, "lineitem").agg(F.avg("l_extendedprice").alias("ym"), F.stddev_pop("l_extendedprice").alias("ys"), F.avg("l_quantity").alias("m1"), F.stddev_pop("l_quantity").alias("s1"), F.avg("l_tax").alias("m2"), F.stddev_pop("l_tax").alias("s2"))
-    a, b = 2.5 * F.col("ys") / F.col("s1"), -1.25 * F.col("ys") / F.col("s2")
-    return s.select(r(a, "coef_quantity", 4), r(b, "coef_tax", 4), r(F.col("ym") - F.col("m1") * a - F.col("m2") * b, "intercept", 4))
+    s = fr.FeatureFrame(t(spark, d, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice", "l_orderkey").stats()
+    coef, intercept = fr.restored(np.array([2.5, -1.25]), s.y_mean, s.mean, s.std, s.y_std)
+    row = spark.createDataFrame([(*map(float, coef), float(intercept))], "a double, b double, c double")
+    return row.select(r(F.col("a"), "coef_quantity", 4), r(F.col("b"), "coef_tax", 4), r(F.col("c"), "intercept", 4))
 
 
 @query("""WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd FROM lineitem)
 SELECT round(0.4 / sd, 8) AS coef, round(1.5 - m * 0.4 / sd, 8) AS intercept FROM s""")
 def unstandardise_glm(spark, d):
-    s = t(spark, d, "lineitem").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("sd"))
-    return s.select(r(0.4 / F.col("sd"), "coef", 8), r(1.5 - F.col("m") * 0.4 / F.col("sd"), "intercept", 8))
+    s = fr.FeatureFrame(t(spark, d, "lineitem"), ["l_quantity"], "l_tax", "l_orderkey").stats()
+    coef, intercept = fr.restored(np.array([0.4]), 1.5, s.mean, s.std)
+    return spark.createDataFrame([(float(coef[0]), float(intercept))], "a double, b double").select(r(F.col("a"), "coef", 8), r(F.col("b"), "intercept", 8))
 
 
 @query("SELECT f.feature, coalesce(e.coef, 0.0) AS coef FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) f(feature) LEFT JOIN (SELECT 'l_tax' AS feature, round(regr_slope(l_extendedprice, l_tax), 4) AS coef FROM lineitem) e ON e.feature = f.feature")
 def scatter_estimates(spark, d):
-    part = t(spark, d, "lineitem").agg(r(F.regr_slope("l_extendedprice", "l_tax"), "coef", 4)).withColumn("feature", F.lit("l_tax"))
-    every = spark.createDataFrame([("l_quantity",), ("l_discount",), ("l_tax",)], "feature string")
-    return every.join(part, "feature", "left").select("feature", F.coalesce("coef", F.lit(0.0)).alias("coef"))
+    from sparsonde.operators import suffstats
+
+    from .linear import StableLasso
+
+    names = ["l_quantity", "l_discount", "l_tax"]
+    frame = fr.FeatureFrame(t(spark, d, "lineitem"), names, "l_extendedprice", "l_orderkey")
+    whole = suffstats.boot_grams(frame, frame.stats(), {"est": (1, 1.0, SEED)})
+    row = StableLasso()._estimates(whole, np.array([[False, False, True]])).first()
+    s = frame.stats()
+    coef, _ = fr.restored(np.array(row["coefs"]), s.y_mean, s.mean, s.std, s.y_std)
+    return spark.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], "feature string, coef double").select("feature", r(F.col("coef"), "coef", 4))
 
 
 # resampling
@@ -347,19 +364,34 @@ def shared_supports(spark, d):
 
 @query("SELECT round(avg(l_extendedprice), 4) AS linear, round(ln(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) / (1 - avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END))), 6) AS logistic, round(ln(avg(l_linenumber)), 6) AS poisson FROM lineitem")
 def intercept_only(spark, d):
-    q = F.least(F.greatest(F.avg((F.col("l_returnflag") == "R").cast("double")), F.lit(1e-10)), F.lit(1 - 1e-10))
-    return t(spark, d, "lineitem").agg(r(F.avg("l_extendedprice"), "linear", 4), r(F.ln(q / (1 - q)), "logistic"), r(F.ln(F.avg("l_linenumber")), "poisson"))
+    from sparsonde.operators import kernels
+
+    m = t(spark, d, "lineitem").agg(F.avg("l_extendedprice"), F.avg((F.col("l_returnflag") == "R").cast("double")), F.avg("l_linenumber")).first()
+    row = [tuple(kernels.intercept_alone(x, f) for x, f in zip(m, ("linear", "logistic", "poisson"), strict=True))]
+    return spark.createDataFrame(row, "linear double, logistic double, poisson double").select(r(F.col("linear"), "linear", 4), r(F.col("logistic"), "logistic"), r(F.col("poisson"), "poisson"))
 
 
 @query("SELECT l_returnflag, round(ln(count(*) / sum(count(*)) OVER ()) - max(ln(count(*))) OVER () + ln(sum(count(*)) OVER ()), 6) + 0.0 AS intercept FROM lineitem GROUP BY l_returnflag")
 def intercept_only_multinomial(spark, d):
-    share = t(spark, d, "lineitem").groupBy("l_returnflag").count().withColumn("log", F.ln(F.greatest(F.col("count") / F.sum("count").over(Window.partitionBy()), F.lit(1e-10))))
-    return share.select("l_returnflag", r(F.col("log") - F.max("log").over(Window.partitionBy()), "intercept"))
+    from sparsonde.operators import kernels
+
+    rows = t(spark, d, "lineitem").groupBy("l_returnflag").count().orderBy("l_returnflag").collect()  # a row per class
+    n = np.array([x["count"] for x in rows])
+    b = kernels.intercept_alone(n / n.sum(), "multinomial")
+    return spark.createDataFrame([(x["l_returnflag"], float(v)) for x, v in zip(rows, b, strict=True)], "l_returnflag string, b double").select("l_returnflag", r(F.col("b"), "intercept"))
 
 
 @query(f"SELECT round(avg(y) - 0.3 * avg(x), 6) AS linear, round(ln(avg(y) / avg(exp(0.2 * x))), 6) AS poisson FROM ({_LINES})")
 def final_intercept(spark, d):
-    return _lines(spark, d).agg(r(F.avg("y") - 0.3 * F.avg("x"), "linear"), r(F.ln(F.avg("y") / F.avg(F.exp(0.2 * F.col("x")))), "poisson"))
+    from .glm import DistributedPath
+
+    df = _lines(spark, d)
+    m = df.agg(F.avg("y"), F.avg("x")).first()
+    _, linear = fr.restored(np.array([0.3]), m[0], np.array([m[1]]), np.ones(1))
+    fit = DistributedPath("poisson", df, ["x"], "y", "o_orderkey", np.zeros(1), np.ones(1), True, 50, 1e-9)
+    poisson = fit.final_intercept(np.array([0.2]))
+    fit.df.unpersist()
+    return spark.createDataFrame([(float(linear), poisson)], "a double, b double").select(r(F.col("a"), "linear"), r(F.col("b"), "poisson"))
 
 
 # scores
@@ -412,26 +444,61 @@ def median_union(spark, d):
 
 @query("SELECT round(avg(ln(1 + exp(-s * z))), 6) AS loss, round(avg((1 / (1 + exp(-s * z)) - 1) * s * x), 6) AS g_x, round(avg((1 / (1 + exp(-s * z)) - 1) * s), 6) AS g_1 FROM (SELECT value / 100 AS x, 0.4 * value / 100 - 0.2 AS z, CASE WHEN user_id % 3 = 0 THEN 1 ELSE -1 END AS s FROM events)")
 def logistic_loss_grad(spark, d):
-    x = F.col("value") / 100
-    e = t(spark, d, "events").select(x.alias("x"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(-1).alias("s")).withColumn("sz", F.col("s") * (0.4 * F.col("x") - 0.2))
-    g = (fn.sigmoid(F.col("sz")) - 1) * F.col("s")
-    return e.agg(r(F.avg(-fn.log_logistic(F.col("sz"))), "loss"), r(F.avg(g * F.col("x")), "g_x"), r(F.avg(g), "g_1"))
+    from sparsonde.operators import kernels, suffstats
+
+    e = t(spark, d, "events").select((F.col("value") / 100).alias("x"), F.when(F.col("user_id") % 3 == 0, 1.0).otherwise(-1.0).alias("s"))
+    value, g = suffstats.mean_loss(e, ["x", "s"], lambda v: kernels.logistic_loss(np.array([0.4, -0.2]), v[:, :1], v[:, 1]))
+    return _losses(spark, [(value, *map(float, g))]).select("loss", "g_x", "g_1")
+
+
+def _losses(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "a double, b double, c double").select(r(F.col("a"), "loss"), r(F.col("b"), "g_x"), r(F.col("c"), "g_1"))
 
 
 @query("""SELECT k, round(avg(loss), 6) AS loss, round(avg((p - CASE WHEN y = k THEN 1 ELSE 0 END) * x), 6) + 0.0 AS g_x FROM (SELECT x, y, k, exp(w * x) / (exp(0.3 * x) + exp(-0.1 * x) + exp(0.5 * x)) AS p, CASE WHEN y = k THEN -ln(exp(w * x) / (exp(0.3 * x) + exp(-0.1 * x) + exp(0.5 * x))) ELSE 0 END AS loss
 FROM (SELECT l_quantity / 50 AS x, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem), (VALUES (0, 0.3), (1, -0.1), (2, 0.5)) c(k, w)) GROUP BY k""")
 def multinomial_loss_grad(spark, d):
-    x = t(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("y"))
-    p = fn.softmax(F.array(0.3 * F.col("x"), -0.1 * F.col("x"), 0.5 * F.col("x")))
-    x = x.select("x", "y", F.posexplode(p).alias("k", "p")).withColumn("hit", (F.col("y") == F.col("k")).cast("int"))
-    return x.groupBy("k").agg(r(F.avg(F.when(F.col("hit") == 1, -F.ln("p")).otherwise(0.0)), "loss"), r(F.avg((F.col("p") - F.col("hit")) * F.col("x")), "g_x"))
+    from sparsonde.operators import kernels, suffstats
+
+    x = t(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), *fr.one_hot(F.col("l_returnflag"), ["A", "N", "R"]))
+    w, out = np.array([[0.3, -0.1, 0.5]]), []
+    for k in range(3):  # the loss of class k's rows, and the gradient of its coefficient
+        own = np.eye(3)[k]
+        value, _ = suffstats.mean_loss(x, ["x", "is_A", "is_N", "is_R"], lambda v, own=own: kernels.multinomial_loss(w, v[:, :1], v[:, 1:] * own))
+        out.append(float(value))
+    _, g = suffstats.mean_loss(x, ["x", "is_A", "is_N", "is_R"], lambda v: kernels.multinomial_loss(w, v[:, :1], v[:, 1:]))
+    return spark.createDataFrame([(k, out[k], float(g[k])) for k in range(3)], "k int, a double, b double").select("k", r(F.col("a"), "loss"), r(F.col("b"), "g_x"))
 
 
 @query(f"SELECT round(avg(mu - y * eta), 6) AS loss, round(avg((mu - y) * x), 6) AS g_x, round(avg(mu - y), 6) AS g_1 FROM (SELECT x, y, 0.5 + 0.2 * x AS eta, exp(0.5 + 0.2 * x) AS mu FROM ({_LINES}))")
 def poisson_loss_grad(spark, d):
-    eta = 0.5 + 0.2 * F.col("x")
-    mu = F.exp(eta)
-    return _lines(spark, d).agg(r(F.avg(mu - F.col("y") * eta), "loss"), r(F.avg((mu - F.col("y")) * F.col("x")), "g_x"), r(F.avg(mu - F.col("y")), "g_1"))
+    from sparsonde.operators import kernels, suffstats
+
+    value, g = suffstats.mean_loss(_lines(spark, d), ["x", "y"], lambda v: kernels.poisson_loss(np.array([0.2, 0.5]), v[:, :1], v[:, 1]))
+    return _losses(spark, [(value, *map(float, g))])
+
+
+# fits without penalty that have a closed form: one feature that tells two groups apart
+
+
+@query("""SELECT round(ln(p0 / (1 - p0)), 4) AS intercept, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) AS coef FROM (
+SELECT avg(y) FILTER (WHERE g = 0) AS p0, avg(y) FILTER (WHERE g = 1) AS p1 FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS g FROM lineitem))""")
+def logistic_two_groups(spark, d):
+    from .glm import MaskedLogistic
+
+    df = t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") > 25).cast("double").alias("g"))
+    m = MaskedLogistic(C=np.inf, tol=1e-9).fit(df, ["g"], "y")
+    return spark.createDataFrame([(float(m.intercept_[0]), float(m.coef_[0, 0]))], "a double, b double").select(r(F.col("a"), "intercept", 4), r(F.col("b"), "coef", 4))
+
+
+@query("""SELECT round(ln(m0), 4) AS intercept, round(ln(m1) - ln(m0), 4) AS coef FROM (
+SELECT avg(y) FILTER (WHERE g = 0) AS m0, avg(y) FILTER (WHERE g = 1) AS m1 FROM (SELECT l_quantity AS y, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS g FROM lineitem))""")
+def poisson_two_groups(spark, d):
+    from .glm import PoissonGLM
+
+    df = t(spark, d, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_returnflag") == "R").cast("double").alias("g"))
+    m = PoissonGLM(alpha=0.0, tol=1e-9).fit(df, ["g"], "y")
+    return spark.createDataFrame([(float(m.intercept_), float(m.coef_[0]))], "a double, b double").select(r(F.col("a"), "intercept", 4), r(F.col("b"), "coef", 4))
 
 
 # decomposition
@@ -446,7 +513,10 @@ def _v(spark) -> DataFrame:
 
 @query(f"SELECT j, round((v1 * v1 + v2 * v2) / 2, 6) AS leverage FROM ({_V})")
 def leverage_scores(spark, d):
-    return _v(spark).select("j", r((F.col("v1") * F.col("v1") + F.col("v2") * F.col("v2")) / 2, "leverage"))
+    from .decomposition import leverage
+
+    v = _v(spark).orderBy("j").toPandas()[["v1", "v2"]].to_numpy()  # a row per column of the matrix
+    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(leverage(v))], "j long, x double").select("j", r(F.col("x"), "leverage"))
 
 
 @query(f"SELECT j FROM ({_V}) WHERE {hash_sql('j', '2', SEED)} / 2147483647.0 < least(1, 2 * (v1 * v1 + v2 * v2) / 2)")
@@ -465,48 +535,55 @@ def column_consensus(spark, d):
     return chosen_columns(spark.createDataFrame(rows, "boot int, k int, j int"), 3)
 
 
-_BASES = "SELECT label, comp, h FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS comp, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS h FROM embeddings) WHERE comp < 4"
+_BASES = """SELECT label, comp, list(m ORDER BY j) AS h FROM (SELECT label, vec_id % 4 AS comp, j, avg(abs(v)) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings) GROUP BY 1, 2, 3) GROUP BY label, comp"""
 
 
-def _bases(spark, d) -> DataFrame:
-    """Four bases of each label: the feature here is the choice of the first four."""
-    e = t(spark, d, "embeddings").withColumn("comp", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).filter("comp < 4")
-    return e.select("label", "comp", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("h"))
-
-
-def _unit(c: str) -> Column:
-    return F.transform(c, lambda v: v / F.sqrt(fn.squared_norm(F.col(c))))
+def _bases(spark, d) -> dict[int, np.ndarray]:
+    """Four bases of each label: the mean sizes of all its vectors' entries, dealt by vec_id."""
+    e = t(spark, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("comp"), F.posexplode("embedding").alias("j", "v"))
+    m = e.groupBy("label", "comp", "j").agg(F.avg(F.abs(F.col("v").cast("double"))).alias("m"))
+    rows = m.groupBy("label", "comp").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("h")).orderBy("label", "comp").select("label", F.col("h.m").alias("h")).collect()  # four rows per label
+    out: dict[int, list] = {}
+    for x in rows:
+        out.setdefault(x["label"], []).append(x["h"])
+    return {k: np.array(v) for k, v in out.items()}
 
 
 _DISSIMILARITY = f"""SELECT la, lb, 1 - (sum(ra) / 2 + sum(rb) / 2) / 4 AS apart FROM (SELECT la, lb, sum(m) AS ra, 0.0 AS rb FROM (SELECT a.label AS la, b.label AS lb, a.comp AS k, max(list_cosine_similarity(a.h, b.h)) AS m FROM ({_BASES}) a JOIN ({_BASES}) b ON a.label < b.label GROUP BY a.label, b.label, a.comp) GROUP BY la, lb
 UNION ALL SELECT la, lb, 0.0, sum(m) FROM (SELECT a.label AS la, b.label AS lb, b.comp AS k, max(list_cosine_similarity(a.h, b.h)) AS m FROM ({_BASES}) a JOIN ({_BASES}) b ON a.label < b.label GROUP BY a.label, b.label, b.comp) GROUP BY la, lb) GROUP BY la, lb"""
 
 
-def _dissimilarities(spark, d) -> DataFrame:
-    b = _bases(spark, d).select("label", "comp", _unit("h").alias("u"))
-    pairs = b.select(F.col("label").alias("la"), F.col("comp").alias("ca"), F.col("u").alias("ua")).join(b.select(F.col("label").alias("lb"), F.col("comp").alias("cb"), F.col("u").alias("ub")), F.col("la") < F.col("lb"))
-    c = pairs.select("la", "lb", "ca", "cb", F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v).alias("c"))
-    rows = c.groupBy("la", "lb", "ca").agg(F.max("c").alias("m")).groupBy("la", "lb").agg(F.sum("m").alias("ra"))
-    cols = c.groupBy("la", "lb", "cb").agg(F.max("c").alias("m")).groupBy("la", "lb").agg(F.sum("m").alias("rb"))
-    return rows.join(cols, ["la", "lb"]).select("la", "lb", (1 - (F.col("ra") + F.col("rb")) / 8).alias("apart"))
+def _dissimilarities(spark, d) -> list[tuple[int, int, float]]:
+    from sparsonde.operators import kernels
+
+    bases = _bases(spark, d)
+    return [(a, b, kernels.dissimilarity(bases[a], bases[b])) for a in bases for b in bases if a < b]
 
 
 @query(f"SELECT la, lb, round(apart, 6) AS apart FROM ({_DISSIMILARITY})")
 def basis_dissimilarity(spark, d):
-    return _dissimilarities(spark, d).select("la", "lb", r(F.col("apart"), "apart"))
+    return spark.createDataFrame(_dissimilarities(spark, d), "la int, lb int, apart double").select("la", "lb", r(F.col("apart"), "apart"))
 
 
 @query(f"SELECT la AS rank FROM (SELECT la, avg(apart) AS a FROM ({_DISSIMILARITY}) GROUP BY la ORDER BY round(a, 9), la LIMIT 1)")
 def rank_choice(spark, d):
-    mean = _dissimilarities(spark, d).groupBy("la").agg(F.round(F.avg("apart"), 9).alias("a"))
-    return mean.agg(F.min_by("la", F.struct("a", "la")).alias("rank"))
+    from .decomposition import choose_rank
 
+    of: dict[int, list[float]] = {}
+    for a, _, x in _dissimilarities(spark, d):
+        of.setdefault(a, []).append(x)
+    return spark.createDataFrame([(int(choose_rank([round(float(np.mean(x)), 9) for x in of.values()], list(of))),)], "rank int")
 
-@query(f"""SELECT label, j, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v FROM (SELECT label, j, avg(u) AS m FROM (SELECT label, unnest(range(64)) AS j, unnest(list_transform(h, lambda v: v / sqrt(list_sum(list_transform(h, lambda w: w * w))))) AS u FROM ({_BASES})) GROUP BY label, j)""")
+
+@query(f"""SELECT label, j, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v FROM (SELECT label, j, avg(u) AS m FROM (SELECT label, unnest(range(len(h))) AS j, unnest(list_transform(h, lambda v: v / sqrt(list_sum(list_transform(h, lambda w: w * w))))) AS u FROM ({_BASES})) GROUP BY label, j)""")
 def consensus_bases(spark, d):
-    u = _bases(spark, d).filter(fn.squared_norm(F.col("h")) > 0).select("label", F.posexplode(_unit("h")).alias("j", "u"))
-    m = u.groupBy("label", F.col("j").cast("long").alias("j")).agg(F.avg("u").alias("m"))
-    return m.select("label", "j", r(F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label"))), "v"))
+    from .decomposition import consensus, unit_bases
+
+    bases = _bases(spark, d)
+    labels = np.concatenate([np.full(len(h), k) for k, h in bases.items()])
+    means = consensus(unit_bases(np.vstack(list(bases.values()))), labels)
+    rows = [(int(k), j, float(v)) for k, mean in zip(sorted(bases), means, strict=True) for j, v in enumerate(mean)]
+    return spark.createDataFrame(rows, "label int, j long, x double").select("label", "j", r(F.col("x"), "v"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON abs(a.s_acctbal - b.s_acctbal) <= 40),
@@ -530,30 +607,32 @@ def dbscan_components(spark, d):
     return spark.createDataFrame(out, "s_suppkey long, cluster long")
 
 
-_COUNTS = "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM (SELECT DISTINCT event_type FROM events ORDER BY event_type OFFSET {k})))::DOUBLE AS x{k}" for k in range(3)) + " FROM events GROUP BY user_id"
+_COUNTS = "SELECT u.user_id, k.k, (SELECT count(*) FROM events e WHERE e.user_id = u.user_id AND e.event_type = k.event_type)::DOUBLE AS x FROM (SELECT DISTINCT user_id FROM events) u, (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)) k"
 
 
-def _counts(spark, d) -> DataFrame:
-    """Events of the first three types per user."""
+def _counts(spark, d) -> tuple[DataFrame, list[str]]:
+    """Events of each type per user."""
     e = t(spark, d, "events")
-    names = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
-    return e.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == n).cast("double").alias(f"x{k}") for k, n in enumerate(names)])
+    names = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").collect()]  # a row per type
+    return e.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == n).cast("double").alias(f"x{k}") for k, n in enumerate(names)]), [f"x{k}" for k in range(len(names))]
 
 
-@query(f"SELECT user_id, round(greatest(0, (0.5 * x0 + 0.3 * x1 + 0.2 * x2) / 0.38), 6) AS w FROM ({_COUNTS})")
+@query(f"SELECT user_id, round(greatest(0, sum(x / (1.0 + k)) / sum(1 / ((1.0 + k) * (1.0 + k)))), 6) AS w FROM ({_COUNTS}) GROUP BY user_id")
 def nnls_single_component(spark, d):
     from .decomposition import NMFModel
 
-    out = NMFModel(["x0", "x1", "x2"], np.array([[0.5, 0.3, 0.2]])).transform(_counts(spark, d))
+    df, names = _counts(spark, d)
+    out = NMFModel(names, np.array([[1 / (1.0 + k) for k in range(len(names))]])).transform(df)
     return out.select("user_id", r(F.col("weights")[0], "w"))
 
 
-@query(f"SELECT user_id, round(0.5 * x0 + 0.1 * x1, 6) AS y0, round(0.3 * x0 + 0.9 * x1, 6) AS y1 FROM ({_COUNTS})")
+@query(f"SELECT user_id, round(sum(x / (1.0 + k)), 6) AS y0, round(sum(x * 0.1 * (k + 1)), 6) AS y1 FROM ({_COUNTS}) GROUP BY user_id")
 def nmf_reconstruct(spark, d):
     from .decomposition import NMFModel
 
-    model = NMFModel(["a", "b"], np.array([[0.5, 0.3], [0.1, 0.9]]))
-    out = model.inverse_transform(_counts(spark, d).withColumn("weights", F.array("x0", "x1")))
+    df, names = _counts(spark, d)
+    model = NMFModel(["a", "b"], np.array([[1 / (1.0 + k), 0.1 * (k + 1)] for k in range(len(names))]))
+    out = model.inverse_transform(df.withColumn("weights", F.array(*names)))
     return out.select("user_id", r(F.col("reconstructed")[0], "y0"), r(F.col("reconstructed")[1], "y1"))
 
 
@@ -583,7 +662,7 @@ def stable_elastic_net(spark, d):
     return StableElasticNet(random_state=SEED, n_lambdas=16, alphas=(0.3, 0.9), estimation_score="BIC").fit(df, ["l_quantity", "l_discount", "l_tax"], "price", "row_id").table(spark)
 
 
-def _wide(spark, d, p: int = 12) -> tuple[DataFrame, list[str]]:
+def _wide(spark, d, p: int = 64) -> tuple[DataFrame, list[str]]:
     e = tables.vector_columns(t(spark, d, "embeddings"), "embedding", "e", p)
     return e, [f"e{j}" for j in range(p)]
 
@@ -606,9 +685,8 @@ def stable_logistic(spark, d):
 def stable_multinomial(spark, d):
     from .glm import StableL1Logistic
 
-    df, names = _wide(spark, d, 6)
-    df = df.withColumn("y", F.col("label") % 3)
-    return _coefficients(spark, StableL1Logistic(n_boots_sel=6, n_boots_est=6, n_C=6, multi_class="multinomial", random_state=SEED).fit(df, names, "y", "vec_id"))
+    df, names = _wide(spark, d)
+    return _coefficients(spark, StableL1Logistic(n_boots_sel=4, n_boots_est=4, n_C=4, multi_class="multinomial", random_state=SEED).fit(df, names, "label", "vec_id"))
 
 
 @query()
@@ -631,7 +709,7 @@ def distributed_poisson(spark, d):
 def stable_columns(spark, d):
     from .decomposition import StableColumns
 
-    df, names = _wide(spark, d, 64)
+    df, names = _wide(spark, d)
     model = StableColumns(6, 8, 0.8, 0.5, random_state=SEED).fit(df, names, ks=[4, 8], cs=[10, 12], id_col="vec_id")
     return spark.createDataFrame([(c,) for c in model.columns_], "column string")
 

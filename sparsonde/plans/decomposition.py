@@ -158,6 +158,23 @@ class NMFModel:
         return df.withColumn(output, F.array(*columns))
 
 
+def unit_bases(bases: np.ndarray) -> np.ndarray:
+    """The bases that aren't 0, of length 1."""
+    bases = bases[bases.any(axis=1)]
+    return bases / np.linalg.norm(bases, axis=1, keepdims=True)
+
+
+def consensus(bases: np.ndarray, labels: np.ndarray, middle: Callable | None = None) -> np.ndarray:
+    """The mean (or ``middle``) of each cluster's bases, of length 1, by label; -1 is no cluster."""
+    means = np.array([(middle or (lambda h: h.mean(axis=0)))(bases[labels == c]) for c in sorted(set(labels.tolist()) - {-1})]).reshape(-1, bases.shape[1])
+    return means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
+
+
+def choose_rank(apart: Sequence[float], ranks: Sequence[int]) -> int:
+    """The rank whose bases agree best; of equal ones the first."""
+    return ranks[int(np.argmin(apart))]
+
+
 class StableNMF(Params):
     """Bases that recur over bootstraps: factorise resamples at each rank, choose the rank whose bases agree best, cluster and average them.
 
@@ -204,16 +221,13 @@ class StableNMF(Params):
         if self.use_dissimilarity:
             b = self.n_boots
             apart = [2 * sum(kernels.dissimilarity(of[k][i], of[k][j]) for i in range(b) for j in range(i)) / (b * (b - 1)) for k in ranks]
-            bases = np.vstack(of[ranks[int(np.argmin(apart))]])
+            bases = np.vstack(of[choose_rank(apart, ranks)])
         else:
             bases = np.vstack([h for k in ranks for h in of[k]])
-        bases = bases[bases.any(axis=1)]
-        bases = bases / np.linalg.norm(bases, axis=1, keepdims=True)
+        bases = unit_bases(bases)
         least = self.db_min_samples or max(self.n_boots // 2, 1)
         labels = (self.cluster or (lambda h: kernels.dbscan(h, self.db_eps, least)))(bases)
-        middle = self.cons_meth or (lambda h: h.mean(axis=0))
-        means = np.array([middle(bases[labels == c]) for c in sorted(set(labels.tolist()) - {-1})]).reshape(-1, len(features))
-        means = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
+        means = consensus(bases, np.asarray(labels), self.cons_meth)
         log.info("%d bases in %d clusters", len(bases), len(means))
         return NMFModel(features, means, bases_samples_=bases, bases_samples_labels_=labels, dissimilarity_=apart, ranks_=ranks)
 

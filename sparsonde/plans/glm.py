@@ -7,6 +7,7 @@ advance in step (``DistributedPath``).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ from sparsonde.operators.resample import cutoffs, hash_array, seed_of, with_row_
 from .linear import LinearModel, Params, information_criteria
 
 BLOCK_MB = 256
+#: Models of which one pass sums up gradients and Gram matrices.
+MODELS_AT_ONCE = 256
 
 
 class LogisticModel:
@@ -157,12 +160,9 @@ class StableL1Logistic(_Stable):
         return coef, b
 
     def _alone(self, y) -> np.ndarray:
-        """Intercepts without features: the logit of the share, or the logarithms of the shares (absent classes 1e-10), the largest 0."""
         if self._outputs == 1:
-            q = np.clip(y.mean(), 1e-10, 1 - 1e-10)
-            return np.array([np.log(q / (1 - q))])
-        q = np.log(np.maximum(np.bincount(y, minlength=self._outputs) / len(y), 1e-10))
-        return q - q.max()
+            return np.array([kernels.intercept_alone(y.mean(), "logistic")])
+        return kernels.intercept_alone(np.bincount(y, minlength=self._outputs) / len(y), "multinomial")
 
     def _score(self, x, y, coef, intercept, on) -> float:
         eta = x @ coef.T + intercept
@@ -198,8 +198,8 @@ class StableL1Logistic(_Stable):
         settings = list(self.Cs) if self.Cs is not None else grids.logistic_grid(self._start_gradient(x, y), self.n_C, self.eps)
         coef, supports, scores = self._stable(df, x, y, ids, strata, settings, self._outputs, not self.shared_support)
         intercept = kernels.intercept_of_logistic(x @ coef.T, y) if self.fit_intercept else np.zeros(self._outputs)
-        coef = coef / std
-        return LogisticModel(features, coef, intercept - coef @ mean, classes, supports_=supports, scores_=scores, settings_=settings)
+        coef, intercept = fr.restored(coef, intercept, mean, std)
+        return LogisticModel(features, coef, intercept, classes, supports_=supports, scores_=scores, settings_=settings)
 
     def _start_gradient(self, x, y) -> np.ndarray:
         """Gradient of the coefficients at the intercept-only model."""
@@ -210,11 +210,12 @@ class StableL1Logistic(_Stable):
     def _fit_distributed(self, data, features, id_col, mean, std, classes, counts, stratify) -> LogisticModel:
         if self._outputs > 1:
             raise ValueError(f"multinomial models need data within block_mb={self.block_mb}; raise it or use fewer rows")
-        fit = DistributedPath("logistic", data, features, "y__", id_col, mean, std, self.fit_intercept, self.max_iter, self.tol)
-        coef, supports = fit.stable(self, stratify)
+        fit = DistributedPath("logistic", data, features, "y__", id_col, mean, std, self.fit_intercept, self.max_iter, self.tol, stratify)
+        coef, supports = fit.stable(self)
         intercept = fit.final_intercept(coef)
-        coef = coef / std
-        return LogisticModel(features, coef[None, :], np.array([intercept - coef @ mean]), classes, supports_=supports)
+        fit.df.unpersist()
+        coef, intercept = fr.restored(coef, intercept, mean, std)
+        return LogisticModel(features, coef[None, :], np.array([intercept]), classes, supports_=supports)
 
 
 class StablePoisson(_Stable):
@@ -240,7 +241,7 @@ class StablePoisson(_Stable):
         at = np.flatnonzero(on)
         coef = np.zeros((1, x.shape[1]))
         if not len(at):
-            return coef, float(np.log(y.mean())) if self.fit_intercept and y.any() else (-np.inf if self.fit_intercept else 0.0)
+            return coef, kernels.intercept_alone(y.mean(), "poisson") if self.fit_intercept else 0.0
         coef[0, at], b = kernels.fit_poisson(x[:, at], y, 0.0, 1.0, self.fit_intercept, solver=self.solver, max_iter=self.max_iter, tol=self.tol)
         return coef, b
 
@@ -265,24 +266,23 @@ class StablePoisson(_Stable):
         if stats.y_min < 0:
             raise ValueError("counts must not be negative")
         if stats.y_min == stats.y_max:
-            b = (np.log(stats.y_mean) if stats.y_mean > 0 else -np.inf) if self.fit_intercept else 0.0
+            b = kernels.intercept_alone(stats.y_mean, "poisson") if self.fit_intercept else 0.0
             return PoissonModel(features, np.zeros(p), b, supports_=np.zeros((0, p), bool))
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
         held = _block(df, [*features, label], id_col, stats.n, self.block_mb, stratify)
         if held is None:
-            fit = DistributedPath("poisson", df, features, label, id_col, mean, std, self.fit_intercept, self.max_iter, self.tol)
-            coef, supports = fit.stable(self, stratify)
+            fit = DistributedPath("poisson", df, features, label, id_col, mean, std, self.fit_intercept, self.max_iter, self.tol, stratify)
+            coef, supports = fit.stable(self)
             b = fit.final_intercept(coef)
-            coef = coef / std
-            return PoissonModel(features, coef, b - coef @ mean, supports_=supports)
+            fit.df.unpersist()
+            return PoissonModel(features, *fr.restored(coef, b, mean, std), supports_=supports)
         ids, block, strata = held
         x, y = (block[:, :-1] - mean) / std, block[:, -1]
         settings = grids.poisson_grid(x.T @ (y - y.mean()) / len(y), list(self.alphas), self.n_lambdas, self.eps)
         coef, supports, scores = self._stable(df, x, y, ids, strata, settings, 1, False)
         b = float(np.log(y.mean() / np.exp(np.clip(x @ coef[0], -700, kernels.ETA)).mean())) if self.fit_intercept else 0.0
-        coef = coef[0] / std
-        return PoissonModel(features, coef, b - coef @ mean, supports_=supports, scores_=scores, settings_=settings)
+        return PoissonModel(features, *fr.restored(coef[0], b, mean, std), supports_=supports, scores_=scores, settings_=settings)
 
 
 class DistributedPath:
@@ -292,29 +292,39 @@ class DistributedPath:
     coefficients, so only boots * (p + 1)^2 numbers per task move. The quadratic is minimised by coordinate descent on the driver.
     """
 
-    def __init__(self, family, df, features, label, id_col, mean, std, intercept, max_iter, tol) -> None:
+    def __init__(self, family, df, features, label, id_col, mean, std, intercept, max_iter, tol, stratum=None) -> None:
         self.family, self.features, self.label, self.id_col = family, features, label, id_col
-        self.df = df.select(id_col, *features, label)
+        self.stratum = stratum
+        # Each step reads the rows anew: they are joined and encoded once, and kept for as long as the fit runs.
+        self.df = df.select(id_col, *features, label, *([F.col(stratum).alias("stratum__")] if stratum else [])).persist()
         self.mean, self.std, self.intercept, self.max_iter, self.tol = mean, std, intercept, max_iter, tol
 
     def _cuts(self, boots, fraction, seed):
-        return {r["boot"]: (r["cut_h"], r["cut_id"]) for r in cutoffs(self.df, self.id_col, boots, fraction, seed).collect()}
+        stratum = "stratum__" if self.stratum else None
+        return {(r["boot"], r["stratum"] if stratum else None): (r["cut_h"], r["cut_id"]) for r in cutoffs(self.df, self.id_col, boots, fraction, seed, stratum).collect()}  # a row per boot and stratum
 
-    def _sums(self, coefs: dict[int, np.ndarray], cuts: dict, seed: int, side: str = "train") -> dict[int, tuple[float, float, np.ndarray, np.ndarray]]:
-        """Of each boot: rows, log-likelihood sum, gradient and weighted Gram matrix of (features, 1)."""
+    def _sums(self, coefs: dict, cuts: dict, seed: int, side: str = "train") -> dict:
+        """Of each model (a boot, or a boot and more): rows, log-likelihood sum, rows whose class is right, gradient and weighted Gram matrix of (features, 1)."""
+        stratum = "stratum__" if self.stratum else None
+        models = list(coefs)
         names, mean, std, family, id_col = [*self.features, self.label], self.mean, self.std, self.family, self.id_col
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = len(names)
-            sums = {b: np.zeros(2 + k + k * k) for b in coefs}
+            sums = {m: np.zeros(3 + k + k * k) for m in models}
             for batch in batches:
                 v = suffstats.matrix(batch, names)
                 x, y = np.column_stack([(v[:, 1:-1] - mean) / std, v[:, 0]]), v[:, -1]
                 ids = batch.column(id_col).cast(pa.int64()).to_numpy()
-                for b, coef in coefs.items():
-                    h = hash_array(ids, b, seed)
-                    ch, ci = cuts.get(b, (-1, -1))
-                    test = (h < ch) | ((h == ch) & (ids <= ci))
+                strata, place = suffstats.strata_of(batch, stratum) if stratum else ([None], np.zeros(len(ids), np.int64))
+                tests: dict[int, np.ndarray] = {}
+                for m, coef in coefs.items():
+                    b = m[0] if isinstance(m, tuple) else m
+                    if b not in tests:
+                        h = hash_array(ids, b, seed)
+                        ch, ci = np.array([cuts.get((b, s), (-1, -1)) for s in strata]).T[:, place]
+                        tests[b] = (h < ch) | ((h == ch) & (ids <= ci))
+                    test = tests[b]
                     at = test if side == "test" else ~test if side == "train" else np.ones(len(ids), bool)
                     xb, yb = x[at], y[at]
                     eta = np.clip(xb @ coef, -kernels.ETA, kernels.ETA)
@@ -324,8 +334,9 @@ class DistributedPath:
                     else:
                         mu = np.exp(eta)
                         w, ll = mu, (yb * eta - mu).sum()
-                    sums[b] += np.r_[len(yb), ll, xb.T @ (yb - mu), ((xb * w[:, None]).T @ xb).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["boot", "sums"])
+                    right = ((eta > 0) == (yb == 1)).sum() if family == "logistic" else 0
+                    sums[m] += np.r_[len(yb), ll, right, xb.T @ (yb - mu), ((xb * w[:, None]).T @ xb).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int64()), pa.array([sums[m].tobytes() for m in models], pa.binary())], ["boot", "sums"])
 
         def add(batches):
             total: dict[int, np.ndarray] = {}
@@ -339,18 +350,18 @@ class DistributedPath:
         k = len(names)
         for r in rows:
             s = np.frombuffer(bytes(r["sums"]))
-            out[r["boot"]] = (s[0], s[1], s[2 : 2 + k], s[2 + k :].reshape(k, k))
+            out[models[r["boot"]]] = (s[0], s[1], s[2], s[3 : 3 + k], s[3 + k :].reshape(k, k))
         return out
 
-    def _fit(self, start, lam, ratio, cuts, seed, mask=None):
-        """Coefficients (features, intercept) of every boot at one setting, warm-started."""
+    def _fit(self, start, lam, ratio, cuts, seed, masks=None):
+        """Coefficients (features, intercept) of every model at one setting, warm-started; ``masks``: of each model its support. One aggregate over all rows per step, for all of them."""
         p = len(self.features)
         coefs, active = {b: c.copy() for b, c in start.items()}, set(start)
-        for _ in range(min(self.max_iter, 50)):
+        for _ in range(self.max_iter):
             sums = self._sums({b: coefs[b] for b in active}, cuts, seed)
-            for b, (n, _, grad, gram) in sums.items():
+            for b, (n, _, _, grad, gram) in sums.items():
                 g, h = grad / n, gram / n + 1e-10 * np.eye(p + 1)
-                at = np.arange(p) if mask is None else np.flatnonzero(mask)
+                at = np.arange(p) if masks is None else np.flatnonzero(masks[b])
                 c = h @ coefs[b] + g
                 if self.intercept:
                     hh, hv = h[p, p], h[p, at]
@@ -367,21 +378,22 @@ class DistributedPath:
                     active.discard(b)
             if not active:
                 break
+        else:
+            warnings.warn(f"{len(active)} of {len(start)} models still move after {self.max_iter} steps", RuntimeWarning, stacklevel=2)
         return coefs
 
-    def stable(self, model, stratify=None) -> tuple[np.ndarray, np.ndarray]:
-        if stratify:
-            raise ValueError("stratify needs data within block_mb")
+    def stable(self, model) -> tuple[np.ndarray, np.ndarray]:
         p, seed = len(self.features), seed_of(model.random_state)
         zero = np.zeros(p + 1)
-        n, _, grad, gram = self._sums({0: zero}, {}, seed, "all")[0]
+        n, _, _, grad, gram = self._sums({0: zero}, {}, seed, "all")[0]
         share = 0.5 + grad[p] / n if self.family == "logistic" else 1 + grad[p] / n
         if self.intercept:
             zero[p] = np.log(share / (1 - share)) if self.family == "logistic" else np.log(share)
-        top = self._sums({0: zero}, {}, seed, "all")[0][2][:p] / n
-        ratios = [1.0] if self.family == "logistic" else list(model.alphas)
-        count = model.n_C if self.family == "logistic" else model.n_lambdas
-        settings = grids.elastic_net_grid(top, ratios, count, model.eps)
+        top = self._sums({0: zero}, {}, seed, "all")[0][3][:p] / n
+        if self.family == "logistic":
+            settings = [(1 / c, 1.0) for c in (grids.logistic_grid(top, model.n_C, model.eps) if model.Cs is None else model.Cs)]
+        else:
+            settings = grids.poisson_grid(top, list(model.alphas), model.n_lambdas, model.eps)
         cuts = self._cuts(model.n_boots_sel, model.selection_frac, seed)
         now, rows = {b: zero.copy() for b in range(model.n_boots_sel)}, []
         for i, (lam, ratio) in enumerate(settings):
@@ -393,15 +405,17 @@ class DistributedPath:
         cuts = self._cuts(model.n_boots_est, model.estimation_frac, seed + 1)
         use = model.estimation_target or ("train" if model.estimation_score in ("AIC", "AICc", "BIC") else "test")
         scores = []
-        for s, on in enumerate(supports):
-            fitted = self._fit({b: zero.copy() for b in range(model.n_boots_est)}, 0.0, 1.0, cuts, seed + 1, on)
-            for b, (n, ll, _, _) in self._sums(fitted, cuts, seed + 1, use).items():
+        every = [(b, s) for b in range(model.n_boots_est) for s in range(len(supports))]
+        for first in range(0, len(every), MODELS_AT_ONCE):  # what a task holds is a Gram matrix for each
+            some = every[first : first + MODELS_AT_ONCE]
+            fitted = self._fit({m: zero.copy() for m in some}, 0.0, 1.0, cuts, seed + 1, {m: supports[m[1]] for m in some})
+            for (b, s), (n, ll, right, _, _) in self._sums(fitted, cuts, seed + 1, use).items():
                 if model.estimation_score in ("AIC", "AICc", "BIC"):
-                    k = int(on.sum()) + (self.family == "poisson" and self.intercept)
+                    k = int(supports[s].sum()) + (self.family == "poisson" and self.intercept)
                     value = -information_criteria(ll, k, n)[model.estimation_score]
                 else:
-                    value = ll / max(n, 1)
-                scores.append((b, s, float(value), fitted[b][:p].tolist()))
+                    value = (right if model.estimation_score == "acc" else ll) / max(n, 1)
+                scores.append((b, s, float(value), fitted[b, s][:p].tolist()))
         table = self.df.sparkSession.createDataFrame(scores, "boot int, support_id int, score double, coefs array<double>")
         union = {r["feature"]: r["coef"] for r in stability.median_union(stability.best_supports(table)).collect()}
         return np.array([union[j] for j in range(p)]), supports
@@ -412,7 +426,7 @@ class DistributedPath:
             return 0.0
         c = np.r_[coef, 0.0]
         for _ in range(50):
-            n, _, grad, gram = self._sums({0: c}, {}, 1, "all")[0]
+            n, _, _, grad, gram = self._sums({0: c}, {}, 1, "all")[0]
             step = float(np.clip(grad[-1] / max(gram[-1, -1], 1e-12), -2, 2))
             c[-1] += step
             if abs(step) < 1e-9:
@@ -441,8 +455,7 @@ class PoissonGLM(Params):
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
         coef, b = kernels.fit_poisson((block[:, :p] - mean) / std, block[:, p], self.alpha, self.l1_ratio, self.fit_intercept, block[:, p + 1] if weight else None, self.solver, max_iter=self.max_iter, tol=self.tol)
-        coef = coef / std
-        return PoissonModel(features, coef, b - coef @ mean)
+        return PoissonModel(features, *fr.restored(coef, b, mean, std))
 
 
 class MaskedLogistic(Params):
@@ -481,5 +494,4 @@ class MaskedLogistic(Params):
             coef, b = np.zeros((outputs, p)), kernels.intercept_of_logistic(np.zeros((len(y), outputs)), y) if self.fit_intercept else np.zeros(outputs)
         else:
             coef, b = kernels.fit_logistic(x, y, len(classes), self.penalty, self.C, self.fit_intercept, mask, s, max_iter=self.max_iter, tol=self.tol, multinomial=outputs > 1)
-        coef = coef / std
-        return LogisticModel(features, coef, b - coef @ mean, classes)
+        return LogisticModel(features, *fr.restored(coef, b, mean, std), classes)

@@ -107,7 +107,7 @@ class StableElasticNet(Params):
         full = frame.stats()
         p = len(features)
         if full.y_min == full.y_max:
-            return LinearModel(features, np.zeros(p), full.y_mean if self.fit_intercept else 0.0, supports_=np.zeros((0, p), bool))
+            return LinearModel(features, np.zeros(p), kernels.intercept_alone(full.y_mean, "linear") if self.fit_intercept else 0.0, supports_=np.zeros((0, p), bool))
         used = fr.Stats(full.n, full.mean if self.fit_intercept else np.zeros(p), full.std, full.y_mean if self.fit_intercept else 0.0, full.y_std, full.y_min, full.y_max)
         if not self.standardize:
             used = fr.Stats(full.n, np.zeros(p), np.ones(p), 0.0, 1.0, full.y_min, full.y_max)
@@ -125,8 +125,8 @@ class StableElasticNet(Params):
         best = stability.best_supports(scores)
         union = {r["feature"]: r["coef"] for r in stability.median_union(best).collect()}
         coef = np.array([union[j] for j in range(p)])
-        coef = coef * used.y_std / used.std
-        intercept = full.y_mean - full.mean @ coef if self.fit_intercept else 0.0
+        coef, intercept = fr.restored(coef, full.y_mean, full.mean, used.std, used.y_std)
+        intercept = intercept if self.fit_intercept else 0.0
         return LinearModel(features, coef, intercept, supports_=supports, settings_=settings, scores_=scores, coefs_=coefs, best_=best)
 
     def _paths(self, grams: DataFrame, settings: list[tuple[float, float]]) -> DataFrame:

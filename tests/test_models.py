@@ -178,7 +178,7 @@ def test_splits_are_exact_and_portable(spark):
         assert test == set(np.lexsort((np.arange(997), h[b]))[:200].tolist())
     by = resample.split(df, "id", 2, 0.9, 5, "g").groupBy("boot", "g").agg(F.count_if(~F.col("is_train")).alias("n")).collect()
     assert {(r.g, r.n) for r in by} == {(0, 34), (1, 34), (2, 34)}
-    assert resample.with_row_id(spark.createDataFrame([(3,), (1,)], "x long"), ["x"]).orderBy("row_id").first().x == 1
+    assert sorted(x.row_id for x in resample.with_row_id(spark.createDataFrame([(3,), (1,)], "x long"), ["x"]).collect()) == [0, 1]
 
 
 def test_intersections(spark):
@@ -199,6 +199,24 @@ def test_sources(spark, tmp_path):
     assert got == {1: (2.0, 0.0, 3.0, "a"), 2: (0.0, 1.0, 0.0, "b")}
 
 
+def test_row_ids_follow_content(spark):
+    rows = [(float(i % 7), float(i * i % 31)) for i in range(300)]
+    ids = lambda parts: sorted(map(tuple, resample.with_row_id(spark.createDataFrame(rows, "x double, y double").repartition(parts), ["x", "y"]).collect()))
+    assert ids(1) == ids(5) and sorted(x[2] for x in ids(3)) == list(range(300))
+
+
+@pytest.mark.parametrize("stratify", [None, "s"])
+def test_distributed_logistic_equals_the_block(spark, stratify):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 4))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 2 * x[:, 2])))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(v), f"s{i % 3}") for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, d double, y int, s string")
+    fit = lambda mb: StableL1Logistic(n_boots_sel=4, n_boots_est=4, Cs=[20.0, 100.0], tol=1e-7, random_state=2, block_mb=mb).fit(df, list("abcd"), "y", "id", stratify)
+    block, spread = fit(256), fit(0)
+    assert np.array_equal(block.supports_, spread.supports_)
+    assert np.allclose(block.coef_, spread.coef_, atol=1e-3) and np.allclose(block.intercept_, spread.intercept_, atol=1e-3)
+
+
 def test_streams(spark, tmp_path):
     from sparsonde.streaming import scoring
 
