@@ -34,6 +34,8 @@ ANSWER_WORDS, ANSWER = 8, 0.75
 MAX_DF, LEAST = 0.05, 8
 #: Passages that share a run of so many words with a piece (the whole piece, if it is shorter) are its candidates whatever their cosine.
 RUN = 6
+#: Words summed up at a time, so that their vectors stay in the cache.
+AT_ONCE = 4096
 #: Different words of a benchmark, which are broadcast.
 MOST_WORDS = 10_000_000
 
@@ -146,7 +148,14 @@ def _projected(f: np.ndarray, block: np.ndarray, base: np.ndarray, basis: np.nda
     if len(hit):
         b = block[hit]
         start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        out[b[start]] = np.add.reduceat(basis[f[hit]], start, axis=0)
+        size = np.diff(np.r_[start, len(hit)])
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        sums = basis[f[hit[start]]]
+        for k in range(1, int(size[0])):  # the k-th word of all blocks that have one: short enough for the cache
+            m = int(np.searchsorted(-size, -k))
+            sums[:m] += basis[f[hit[start[:m] + k]]]
+        out[b[start]] = sums
     more = np.ones(n, bool)
     more[base[1:][base[1:] > base[:-1]] - 1] = False
     both = out.copy()
@@ -170,9 +179,10 @@ def _cross_products(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, ra
                 block, base = _layout(w)
                 y, more = _projected(f, block, base, weighted)
                 y[1:][more[:-1]] += y[:-1][more[:-1]].copy()  # a block is in its own passage and in the one before
-                hit = np.flatnonzero(f >= 0)
-                if len(hit):
-                    hit = hit[np.argsort(f[hit], kind="stable")]
+                every = np.flatnonzero(f >= 0)
+                every = every[np.argsort(f[every], kind="stable")]
+                for at in range(0, len(every), AT_ONCE):
+                    hit = every[at : at + AT_ONCE]
                     start = np.flatnonzero(np.r_[True, np.diff(f[hit]) != 0])
                     z[f[hit][start]] += np.add.reduceat(y[block[hit]], start, axis=0) * weight[f[hit][start], None]
         parts = range(0, len(z), run_of)
