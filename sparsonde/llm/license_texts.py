@@ -57,20 +57,20 @@ TEXTS = {
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
 }
 
-#: Sentences that name a licence.
+#: Sentences that name a licence; what follows a / tells apart templates of one licence.
 NOTICES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "MIT-notice": "Released under the MIT License",
-    "MIT-notice-2": "This project is licensed under the MIT License",
-    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-NC-4.0-notice-2": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "CC-BY-NC-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
-    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0",
+    "MIT/notice": "Released under the MIT License",
+    "MIT/notice 2": "This project is licensed under the MIT License",
+    "BSD/notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2",
+    "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-4.0/notice 2": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
 TEMPLATES = TEXTS | NOTICES

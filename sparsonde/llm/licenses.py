@@ -46,7 +46,7 @@ class Templates:
     """Shingle sets of the templates and their minima, by window size."""
 
     def __init__(self, texts: dict[str, str], contained: float = CONTAINED, missed: float = MISSED) -> None:
-        self.names, self.contained = list(texts), contained
+        self.names, self.contained = [n.split("/")[0] for n in texts], contained
         self.sets = [np.unique(window_hashes(_text_words(t), SHINGLE)) for t in texts.values()]
         self.words = [len(_text_words(t)) for t in texts.values()]
         if short := [n for n, s in zip(self.names, self.sets, strict=True) if not len(s)]:
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
 
     licenses: names of the templates found, sorted. spans: (name, first word, last word + 1, containment) of each, windows that
     overlap merged, with their best containment. Null, empty and short texts have none. Templates (name -> text of five words or
-    more) are broadcast: MOST_WORDS words at most, which is checked.
+    more; what follows a / in a name isn't part of the licence's) are broadcast: MOST_WORDS words at most, which is checked.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, contained))
