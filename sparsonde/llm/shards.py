@@ -1,7 +1,8 @@
 """Token ids in training order, as fixed-stride shards.
 
-Documents become sequences of LENGTH token ids (the last one padded). Every sequence has a number from 0 to N - 1, and a keyed
-Feistel permutation of that range, with cycle-walking, gives its slot. Slots are range-partitioned into shards of SHARD
+Documents become sequences of LENGTH token ids (the last one padded). Every sequence has a number from 0 to N - 1, by doc_id,
+text and place in the text, however the input is split, and a keyed Feistel permutation of that range, with cycle-walking, gives
+its slot. Slots are range-partitioned into shards of SHARD
 slots each, sorted, and written as records of one size: slot s is record s % SHARD of shard s // SHARD, at a known offset.
 Spark's own writer makes the files, so they can lie in any store and a task that runs twice leaves one copy.
 """
@@ -19,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -29,6 +30,8 @@ LENGTH, SHARD, EOS = 512, 4096, 50256
 #: Fixed value: the usual splitting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
+#: A shard is one file, written by one task and read in one piece.
+SHARD_BYTES = 64 << 20
 
 
 @dataclass
@@ -78,7 +81,8 @@ def sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, eos: int =
     """(doc_id, part, n_tokens, ids, task, row): the sequences of each text's tokens and the end mark; ``ids`` are ``length`` 16-bit ids.
 
     ``ranks_file``: a byte-level BPE vocabulary as ranks, on the driver; its ids must be below 65,536. A null or empty text has
-    the end mark alone. ``task`` and ``row`` say where a sequence was made; they number it.
+    the end mark alone. Rows are dealt by ranges of doc_id and then of a hash of the text, so ``task`` and ``row`` number the
+    sequences in that order; equal rows of one id are alike and may be dealt to several ranges.
     """
     docs.sparkSession.sparkContext.addFile(ranks_file)
     name = ranks_file.rsplit("/", 1)[-1]
@@ -110,14 +114,19 @@ def sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, eos: int =
                 made += seqs
                 held, first, waiting = [], i + 1, 0
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, part long, n_tokens long, ids binary, task long, row long")
+    dealt = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange("doc_id", "hash", F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    return dealt.mapInArrow(run, f"doc_id {kind}, part long, n_tokens long, ids binary, task long, row long")
 
 
 def write_shards(docs: DataFrame, ranks_file: str, path: str, key: int = 20240611, length: int = LENGTH, shard: int = SHARD, eos: int = EOS) -> DataFrame:
     """Writes the shards and their manifest below ``path``; returns doc_id, part, n_tokens, slot, shard and offset of each sequence.
 
-    doc_id is carried, not used: rows may repeat, and null ids are written like others. No rows: no shards, N = 0.
+    Sequences are numbered by doc_id (null first), then by a hash of the text: the same rows get the same slots however they are
+    split. Rows may repeat, and null ids are written like others. No rows: no shards, N = 0. A shard of over SHARD_BYTES raises.
     """
+    if shard * (2 * length + 1) > SHARD_BYTES:
+        raise ValueError(f"a shard of {shard} records of {length} ids is larger than {SHARD_BYTES} bytes")
     spark = docs.sparkSession
     made_at = store.new_path(spark, "sequences")
     made = store.written(sequences(docs, ranks_file, length, eos), "sequences", made_at)
@@ -156,20 +165,33 @@ def _ordered(placed: DataFrame, total: int, shard: int) -> str:
     return path
 
 
-def read_manifest(path: str) -> Manifest:
-    return Manifest(**json.loads(next(Path(path, "manifest").glob("part-*")).read_text()))
+def read_manifest(path: str, spark: SparkSession | None = None) -> Manifest:
+    if spark is None:
+        return Manifest(**json.loads(next(Path(path, "manifest").glob("part-*")).read_text()))
+    folder = f"{path}/manifest"
+    return Manifest(**json.loads(store.read_bytes(spark, f"{folder}/{_part(store.names(spark, folder))}")))
 
 
-def read_slots(path: str, start: int, count: int) -> Iterator[np.ndarray]:
-    """The ids of slots ``start`` .. ``start + count`` of a local copy of the shards, in order: a reader resumes at any slot."""
-    m = read_manifest(path)
+def _part(names: list[str]) -> str:
+    return next(x for x in names if x.startswith("part-"))
+
+
+def read_slots(path: str, start: int, count: int, spark: SparkSession | None = None) -> Iterator[np.ndarray]:
+    """The ids of slots ``start`` .. ``start + count``, in order: a reader resumes at any slot.
+
+    ``path`` is a local copy of the shards or, with ``spark``, a folder of any store that the session can open.
+    """
+    m = read_manifest(path, spark)
     at, stop = start, min(start + count, m.sequences)
     while at < stop:
         k, i = divmod(at, m.shard)
-        file = next(Path(path, "shards", f"shard={k}").glob("part-*"))
+        folder = f"{path}/shards/shard={k}"
         n = min(stop - at, m.shard - i)
-        raw = np.fromfile(file, np.uint8, n * m.stride, offset=i * m.stride).reshape(n, m.stride)
-        yield from np.ascontiguousarray(raw[:, :-1]).view(np.uint16)
+        if spark is None:
+            raw = np.fromfile(next(Path(folder).glob("part-*")), np.uint8, n * m.stride, offset=i * m.stride)
+        else:
+            raw = np.frombuffer(store.read_bytes(spark, f"{folder}/{_part(store.names(spark, folder))}", i * m.stride, n * m.stride), np.uint8)
+        yield from np.ascontiguousarray(raw.reshape(n, m.stride)[:, :-1]).view(np.uint16)
         at += n
 
 

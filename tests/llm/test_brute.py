@@ -339,6 +339,27 @@ def test_shards_round_trip(spark, corpus, tmp_path):
         assert [y for x in mine for y in seqs[x.slot][: x.n_tokens].tolist()] == [*t.encode(text).ids, shards.EOS]
     resumed = list(shards.read_slots(path, 21, 9))
     assert all((a == b).all() for a, b in zip(resumed, seqs[21:30], strict=True))
+    assert all((a == b).all() for a, b in zip(shards.read_slots(f"file:{path}", 21, 9, spark), seqs[21:30], strict=True))
+    order = shards.feistel(np.arange(len(place)), len(place), 20240611)  # of the sequences by doc_id and part
+    assert [x.slot for x in sorted(place, key=lambda x: (x.doc_id, x.part))] == order.tolist()
+
+
+@pytest.mark.parametrize("ways", [1, 5])
+def test_slots_do_not_depend_on_the_split(spark, tmp_path, ways):
+    rng = random.Random(8)
+    rows = [(None if i % 9 == 0 else i % 40, None if i % 31 == 0 else words(rng, rng.randrange(0, 90)), "s", "en") for i in range(200)]
+    rows += [(3, "again and again", "s", "en")] * 50  # repeated rows and ids
+    paths = [str(tmp_path / n) for n in "ab"]
+    shards.write_shards(table(spark, rows).coalesce(1), RANKS, paths[0], length=16, shard=64)
+    rng.shuffle(rows)
+    shards.write_shards(table(spark, rows).repartition(ways), RANKS, paths[1], length=16, shard=64)
+    first, second = (np.array(list(shards.read_slots(x, 0, 10**9))) for x in paths)
+    assert first.shape == second.shape and (first == second).all()
+
+
+def test_shards_of_many_bytes_raise(spark, tmp_path):
+    with pytest.raises(ValueError, match="larger"):
+        shards.write_shards(table(spark, [(1, "a", "s", "en")]), RANKS, str(tmp_path / "x"), length=1 << 20, shard=4096)
 
 
 def test_mix_meets_targets(spark):
