@@ -111,7 +111,7 @@ def poisson_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float = 0.0, w
     return float(value), grad
 
 
-def _minimise(loss, w: np.ndarray, l1: float, penalised: int, max_iter: int, tol: float) -> np.ndarray:
+def minimise(loss, w: np.ndarray, l1: float, penalised: int, max_iter: int, tol: float) -> np.ndarray:
     def f(v, g):
         value, grad = loss(v)
         g[...] = grad
@@ -133,13 +133,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, penalty: str = "l1"
         sign = np.where(y == 1, 1.0, -1.0)
         m = None if mask is None else np.asarray(mask, float).reshape(p)
         w = np.zeros(p + intercept) if start is None else start
-        w = _minimise(lambda v: logistic_loss(v, x, sign, l2, m, weight), w, l1, p, max_iter, tol)
+        w = minimise(lambda v: logistic_loss(v, x, sign, l2, m, weight), w, l1, p, max_iter, tol)
         coef = w[:p] * (m if m is not None else 1.0)
         return coef[None, :], w[p:] if intercept else np.zeros(1)
     onehot = np.eye(classes)[y]
     m = None if mask is None else np.asarray(mask, float).T
     w = np.zeros((p + intercept, classes)) if start is None else start
-    w = _minimise(lambda v: multinomial_loss(v.reshape(-1, classes), x, onehot, l2, m, weight), w, l1, p * classes, max_iter, tol)
+    w = minimise(lambda v: multinomial_loss(v.reshape(-1, classes), x, onehot, l2, m, weight), w, l1, p * classes, max_iter, tol)
     coef = w[:p] * (m if m is not None else 1.0)
     return coef.T, w[p] if intercept else np.zeros(classes)
 
@@ -166,7 +166,7 @@ def fit_poisson(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, ratio: float =
         w = np.zeros(p + intercept) if start is None else start
         if intercept and start is None:
             w[p] = np.log(max(y.mean(), 1e-10))
-        w = _minimise(lambda v: poisson_loss(v, x, y, alpha * (1 - ratio), weight), w, alpha * ratio, p, max_iter, tol)
+        w = minimise(lambda v: poisson_loss(v, x, y, alpha * (1 - ratio), weight), w, alpha * ratio, p, max_iter, tol)
         return w[:p], float(w[p]) if intercept else 0.0
     if solver != "cd":
         raise ValueError(f"solver must be 'lbfgs' or 'cd', not {solver!r}")
@@ -296,6 +296,40 @@ def nmf(x: np.ndarray, rank: int, seed: int, loss: str = "kullback-leibler", max
     return w, h
 
 
+#: Largest count of a row in a resample whose counts are Poisson numbers; one in 10^15 is larger.
+MOST = 18
+_POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, MOST)]))
+
+
+def poisson_counts(u: np.ndarray) -> np.ndarray:
+    """Poisson numbers of mean 1 from uniform ones."""
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def nmf_weights(x: np.ndarray, h: np.ndarray, loss: str, steps: int) -> np.ndarray:
+    """W >= 0 with X about WH for a given H, by ``steps`` multiplicative updates from equal weights that keep each row's sum."""
+    tiny = 1e-12
+    w = np.repeat(x.sum(axis=1, keepdims=True) / max(h.sum(), tiny), len(h), axis=1)
+    for _ in range(steps):
+        if loss == "frobenius":
+            w *= (x @ h.T) / np.maximum(w @ (h @ h.T), tiny)
+        else:
+            w *= (x / np.maximum(w @ h, tiny)) @ h.T / np.maximum(h.sum(axis=1), tiny)
+    return w
+
+
+def nmf_sums(x: np.ndarray, w: np.ndarray, h: np.ndarray, times: np.ndarray, loss: str) -> np.ndarray:
+    """What these rows add to the error and to the numerator and denominator of H's update, as one flat array."""
+    tiny, r = 1e-12, times[:, None]
+    wh = np.maximum(w @ h, tiny)
+    if loss == "frobenius":
+        error, above, below = (r * (x - wh) ** 2).sum() / 2, (r * w).T @ x, (r * w).T @ wh
+    else:
+        error = (r * (np.where(x > 0, x * np.log(np.maximum(x, tiny) / wh), 0.0) - x + wh)).sum()
+        above, below = (r * w).T @ (x / wh), np.repeat((r * w).sum(axis=0)[:, None], x.shape[1], axis=1)
+    return np.r_[error, above.ravel(), below.ravel()]
+
+
 def dissimilarity(a: np.ndarray, b: np.ndarray) -> float:
     """1 - mean best cosine between the rows of two bases."""
     unit = lambda h: h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,21 @@ def matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([np.ones(batch.num_rows), *[batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names]]) if names else np.ones((batch.num_rows, 1))
 
 
+def summed(df: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Arrays by key, added up over all tasks: ``sums`` gives those of a task's batches. Only the arrays move, one of each key and task."""
+    table = lambda found: pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["key", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("key").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw)
+        yield table(total)
+
+    rows = df.mapInArrow(lambda batches: iter([table(sums(batches))]), "key long, sums binary").repartition("key").mapInArrow(add, "key long, sums binary").collect()  # a row per key
+    return {r["key"]: np.frombuffer(bytes(r["sums"])) for r in rows}
+
+
 def mean_loss(df: DataFrame, names: Sequence[str], loss) -> tuple[float, np.ndarray]:
     """Value and gradient of a mean loss over all rows: ``loss(matrix of names)`` gives those of a batch; tasks weigh them by rows and Spark adds them up."""
 

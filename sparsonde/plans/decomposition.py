@@ -178,10 +178,12 @@ def choose_rank(apart: Sequence[float], ranks: Sequence[int]) -> int:
 class StableNMF(Params):
     """Bases that recur over bootstraps: factorise resamples at each rank, choose the rank whose bases agree best, cluster and average them.
 
-    ``nmf(x, rank, seed, weight)``, ``cluster(bases)``, ``nnreg(gram, cross)`` and ``cons_meth(members)`` can be replaced.
+    ``nmf(x, rank, seed, weight)``, ``cluster(bases)``, ``nnreg(gram, cross)`` and ``cons_meth(members)`` can be replaced. A matrix of
+    up to ``block_mb`` goes to the tasks as one block. A larger one stays distributed: each update of H, for all boots and ranks, is
+    one aggregate, in which every row solves for its own weights; its rows' counts in a resample then are Poisson numbers.
     """
 
-    def __init__(self, n_boots=10, ranks=None, nmf_init="random", nmf_solver="mu", nmf_beta_loss="kullback-leibler", nmf_tol=1e-4, nmf_max_iter=400, db_eps=0.5, db_min_samples=None, db_metric="euclidean", use_dissimilarity=True, random_state=None, logger=None, nmf=None, cluster=None, nnreg=None, cons_meth=None, block_mb=256) -> None:
+    def __init__(self, n_boots=10, ranks=None, nmf_init="random", nmf_solver="mu", nmf_beta_loss="kullback-leibler", nmf_tol=1e-4, nmf_max_iter=400, db_eps=0.5, db_min_samples=None, db_metric="euclidean", use_dissimilarity=True, random_state=None, logger=None, nmf=None, cluster=None, nnreg=None, cons_meth=None, block_mb=256, inner=30) -> None:
         for k in self.__init__.__code__.co_varnames[1 : self.__init__.__code__.co_argcount]:
             setattr(self, k, locals()[k])
         if use_dissimilarity and n_boots == 1:
@@ -195,13 +197,30 @@ class StableNMF(Params):
         fr.check(df, features, None)
         fr.check_non_negative(df, features)
         ranks = rank_list(self.ranks, len(features))
-        n = df.count()
-        if n * len(features) * 8 > self.block_mb * 2**20:
-            raise ValueError(f"the matrix is larger than block_mb={self.block_mb}")
+        seed = seed_of(self.random_state)
+        if df.count() * len(features) * 8 > self.block_mb * 2**20:
+            of = self._distributed(df, features, id_col, ranks, seed)
+        else:
+            of = self._block(df, features, id_col, ranks, seed)
+        apart = None
+        if self.use_dissimilarity:
+            b = self.n_boots
+            apart = [2 * sum(kernels.dissimilarity(of[k][i], of[k][j]) for i in range(b) for j in range(i)) / (b * (b - 1)) for k in ranks]
+            bases = np.vstack(of[choose_rank(apart, ranks)])
+        else:
+            bases = np.vstack([h for k in ranks for h in of[k]])
+        bases = unit_bases(bases)
+        least = self.db_min_samples or max(self.n_boots // 2, 1)
+        labels = (self.cluster or (lambda h: kernels.dbscan(h, self.db_eps, least)))(bases)
+        means = consensus(bases, np.asarray(labels), self.cons_meth)
+        log.info("%d bases in %d clusters", len(bases), len(means))
+        return NMFModel(features, means, bases_samples_=bases, bases_samples_labels_=labels, dissimilarity_=apart, ranks_=ranks)
+
+    def _block(self, df: DataFrame, features: list[str], id_col: str | None, ranks: list[int], seed: int) -> dict[int, list[np.ndarray]]:
+        """The bases of each rank's boots, a task per rank and boot."""
         rows = df.select(*([id_col] if id_col else []), *features).toArrow()
         x = np.column_stack([rows[c].cast(pa.float64()).to_numpy() for c in features])
         x = x[np.argsort(rows[id_col].to_numpy(), kind="stable")] if id_col else x[np.lexsort(x.T[::-1])]
-        seed = seed_of(self.random_state)
         shared = df.sparkSession.sparkContext.broadcast(x)
         loss, steps, tol = self.nmf_beta_loss, self.nmf_max_iter, self.nmf_tol
         factor = self.nmf or (lambda x, rank, seed, weight: kernels.nmf(x, rank, seed, loss, steps, tol, weight)[1])
@@ -216,20 +235,49 @@ class StableNMF(Params):
 
         tasks = df.sparkSession.createDataFrame([(b, k) for k in ranks for b in range(self.n_boots)], "boot int, rank int").repartition(len(ranks) * self.n_boots, "boot", "rank")
         found = tasks.mapInPandas(run, "rank int, boot int, comp int, basis array<double>").toPandas().sort_values(["rank", "boot", "comp"])
-        of = {k: [np.array(g["basis"].tolist()) for _, g in f.groupby("boot")] for k, f in found.groupby("rank")}
-        apart = None
-        if self.use_dissimilarity:
-            b = self.n_boots
-            apart = [2 * sum(kernels.dissimilarity(of[k][i], of[k][j]) for i in range(b) for j in range(i)) / (b * (b - 1)) for k in ranks]
-            bases = np.vstack(of[choose_rank(apart, ranks)])
-        else:
-            bases = np.vstack([h for k in ranks for h in of[k]])
-        bases = unit_bases(bases)
-        least = self.db_min_samples or max(self.n_boots // 2, 1)
-        labels = (self.cluster or (lambda h: kernels.dbscan(h, self.db_eps, least)))(bases)
-        means = consensus(bases, np.asarray(labels), self.cons_meth)
-        log.info("%d bases in %d clusters", len(bases), len(means))
-        return NMFModel(features, means, bases_samples_=bases, bases_samples_labels_=labels, dissimilarity_=apart, ranks_=ranks)
+        return {k: [np.array(g["basis"].tolist()) for _, g in f.groupby("boot")] for k, f in found.groupby("rank")}
+
+    def _distributed(self, df: DataFrame, features: list[str], id_col: str | None, ranks: list[int], seed: int) -> dict[int, list[np.ndarray]]:
+        """The same of rows that stay where they are."""
+        if self.nmf:
+            raise ValueError(f"a factorisation of one's own takes a matrix of at most block_mb={self.block_mb}")
+        if id_col is None:
+            df, id_col = with_row_id(df, features), "row_id"
+        held = df.select(F.col(id_col).cast("long").alias("id__"), *features).persist()
+        loss, steps, p = self.nmf_beta_loss, self.inner, len(features)
+        models = [(k, b) for k in ranks for b in range(self.n_boots)]
+        mean = held.agg(F.avg(sum(F.col(c) for c in features))).first()[0] / p
+        bases = {i: np.abs(np.random.default_rng(seed + b * 100 + k).standard_normal((k, p))) * np.sqrt(max(mean, 1e-12) / k) for i, (k, b) in enumerate(models)}
+        first: dict[int, float] = {}
+        last: dict[int, float] = {}
+        active = set(bases)
+        for step in range(self.nmf_max_iter):
+            now = {i: bases[i] for i in active}
+
+            def run(batches: Iterator[pa.RecordBatch], now=now) -> dict[int, np.ndarray]:
+                sums = {i: np.zeros(1 + 2 * h.size) for i, h in now.items()}
+                for batch in batches:
+                    x, ids = suffstats.matrix(batch, features)[:, 1:], batch.column("id__").to_numpy()
+                    for i, h in now.items():
+                        times = kernels.poisson_counts(hash_array(ids, models[i][1], seed) / M)
+                        at = times > 0
+                        sums[i] += kernels.nmf_sums(x[at], kernels.nmf_weights(x[at], h, loss, steps), h, times[at], loss)
+                return sums
+
+            for i, s in suffstats.summed(held, run).items():
+                above, below = s[1:].reshape(2, *bases[i].shape)
+                bases[i] = bases[i] * above / np.maximum(below, 1e-12)
+                if step % 10 == 0:
+                    first.setdefault(i, s[0])
+                    if last.get(i, np.inf) - s[0] < self.nmf_tol * first[i]:
+                        active.discard(i)
+                    last[i] = s[0]
+            if not active:
+                break
+        held.unpersist()
+        if active:
+            (self.logger or logging.getLogger(__name__)).warning("%d of %d factorisations still move after %d steps", len(active), len(models), self.nmf_max_iter)
+        return {k: [bases[i] for i, m in enumerate(models) if m[0] == k] for k in ranks}
 
     def fit_transform(self, df: DataFrame, features: Sequence[str], **more) -> DataFrame:
         return self.fit(df, features).transform(df, solve=self.nnreg or kernels.nnls, **more)

@@ -309,7 +309,7 @@ class DistributedPath:
         models = list(coefs)
         names, mean, std, family, id_col = [*self.features, self.label], self.mean, self.std, self.family, self.id_col
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
             k = len(names)
             sums = {m: np.zeros(3 + k + k * k) for m in models}
             for batch in batches:
@@ -336,22 +336,10 @@ class DistributedPath:
                         w, ll = mu, (yb * eta - mu).sum()
                     right = ((eta > 0) == (yb == 1)).sum() if family == "logistic" else 0
                     sums[m] += np.r_[len(yb), ll, right, xb.T @ (yb - mu), ((xb * w[:, None]).T @ xb).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int64()), pa.array([sums[m].tobytes() for m in models], pa.binary())], ["boot", "sums"])
+            return {i: sums[m] for i, m in enumerate(models)}
 
-        def add(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for b, raw in zip(batch.column("boot").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                    total[b] = total.get(b, 0) + np.frombuffer(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["boot", "sums"])
-
-        rows = self.df.mapInArrow(run, "boot long, sums binary").repartition("boot").mapInArrow(add, "boot long, sums binary").collect()
-        out = {}
         k = len(names)
-        for r in rows:
-            s = np.frombuffer(bytes(r["sums"]))
-            out[models[r["boot"]]] = (s[0], s[1], s[2], s[3 : 3 + k], s[3 + k :].reshape(k, k))
-        return out
+        return {models[i]: (s[0], s[1], s[2], s[3 : 3 + k], s[3 + k :].reshape(k, k)) for i, s in suffstats.summed(self.df, run).items()}
 
     def _fit(self, start, lam, ratio, cuts, seed, masks=None):
         """Coefficients (features, intercept) of every model at one setting, warm-started; ``masks``: of each model its support. One aggregate over all rows per step, for all of them."""
@@ -434,38 +422,53 @@ class DistributedPath:
         return float(c[-1])
 
 
+def _over_rows(df: DataFrame, names: Sequence[str], loss, start: np.ndarray, l1: float, penalised: int, max_iter: int, tol: float) -> np.ndarray:
+    """The orthant-wise minimiser on rows that stay distributed: a loss and its gradient are one aggregate. ``loss(w, matrix of names)`` gives those of a batch."""
+    held = df.select(*names).persist()
+    try:
+        return kernels.minimise(lambda w: suffstats.mean_loss(held, names, lambda v, w=w.copy(): loss(w, v)), start, l1, penalised, max_iter, tol)
+    finally:
+        held.unpersist()
+
+
 class PoissonGLM(Params):
-    """One elastic-net Poisson model, ``alpha`` times the penalty."""
+    """One elastic-net Poisson model, ``alpha`` times the penalty. Data beyond ``block_mb`` stay distributed; either solver then is the orthant-wise one."""
 
-    def __init__(self, alpha=1.0, l1_ratio=1.0, fit_intercept=True, standardize=False, max_iter=1000, tol=1e-5, warm_start=False, solver="lbfgs") -> None:
+    def __init__(self, alpha=1.0, l1_ratio=1.0, fit_intercept=True, standardize=False, max_iter=1000, tol=1e-5, warm_start=False, solver="lbfgs", block_mb=BLOCK_MB) -> None:
         if solver not in ("lbfgs", "cd"):
             raise ValueError(f"solver must be 'lbfgs' or 'cd', not {solver!r}")
-        self.alpha, self.l1_ratio, self.fit_intercept, self.standardize, self.max_iter, self.tol, self.warm_start, self.solver = alpha, l1_ratio, fit_intercept, standardize, max_iter, tol, warm_start, solver
+        self.alpha, self.l1_ratio, self.fit_intercept, self.standardize, self.max_iter, self.tol, self.warm_start, self.solver, self.block_mb = alpha, l1_ratio, fit_intercept, standardize, max_iter, tol, warm_start, solver, block_mb
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, id_col: str | None = None) -> PoissonModel:
         fr.check(df, features, label)
         stats = fr.FeatureFrame(df, list(features), label, id_col or "").stats()
         names = [*features, label, *([weight] if weight else [])]
         ids = df if id_col else df.withColumn("id__", F.monotonically_increasing_id())
-        held = _block(ids, names, id_col or "id__", stats.n, BLOCK_MB, None)
-        if held is None:
-            raise ValueError("data beyond the block: use StablePoisson, or DistributedPath for one model")
-        _, block, _ = held
         p = len(features)
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
-        coef, b = kernels.fit_poisson((block[:, :p] - mean) / std, block[:, p], self.alpha, self.l1_ratio, self.fit_intercept, block[:, p + 1] if weight else None, self.solver, max_iter=self.max_iter, tol=self.tol)
+        held = _block(ids, names, id_col or "id__", stats.n, self.block_mb, None)
+        if held is not None:
+            block = held[1]
+            coef, b = kernels.fit_poisson((block[:, :p] - mean) / std, block[:, p], self.alpha, self.l1_ratio, self.fit_intercept, block[:, p + 1] if weight else None, self.solver, max_iter=self.max_iter, tol=self.tol)
+        elif stats.y_min == stats.y_max:
+            coef, b = np.zeros(p), float(kernels.intercept_alone(stats.y_mean, "poisson")) if self.fit_intercept else 0.0
+        else:
+            l2 = self.alpha * (1 - self.l1_ratio)
+            start = np.r_[np.zeros(p), [np.log(max(stats.y_mean, 1e-10))] if self.fit_intercept else []]
+            w = _over_rows(df, names, lambda w, v: kernels.poisson_loss(w, (v[:, :p] - mean) / std, v[:, p], l2, v[:, p + 1] if weight else None), start, self.alpha * self.l1_ratio, p, self.max_iter, self.tol)
+            coef, b = w[:p], float(w[p]) if self.fit_intercept else 0.0
         return PoissonModel(features, *fr.restored(coef, b, mean, std))
 
 
 class MaskedLogistic(Params):
-    """One logistic model whose coefficients outside a mask (outputs x features) stay 0."""
+    """One logistic model whose coefficients outside a mask (outputs x features) stay 0. Data beyond ``block_mb`` stay distributed."""
 
-    def __init__(self, penalty="l2", tol=1e-3, C=1.0, fit_intercept=True, standardize=False, class_weight=None, max_iter=10000, multi_class="auto", verbose=0, warm_start=False) -> None:
+    def __init__(self, penalty="l2", tol=1e-3, C=1.0, fit_intercept=True, standardize=False, class_weight=None, max_iter=10000, multi_class="auto", verbose=0, warm_start=False, block_mb=BLOCK_MB) -> None:
         if penalty not in ("l1", "l2"):
             raise ValueError(f"penalty must be 'l1' or 'l2', not {penalty!r}")
         fr.output_dim(2, multi_class)
-        self.penalty, self.tol, self.C, self.fit_intercept, self.standardize, self.class_weight, self.max_iter, self.multi_class, self.verbose, self.warm_start = penalty, tol, C, fit_intercept, standardize, class_weight, max_iter, multi_class, verbose, warm_start
+        self.penalty, self.tol, self.C, self.fit_intercept, self.standardize, self.class_weight, self.max_iter, self.multi_class, self.verbose, self.warm_start, self.block_mb = penalty, tol, C, fit_intercept, standardize, class_weight, max_iter, multi_class, verbose, warm_start, block_mb
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, coef_mask: np.ndarray | None = None) -> LogisticModel:
         features = list(features)
@@ -477,21 +480,39 @@ class MaskedLogistic(Params):
         outputs = fr.output_dim(len(classes), self.multi_class)
         data = fr.encoded(df, label, "y__").withColumn("id__", F.monotonically_increasing_id())
         stats = fr.FeatureFrame(data, features, "y__", "id__").stats()
-        held = _block(data, [*features, "y__", *([weight] if weight else [])], "id__", stats.n, BLOCK_MB, None)
-        if held is None:
-            raise ValueError("data beyond the block")
-        p, block = len(features), held[1]
+        names = [*features, "y__", *([weight] if weight else [])]
+        p, k = len(features), len(classes)
+        held = _block(data, names, "id__", stats.n, self.block_mb, None)
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
-        y = block[:, p].astype(int)
-        s = block[:, p + 1] if weight else np.ones(len(y))
+        each = np.ones(k)
         if self.class_weight is not None:
-            each = counts.sum() / (len(classes) * counts) if self.class_weight == "balanced" else np.array([self.class_weight.get(c, 1.0) for c in classes])
-            s = s * each[y]
+            each = counts.sum() / (k * counts) if self.class_weight == "balanced" else np.array([self.class_weight.get(c, 1.0) for c in classes])
         mask = None if coef_mask is None else np.asarray(coef_mask, bool).reshape(outputs, p)
-        x = (block[:, :p] - mean) / std
+
+        def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            y = v[:, p].astype(int)
+            return (v[:, :p] - mean) / std, y, each[y] * (v[:, p + 1] if weight else 1.0)
+
         if mask is not None and not mask.any():
-            coef, b = np.zeros((outputs, p)), kernels.intercept_of_logistic(np.zeros((len(y), outputs)), y) if self.fit_intercept else np.zeros(outputs)
+            coef, b = np.zeros((outputs, p)), np.zeros(outputs)
+            if self.fit_intercept:
+                share = counts / counts.sum()
+                b = np.atleast_1d(kernels.intercept_alone(share[1], "logistic") if outputs == 1 else kernels.intercept_alone(share, "multinomial"))
+        elif held is not None:
+            x, y, s = parts(held[1])
+            coef, b = kernels.fit_logistic(x, y, k, self.penalty, self.C, self.fit_intercept, mask, s, max_iter=self.max_iter, tol=self.tol, multinomial=outputs > 1)
         else:
-            coef, b = kernels.fit_logistic(x, y, len(classes), self.penalty, self.C, self.fit_intercept, mask, s, max_iter=self.max_iter, tol=self.tol, multinomial=outputs > 1)
+            strength = 0.0 if np.isinf(self.C) else 1.0 / self.C
+            l1, l2 = (strength, 0.0) if self.penalty == "l1" else (0.0, strength)
+            on = None if mask is None else mask.T.astype(float)  # features x outputs
+
+            def loss(w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
+                x, y, s = parts(v)
+                if outputs == 1:
+                    return kernels.logistic_loss(w, x, np.where(y == 1, 1.0, -1.0), l2, None if on is None else on[:, 0], s)
+                return kernels.multinomial_loss(w.reshape(-1, outputs), x, np.eye(outputs)[y], l2, on, s)
+
+            w = _over_rows(data, names, loss, np.zeros((p + self.fit_intercept) * outputs), l1, p * outputs, self.max_iter, self.tol).reshape(-1, outputs)
+            coef, b = (w[:p] * (1.0 if on is None else on)).T, w[p] if self.fit_intercept else np.zeros(outputs)
         return LogisticModel(features, *fr.restored(coef, b, mean, std), classes)

@@ -125,6 +125,25 @@ def test_masked_and_weighted(spark):
         MaskedLogistic(penalty="elastic")
 
 
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_single_models_beyond_the_block_are_the_same(spark, penalty):
+    df, _, _ = datasets.classification(spark, 300, 4, 4, 3, random_state=3, w_scale=3.0)
+    df = df.withColumn("w", 1 + F.col("row_id") % 3).repartition(3).cache()
+    mask = np.array([[1, 0, 1, 0], [0, 1, 1, 0], [1, 1, 0, 0]], bool)
+    two = df.withColumn("y", (F.col("y") == 1).cast("int"))
+    for rows, on in ((df, mask), (two, mask[:1]), (two, None), (two, np.zeros((1, 4), bool))):
+        fit = lambda mb, rows=rows, on=on: MaskedLogistic(penalty, 1e-6, 20.0, class_weight="balanced", standardize=True, block_mb=mb).fit(rows, names(4), "y", "w", on)
+        near, far = fit(256), fit(0)
+        assert np.abs(near.coef_ - far.coef_).max() < 1e-4
+        p, q = (m.transform(rows).select("row_id", "probability").orderBy("row_id").toPandas()["probability"] for m in (near, far))
+        assert np.abs(np.array(p.tolist()) - np.array(q.tolist())).max() < 1e-3
+    counts, _, _ = datasets.poisson_regression(spark, 400, 3, beta=[0.0, 1.0, 1.5], random_state=5, X_scale=0.5)
+    counts = counts.withColumn("w", 1 + F.col("row_id") % 3).cache()
+    fit = lambda mb: PoissonGLM(0.1, 1.0 if penalty == "l1" else 0.0, standardize=True, tol=1e-7, block_mb=mb).fit(counts, names(3), "y", "w")
+    near, far = fit(256), fit(0)
+    assert np.abs(near.coef_ - far.coef_).max() < 1e-4 and abs(near.intercept_ - far.intercept_) < 1e-4
+
+
 def test_poisson(spark):
     df, beta, _ = datasets.poisson_regression(spark, 1500, 3, beta=[0.0, 1.0, 1.5], random_state=5, X_scale=0.5)
     df = df.cache()
@@ -152,6 +171,23 @@ def test_columns(spark, linear):
         ColumnSubset(9).fit(df, names(8))
 
 
+@pytest.mark.parametrize("loss", ["kullback-leibler", "frobenius"])
+def test_factorisation_beyond_the_block(spark, loss):
+    rng = np.random.default_rng(4)
+    parts = np.array([[5, 4, 0, 0, 0, 1], [0, 0, 3, 6, 0, 1], [0, 1, 0, 0, 4, 5]], float)
+    x = rng.gamma(0.5, 1.0, (300, 3)) @ parts + rng.random((300, 6)) * 0.01
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], ["row_id", *names(6)]).repartition(3).cache()
+    fit = lambda mb, rows=df: StableNMF(3, [3], nmf_beta_loss=loss, db_eps=0.4, random_state=1, nmf_max_iter=120, block_mb=mb).fit(rows, names(6), "row_id")
+    far, again = fit(0), fit(0, df.repartition(5))
+    assert np.allclose(far.components_, again.components_, atol=1e-6)
+    unit = parts / np.linalg.norm(parts, axis=1, keepdims=True)
+    for m in (fit(256), far):
+        assert len(m.components_) == 3 and (m.components_ @ unit.T).max(axis=0).min() > 0.98
+        assert m.transform(df, error="err").select(F.sum("err")).first()[0] < 0.01 * (x**2).sum()
+    with pytest.raises(ValueError):
+        StableNMF(2, [2], nmf=lambda *a: a, block_mb=0).fit(df, names(6), "row_id")
+
+
 def test_factorisation(spark):
     images = datasets.parts_images(spark, 8, 2, 4)
     pixels = [c for c in images.columns if c != "row_id"]
