@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparsonde import functions as fn
 from sparsonde.operators import frame as fr
-from sparsonde.operators import grids, resample, stability
+from sparsonde.operators import density, grids, resample, stability
 from sparsonde.operators.resample import hash_sql
 from sparsonde.sources import tables
 
@@ -592,19 +592,7 @@ reach(x, c) AS (SELECT x, x FROM core UNION SELECT l.y, r.c FROM reach r JOIN li
 every AS (SELECT s_suppkey AS x, coalesce(comp.c, (SELECT min(k.c) FROM e JOIN comp k ON k.x = e.y WHERE e.x = s_suppkey)) AS c FROM supplier LEFT JOIN comp ON comp.x = s_suppkey)
 SELECT x AS s_suppkey, coalesce(c, -1) AS cluster FROM every""")
 def dbscan_components(spark, d):
-    from sparsonde.operators import kernels
-
-    rows = t(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").toPandas()
-    x = rows["s_acctbal"].to_numpy()
-    label = kernels.dbscan(x[:, None] - x.mean(), 40.0, 3)
-    keys = rows["s_suppkey"].to_numpy()
-    core = np.array([(np.abs(x - v) <= 40).sum() >= 3 for v in x])
-    first = {c: int(keys[(label == c) & core].min()) for c in set(label.tolist()) - {-1}}
-    out = []
-    for i, k in enumerate(keys):
-        near = [first[label[j]] for j in np.flatnonzero((np.abs(x - x[i]) <= 40) & core)]
-        out.append((int(k), min(near) if near else -1))
-    return spark.createDataFrame(out, "s_suppkey long, cluster long")
+    return density.dbscan(t(spark, d, "supplier"), "s_suppkey", "s_acctbal", 40.0, 3)
 
 
 _COUNTS = "SELECT u.user_id, k.k, (SELECT count(*) FROM events e WHERE e.user_id = u.user_id AND e.event_type = k.event_type)::DOUBLE AS x FROM (SELECT DISTINCT user_id FROM events) u, (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)) k"
