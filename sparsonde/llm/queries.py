@@ -80,9 +80,27 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_temporary(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op11_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import digested
+
+    return digested(_table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, scale=64, width=64, seed=1)
+
+
+def op12_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), lengths=(1, 1), buckets=10000, share=10, least_words=20, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": oracles.OP3, "op6_minhash_near_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8}
+    return {"op3_substring_dedup": oracles.OP3, "op6_minhash_near_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8, "op11_weighted_centroids": oracles.OP11, "op12_uniform_threshold_topk": oracles.OP12, "op13_importance_resampling": oracles.OP13}

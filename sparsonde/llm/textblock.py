@@ -91,8 +91,8 @@ def window_hashes(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.n
     return mix((sums[n:] - sums[:-n]) * powers(_inverse(base), len(h))[: len(h) - n + 1])
 
 
-def blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK) -> Iterator[Words]:
-    """The words of ``texts`` (string array, null: no text), block by block."""
+def blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK, between: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of ``texts`` (string array, null: no text), block by block; ``between``: of each byte whether it stands between words."""
     wide = pa.types.is_large_string(texts.type)
     if texts.null_count:
         texts = texts.fill_null("")
@@ -109,13 +109,13 @@ def blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK) -> Iterator
         data = every[offsets[first] : offsets[last]]
         if lower:
             data = LOWER[data]
-        yield words(data, offsets[first : last + 1] - offsets[first], first)
+        yield words(data, offsets[first : last + 1] - offsets[first], first, between)
         first = last
 
 
-def words(data: np.ndarray, ends: np.ndarray, first: int = 0) -> Words:
+def words(data: np.ndarray, ends: np.ndarray, first: int = 0, between: np.ndarray = SPACE) -> Words:
     rows = len(ends) - 1
-    solid = ~SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     stops = solid.copy()
