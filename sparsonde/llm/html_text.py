@@ -2,15 +2,18 @@
 
 The page becomes a DOM tree of all that is rendered. Each node gets its link-adjusted characters per tag, and the node whose
 children's densities have the largest sum is the core; while one child holds nearly all of its text, that child is. Within the
-core's subtree, and within the ``article`` element it lies in, every block is kept, lists of links too. Beside the way from there
-to the body, the lowest density on the way is the threshold: what is as dense and isn't made of links is kept.
+core's subtree, and within the ``article`` element it lies in, every block is kept, lists of links too. What stands beside the way
+from there to the body is judged as a whole: the lowest density on the way is the threshold, lists and other plain
+blocks of a text stay without one (beside an ``article`` they don't), and so does, at half of it, a part with a tenth of the core's text. What is made of links goes.
 
-Elements that say what they are (``nav``, ``footer``, ``form`` ..., or a class, id or role of nothing but such words) are no part
-of the article wherever they stand; they count in the densities, but the core isn't looked for in them.
+Elements that say what they are (``nav``, ``footer``, ``aside`` ..., or a class, id or role of nothing but such words) are no part
+of the article wherever they stand; they count in the densities, but the core isn't looked for in them. Names that authors also
+give to what holds their article (``form``, ``promo``, ``alert`` ...) count only where the element has less text than all that is in no such element.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import math
 import re
@@ -26,9 +29,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 UNSEEN = frozenset("svg canvas audio video object map datalist".split())
-APART = frozenset("nav footer aside form button select option dialog menu fieldset".split())
+APART = frozenset("nav footer aside button select option dialog menu".split())
+DOUBTFUL = frozenset("form fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure details".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table figure dl".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table figure dl ul ol".split())
+QUOTES = frozenset("blockquote q figure".split())
 #: Elements that end an open one of their kind: the kind's names, and the elements up to which it is looked for.
 ENDS_OWN = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("tr",), ("table",)), (("td", "th"), ("tr", "table")), (("option",), ("select",)))
 KIND = {name: k + 1 for k, (names, _) in enumerate(ENDS_OWN) for name in names}
@@ -38,6 +43,8 @@ NOISE = frozenset(
     "footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "comment comments commentlist disqus reply replies respond widget widgets toolbar pagination pager skip contentinfo complementary search alert dialog outbrain taboola".split()
 )
+#: Those of them that also stand on elements around an article.
+LOOSE = frozenset("banner sponsor sponsored promo promotion notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended widget widgets toolbar search alert dialog".split())
 HEADER = frozenset("header masthead".split())
 FILLER = frozenset(
     "box boxes list lists area wrap wrapper container section block blocks inner outer top bottom left right item items form bar panel unit slot group row col column thread reader readers user users "
@@ -51,15 +58,17 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: While a child of the core holds so large a share of its text, the core is that child.
 NEARLY_ALL = 0.8
+#: A part beside the core with this share of its text needs half of the threshold.
+LARGE = 0.1
 
 
 class Node:
     """An element: its parts in page order, and its nearest open p, li, dt or dd, tr, td or th and option."""
 
-    __slots__ = ("apart", "chars", "children", "density", "in_article", "kids", "link_chars", "links", "name", "near", "parent", "sum", "tags", "unseen")
+    __slots__ = ("apart", "chars", "children", "density", "doubtful", "in_article", "kids", "link_chars", "links", "name", "near", "parent", "quotes", "sum", "tags", "unseen")
 
     def __init__(self, name: str, parent: Node | None) -> None:
-        self.name, self.parent, self.apart, self.unseen = name, parent, False, False
+        self.name, self.parent, self.apart, self.doubtful, self.quotes, self.unseen = name, parent, False, False, False, False
         self.children: list[Node | str] = []
         self.kids: list[Node] = []
         self.in_article = name == "article" or (parent is not None and parent.in_article)
@@ -69,10 +78,13 @@ class Node:
 
 
 def _mark(n: Node, attrs: str) -> None:
-    """Notes whether ``n`` isn't rendered, and whether it says of itself that it is apart from the article."""
+    """Notes whether ``n`` isn't rendered, and whether it says of itself that it is apart from the article, or may be."""
     beside = not (n.parent is not None and n.parent.in_article)
     n.unseen = n.name in UNSEEN
     n.apart = n.name in APART or (n.name == "header" and beside)
+    n.doubtful = n.name in DOUBTFUL
+    if n.name in QUOTES and n.parent is not None:
+        n.parent.quotes = True
     if not attrs:
         return
     by_name = n.name not in ("html", "body", "main", "article")
@@ -84,7 +96,10 @@ def _mark(n: Node, attrs: str) -> None:
             for one in value.split():
                 words = {w.lower() for w in PARTS.findall(one)}
                 if words <= NOISE | FILLER and (words & NOISE or (beside and words & HEADER)):
-                    n.apart = True
+                    if words & NOISE <= LOOSE and not (beside and words & HEADER):
+                        n.doubtful = True
+                    else:
+                        n.apart = True
 
 
 class _Ends:
@@ -197,7 +212,7 @@ def measure(root: Node) -> list[Node]:
         n = stack.pop()
         order.append(n)
         n.kids = [k for k in n.kids if not k.unseen]
-        stack.extend(n.kids)
+        stack.extend(reversed(n.kids))
     order.reverse()
     for n in order:
         own = sum(len(" ".join(c.replace("\0", " ").split())) for c in n.children if isinstance(c, str))
@@ -231,6 +246,43 @@ def _outside(root: Node, order: list[Node]) -> set[int]:
     return found
 
 
+def _settle(root: Node, order: list[Node]) -> None:
+    """Decides of each element that may be apart whether it is: if it has less text than there is outside of such elements.
+
+    A quotation set beside an article's text (``aside`` with a ``blockquote``) is a part of it.
+    """
+    for n in order:
+        if n.apart and n.name == "aside" and n.quotes and n.in_article and not n.doubtful:
+            n.apart = False
+    own: dict[int, int] = {}  # text that is no link's and not in what is apart
+    for n in order:
+        own[id(n)] = 0 if n.name == "a" else n.chars - sum(k.chars for k in n.kids) + sum(own[id(k)] for k in n.kids if not k.apart)
+    left = own[id(root)]
+    heap: list[tuple[int, int, Node]] = []
+
+    def look(n: Node) -> None:
+        """Notes the outermost doubtful elements below ``n``."""
+        nonlocal left
+        stack = list(n.kids)
+        while stack:
+            k = stack.pop()
+            if k.doubtful and not k.apart:
+                heapq.heappush(heap, (-own[id(k)], id(k), k))
+                left -= own[id(k)]
+            elif not k.apart:
+                stack += k.kids
+
+    look(root)
+    while heap:
+        size, _, n = heapq.heappop(heap)
+        if -size < left or not size:
+            for k in (n, *(x[2] for x in heap)):
+                k.apart = True
+            break
+        left -= size
+        look(n)
+
+
 def core_of(root: Node, order: list[Node]) -> Node:
     """The node with the largest density sum outside of elements apart (of equal ones the first in page order), then down while one child holds nearly all of the text."""
     outside = _outside(root, order)
@@ -246,7 +298,7 @@ def core_of(root: Node, order: list[Node]) -> Node:
 
 
 def _linky(n: Node) -> bool:
-    return n.chars > 0 and n.links >= 3 and n.link_chars * 5 >= n.chars * 4 and n.name not in PLAIN
+    return n.chars > 0 and n.links >= 3 and n.link_chars * 5 >= n.chars * 4 and n.name not in PLAIN - {"ul", "ol"}
 
 
 def _blocks(node: Node, kept) -> list[str]:
@@ -290,6 +342,7 @@ def main_text(page: str | None) -> str:
     order = measure(root)
     if not root.chars:
         return ""
+    _settle(root, order)
     outside = _outside(root, order)
     if sum(n.chars for n in order if n.apart and id(n.parent) in outside) >= root.chars:  # names can mislead: all of the page may stand in an element called after a part of it
         for n in order:
@@ -301,6 +354,7 @@ def main_text(page: str | None) -> str:
     whole = next((n for n in way if n.name == "article"), core)
     on_way = {id(n) for n in way[way.index(whole) :]}
     least = min((n.density for n in way if n.name not in ("#root", "html") and n.density > 0), default=0.0)
+    large = LARGE * (core.chars - core.link_chars)
 
     def kept(n: Node) -> bool:
         if n.unseen or n.apart:
@@ -309,9 +363,11 @@ def main_text(page: str | None) -> str:
             return True
         if _linky(n) or (n.link_chars * 2 > n.chars and n.name not in INLINE):
             return False
-        return n.name in PLAIN or n.name in INLINE or n.density >= least
+        if n.density >= least or (n.chars - n.link_chars >= large and n.density * 2 >= least):
+            return True
+        return whole.name != "article" and (n.name in PLAIN or n.name in INLINE)
 
-    return "\n".join(_blocks(whole if whole.name == "article" else root, kept))
+    return "\n".join(_blocks(root, kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

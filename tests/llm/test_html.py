@@ -31,6 +31,19 @@ PAGES = {
     "one paragraph": (f'<body><nav><ul>{LINKS}</ul></nav><div class="ad">Something to buy today.</div><article><h1>Head</h1><p>{A}</p></article><footer>Imprint</footer></body>', f"Head\n{A}"),
     "names of a layout": (f'<body class="has-sidebar"><div class="page with-sidebar"><div class="sidebar"><p>{A}</p></div><div class="no-ads post"><p>{A}</p><p>{B}</p></div></div></body>', f"{A}\n{B_}"),
     "all in a widget": (f'<body><div class="widget"><p>{A}</p><p>{B}</p></div></body>', f"{A}\n{B_}"),
+    "a list between blocks": (f"<body><main><div><p>{A}</p><p>{B}</p></div><h3>Ingredients</h3><ul><li>flour</li><li>two eggs</li></ul><div><p>{B}</p></div></main></body>", f"{A}\n{B_}\nIngredients\nflour\ntwo eggs\n{B_}"),
+    "steps after the text": (f"<body><nav><ul>{LINKS}</ul></nav><main><div><p>{A}</p><p>{B}</p></div><ol><li>Mix.<li>Bake.</ol></main></body>", f"{A}\n{B_}\nMix.\nBake."),
+    "text behind an article": (f"<body><nav><ul>{LINKS}</ul></nav><article><h2>Head</h2><p>{A}</p><p>{B}</p></article><div>{f'<p>{A}</p>' * 4}</div></body>", "\n".join(["Head", A, B_, A, A, A, A])),
+    "text behind a longer article": (f"<body><article><h2>Head</h2>{f'<p>{A}</p>' * 4}</article><div><p>{A}</p><p>{B}</p></div><ul>{LINKS}</ul></body>", "\n".join(["Head", A, A, A, A, A, B_])),
+    "two equal articles": (f"<body><article><p>{A}</p><p>{A}</p></article><article><p>{A}</p><p>{A}</p></article></body>", "\n".join([A] * 4)),
+    "a post called promo": (f'<body><nav><ul>{LINKS}</ul></nav><div class="post promo"><h1>Head</h1><p>{A}</p><p>{B}</p></div><p>Stray.</p></body>', f"Head\n{A}\n{B_}\nStray."),
+    "an article called alert": (f'<body><p>Stray.</p><div id="alert"><article><p>{A}</p><p>{B}</p><div class="promo">Buy.</div></article></div></body>', f"{A}\n{B_}"),
+    "a page in a form": (f'<body><form action="/"><nav><ul>{LINKS}</ul></nav><div id=c><h1>Head</h1><p>{A}</p><p>{B}</p><fieldset><p>Sign up</p></fieldset></div><footer>Imprint</footer></form></body>', f"Head\n{A}\n{B_}"),
+    "a line before the form": (f"<body><p>Line.</p><form><div><p>{A}</p><p>{B}</p></div></form></body>", f"Line.\n{A}\n{B_}"),
+    "long comments": (f'<body><article><p>{A}</p></article><div class="comments">{f"<div class=comment><p>{A} I disagree.</p></div>" * 9}</div></body>', A),
+    "a notice as long as half of the article": (f'<body><div class="notice"><p>{A}</p></div><div><p>{A}</p><p>{B}</p></div></body>', f"{A}\n{B_}"),
+    "a quotation aside": (f"<article><p>{A}</p><aside><blockquote>Well said.</blockquote></aside><p>{B}</p><aside><p>See also.</p></aside></article>", f"{A}\nWell said.\n{B_}"),
+    "menus without names": (f"<body><ul>{LINKS}</ul><div><p>{A}</p><p>{B}</p></div><div>{LINKS}</div></body>", f"{A}\n{B_}"),
     "table": (f"<article><p>{A}</p><table><tr><td>a<td>b<tr><td>c</table><p>{B}</p></article>", f"{A}\na\nb\nc\n{B_}"),
 }
 
@@ -48,7 +61,7 @@ def test_plain_text_and_nothing():
 
 LONG = {
     "no end": "<a " * 350_000, "open": "<div>" * 200_000, "closers": "</p>" * 250_000, "quotes": "<a \"'>" * 150_000, "one quote": '<a x="' * 150_000, "deep": "<div>" * 90_000 + "</p>" * 90_000,
-    "rules": "<p><div>" + "<b>" * 90_000 + "<hr>" * 90_000, "items": "<li><ul>" + "<div>" * 90_000 + "<li></li>" * 60_000, "menus": "<nav>" * 90_000 + "x", "spaces": "<p>" + " " * 1_000_000, "less": "<" * 1_000_000, "comments": "<!--" * 200_000, "text": "<p>" + "word " * 200_000,
+    "forms": "<form>x" * 90_000, "navs": "<div>" * 60_000 + "<nav>y</nav><form>z</form>" * 40_000, "rules": "<p><div>" + "<b>" * 90_000 + "<hr>" * 90_000, "items": "<li><ul>" + "<div>" * 90_000 + "<li></li>" * 60_000, "menus": "<nav>" * 90_000 + "x", "spaces": "<p>" + " " * 1_000_000, "less": "<" * 1_000_000, "comments": "<!--" * 200_000, "text": "<p>" + "word " * 200_000,
 }
 
 
