@@ -44,6 +44,30 @@ def descent(gram: np.ndarray, cross: np.ndarray, lam: float, ratio: float = 1.0,
     return b
 
 
+def descents(gram: np.ndarray, cross: np.ndarray, lam: np.ndarray, ratio: np.ndarray, start: np.ndarray, max_iter: int = 500, tol: float = 1e-6) -> np.ndarray:
+    """As descent(), of many right-hand sides (rows of ``cross``) on one Gram matrix, feature by feature for all of them; ``lam`` and ``ratio`` are columns."""
+    b = start.copy()
+    grad = cross - b @ gram
+    diag, l1, l2 = np.diag(gram), (lam * ratio)[:, 0], (lam * (1 - ratio))[:, 0]
+    rows = np.arange(len(b))
+    for _ in range(max_iter):
+        moved = np.zeros(len(rows))
+        g, w = grad[rows], b[rows]
+        for j in np.flatnonzero(diag > 0):
+            old = w[:, j].copy()
+            new = soft(g[:, j] + diag[j] * old, l1[rows]) / (diag[j] + l2[rows])
+            step = new - old
+            if step.any():
+                g -= step[:, None] * gram[j]
+                w[:, j] = new
+                np.maximum(moved, np.abs(step), out=moved)
+        grad[rows], b[rows] = g, w
+        rows = rows[moved > tol * np.maximum(np.abs(w).max(axis=1, initial=0.0), 1e-12)]
+        if not len(rows):
+            break
+    return b
+
+
 def path(gram: np.ndarray, cross: np.ndarray, settings: list[tuple[float, float]], warm_start: bool = True, **more) -> np.ndarray:
     """Coefficients (settings x features) along (lambda, ratio) settings."""
     out, b = [], None
@@ -194,6 +218,30 @@ def fit_poisson(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, ratio: float =
     return b, b0
 
 
+def fit_family(family, x: np.ndarray, y: np.ndarray, lam: float, ratio: float, intercept: bool = True, mask: np.ndarray | None = None, start: np.ndarray | None = None, max_iter: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (outputs x features) and intercepts of a model of any family (see ``families``) with an elastic-net penalty, on one block."""
+    (n, p), k = x.shape, family.outputs
+    on = 1.0 if mask is None else np.asarray(mask, float).T
+    l2 = lam * (1 - ratio)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        coef = w[:p] * on
+        values, r = family.terms(x @ coef + (w[p] if intercept else 0.0), y)
+        grad = np.zeros_like(w)
+        grad[:p] = (x.T @ r / n + l2 * coef) * on
+        if intercept:
+            grad[p] = r.sum(axis=0) / n
+        return float(values.mean() + l2 / 2 * (coef**2).sum()), grad
+
+    if start is None:
+        start = np.zeros((p + intercept, k))
+        if intercept:
+            start[p] = np.where(np.isfinite(a := family.alone(family.targets(y).mean(axis=0))), a, 0.0)
+    w = minimise(loss, start, lam * ratio, p * k, max_iter, tol)
+    coef = (w[:p] * on).T
+    return (family.settled(coef, mask) if lam == 0 else coef), w[p] if intercept else np.zeros(k)
+
+
 def intercept_alone(means: np.ndarray, family: str) -> float | np.ndarray:
     """The intercept of a model without features: of the label's mean, or of the classes' shares.
 

@@ -352,11 +352,13 @@ def stability_supports(spark, d):
     return stability.intersections(_coefs(spark, d), stability.thresholds([1.0, 0.5], 6)).select(F.col("support_id").cast("long").alias("support_id"), _bits("support").alias("support"))
 
 
-@query("""WITH s(support) AS (VALUES ('100010'), ('000000'), ('010100'), ('100100'), ('000011')) SELECT row_number() OVER (ORDER BY support) - 1 AS support_id, support FROM (
-SELECT DISTINCT (CASE WHEN substr(support, 1, 1) = '1' OR substr(support, 4, 1) = '1' THEN '1' ELSE '0' END) || (CASE WHEN substr(support, 2, 1) = '1' OR substr(support, 5, 1) = '1' THEN '1' ELSE '0' END) || (CASE WHEN substr(support, 3, 1) = '1' OR substr(support, 6, 1) = '1' THEN '1' ELSE '0' END) AS support FROM s)""")
+@query(f"""WITH f AS (SELECT l.lim, reg_idx, feature, times >= l.lim AS sel FROM (SELECT reg_idx, feature, count(*) FILTER (WHERE coef <> 0) AS times FROM ({_COEFS}) GROUP BY reg_idx, feature), (VALUES (6), (3)) l(lim))
+SELECT row_number() OVER (ORDER BY support) - 1 AS support_id, support FROM (SELECT DISTINCT support FROM (SELECT a.lim, a.reg_idx, string_agg(CASE WHEN a.sel OR b.sel THEN '1' ELSE '0' END, '' ORDER BY a.feature) AS support FROM f a JOIN f b ON a.lim = b.lim AND a.reg_idx = b.reg_idx AND b.feature = (a.feature + 1) % 3 GROUP BY a.lim, a.reg_idx))""")
 def shared_supports(spark, d):
-    s = spark.createDataFrame([(i, [c == "1" for c in x]) for i, x in enumerate(["100010", "000000", "010100", "100100", "000011"])], "support_id int, support array<boolean>")
-    return stability.shared(s, 2).select(F.col("support_id").cast("long").alias("support_id"), _bits("support").alias("support"))
+    """Two classes: the second's coefficients are those of the first's next feature."""
+    c = _coefs(spark, d)
+    both = c.unionByName(c.withColumn("feature", 3 + (F.col("feature") + 2) % 3))
+    return stability.shared(stability.intersections(both, [6, 3]), 2).select(F.col("support_id").cast("long").alias("support_id"), _bits("support").alias("support"))
 
 
 # intercepts
@@ -408,10 +410,13 @@ def poisson_ll(spark, d):
     return _lines(spark, d).agg(r(fn.poisson_ll(F.col("y"), F.exp(0.5 + 0.2 * F.col("x"))), "ll"))
 
 
-@query("SELECT k, n, round(2 * k - 2 * ll, 6) AS aic, round(2 * k - 2 * ll + CASE WHEN n > k + 1 THEN 2.0 * (k * k + k) / (n - k - 1) ELSE 0 END, 6) AS aicc, round(k * ln(n) - 2 * ll, 6) AS bic FROM (SELECT i AS k, n, -1.5 * i AS ll FROM range(1, 7) g(i), (VALUES (5), (1000)) v(n))")
+@query("""WITH m AS (SELECT event_type, length(event_type) % 5 + 1 AS k, count(*) AS n, -count(*) / 2.0 * (1 + ln(var_pop(value))) AS ll FROM events GROUP BY event_type)
+SELECT event_type, k::BIGINT AS k, n, round(2 * k - 2 * ll, 4) AS aic, round(2 * k - 2 * ll + CASE WHEN n > k + 1 THEN 2.0 * (k * k + k) / (n - k - 1) ELSE 0 END, 4) AS aicc, round(k * ln(n) - 2 * ll, 4) AS bic FROM m""")
 def information_criteria(spark, d):
-    rows = spark.range(1, 7).withColumnRenamed("id", "k").withColumn("n", F.explode(F.array(F.lit(5), F.lit(1000)))).withColumn("ll", -1.5 * F.col("k"))
-    return rows.select("k", "n", r(fn.aic(F.col("ll"), F.col("k")), "aic"), r(fn.aicc(F.col("ll"), F.col("k"), F.col("n")), "aicc"), r(fn.bic(F.col("ll"), F.col("k"), F.col("n")), "bic"))
+    """Of a model of each event type by its mean."""
+    mean = F.avg("value").over(Window.partitionBy("event_type"))
+    rows = t(spark, d, "events").select("event_type", "value", mean.alias("mu")).groupBy("event_type").agg(F.count("*").alias("n"), fn.gaussian_ll(F.col("value"), F.col("mu")).alias("ll")).withColumn("k", (F.length("event_type") % 5 + 1).cast("long"))
+    return rows.select("event_type", "k", "n", r(fn.aic(F.col("ll"), F.col("k")), "aic", 4), r(fn.aicc(F.col("ll"), F.col("k"), F.col("n")), "aicc", 4), r(fn.bic(F.col("ll"), F.col("k"), F.col("n")), "bic", 4))
 
 
 @query("SELECT round(avg(CASE WHEN (value > 50) = (user_id % 2 = 1) THEN 1.0 ELSE 0.0 END), 8) AS accuracy, round(-avg(CASE WHEN user_id % 2 = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM (SELECT user_id, value, 1 / (1 + exp(-(value - 50) / 40)) AS p FROM events)")
@@ -501,38 +506,86 @@ def poisson_two_groups(spark, d):
     return spark.createDataFrame([(float(m.intercept_), float(m.coef_[0]))], "a double, b double").select(r(F.col("a"), "intercept", 4), r(F.col("b"), "coef", 4))
 
 
+@query("""WITH c AS (SELECT l_returnflag AS flag, ln(count(*) FILTER (WHERE l_discount > 0.05)) AS one, ln(count(*) FILTER (WHERE l_discount <= 0.05)) AS zero FROM lineitem GROUP BY l_returnflag)
+SELECT flag, round(zero - avg(zero) OVER (), 4) AS intercept, round(one - zero - avg(one - zero) OVER (), 4) AS coef FROM c""")
+def multinomial_two_groups(spark, d):
+    """Of distributed rows; coefficients and intercepts of all classes add up to 0."""
+    from sparsonde.operators import families
+    from sparsonde.operators.design import Design
+
+    from .lockstep import LockstepFit
+
+    df = fr.encoded(t(spark, d, "lineitem"), "l_returnflag", "y").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "y", (F.col("l_discount") > 0.05).cast("double").alias("g"), "l_returnflag")
+    flags = [x[0] for x in df.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    fit = LockstepFit(families.Multinomial(len(flags)), df, Design(["g"]), "y", "id", True, 500, 1e-8)
+    fit.prepare()
+    w = fit.solve({(0,): fit.start}, {(0,): (0.0, 1.0)}, {}, SEED, 1.0)[(0,)]
+    fit.close()
+    w = w - w.mean(axis=0)
+    return spark.createDataFrame([(f, float(b), float(c)) for f, (c, b) in zip(flags, w, strict=True)], "flag string, b double, c double").select("flag", r(F.col("b"), "intercept", 4), r(F.col("c"), "coef", 4))
+
+
+@query("""SELECT feature, round(ln(avg(y) / (1 - avg(y))), 4) AS coef FROM (SELECT (user_id % 7)::INTEGER AS feature, CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END AS y FROM events) GROUP BY feature""")
+def sparse_logistic_groups(spark, d):
+    """A sparse design from long entries: each event has one feature, its user's group."""
+    from sparsonde.operators import families
+    from sparsonde.operators.design import Design, sparse_rows
+
+    from .lockstep import LockstepFit
+
+    entries = t(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("feature"), F.lit(1.0).alias("value"), (F.col("value") > 30).cast("int").alias("y"))
+    rows = sparse_rows(entries, "id", "feature", "value", entries.select("id", "y"))
+    fit = LockstepFit(families.Logistic(), rows, Design(indices="indices", values="values", p=7), "y", "id", False, 500, 1e-8)
+    fit.prepare()
+    w = fit.solve({(0,): fit.start}, {(0,): (0.0, 1.0)}, {}, SEED, 1.0)[(0,)]
+    fit.close()
+    return spark.createDataFrame([(j, float(c)) for j, c in enumerate(w[0, :7])], "feature int, c double").select("feature", r(F.col("c"), "coef", 4))
+
+
 # decomposition
 
-_V = f"SELECT i AS j, ({hash_sql('i', '1', SEED)} % 1000) / 500.0 - 1 AS v1, ({hash_sql('i', '2', SEED)} % 1000) / 500.0 - 1 AS v2 FROM range(64) g(i)"
+#: The first right singular vector of two columns has a closed form.
+_PAIR = """SELECT unnest([0::BIGINT, 1::BIGINT]) AS j, unnest([b * b / (b * b + (l - a) * (l - a)), (l - a) * (l - a) / (b * b + (l - a) * (l - a))]) AS lev FROM (
+SELECT a, b, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM (SELECT embedding[3]::DOUBLE AS x, embedding[8]::DOUBLE AS y FROM embeddings)))"""
 
 
-def _v(spark) -> DataFrame:
-    h = lambda k: (resample.hash_column(F.col("j"), F.lit(k), SEED) % 1000) / 500.0 - 1
-    return spark.range(64).withColumnRenamed("id", "j").withColumn("v1", h(1)).withColumn("v2", h(2))
+def _first_vector(spark, d) -> np.ndarray:
+    from .decomposition import singular_vectors
 
+    pair = t(spark, d, "embeddings").select(F.col("embedding")[2].cast("double").alias("x"), F.col("embedding")[7].cast("double").alias("y"))
+    return singular_vectors(pair, ["x", "y"], 1)
 
-@query(f"SELECT j, round((v1 * v1 + v2 * v2) / 2, 6) AS leverage FROM ({_V})")
+
+@query(f"SELECT j::BIGINT AS j, round(lev, 6) AS leverage FROM ({_PAIR})")
 def leverage_scores(spark, d):
     from .decomposition import leverage
 
-    v = _v(spark).orderBy("j").toPandas()[["v1", "v2"]].to_numpy()  # a row per column of the matrix
-    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(leverage(v))], "j long, x double").select("j", r(F.col("x"), "leverage"))
+    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(leverage(_first_vector(spark, d)))], "j long, x double").select("j", r(F.col("x"), "leverage"))
 
 
-@query(f"SELECT j FROM ({_V}) WHERE {hash_sql('j', '2', SEED)} / 2147483647.0 < least(1, 2 * (v1 * v1 + v2 * v2) / 2)")
+@query(f"SELECT j::BIGINT AS j FROM ({_PAIR}) WHERE {hash_sql('j', '1', SEED)} / 2147483647.0 < least(1, 1.5 * lev)")
 def column_select(spark, d):
     from .decomposition import column_select as draw
 
-    v = _v(spark).orderBy("j").toPandas()[["v1", "v2"]].to_numpy()
-    return spark.createDataFrame([(int(j),) for j in sorted(draw(v, 2.0, SEED))], "j long")
+    return spark.createDataFrame([(int(j),) for j in sorted(draw(_first_vector(spark, d), 1.5, SEED))], "j long")
+
 
+@query("""SELECT round(sum(v * v), 6) AS total, 64 AS p FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)""")
+def singular_values_sum(spark, d):
+    """All squared singular values together are the sum of squares, whatever way finds them."""
+    from .decomposition import range_svd
 
-@query("""WITH f(boot, k, j) AS (VALUES (0, 1, 3), (1, 1, 3), (2, 1, 3), (0, 1, 4), (2, 1, 4), (0, 2, 5), (1, 2, 5), (2, 2, 5), (1, 2, 3)) SELECT DISTINCT j FROM (SELECT k, j FROM f GROUP BY k, j HAVING count(*) >= 3)""")
+    df, names = _wide(spark, d)
+    _, values = range_svd(df, names, len(names), n_iter=1, seed=SEED)
+    return spark.createDataFrame([(float((values**2).sum()), len(values))], "x double, p int").select(r(F.col("x"), "total"), "p")
+
+
+@query("SELECT DISTINCT j FROM (SELECT k, j FROM (SELECT DISTINCT user_id % 5 AS boot, event_id % 3 AS k, event_id % 40 AS j FROM events WHERE value > 60) GROUP BY k, j HAVING count(*) >= 5)")
 def column_consensus(spark, d):
     from .decomposition import chosen_columns
 
-    rows = [(0, 1, 3), (1, 1, 3), (2, 1, 3), (0, 1, 4), (2, 1, 4), (0, 2, 5), (1, 2, 5), (2, 2, 5), (1, 2, 3)]
-    return chosen_columns(spark.createDataFrame(rows, "boot int, k int, j int"), 3)
+    flags = t(spark, d, "events").filter("value > 60").select((F.col("user_id") % 5).alias("boot"), (F.col("event_id") % 3).alias("k"), (F.col("event_id") % 40).alias("j")).distinct()
+    return chosen_columns(flags, 5)
 
 
 _BASES = """SELECT label, comp, list(m ORDER BY j) AS h FROM (SELECT label, vec_id % 4 AS comp, j, avg(abs(v)) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings) GROUP BY 1, 2, 3) GROUP BY label, comp"""
@@ -677,6 +730,14 @@ def stable_multinomial(spark, d):
     return _coefficients(spark, StableL1Logistic(n_boots_sel=4, n_boots_est=4, n_C=4, multi_class="multinomial", random_state=SEED).fit(df, names, "label", "vec_id"))
 
 
+@query()
+def distributed_multinomial(spark, d):
+    from .glm import StableL1Logistic
+
+    df, names = _wide(spark, d)
+    return _coefficients(spark, StableL1Logistic(n_boots_sel=4, n_boots_est=4, n_C=4, multi_class="multinomial", eps=0.1, max_iter=300, random_state=SEED, block_mb=0).fit(df, names, "label", "vec_id"))
+
+
 @query()
 def stable_poisson(spark, d):
     from .glm import StablePoisson
@@ -717,7 +778,8 @@ def stable_nmf(spark, d):
 def synthetic_data(spark, d):
     from sparsonde.sources import datasets
 
-    a = datasets.linear_regression(spark, 200, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("linear"))
-    b = datasets.classification(spark, 200, n_classes=3, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("classes"))
-    c = datasets.poisson_regression(spark, 200, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("counts"))
+    n = t(spark, d, "orders").count()  # as many rows of each kind
+    a = datasets.linear_regression(spark, n, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("linear"))
+    b = datasets.classification(spark, n, n_classes=3, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("classes"))
+    c = datasets.poisson_regression(spark, n, random_state=3)[0].agg(F.count("*").alias("n"), F.avg("y").alias("y")).withColumn("kind", F.lit("counts"))
     return a.unionByName(b).unionByName(c)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,76 @@ def right_singular_vectors(gram: np.ndarray, k: int) -> np.ndarray:
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
 
 
+#: The tree of triangular factors has at most FAN_IN squared, FAN_IN and one node on its levels.
+FAN_IN = 32
+
+
+def _triangle(df: DataFrame, features: Sequence[str], right: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of X ``right``: every task factorises its own rows, then triangles are stacked and factorised again, level by level of a tree; only triangles move."""
+    k = right.shape[1]
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, k))
+        for batch in batches:
+            r = np.linalg.qr(np.vstack([r, suffstats.matrix(batch, features)[:, 1:] @ right]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["node", "r"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                held[node] = np.linalg.qr(np.vstack([held.get(node, np.zeros((0, k))), np.frombuffer(raw).reshape(-1, k)]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([r.tobytes() for r in held.values()], pa.binary())], ["node", "r"])
+
+    level = df.select(*features).mapInArrow(leaf, "node long, r binary")
+    for left in (FAN_IN**2, FAN_IN, 1):
+        level = level.withColumn("node", F.col("node") % left).repartition("node").mapInArrow(join, "node long, r binary")
+    raw = [bytes(x["r"]) for x in level.collect()]  # one triangle
+    return np.linalg.qr(np.vstack([np.frombuffer(x).reshape(-1, k) for x in raw] or [np.zeros((k, k))]), mode="r")
+
+
+def _through(df: DataFrame, features: Sequence[str], right: np.ndarray) -> np.ndarray:
+    """X' X ``right``, one aggregate of as many numbers as ``right`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = np.zeros(right.shape)
+        for batch in batches:
+            x = suffstats.matrix(batch, features)[:, 1:]
+            total += x.T @ (x @ right)
+        return {0: total.ravel()}
+
+    return suffstats.summed(df.select(*features), run)[0].reshape(right.shape)
+
+
+def range_svd(df: DataFrame, features: Sequence[str], k: int, n_iter: int = 5, seed: int = 0, oversampling: int = 10, tol: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` right singular vectors (columns) and singular values of the rows of ``features``, by a randomised range finder.
+
+    A random sketch of k + oversampling columns goes through X'X in ``n_iter`` power steps, one aggregate each, with its columns made
+    orthonormal between them (and no more once they turn by less than ``tol``); the tall X times it is factorised by a tree of QR decompositions over
+    the partitions, and its triangle gives the small factorisation. No matrix of features by features is made. The largest entry of each vector is positive.
+    """
+    p = len(features)
+    width = min(p, k + oversampling)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((p, width)))[0]
+    for _ in range(n_iter):
+        turned = np.linalg.qr(_through(df, features, q))[0]
+        still = np.linalg.norm(turned - q @ (q.T @ turned)) <= tol
+        q = turned
+        if still:
+            break
+    q = np.linalg.qr(_through(df, features, q))[0]  # the row space the sketch has found
+    _, values, vt = np.linalg.svd(_triangle(df, features, q))
+    v = (q @ vt.T)[:, :k]
+    return v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1), values[:k]
+
+
+def singular_vectors(df: DataFrame, features: Sequence[str], k: int, algorithm: str = "randomized", n_iter: int = 5, tol: float = 0.0, seed: int = 0) -> np.ndarray:
+    """The first ``k`` right singular vectors: 'randomized' by ``range_svd``; 'arpack', the exact way, by the eigenvectors of X'X."""
+    if algorithm == "arpack":
+        return right_singular_vectors(suffstats.gram_matrix(df, features), k)
+    return range_svd(df, features, k, n_iter, seed, tol=tol)[0]
+
+
 def leverage(v: np.ndarray) -> np.ndarray:
     """Mean squared entry of each column's row in ``v`` (columns x k); sums to 1."""
     return (v**2).sum(axis=1) / v.shape[1]
@@ -74,8 +145,9 @@ class ColumnSubset(Params):
         fr.check(df, features, None)
         if self.max_k > len(features):
             raise ValueError("max_k is larger than the number of columns")
-        v = right_singular_vectors(suffstats.gram_matrix(df, features), self.max_k)
-        return ColumnModel(features, column_select(v, self.max_k + 20 if c is None else c, seed_of(self.random_state), leverage_sort=True))
+        seed = seed_of(self.random_state)
+        v = singular_vectors(df, list(features), self.max_k, self.algorithm, self.n_iter, self.tol, seed)
+        return ColumnModel(features, column_select(v, self.max_k + 20 if c is None else c, seed, leverage_sort=True))
 
     def fit_transform(self, df: DataFrame, features: Sequence[str], c: float | None = None) -> DataFrame:
         return self.fit(df, features, c).transform(df)

@@ -13,31 +13,38 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparsonde.functions import columns as fn
+from sparsonde.operators import families, grids, kernels, stability, suffstats
 from sparsonde.operators import frame as fr
-from sparsonde.operators import grids, kernels, stability, suffstats
+from sparsonde.operators.design import Design
 from sparsonde.operators.resample import cutoffs, hash_array, seed_of, with_row_id
 
 from .linear import LinearModel, Params, information_criteria
+from .lockstep import LockstepFit
 
 BLOCK_MB = 256
 #: Models of which one pass sums up gradients and Gram matrices.
 MODELS_AT_ONCE = 256
 
 
+def predictor(features: Design | Sequence[str], coef: np.ndarray, intercept: float):
+    return features.predictor(coef, intercept) if isinstance(features, Design) else fn.dot(features, coef, intercept)
+
+
 class LogisticModel:
     """Coefficients (outputs x features) and intercepts; predictions are column expressions."""
 
     def __init__(self, features: Sequence[str], coef: np.ndarray, intercept: np.ndarray, classes: Sequence, **more) -> None:
-        self.features, self.coef_, self.intercept_, self.classes_ = list(features), np.atleast_2d(coef), np.atleast_1d(intercept), list(classes)
+        self.features, self.coef_, self.intercept_, self.classes_ = features if isinstance(features, Design) else list(features), np.atleast_2d(coef), np.atleast_1d(intercept), list(classes)
         for k, v in more.items():
             setattr(self, k, v)
 
     def _probabilities(self):
-        etas = [fn.dot(self.features, c, b) for c, b in zip(self.coef_, self.intercept_, strict=True)]
+        etas = [predictor(self.features, c, b) for c, b in zip(self.coef_, self.intercept_, strict=True)]
         if len(etas) == 1:
             p = fn.sigmoid(etas[0])
             return F.array(1 - p, p)
@@ -175,17 +182,29 @@ class StableL1Logistic(_Stable):
             return ll
         return -information_criteria(ll * len(y), int(np.count_nonzero(on)), len(y))[self.estimation_score]
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str | None = None, stratify: str | None = None) -> LogisticModel:
-        features = list(features)
-        fr.check(df, features, label)
+    def fit(self, df: DataFrame, features: Sequence[str] | Design, label: str, id_col: str | None = None, stratify: str | None = None) -> LogisticModel:
+        """``features``: a column each, or a Design; one of arrays is never spread over columns, and sparse rows stay sparse (they can't be centred)."""
+        of_arrays = isinstance(features, Design) and not features.names
+        names = features.columns if isinstance(features, Design) else list(features)
+        fr.check(df, [] if of_arrays else names, label)
+        if of_arrays:
+            features.check(df)
+        else:
+            features = names
         if id_col is None:
-            df, id_col = with_row_id(df, [*features, label]), "row_id"
+            df, id_col = with_row_id(df, [*names, label]), "row_id"
         rows = df.groupBy(label).count().orderBy(label).collect()  # a row per class
         classes = [r[0] for r in rows]
         if len(classes) < 2:
             raise ValueError("at least two classes are needed")
         self._classes, self._outputs = len(classes), fr.output_dim(len(classes), self.multi_class)
         data = fr.encoded(df, label, "y__")
+        if of_arrays:
+            _, mean, std = features.moments(data)
+            mean, std = mean if self.standardize and self.fit_intercept else np.zeros(features.p), std if self.standardize else np.ones(features.p)
+            family = families.Multinomial(len(classes)) if self._outputs > 1 else families.Logistic()
+            fit = LockstepFit(family, data, features.scaled(mean, std), "y__", id_col, self.fit_intercept, self.max_iter, self.tol, stratify)
+            return self._lockstep(fit, classes, mean, std, features)
         frame = fr.FeatureFrame(data, features, "y__", id_col)
         stats = frame.stats()
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(len(features))
@@ -209,7 +228,8 @@ class StableL1Logistic(_Stable):
 
     def _fit_distributed(self, data, features, id_col, mean, std, classes, counts, stratify) -> LogisticModel:
         if self._outputs > 1:
-            raise ValueError(f"multinomial models need data within block_mb={self.block_mb}; raise it or use fewer rows")
+            fit = LockstepFit(families.Multinomial(len(classes)), data, Design(features).scaled(mean, std), "y__", id_col, self.fit_intercept, self.max_iter, self.tol, stratify)
+            return self._lockstep(fit, classes, mean, std, features)
         fit = DistributedPath("logistic", data, features, "y__", id_col, mean, std, self.fit_intercept, self.max_iter, self.tol, stratify)
         coef, supports = fit.stable(self)
         intercept = fit.final_intercept(coef)
@@ -218,6 +238,15 @@ class StableL1Logistic(_Stable):
         return LogisticModel(features, coef[None, :], np.array([intercept]), classes, supports_=supports)
 
 
+    def _lockstep(self, fit: LockstepFit, classes, mean, std, features) -> LogisticModel:
+        fit.prepare()
+        settings = list(self.Cs) if self.Cs is not None else grids.logistic_grid(fit.start_gradient(), self.n_C, self.eps)
+        coef, supports, scores = fit.stable(self, [(1 / c, 1.0) for c in settings], not self.shared_support, seed_of(self.random_state))
+        intercept = fit.final_intercept(coef)
+        fit.close()
+        return LogisticModel(features, *fr.restored(coef, intercept, mean, std), classes, supports_=supports, scores_=scores, settings_=settings, passes_=fit.passes)
+
+
 class StablePoisson(_Stable):
     """Elastic-net Poisson regression, by stability selection and model averaging."""
 
@@ -285,6 +314,82 @@ class StablePoisson(_Stable):
         return PoissonModel(features, *fr.restored(coef[0], b, mean, std), supports_=supports, scores_=scores, settings_=settings)
 
 
+class GLMModel:
+    """A fitted model of any family: ``transform`` adds the linear predictors and, if the family knows its expression, the mean."""
+
+    def __init__(self, family: families.Family, features: Sequence[str] | Design, coef: np.ndarray, intercept: np.ndarray, **more) -> None:
+        self.family, self.features, self.coef_, self.intercept_ = family, features, coef, intercept
+        for k, v in more.items():
+            setattr(self, k, v)
+
+    def transform(self, df: DataFrame, output: str = "predictors", mean: str = "mean") -> DataFrame:
+        etas = [predictor(self.features, c, float(b)) for c, b in zip(self.coef_, self.intercept_, strict=True)]
+        out, expected = df.withColumn(output, F.array(*etas)), self.family.mean(etas)
+        return out if expected is None else out.withColumn(mean, expected)
+
+
+class StableGLM(_Stable):
+    """A stable model of any ``family``, one of one's own as well (see operators.families): elastic-net selection over resamples, supports intersected, re-fitted, scored and averaged.
+
+    Up to ``block_mb`` each boot is a task on the whole block; beyond it, and for designs of arrays, all models step together on distributed
+    rows. Both find the same minima. ``settings``: (penalty, l1 ratio) pairs instead of a grid. Scores: the mean log-likelihood ('log'), AIC, AICc, BIC.
+    """
+
+    def __init__(self, family: families.Family, n_boots_sel=24, n_boots_est=24, selection_frac=0.9, estimation_frac=0.9, n_lambdas=48, alphas=(1.0,), stability_selection=1.0, estimation_score="log", estimation_target=None, shared_support=True, warm_start=True, eps=1e-3, fit_intercept=True, standardize=True, max_iter=1000, tol=1e-5, random_state=None, settings=None, block_mb=BLOCK_MB) -> None:
+        for k in self.__init__.__code__.co_varnames[1 : self.__init__.__code__.co_argcount]:
+            setattr(self, k, locals()[k])
+        self._check(("log", "AIC", "AICc", "BIC"))
+
+    def _of(self) -> families.Family:
+        return cloudpickle.loads(self._shipped) if self._shipped else self.family
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"family": None}  # the tasks have it by value
+
+    def _path(self, x, y, settings):
+        out, start, family = [], None, self._of()
+        for lam, ratio in settings:
+            coef, b = kernels.fit_family(family, x, y, lam, ratio, self.fit_intercept, None, start, self.max_iter, self.tol)
+            out.append(coef.ravel())
+            if self.warm_start:
+                start = np.vstack([coef.T, b[None, :]]) if self.fit_intercept else coef.T.copy()
+        return np.array(out)
+
+    def _refit(self, x, y, on):
+        family = self._of()
+        mask = on.reshape(family.outputs, -1) if len(on) == family.outputs * x.shape[1] else np.tile(on, (family.outputs, 1))
+        return kernels.fit_family(family, x, y, 0.0, 1.0, self.fit_intercept, mask, None, self.max_iter, self.tol)
+
+    def _score(self, x, y, coef, intercept, on) -> float:
+        ll = -self._of().terms(x @ coef.T + intercept, y)[0].mean()
+        return ll if self.estimation_score == "log" else -information_criteria(ll * len(y), int(np.count_nonzero(on)), len(y))[self.estimation_score]
+
+    def fit(self, df: DataFrame, features: Sequence[str] | Design, label: str, id_col: str | None = None, stratify: str | None = None) -> GLMModel:
+        design = features if isinstance(features, Design) else Design(list(features))
+        fr.check(df, design.names, label)
+        design.check(df)
+        if id_col is None:
+            df, id_col = with_row_id(df, [*design.columns, label]), "row_id"
+        n, mean, std = design.moments(df)
+        p, k = design.p, self.family.outputs
+        mean, std = mean if self.standardize and self.fit_intercept else np.zeros(p), std if self.standardize else np.ones(p)
+        self._shipped = families.by_value(self.family)
+        fit = LockstepFit(self.family, df, design.scaled(mean, std), label, id_col, self.fit_intercept, self.max_iter, self.tol, stratify)
+        try:
+            fit.prepare()
+            grid = grids.elastic_net_grid(fit.start_gradient(), list(self.alphas), self.n_lambdas, self.eps) if self.settings is None else list(self.settings)
+            held = _block(df, [*design.names, label], id_col, n, self.block_mb, stratify) if design.names else None
+            if held is None:
+                coef, supports, scores = fit.stable(self, grid, not self.shared_support, seed_of(self.random_state))
+            else:
+                ids, block, strata = held
+                coef, supports, scores = self._stable(df, (block[:, :-1] - mean) / std, block[:, -1], ids, strata, grid, k, not self.shared_support)
+            intercept = fit.final_intercept(coef)
+        finally:
+            fit.close()
+        return GLMModel(self.family, features, *fr.restored(coef, intercept, mean, std), supports_=supports, scores_=scores, settings_=grid)
+
+
 class DistributedPath:
     """Penalised logistic or Poisson paths of all boots in step, on data that stay distributed.
 
