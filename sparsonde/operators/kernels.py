@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .lbfgs import LBFGS
+from .lbfgs import LBFGS, AllZeroLBFGSError
 
 ETA = 30.0  # linear predictors are clipped to +-ETA before exp
 
@@ -22,14 +22,16 @@ def sigmoid(x):
     return np.exp(-np.logaddexp(0, -np.asarray(x, float)))
 
 
-def descent(gram: np.ndarray, cross: np.ndarray, lam: float, ratio: float = 1.0, start: np.ndarray | None = None, max_iter: int = 1000, tol: float = 1e-4) -> np.ndarray:
-    """argmin of b'Gb/2 - c'b + lam (ratio |b|_1 + (1 - ratio) |b|^2 / 2) by cyclic coordinate descent on the Gram matrix."""
+def descent(gram: np.ndarray, cross: np.ndarray, lam: float, ratio: float = 1.0, start: np.ndarray | None = None, max_iter: int = 1000, tol: float = 1e-4, counter: list[int] | None = None) -> np.ndarray:
+    """argmin of b'Gb/2 - c'b + lam (ratio |b|_1 + (1 - ratio) |b|^2 / 2) by cyclic coordinate descent on the Gram matrix. ``counter[0]`` grows by the coordinates looked at."""
     p = len(cross)
     b = np.zeros(p) if start is None else start.copy()
     grad = cross - gram @ b
     diag = np.diag(gram).copy()
     for _ in range(max_iter):
         most = 0.0
+        if counter is not None:
+            counter[0] += p
         for j in range(p):
             if diag[j] <= 0:
                 continue
@@ -68,11 +70,33 @@ def descents(gram: np.ndarray, cross: np.ndarray, lam: np.ndarray, ratio: np.nda
     return b
 
 
-def path(gram: np.ndarray, cross: np.ndarray, settings: list[tuple[float, float]], warm_start: bool = True, **more) -> np.ndarray:
-    """Coefficients (settings x features) along (lambda, ratio) settings."""
-    out, b = [], None
+def path(gram: np.ndarray, cross: np.ndarray, settings: list[tuple[float, float]], warm_start: bool = True, screen: bool = True, **more) -> np.ndarray:
+    """Coefficients (settings x features) along (lambda, ratio) settings.
+
+    The sequential strong rule leaves out features whose gradient at the last solution is below twice the penalty less the last
+    one; what breaks the optimality conditions at the solution found without them comes in, until nothing does. A penalty above all gradients at
+    zero gives zeros without a descent.
+    """
+    out, b, before = [], np.zeros(len(cross)), None
+    top = np.abs(cross).max(initial=0.0)
     for lam, ratio in settings:
-        b = descent(gram, cross, lam, ratio, b if warm_start else None, **more)
+        l1 = lam * ratio
+        if not screen:
+            b = descent(gram, cross, lam, ratio, b if warm_start and before is not None else None, **more)
+        elif top <= l1:
+            b = np.zeros(len(cross))
+        else:
+            start = b if warm_start else np.zeros(len(cross))
+            on = (np.abs(cross - gram @ b) >= 2 * l1 - max(top if before is None else before, l1)) | (b != 0)
+            while True:
+                at = np.flatnonzero(on)
+                b = np.zeros(len(cross))
+                b[at] = descent(gram[np.ix_(at, at)], cross[at], lam, ratio, start[at], **more)
+                missed = ~on & (np.abs(cross - gram @ b) > l1 * (1 + 1e-9))
+                if not missed.any():
+                    break
+                on, start = on | missed, b
+        before = l1
         out.append(b)
     return np.array(out)
 
@@ -136,16 +160,37 @@ def poisson_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float = 0.0, w
 
 
 def minimise(loss, w: np.ndarray, l1: float, penalised: int, max_iter: int, tol: float) -> np.ndarray:
+    """The orthant-wise minimum from ``w``. Two iterates without coefficients end an L1 search: if the gradient there is within the penalty they stay zero and only
+    the rest is minimised. Reaching ``max_iter`` is a RuntimeWarning."""
+
     def f(v, g):
         value, grad = loss(v)
         g[...] = grad
         return value
 
+    def rest(v, g, held):
+        whole = held.copy()
+        whole.ravel()[penalised:] = v
+        value, grad = loss(whole)
+        g[...] = grad.ravel()[penalised:]
+        return value
+
     import warnings
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return LBFGS(orthantwise_c=l1, orthantwise_end=penalised, epsilon=tol, max_iterations=max_iter, line_search="default").minimize(f, w)
+    more = {"epsilon": tol, "max_iterations": max_iter, "line_search": "default"}
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        try:
+            w = LBFGS(orthantwise_c=l1, orthantwise_end=penalised, stop_at_zero=l1 > 0, **more).minimize(f, w)
+        except AllZeroLBFGSError as zero:
+            w = zero.x
+            if w.size > penalised:
+                w.ravel()[penalised:] = LBFGS(**more).minimize(rest, w.ravel()[penalised:], args=(w,))
+            if np.abs(loss(w)[1].ravel()[:penalised]).max(initial=0.0) > l1:
+                w = LBFGS(orthantwise_c=l1, orthantwise_end=penalised, **more).minimize(f, w)
+    if any("iteration limit" in str(x.message) for x in said):
+        warnings.warn(f"the minimiser still moves after {max_iter} iterations", RuntimeWarning, stacklevel=3)
+    return w
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, penalty: str = "l1", c: float = np.inf, intercept: bool = True, mask: np.ndarray | None = None, weight: np.ndarray | None = None, start: np.ndarray | None = None, max_iter: int = 10000, tol: float = 1e-3, multinomial: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +198,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, penalty: str = "l1"
     p = x.shape[1]
     alpha = 0.0 if np.isinf(c) else 1.0 / c
     l1, l2 = (alpha, 0.0) if penalty == "l1" else (0.0, alpha)
+    start = None if start is None else start.copy()
     if classes == 2 and not multinomial:
         sign = np.where(y == 1, 1.0, -1.0)
         m = None if mask is None else np.asarray(mask, float).reshape(p)
         w = np.zeros(p + intercept) if start is None else start
+        if start is None and l1 and intercept:  # at this start the gradient tells whether all coefficients are zero
+            w[p] = intercept_alone(np.average(y == 1, weights=weight), "logistic")
         w = minimise(lambda v: logistic_loss(v, x, sign, l2, m, weight), w, l1, p, max_iter, tol)
         coef = w[:p] * (m if m is not None else 1.0)
         return coef[None, :], w[p:] if intercept else np.zeros(1)
     onehot = np.eye(classes)[y]
     m = None if mask is None else np.asarray(mask, float).T
     w = np.zeros((p + intercept, classes)) if start is None else start
+    if start is None and l1 and intercept:
+        alone = intercept_alone(np.average(onehot, axis=0, weights=weight), "multinomial")
+        w[p] = alone - alone.mean()
     w = minimise(lambda v: multinomial_loss(v.reshape(-1, classes), x, onehot, l2, m, weight), w, l1, p * classes, max_iter, tol)
     coef = w[:p] * (m if m is not None else 1.0)
     return coef.T, w[p] if intercept else np.zeros(classes)
@@ -313,6 +364,42 @@ def nnls(gram: np.ndarray, cross: np.ndarray, max_iter: int = 0) -> np.ndarray:
     return w
 
 
+def nnls_rows(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """nnls() of many right-hand sides (rows of ``cross``) by block principal pivoting: all variables of the wrong sign change sides at once
+    (one at a time where that stops helping), and rows with the same passive set share one factorisation."""
+    n, k = cross.shape
+    x, y, passive = np.zeros((n, k)), -cross.copy(), np.zeros((n, k), bool)
+    least, tries, rows = np.full(n, k + 1), np.full(n, 3), np.arange(n)
+    small = 1e-10 * np.maximum(1.0, np.abs(cross).max(axis=1, initial=0.0))[:, None]
+    for _ in range(20 * k + 20):
+        wrong = np.where(passive[rows], x[rows] < 0, y[rows] < -small[rows])
+        count = wrong.sum(axis=1)
+        rows, wrong, count = rows[count > 0], wrong[count > 0], count[count > 0]
+        if not len(rows):
+            return x
+        better = count < least[rows]
+        least[rows[better]], tries[rows] = count[better], np.where(better, 3, tries[rows] - 1)
+        last = np.zeros_like(wrong)
+        last[np.arange(len(rows)), k - 1 - wrong[:, ::-1].argmax(axis=1)] = True
+        passive[rows] ^= np.where((tries[rows] >= 0)[:, None], wrong, last)
+        kinds, of = np.unique(passive[rows], axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        for i, mine in enumerate(np.split(rows[order], np.cumsum(np.bincount(of.ravel(), minlength=len(kinds)))[:-1])):
+            at, off = np.flatnonzero(kinds[i]), np.flatnonzero(~kinds[i])
+            x[mine] = y[mine] = 0.0
+            if len(at):
+                part = gram[np.ix_(at, at)]
+                try:
+                    solved = np.linalg.solve(np.linalg.cholesky(part).T, np.linalg.solve(np.linalg.cholesky(part), cross[np.ix_(mine, at)].T)).T
+                except np.linalg.LinAlgError:
+                    solved = cross[np.ix_(mine, at)] @ np.linalg.pinv(part, hermitian=True)
+                x[np.ix_(mine, at)] = solved
+            y[np.ix_(mine, off)] = x[np.ix_(mine, at)] @ gram[np.ix_(at, off)] - cross[np.ix_(mine, off)]
+    for i in rows:  # a singular matrix can keep a row from settling
+        x[i] = nnls(gram, cross[i])
+    return x
+
+
 def nmf(x: np.ndarray, rank: int, seed: int, loss: str = "kullback-leibler", max_iter: int = 400, tol: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """W, H >= 0 with X about WH, by multiplicative updates; ``weight`` counts rows (bootstrap multiplicities)."""
     rng = np.random.default_rng(seed)
@@ -344,16 +431,6 @@ def nmf(x: np.ndarray, rank: int, seed: int, loss: str = "kullback-leibler", max
     return w, h
 
 
-#: Largest count of a row in a resample whose counts are Poisson numbers; one in 10^15 is larger.
-MOST = 18
-_POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, MOST)]))
-
-
-def poisson_counts(u: np.ndarray) -> np.ndarray:
-    """Poisson numbers of mean 1 from uniform ones."""
-    return np.searchsorted(_POISSON, u, side="right")
-
-
 def nmf_weights(x: np.ndarray, h: np.ndarray, loss: str, steps: int) -> np.ndarray:
     """W >= 0 with X about WH for a given H, by ``steps`` multiplicative updates from equal weights that keep each row's sum."""
     tiny = 1e-12

@@ -16,7 +16,11 @@ class LBFGSError(Exception):
 
 
 class AllZeroLBFGSError(LBFGSError):
-    """Two iterates in a row were all zero."""
+    """Two iterates in a row were all zero; ``x`` is the last."""
+
+    def __init__(self, message: str, x: np.ndarray) -> None:
+        super().__init__(message)
+        self.x = x
 
 
 class LBFGS:
@@ -98,7 +102,7 @@ class LBFGS:
                 return x1.reshape(shape)
             zeros = zeros + 1 if not x1[lo:hi].any() else 0
             if self.stop_at_zero and zeros >= 2:
-                raise AllZeroLBFGSError("two iterates in a row are zero")
+                raise AllZeroLBFGSError("two iterates in a row are zero", x1.reshape(shape))
             if gnorm <= self.epsilon * max(1.0, xnorm):
                 return x1.reshape(shape)
             if self.past:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sparsonde.operators import frame as fr
 from sparsonde.operators import kernels, stability, suffstats
-from sparsonde.operators.resample import M, hash_array, seed_of, with_row_id
+from sparsonde.operators.resample import M, hash_array, multiplicities, seed_of, with_row_id
 
 from .linear import Params
 
@@ -205,8 +205,8 @@ class NMFModel:
         for k, v in more.items():
             setattr(self, k, v)
 
-    def transform(self, df: DataFrame, output: str = "weights", error: str | None = None, solve: Callable = kernels.nnls) -> DataFrame:
-        """Adds each row's weights and, if named, its squared reconstruction error."""
+    def transform(self, df: DataFrame, output: str = "weights", error: str | None = None, solve: Callable | None = None) -> DataFrame:
+        """Adds each row's weights and, if named, its squared reconstruction error. Rows are solved for together, or one by one by ``solve(gram, cross)``."""
         if missing := set(self.features) - set(df.columns):
             raise ValueError(f"features are missing: {sorted(missing)}")
         h, names = self.components_, self.features
@@ -215,7 +215,7 @@ class NMFModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = suffstats.matrix(batch, names)[:, 1:]
-                w = np.array([solve(gram, c) for c in x @ h.T]).reshape(len(x), len(h))
+                w = kernels.nnls_rows(gram, x @ h.T) if solve is None else np.array([solve(gram, c) for c in x @ h.T]).reshape(len(x), len(h))
                 arrays = [*batch.columns, pa.array(list(w), pa.list_(pa.float64()))]
                 if error:
                     arrays.append(pa.array(((x - w @ h) ** 2).sum(axis=1)))
@@ -252,7 +252,7 @@ class StableNMF(Params):
 
     ``nmf(x, rank, seed, weight)``, ``cluster(bases)``, ``nnreg(gram, cross)`` and ``cons_meth(members)`` can be replaced. A matrix of
     up to ``block_mb`` goes to the tasks as one block. A larger one stays distributed: each update of H, for all boots and ranks, is
-    one aggregate, in which every row solves for its own weights; its rows' counts in a resample then are Poisson numbers.
+    one aggregate, in which every row solves for its own weights. Resamples are the same draws with replacement at every size.
     """
 
     def __init__(self, n_boots=10, ranks=None, nmf_init="random", nmf_solver="mu", nmf_beta_loss="kullback-leibler", nmf_tol=1e-4, nmf_max_iter=400, db_eps=0.5, db_min_samples=None, db_metric="euclidean", use_dissimilarity=True, random_state=None, logger=None, nmf=None, cluster=None, nnreg=None, cons_meth=None, block_mb=256, inner=30) -> None:
@@ -290,9 +290,8 @@ class StableNMF(Params):
 
     def _block(self, df: DataFrame, features: list[str], id_col: str | None, ranks: list[int], seed: int) -> dict[int, list[np.ndarray]]:
         """The bases of each rank's boots, a task per rank and boot."""
-        rows = df.select(*([id_col] if id_col else []), *features).toArrow()
+        rows = with_row_id(df.select(*([id_col] if id_col else []), *features), [id_col] if id_col else features, "draw__").toArrow().sort_by("draw__")
         x = np.column_stack([rows[c].cast(pa.float64()).to_numpy() for c in features])
-        x = x[np.argsort(rows[id_col].to_numpy(), kind="stable")] if id_col else x[np.lexsort(x.T[::-1])]
         shared = df.sparkSession.sparkContext.broadcast(x)
         loss, steps, tol = self.nmf_beta_loss, self.nmf_max_iter, self.nmf_tol
         factor = self.nmf or (lambda x, rank, seed, weight: kernels.nmf(x, rank, seed, loss, steps, tol, weight)[1])
@@ -313,12 +312,12 @@ class StableNMF(Params):
         """The same of rows that stay where they are."""
         if self.nmf:
             raise ValueError(f"a factorisation of one's own takes a matrix of at most block_mb={self.block_mb}")
-        if id_col is None:
-            df, id_col = with_row_id(df, features), "row_id"
-        held = df.select(F.col(id_col).cast("long").alias("id__"), *features).persist()
+        numbered = with_row_id(df.select(*([id_col] if id_col else []), *features), [id_col] if id_col else features, "draw__").select("draw__", *features)
+        counts = multiplicities(numbered, "draw__", self.n_boots, seed).groupBy("row_id").agg(*[F.sum(F.when(F.col("boot") == b, F.col("times")).otherwise(0)).alias(f"times{b}__") for b in range(self.n_boots)])
+        held = numbered.join(counts, numbered["draw__"] == counts["row_id"]).drop("draw__", "row_id").persist()  # rows that no boot draws are of no use
         loss, steps, p = self.nmf_beta_loss, self.inner, len(features)
         models = [(k, b) for k in ranks for b in range(self.n_boots)]
-        mean = held.agg(F.avg(sum(F.col(c) for c in features))).first()[0] / p
+        mean = numbered.agg(F.avg(sum(F.col(c) for c in features))).first()[0] / p
         bases = {i: np.abs(np.random.default_rng(seed + b * 100 + k).standard_normal((k, p))) * np.sqrt(max(mean, 1e-12) / k) for i, (k, b) in enumerate(models)}
         first: dict[int, float] = {}
         last: dict[int, float] = {}
@@ -329,9 +328,9 @@ class StableNMF(Params):
             def run(batches: Iterator[pa.RecordBatch], now=now) -> dict[int, np.ndarray]:
                 sums = {i: np.zeros(1 + 2 * h.size) for i, h in now.items()}
                 for batch in batches:
-                    x, ids = suffstats.matrix(batch, features)[:, 1:], batch.column("id__").to_numpy()
+                    x = suffstats.matrix(batch, features)[:, 1:]
                     for i, h in now.items():
-                        times = kernels.poisson_counts(hash_array(ids, models[i][1], seed) / M)
+                        times = batch.column(f"times{models[i][1]}__").to_numpy()
                         at = times > 0
                         sums[i] += kernels.nmf_sums(x[at], kernels.nmf_weights(x[at], h, loss, steps), h, times[at], loss)
                 return sums
@@ -352,4 +351,4 @@ class StableNMF(Params):
         return {k: [bases[i] for i, m in enumerate(models) if m[0] == k] for k in ranks}
 
     def fit_transform(self, df: DataFrame, features: Sequence[str], **more) -> DataFrame:
-        return self.fit(df, features).transform(df, solve=self.nnreg or kernels.nnls, **more)
+        return self.fit(df, features).transform(df, solve=self.nnreg, **more)
