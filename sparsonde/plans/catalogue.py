@@ -695,6 +695,20 @@ def stable_lasso(spark, d):
     return StableLasso(random_state=SEED, n_lambdas=24).fit(df, ["l_quantity", "l_discount", "l_tax"], "price", "row_id").table(spark)
 
 
+@query()
+def stable_wide_lasso(spark, d):
+    """All 2,080 products of two components of a vector, in one array column."""
+    from sparsonde.operators.design import Design
+
+    from .linear import StableLasso
+
+    v = F.col("embedding")
+    products = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform(F.slice(v, i + 1, F.lit(64)), lambda x: (x * F.element_at(v, i + 1)).cast("double") * 64)))
+    df = t(spark, d, "embeddings").select("vec_id", products.alias("v"), (F.element_at(v, 3) * F.element_at(v, 9) * 64 + F.element_at(v, 5) * F.element_at(v, 5) * 64 + F.col("label") / 10).cast("double").alias("y"))
+    model = StableLasso(n_boots_sel=6, n_boots_est=6, n_lambdas=8, eps=0.2, random_state=SEED, estimation_score="BIC").fit(df, Design(vector="v", p=2080), "y", "vec_id")
+    return model.table(spark).filter("selected")
+
+
 @query()
 def stable_elastic_net(spark, d):
     from .linear import StableElasticNet

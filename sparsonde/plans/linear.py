@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from sparsonde.functions import columns as fn
 from sparsonde.operators import frame as fr
 from sparsonde.operators import grids, kernels, stability, suffstats
+from sparsonde.operators.design import Design
 from sparsonde.operators.resample import seed_of, with_row_id
 
+from .wide import WideFit, medians, supports_of
+
+#: Features beyond which no Gram matrix of all of them is made.
+WIDE = 2000
+
 SCORES = ("r2", "AIC", "AICc", "BIC")
 
 
@@ -43,20 +49,24 @@ class LinearModel:
     """Coefficients by feature, and predictions as a column expression."""
 
     def __init__(self, features: Sequence[str], coef: np.ndarray, intercept: float, **more) -> None:
-        self.features, self.coef_, self.intercept_ = list(features), np.asarray(coef, float), float(intercept)
+        self.features, self.coef_, self.intercept_ = features if isinstance(features, Design) else list(features), np.asarray(coef, float), float(intercept)
         for k, v in more.items():
             setattr(self, k, v)
 
+    def _predictor(self):
+        return self.features.predictor(self.coef_, self.intercept_) if isinstance(self.features, Design) else fn.dot(self.features, self.coef_, self.intercept_)
+
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        return df.withColumn(output, fn.dot(self.features, self.coef_, self.intercept_))
+        return df.withColumn(output, self._predictor())
 
     def score(self, df: DataFrame, label: str) -> float:
         """R squared."""
-        return df.agg(fn.r2(F.col(label), fn.dot(self.features, self.coef_, self.intercept_))).first()[0]
+        return df.agg(fn.r2(F.col(label), self._predictor())).first()[0]
 
     def table(self, spark) -> DataFrame:
         """(feature, coef, selected), the intercept last."""
-        rows = [(f, float(c), bool(c != 0)) for f, c in zip(self.features, self.coef_, strict=True)]
+        names = (self.features.names or [f"{self.features.columns[-1]}[{j}]" for j in range(self.features.p)]) if isinstance(self.features, Design) else self.features
+        rows = [(f, float(c), bool(c != 0)) for f, c in zip(names, self.coef_, strict=True)]
         return spark.createDataFrame([*rows, ("(intercept)", self.intercept_, True)], "feature string, coef double, selected boolean")
 
     def save(self, spark, path: str) -> None:
@@ -98,8 +108,13 @@ class StableElasticNet(Params):
             return [(lam, a) for a in self.alphas for lam in self.lambdas]
         return grids.elastic_net_grid(cross, list(self.alphas), self.n_lambdas, self.eps)
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str, id_col: str | None = None, stratify: str | None = None) -> LinearModel:
-        features = list(features)
+    def fit(self, df: DataFrame, features: Sequence[str] | Design, label: str, id_col: str | None = None, stratify: str | None = None) -> LinearModel:
+        """``features``: a column each, or a Design. Over ``WIDE`` of them, and designs of arrays, never have a Gram matrix of all (``plans.wide``)."""
+        if isinstance(features, Design) and (not features.names or features.p > WIDE):
+            return self._fit_wide(df, features, label, id_col, stratify)
+        features = features.names if isinstance(features, Design) else list(features)
+        if len(features) > WIDE:
+            return self._fit_wide(df, Design(features), label, id_col, stratify)
         fr.check(df, features, label)
         if id_col is None:
             df, id_col = with_row_id(df, [*features, label]), "row_id"
@@ -129,6 +144,63 @@ class StableElasticNet(Params):
         intercept = intercept if self.fit_intercept else 0.0
         return LinearModel(features, coef, intercept, supports_=supports, settings_=settings, scores_=scores, coefs_=coefs, best_=best)
 
+    def _fit_wide(self, df: DataFrame, design: Design, label: str, id_col: str | None, stratify: str | None) -> LinearModel:
+        fr.check(df, design.names, label)
+        design.check(df)
+        if id_col is None:
+            df, id_col = with_row_id(df, [*design.columns, label]), "row_id"
+        p = design.p
+        y = fr.FeatureFrame(df, [], label, id_col).stats()
+        if y.y_min == y.y_max:
+            return LinearModel(design, np.zeros(p), kernels.intercept_alone(y.y_mean, "linear") if self.fit_intercept else 0.0, supports_=np.zeros((0, p), bool))
+        _, mean, std = design.moments(df)
+        y_mean, y_std = (y.y_mean if self.fit_intercept else 0.0, y.y_std) if self.standardize else (0.0, 1.0)
+        # Sparse features keep their zeros: the models' own intercepts stand for the means.
+        mean = mean if self.standardize and self.fit_intercept and not design.sparse else np.zeros(p)
+        std = std if self.standardize else np.ones(p)
+        seed = seed_of(self.random_state)
+        fit = WideFit(df, design.scaled(mean, std), label, id_col, y_mean, y_std, self.fit_intercept, stratify)
+        given = None if self.lambdas is None else self._settings(np.zeros(0))
+        settings, coefs, at = fit.select(given, self._settings, self.n_boots_sel, self.selection_frac, seed, self.warm_start, self.max_iter, self.tol)
+        flags = supports_of(coefs, at, stability.thresholds(self.stability_selection, self.n_boots_sel), self.n_boots_sel, len(settings))
+        used = np.flatnonzero(np.any(flags, axis=0))
+        rows = self._estimator()
+        scores = fit.estimate([f[used] for f in flags], at[used], self.n_boots_est, self.estimation_frac, seed + 1, rows)
+        small = medians(scores, len(used)) if len(used) else np.zeros(0)
+        fit.df.unpersist()
+        coef = np.zeros(p)
+        coef[at[used]] = small
+        supports = np.zeros((len(flags), p), bool)
+        supports[:, at] = flags
+        coef, _ = fr.restored(coef, 0.0, mean, std, y_std)
+        intercept = 0.0
+        if self.fit_intercept:
+            intercept = y.y_mean - float(coef @ design.moments(df)[1])
+        return LinearModel(design, coef, intercept, supports_=supports, settings_=settings, scores_=scores, proposed_=at, passes_=fit.passes)
+
+    def _estimator(self):
+        """(boot, support number, score, coefs) of each support: least squares on a boot's training rows, from its augmented Gram matrices."""
+        intercept, score = self.fit_intercept, self.estimation_score
+        on_test = (self.estimation_target or ("test" if score == "r2" else "train")) == "test"
+
+        def run(boot: int, train: np.ndarray, test: np.ndarray, supports: Sequence[np.ndarray]) -> list[tuple]:
+            g, c, m, ym = suffstats.solve_parts(train, intercept)
+            out = []
+            for s, on in enumerate(supports):
+                at = np.flatnonzero(on)
+                b = np.zeros(len(on))
+                b[at] = kernels.least_squares(g[np.ix_(at, at)], c[at])
+                n, rss, sst = suffstats.residual(test if on_test else train, b, ym - m @ b if intercept else 0.0)
+                if score == "r2":
+                    value = 1 - rss / sst if sst > 0 else 0.0
+                else:
+                    ll = -n / 2 * (1 + np.log(max(rss / max(n, 1), 1e-300)))
+                    value = -information_criteria(ll, len(at), n)[score]
+                out.append((boot, s, float(value), b.tolist()))
+            return out
+
+        return run
+
     def _paths(self, grams: DataFrame, settings: list[tuple[float, float]]) -> DataFrame:
         """(boot, reg_idx, feature, coef) of every selection boot: a task per boot, warm-started along the path."""
         intercept, warm, more = self.fit_intercept, self.warm_start, {"max_iter": self.max_iter, "tol": self.tol}
@@ -145,27 +217,12 @@ class StableElasticNet(Params):
 
     def _estimates(self, grams: DataFrame, supports: np.ndarray) -> DataFrame:
         """(boot, support_id, score, coefs): least squares on every support, scored on its boot's rows."""
-        intercept, score = self.fit_intercept, self.estimation_score
-        on_test = (self.estimation_target or ("test" if score == "r2" else "train")) == "test"
+        rows = self._estimator()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for r in f.itertuples():
-                    train, test = suffstats.parsed(r.train), suffstats.parsed(r.test)
-                    g, c, m, ym = suffstats.solve_parts(train, intercept)
-                    out = []
-                    for s, on in enumerate(supports):
-                        at = np.flatnonzero(on)
-                        b = np.zeros(len(on))
-                        b[at] = kernels.least_squares(g[np.ix_(at, at)], c[at])
-                        n, rss, sst = suffstats.residual(test if on_test else train, b, ym - m @ b if intercept else 0.0)
-                        if score == "r2":
-                            value = 1 - rss / sst if sst > 0 else 0.0
-                        else:
-                            ll = -n / 2 * (1 + np.log(max(rss / max(n, 1), 1e-300)))
-                            value = -information_criteria(ll, len(at), n)[score]
-                        out.append((r.boot, s, float(value), b.tolist()))
-                    yield pd.DataFrame(out, columns=["boot", "support_id", "score", "coefs"])
+                    yield pd.DataFrame(rows(r.boot, suffstats.parsed(r.train), suffstats.parsed(r.test), supports), columns=["boot", "support_id", "score", "coefs"])
 
         return grams.mapInPandas(run, "boot int, support_id int, score double, coefs array<double>")
 
