@@ -231,11 +231,11 @@ class StableL1Logistic(_Stable):
             fit = LockstepFit(families.Multinomial(len(classes)), data, Design(features).scaled(mean, std), "y__", id_col, self.fit_intercept, self.max_iter, self.tol, stratify)
             return self._lockstep(fit, classes, mean, std, features)
         fit = DistributedPath("logistic", data, features, "y__", id_col, mean, std, self.fit_intercept, self.max_iter, self.tol, stratify)
-        coef, supports = fit.stable(self)
+        coef, _, more = fit.stable(self)
         intercept = fit.final_intercept(coef)
         fit.df.unpersist()
         coef, intercept = fr.restored(coef, intercept, mean, std)
-        return LogisticModel(features, coef[None, :], np.array([intercept]), classes, supports_=supports)
+        return LogisticModel(features, coef[None, :], np.array([intercept]), classes, **more)
 
 
     def _lockstep(self, fit: LockstepFit, classes, mean, std, features) -> LogisticModel:
@@ -302,10 +302,10 @@ class StablePoisson(_Stable):
         held = _block(df, [*features, label], id_col, stats.n, self.block_mb, stratify)
         if held is None:
             fit = DistributedPath("poisson", df, features, label, id_col, mean, std, self.fit_intercept, self.max_iter, self.tol, stratify)
-            coef, supports = fit.stable(self)
+            coef, _, more = fit.stable(self)
             b = fit.final_intercept(coef)
             fit.df.unpersist()
-            return PoissonModel(features, *fr.restored(coef, b, mean, std), supports_=supports)
+            return PoissonModel(features, *fr.restored(coef, b, mean, std), **more)
         ids, block, strata = held
         x, y = (block[:, :-1] - mean) / std, block[:, -1]
         settings = grids.poisson_grid(x.T @ (y - y.mean()) / len(y), list(self.alphas), self.n_lambdas, self.eps)
@@ -475,7 +475,8 @@ class DistributedPath:
             warnings.warn(f"{len(active)} of {len(start)} models still move after {self.max_iter} steps", RuntimeWarning, stacklevel=2)
         return coefs
 
-    def stable(self, model) -> tuple[np.ndarray, np.ndarray]:
+    def stable(self, model) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Coefficients, supports, and the scores and settings as attributes of a model."""
         p, seed = len(self.features), seed_of(model.random_state)
         zero = np.zeros(p + 1)
         n, _, _, grad, gram = self._sums({0: zero}, {}, seed, "all")[0]
@@ -511,7 +512,8 @@ class DistributedPath:
                 scores.append((b, s, float(value), fitted[b, s][:p].tolist()))
         table = self.df.sparkSession.createDataFrame(scores, "boot int, support_id int, score double, coefs array<double>")
         union = {r["feature"]: r["coef"] for r in stability.median_union(stability.best_supports(table)).collect()}
-        return np.array([union[j] for j in range(p)]), supports
+        given = settings if self.family == "poisson" else [1 / lam for lam, _ in settings]
+        return np.array([union[j] for j in range(p)]), supports, {"supports_": supports, "scores_": table, "settings_": given}
 
     def final_intercept(self, coef: np.ndarray) -> float:
         """The intercept at fixed coefficients, one aggregate per Newton step."""
@@ -524,6 +526,8 @@ class DistributedPath:
             c[-1] += step
             if abs(step) < 1e-9:
                 break
+        else:
+            warnings.warn("the intercept still moves after 50 steps", RuntimeWarning, stacklevel=2)
         return float(c[-1])
 
 

@@ -249,7 +249,9 @@ def test_distributed_logistic_equals_the_block(spark, stratify):
     df = spark.createDataFrame([(i, *map(float, r), int(v), f"s{i % 3}") for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, d double, y int, s string")
     fit = lambda mb: StableL1Logistic(n_boots_sel=4, n_boots_est=4, Cs=[20.0, 100.0], tol=1e-7, random_state=2, block_mb=mb).fit(df, list("abcd"), "y", "id", stratify)
     block, spread = fit(256), fit(0)
-    assert np.array_equal(block.supports_, spread.supports_)
+    assert np.array_equal(block.supports_, spread.supports_) and spread.settings_ == pytest.approx(block.settings_)
+    a, b = (m.scores_.orderBy("boot", "support_id").toPandas()["score"] for m in (block, spread))
+    assert np.abs(a - b).max() < 0.02
     assert np.allclose(block.coef_, spread.coef_, atol=1e-3) and np.allclose(block.intercept_, spread.intercept_, atol=1e-3)
 
 
