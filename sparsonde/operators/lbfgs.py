@@ -23,6 +23,51 @@ class AllZeroLBFGSError(LBFGSError):
         self.x = x
 
 
+def _cubic(a: tuple, b: tuple) -> float:
+    """The minimum of the cubic with the values and slopes of two points (step, value, slope); nan if it has none."""
+    if a[0] == b[0]:
+        return np.nan
+    d1 = a[2] + b[2] - 3 * (a[1] - b[1]) / (a[0] - b[0])
+    root = d1 * d1 - a[2] * b[2]
+    d2 = np.sign(b[0] - a[0]) * np.sqrt(root) if root >= 0 else np.nan
+    below = b[2] - a[2] + 2 * d2
+    return b[0] - (b[0] - a[0]) * (b[2] + d2 - d1) / below if below else np.nan
+
+
+def _secant(a: tuple, b: tuple) -> float:
+    """Where the slope between two points reaches zero; nan if it never does."""
+    return b[0] - b[2] * (b[0] - a[0]) / (b[2] - a[2]) if b[2] != a[2] else np.nan
+
+
+def _trial(best: tuple, end: tuple, here: tuple, bracketed: bool, low: float, high: float) -> tuple[float, bool]:
+    """The next step of an interval search, and whether the interval holds a minimum for certain: by what ``here`` shows against ``best``."""
+    t, c = here[0], _cubic(best, here)
+    if here[1] > best[1]:  # higher: a minimum lies between
+        q = best[0] + (t - best[0]) / 2 * best[2] * (t - best[0]) / (best[2] * (t - best[0]) + best[1] - here[1])
+        if not np.isfinite(c):
+            c = q
+        return (c if abs(c - best[0]) < abs(q - best[0]) else (c + q) / 2), True
+    s = _secant(best, here)
+    if here[2] * best[2] < 0:  # lower, and the slope has turned: between as well
+        if not np.isfinite(c):
+            c = s
+        return (c if abs(c - t) >= abs(s - t) else s), True
+    if abs(here[2]) <= abs(best[2]):  # lower, and flatter: further on
+        ahead = np.isfinite(c) and (c - t) * (t - best[0]) > 0
+        far = end[0] if bracketed else high if t > best[0] else low
+        c = c if ahead else far
+        s = s if np.isfinite(s) else far
+        step = c if (abs(c - t) < abs(s - t)) == bracketed else s
+        if bracketed:
+            limit = t + 0.66 * (end[0] - t)
+            step = min(limit, step) if t > best[0] else max(limit, step)
+        return float(np.clip(step, low, high)), bracketed
+    if bracketed:  # lower, and steeper
+        c = _cubic(end, here)
+        return (c if np.isfinite(c) else (t + end[0]) / 2), True
+    return (high if t > best[0] else low), False
+
+
 class LBFGS:
     """Parameters of the minimiser; ``minimize(f, x0, progress, args)`` runs it.
 
@@ -87,7 +132,10 @@ class LBFGS:
         d = -pg
         step = 1.0 / np.linalg.norm(d)
         while True:
-            got = self._orthant_step(evaluate, x, fx, pg, d, step, lo, hi) if c else self._plain_step(evaluate, x, fx, g, d, step, search)
+            if c:
+                got = self._orthant_step(evaluate, x, fx, pg, d, step, lo, hi)
+            else:
+                got = (self._interval_step if search == "morethuente" else self._plain_step)(evaluate, x, fx, g, d, step, search)
             x1, f1, g1, step, tries, why = got
             evaluations += tries
             if why:
@@ -135,7 +183,7 @@ class LBFGS:
             step = 1.0
 
     def _plain_step(self, evaluate, x, fx, g, d, step, search):
-        """Backtracking until the wanted conditions hold; 'default' and 'morethuente' mean the strong Wolfe conditions by bisection."""
+        """Backtracking until the wanted conditions hold; 'default' means the strong Wolfe conditions by bisection."""
         slope = g @ d
         if slope > 0:
             return x, fx, g, step, 0, "increase"
@@ -166,6 +214,55 @@ class LBFGS:
             return x1, f1, g1, step, tries, ""
         return x, fx, g, step, tries, "too many trials"
 
+    def _interval_step(self, evaluate, x, fx, g, d, step, search):
+        """Moré and Thuente's search for the strong Wolfe conditions (``ftol``, ``gtol``): an interval that must hold such a step shrinks by cubic and quadratic trial steps.
+
+        Until a step lies below the line of sufficient decrease with a slope above its, trials are chosen on the function less that line, which guarantees that there is one.
+        """
+        slope = g @ d
+        if slope > 0:
+            return x, fx, g, step, 0, "increase"
+        line = self.ftol * slope
+        best = end = (0.0, fx, slope)  # step, value, slope: the best end of the interval and the other
+        bracketed, first_stage, width, width_before = False, True, self.max_step - self.min_step, 2 * (self.max_step - self.min_step)
+        for tries in range(1, self.max_linesearch + 1):
+            low, high = (min(best[0], end[0]), max(best[0], end[0])) if bracketed else (best[0], step + 4 * (step - best[0]))
+            step = float(np.clip(step, self.min_step, self.max_step))
+            x1 = x + step * d
+            f1, g1 = evaluate(x1)
+            new = g1 @ d
+            if not np.isfinite(f1):  # beyond where the function is defined: the interval ends here
+                bracketed, end, step = True, (step, np.inf, np.inf), (best[0] + step) / 2
+                continue
+            if f1 <= fx + step * line and abs(new) <= self.gtol * -slope:
+                return x1, f1, g1, step, tries, ""
+            if bracketed and high - low <= self.xtol * high:
+                return x, fx, g, step, tries, "rounding errors"
+            if step == self.max_step and f1 <= fx + step * line and new <= line:
+                return x, fx, g, step, tries, "the step is too large"
+            if step == self.min_step and (f1 > fx + step * line or new >= line):
+                return x, fx, g, step, tries, "the step is too small"
+            first_stage = first_stage and not (f1 <= fx + step * line and new >= min(self.ftol, self.gtol) * slope)
+            tilt = line if first_stage and f1 > fx + step * line and f1 <= best[1] else 0.0
+            lean = lambda p, tilt=tilt: (p[0], p[1] - tilt * p[0], p[2] - tilt)
+            here = (step, f1, new)
+            trial, bracketed = _trial(lean(best), lean(end), lean(here), bracketed, low, high)
+            b, h = lean(best), lean(here)
+            if h[1] > b[1]:
+                end = here
+            else:
+                if h[2] * (b[0] - h[0]) < 0:
+                    end = best
+                best = here
+            if bracketed:
+                if abs(end[0] - best[0]) >= 0.66 * width_before:
+                    trial = best[0] + (end[0] - best[0]) / 2
+                width_before, width = width, abs(end[0] - best[0])
+            step = trial
+        if f1 < fx:
+            return x1, f1, g1, step, tries, ""
+        return x, fx, g, step, tries, "too many trials"
+
     def _orthant_step(self, evaluate, x, fx, pg, d, step, lo, hi):
         """Backtracking within the orthant of x, or that which the negative pseudo-gradient points into where x is 0."""
         side = np.sign(x[lo:hi])
