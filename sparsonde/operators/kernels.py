@@ -431,6 +431,54 @@ def nmf(x: np.ndarray, rank: int, seed: int, loss: str = "kullback-leibler", max
     return w, h
 
 
+def nndsvd(v: np.ndarray, values: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A start for H (components x features) from the leading right singular vectors (columns of ``v``) and values: of each pair of singular vectors the side of
+    one sign, the heavier of the two. ``above`` and ``below`` are the lengths of the positive and the negative part of each left singular vector."""
+    h = []
+    for j, s in enumerate(values):
+        plus, minus = np.maximum(v[:, j], 0), np.maximum(-v[:, j], 0)
+        if j == 0:
+            h.append(np.sqrt(s) * np.abs(v[:, 0]))
+            continue
+        a, b = above[j] * np.linalg.norm(plus), below[j] * np.linalg.norm(minus)
+        side, weight = (plus, a) if a >= b else (minus, b)
+        h.append(np.sqrt(s * weight) * side / max(np.linalg.norm(side), 1e-300))
+    return np.array(h)
+
+
+def nmf_moments(x: np.ndarray, h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What these rows, each with its best weights W for H, add to the squared error, W'X and W'W, as one flat array."""
+    w = nnls_rows(h @ h.T, x @ h.T)
+    t = times[:, None]
+    return np.r_[(t * (x - w @ h) ** 2).sum() / 2, ((t * w).T @ x).ravel(), ((t * w).T @ w).ravel()]
+
+
+def nmf_descent(h: np.ndarray, wx: np.ndarray, ww: np.ndarray, sweeps: int = 20, tol: float = 1e-10) -> np.ndarray:
+    """H >= 0 that lowers the squared error at W'X and W'W: each component in turn at its minimum given the others."""
+    h = h.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(ww) > 1e-12):
+            new = np.maximum(0.0, h[j] + (wx[j] - ww[j] @ h) / ww[j, j])
+            moved = max(moved, np.abs(new - h[j]).max(initial=0.0))
+            h[j] = new
+        if moved <= tol * max(np.abs(h).max(initial=0.0), 1e-300):
+            break
+    return h
+
+
+def nmf_cd(x: np.ndarray, h: np.ndarray, weight: np.ndarray, max_iter: int = 400, tol: float = 1e-4) -> np.ndarray:
+    """H of the squared error's factorisation from a start, alternating both exact steps; ``weight`` counts rows."""
+    first = last = None
+    for _ in range(max_iter):
+        s = nmf_moments(x, h, weight)
+        if last is not None and last - s[0] < tol * first:
+            break
+        first, last = s[0] if first is None else first, s[0]
+        h = nmf_descent(h, s[1 : 1 + h.size].reshape(h.shape), s[1 + h.size :].reshape(len(h), len(h)))
+    return h
+
+
 def nmf_weights(x: np.ndarray, h: np.ndarray, loss: str, steps: int) -> np.ndarray:
     """W >= 0 with X about WH for a given H, by ``steps`` multiplicative updates from equal weights that keep each row's sum."""
     tiny = 1e-12

@@ -260,8 +260,12 @@ class StableNMF(Params):
             setattr(self, k, locals()[k])
         if use_dissimilarity and n_boots == 1:
             raise ValueError("dissimilarity needs more than one boot")
-        if nmf_beta_loss not in ("kullback-leibler", "frobenius") or nmf_solver != "mu" or nmf_init != "random" or db_metric != "euclidean":
-            raise ValueError("supported: solver 'mu', init 'random', losses 'kullback-leibler' and 'frobenius', metric 'euclidean'")
+        if nmf_beta_loss not in ("kullback-leibler", "frobenius") or nmf_solver not in ("mu", "cd") or nmf_init not in ("random", "nndsvd") or db_metric != "euclidean":
+            raise ValueError("supported: solvers 'mu' and 'cd', inits 'random' and 'nndsvd', losses 'kullback-leibler' and 'frobenius', metric 'euclidean'")
+        if nmf_solver == "cd" and nmf_beta_loss != "frobenius":
+            raise ValueError("solver 'cd' needs the loss 'frobenius'")
+        if nmf_init == "nndsvd" and nmf_solver != "cd":
+            raise ValueError("the start 'nndsvd' has zeros, which solver 'mu' would keep: use 'cd'")
 
     def fit(self, df: DataFrame, features: Sequence[str], id_col: str | None = None) -> NMFModel:
         features = list(features)
@@ -288,6 +292,24 @@ class StableNMF(Params):
         log.info("%d bases in %d clusters", len(bases), len(means))
         return NMFModel(features, means, bases_samples_=bases, bases_samples_labels_=labels, dissimilarity_=apart, ranks_=ranks)
 
+    def _starts(self, df: DataFrame, features: list[str], models: list[tuple[int, int]], mean: float, seed: int) -> list[np.ndarray]:
+        """H at the start of each (rank, boot): random, or for all boots of a rank from the whole table's singular vectors."""
+        p = len(features)
+        if self.nmf_init == "random":
+            return [np.abs(np.random.default_rng(seed + b * 100 + k).standard_normal((k, p))) * np.sqrt(max(mean, 1e-12) / k) for k, b in models]
+        v, values = range_svd(df, features, min(max(k for k, _ in models), p), n_iter=7, seed=seed)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+            total = np.zeros((2, len(values)))
+            for batch in batches:
+                u = suffstats.matrix(batch, features)[:, 1:] @ v / np.maximum(values, 1e-300)
+                total += (np.maximum(u, 0) ** 2).sum(axis=0), (np.maximum(-u, 0) ** 2).sum(axis=0)
+            return {0: total.ravel()}
+
+        above, below = np.sqrt(suffstats.summed(df.select(*features), run)[0].reshape(2, -1))
+        base = kernels.nndsvd(v, values, above, below)
+        return [np.vstack([base[:k], np.full((max(k - len(base), 0), p), 1e-3)]) for k, _ in models]
+
     def _block(self, df: DataFrame, features: list[str], id_col: str | None, ranks: list[int], seed: int) -> dict[int, list[np.ndarray]]:
         """The bases of each rank's boots, a task per rank and boot."""
         rows = with_row_id(df.select(*([id_col] if id_col else []), *features), [id_col] if id_col else features, "draw__").toArrow().sort_by("draw__")
@@ -295,13 +317,19 @@ class StableNMF(Params):
         shared = df.sparkSession.sparkContext.broadcast(x)
         loss, steps, tol = self.nmf_beta_loss, self.nmf_max_iter, self.nmf_tol
         factor = self.nmf or (lambda x, rank, seed, weight: kernels.nmf(x, rank, seed, loss, steps, tol, weight)[1])
+        models = [(k, b) for k in ranks for b in range(self.n_boots)]
+        starts = dict(zip(models, self._starts(df, features, models, float(x.mean()), seed), strict=True)) if self.nmf_solver == "cd" and not self.nmf else None
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = shared.value
             for f in frames:
                 for r in f.itertuples():
                     times = np.bincount(hash_array(np.arange(len(x)), r.boot, seed) % len(x), minlength=len(x))
-                    h = factor(x[times > 0], r.rank, seed + r.boot * 100 + r.rank, times[times > 0].astype(float))
+                    some, counts = x[times > 0], times[times > 0].astype(float)
+                    if starts is not None:
+                        h = kernels.nmf_cd(some, starts[r.rank, r.boot], counts, steps, tol)
+                    else:
+                        h = factor(some, r.rank, seed + r.boot * 100 + r.rank, counts)
                     yield pd.DataFrame({"rank": r.rank, "boot": r.boot, "comp": np.arange(len(h)), "basis": list(h)})
 
         tasks = df.sparkSession.createDataFrame([(b, k) for k in ranks for b in range(self.n_boots)], "boot int, rank int").repartition(len(ranks) * self.n_boots, "boot", "rank")
@@ -318,7 +346,8 @@ class StableNMF(Params):
         loss, steps, p = self.nmf_beta_loss, self.inner, len(features)
         models = [(k, b) for k in ranks for b in range(self.n_boots)]
         mean = numbered.agg(F.avg(sum(F.col(c) for c in features))).first()[0] / p
-        bases = {i: np.abs(np.random.default_rng(seed + b * 100 + k).standard_normal((k, p))) * np.sqrt(max(mean, 1e-12) / k) for i, (k, b) in enumerate(models)}
+        bases = dict(enumerate(self._starts(df, features, models, mean, seed)))
+        by_descent = self.nmf_solver == "cd"
         first: dict[int, float] = {}
         last: dict[int, float] = {}
         active = set(bases)
@@ -326,16 +355,26 @@ class StableNMF(Params):
             now = {i: bases[i] for i in active}
 
             def run(batches: Iterator[pa.RecordBatch], now=now) -> dict[int, np.ndarray]:
-                sums = {i: np.zeros(1 + 2 * h.size) for i, h in now.items()}
+                sums = {i: np.zeros(1 + h.size + (len(h) ** 2 if by_descent else h.size)) for i, h in now.items()}
                 for batch in batches:
                     x = suffstats.matrix(batch, features)[:, 1:]
                     for i, h in now.items():
                         times = batch.column(f"times{models[i][1]}__").to_numpy()
                         at = times > 0
+                        if by_descent:
+                            sums[i] += kernels.nmf_moments(x[at], h, times[at])
+                            continue
                         sums[i] += kernels.nmf_sums(x[at], kernels.nmf_weights(x[at], h, loss, steps), h, times[at], loss)
                 return sums
 
             for i, s in suffstats.summed(held, run).items():
+                if by_descent:
+                    if last.get(i, np.inf) - s[0] < self.nmf_tol * first.setdefault(i, s[0]):
+                        active.discard(i)
+                        continue
+                    h, last[i] = bases[i], s[0]
+                    bases[i] = kernels.nmf_descent(h, s[1 : 1 + h.size].reshape(h.shape), s[1 + h.size :].reshape(len(h), len(h)))
+                    continue
                 above, below = s[1:].reshape(2, *bases[i].shape)
                 bases[i] = bases[i] * above / np.maximum(below, 1e-12)
                 if step % 10 == 0:
