@@ -32,6 +32,18 @@ def poisson_grid(cross: np.ndarray, alphas: list[float], n_lambdas: int = 48, ep
     return elastic_net_grid(cross, alphas, n_lambdas, eps)
 
 
+def path_chunks(settings: int, chunks: int, warm_start: bool = True) -> list[tuple[list[int], list[int]]]:
+    """A path's settings in ``chunks`` runs that can be fitted apart: of each the settings that lead to it (a coarse path over the starts of the runs before it) and its own."""
+    chunks = max(1, min(chunks, settings))
+    cuts = [settings * i // chunks for i in range(chunks + 1)]
+    return [(cuts[:i] if warm_start else [], list(range(cuts[i], cuts[i + 1]))) for i in range(chunks)]
+
+
+def chunks_for(boots: int, settings: int, slots: int, least: int = 4) -> int:
+    """Runs of at least ``least`` settings a boot, as many as fill the slots."""
+    return max(1, min(slots // max(boots, 1), settings // least))
+
+
 def lambda_table(df: DataFrame, features: list[str], label: str, n_lambdas: int, eps: float) -> DataFrame:
     """(reg_idx, lambda): the lasso grid of a table as one aggregate, centred."""
     top = F.greatest(*[F.abs(F.covar_pop(c, label)) for c in features], F.lit(0.0))

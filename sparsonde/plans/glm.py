@@ -104,6 +104,7 @@ class _Stable(Params):
         stability.thresholds(self.stability_selection, self.n_boots_sel)
 
     def _over_boots(self, df: DataFrame, boots: int, run, schema: str) -> DataFrame:
+        """``run(number)`` of each of ``boots`` numbers, a task each."""
         return df.sparkSession.range(boots).repartition(boots, "id").mapInPandas(lambda frames: (run(int(b)) for f in frames for b in f["id"]), schema)
 
     def _stable(self, df: DataFrame, x: np.ndarray, y: np.ndarray, ids: np.ndarray, strata, settings: list, outputs: int, per_class: bool) -> tuple[np.ndarray, np.ndarray, DataFrame]:
@@ -112,14 +113,18 @@ class _Stable(Params):
         shared = df.sparkSession.sparkContext.broadcast((x, y, ids, strata))
         model, frac_s, frac_e = self, self.selection_frac, self.estimation_frac
 
-        def select(boot: int) -> pd.DataFrame:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        runs = grids.path_chunks(len(settings), grids.chunks_for(self.n_boots_sel, len(settings), slots), self.warm_start)
+
+        def select(task: int) -> pd.DataFrame:
             x, y, ids, strata = shared.value
+            boot, (before, own) = task // len(runs), runs[task % len(runs)]
             t = _train_rows(ids, boot, frac_s, seed, strata)
-            b = model._path(x[t], y[t], settings)  # settings x (outputs * features)
+            b = model._path(x[t], y[t], [settings[i] for i in before + own])[len(before) :]  # settings x (outputs * features)
             i, j = np.indices(b.shape)
-            return pd.DataFrame({"boot": boot, "reg_idx": i.ravel(), "feature": j.ravel(), "coef": b.ravel()})
+            return pd.DataFrame({"boot": boot, "reg_idx": own[0] + i.ravel(), "feature": j.ravel(), "coef": b.ravel()})
 
-        coefs = self._over_boots(df, self.n_boots_sel, select, "boot int, reg_idx int, feature int, coef double")
+        coefs = self._over_boots(df, self.n_boots_sel * len(runs), select, "boot int, reg_idx int, feature int, coef double")
         found = stability.intersections(coefs, stability.thresholds(self.stability_selection, self.n_boots_sel))
         if outputs > 1 and not per_class:
             found = stability.shared(found, outputs)

@@ -202,16 +202,23 @@ class StableElasticNet(Params):
         return run
 
     def _paths(self, grams: DataFrame, settings: list[tuple[float, float]]) -> DataFrame:
-        """(boot, reg_idx, feature, coef) of every selection boot: a task per boot, warm-started along the path."""
+        """(boot, reg_idx, feature, coef) of every selection boot: a task per boot and run of settings, warm-started along the path."""
         intercept, warm, more = self.fit_intercept, self.warm_start, {"max_iter": self.max_iter, "tol": self.tol}
+        slots = grams.sparkSession.sparkContext.defaultParallelism
+        runs = grids.path_chunks(len(settings), grids.chunks_for(self.n_boots_sel, len(settings), slots), warm)
+        if len(runs) > 1:
+            grams = grams.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1)))).repartition(self.n_boots_sel * len(runs), "boot", "run")
+        else:
+            grams = grams.withColumn("run", F.lit(0))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for r in f.itertuples():
                     g, c, _, _ = suffstats.solve_parts(suffstats.parsed(r.train), intercept)
-                    b = kernels.path(g, c, settings, warm, **more)
+                    before, own = runs[r.run]
+                    b = kernels.path(g, c, [settings[i] for i in before + own], warm, **more)[len(before) :]
                     i, j = np.indices(b.shape)
-                    yield pd.DataFrame({"boot": r.boot, "reg_idx": i.ravel(), "feature": j.ravel(), "coef": b.ravel()})
+                    yield pd.DataFrame({"boot": r.boot, "reg_idx": own[0] + i.ravel(), "feature": j.ravel(), "coef": b.ravel()})
 
         return grams.mapInPandas(run, "boot int, reg_idx int, feature int, coef double")
 
