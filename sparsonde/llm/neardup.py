@@ -11,8 +11,8 @@ Equal sets become one class first. Groups of similar texts are never spelt out a
 compared with the bucket's smallest member; (2) what is then in another component than most of the bucket is compared
 with the three nearest signatures of each other component in it; (3) what is still apart is compared with all that it
 shares a bucket with. Links inside one component are not needed any more, so the components are those of all links.
-A bucket with more than SPLIT texts outside its largest component is indexed again, by the keys of the other 64 symbols, of
-which near pairs differ in at most APART as well; so texts that are apart don't meet, however many share a bucket.
+The texts of a bucket with more than SPLIT of them outside its largest component meet by their rarest shingles instead
+(`rare_shingles`), which loses no pair either: many texts of one template share buckets, but not what is their own.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import rare_shingles, store
 from .components import components
 from .textblock import U, blocks, mix, window_hashes
 
@@ -135,7 +135,7 @@ class _Rows:
 
     def __init__(self, table: pa.Table) -> None:
         self.key, self.block, self.node, self.comp = (table[c].to_numpy() for c in ("key", "block", "node", "comp"))
-        self.main, self.again = table["main"].to_numpy(), table["again"].to_numpy()
+        self.main = table["main"].to_numpy()
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.more = np.frombuffer(b"".join(table["more"].to_pylist()), U).reshape(-1, (LONGER - SYMBOLS) // 32)
 
@@ -154,9 +154,6 @@ class _Rows:
             if len(ok):
                 first = np.argmax(equal[ok, :KEYED].astype(np.float32) @ _USED == _NEED, axis=1)
                 own = bucket_keys(self.sig[x[ok]])[np.arange(len(ok)), first]
-                if (again := np.flatnonzero(self.again[x[ok]])).size:  # of a bucket of a bucket, the first of either
-                    other = np.argmax(equal[ok[again], KEYED:].astype(np.float32) @ _USED == _NEED, axis=1)
-                    own[again] = mix(bucket_keys(self.sig[x[ok[again]], KEYED:])[np.arange(len(again)), other] ^ own[again])
                 keep = own.view(np.int64) == self.key[x[ok]]
                 ok, apart = ok[keep], apart[keep]
             ins.append(x[ok])
@@ -169,8 +166,6 @@ class _Rows:
         size = np.diff(cut)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         whole = size <= SMALL
-        if nearest is not None:
-            whole &= ~self.again[cut[:-1]]
         for m in range(2, SMALL + 1):
             begin = cut[:-1][whole & (size == m)]
             if len(begin):
@@ -204,9 +199,9 @@ class _Rows:
 def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     """Pairs of different components within (key, block) that pass the signature thresholds, each from the first key that it shares.
 
-    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), again (a bucket of a bucket), sig, more. Rows that aren't main stand in
+    ``rows``: key, block, node, comp, main (whether comp is the bucket's most common), sig, more. Rows that aren't main stand in
     each block of their bucket and are compared with its main rows there, and in block 0 with each other. ``nearest``: in
-    buckets of over SMALL rows and in buckets of buckets only so many of each other component.
+    buckets of over SMALL rows only so many of each other component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +226,7 @@ def _bucket_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "again", "sig", "more")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").select("key", "block", "node", "comp", "main", "sig", "more")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -307,10 +302,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     first = _close(buckets.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), _low_bytes(sigs))
     links = store.written(_confirmed(first, texts, shingle_words, percent), "neardup-links")
+    rare = None
     for nearest in (NEAREST, None):
         comp = components(links, "neardup-comp")
-        rows = _apart(buckets, comp, sigs)
-        pairs = store.written(_bucket_pairs(rows, nearest), "neardup-pairs")
+        mixed = store.written(_mixed(buckets, comp), "neardup-mixed")
+        pairs = _bucket_pairs(_apart(mixed.filter(F.col("others") <= SPLIT), sigs), nearest)
+        crowd = store.written(mixed.filter(F.col("others") > SPLIT).select("node").distinct(), "neardup-crowd")
+        if crowd.limit(1).count():
+            if rare is None:  # buckets only lose components, so the first round's crowd holds the second's
+                crowded = texts.join(crowd, "node", "left_semi")
+                rare = store.written(rare_shingles.rare_first(_shingles(crowded, shingle_words), percent), "neardup-rare")
+                met = rare_shingles.star_pairs(rare, comp, percent)
+            else:
+                met = rare_shingles.all_pairs(rare.join(crowd, "node", "left_semi"), comp, percent)
+            pairs = pairs.union(_close(met, _low_bytes(sigs))).distinct()
+        pairs = store.written(pairs, "neardup-pairs")
         links = store.written(links.union(_confirmed(pairs, texts, shingle_words, percent)), "neardup-links")
     comp = components(links, "neardup-comp")
 
@@ -330,32 +336,25 @@ def _mixed(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     return labelled.join(split, "key").withColumn("main", F.col("comp") == F.col("most"))
 
 
-def _indexed_again(rows: DataFrame) -> DataFrame:
-    """(key, node): the rows (key, node, sig) of large buckets, by the keys of the other symbols within each."""
+def _shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(node, size, key): a row for each shingle of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                keys = mix(bucket_keys(sigs[:, KEYED:]) ^ part.column("key").to_numpy().view(U)[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), keys.shape[1]))], ["key", "node"])
+            for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), n), strict=True):
+                for at in range(0, len(s), 1 << 16):
+                    part = s[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(s))), pa.array(part.view(np.int64))], ["node", "size", "key"])
 
-    return rows.select("key", "node", "sig").mapInArrow(run, "key long, node long")
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, key long")
 
 
-def _apart(buckets: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold more than one component, with blocks of bounded size."""
-    rows = store.written(_mixed(buckets, comp), "neardup-mixed")
-    large = F.col("others") > SPLIT
-    finer = store.written(_indexed_again(rows.filter(large).join(sigs.select("node", "sig"), "node")), "neardup-finer")
-    shared = finer.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    again = _mixed(finer.join(shared, "key"), comp).withColumn("again", F.lit(True))
-    rows = rows.filter(~large).withColumn("again", F.lit(False)).unionByName(again)
+def _apart(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of ``_mixed`` with their signatures, in blocks of bounded size."""
     count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     block = F.explode(F.when(F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), count - 1)))
-    return rows.select("key", "node", "comp", "main", "again", block.alias("block")).join(sigs, "node")
+    return mixed.select("key", "node", "comp", "main", block.alias("block")).join(sigs, "node")
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

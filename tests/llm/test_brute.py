@@ -222,25 +222,77 @@ def test_large_buckets(spark, monkeypatch):
     test_near_duplicates((rows, table(spark, rows)), 4)
 
 
-def test_a_bucket_of_texts_apart(spark, monkeypatch):
-    """Many texts under one key, all apart but for some pairs: they are split by the other symbols, and no link is lost."""
-    rng = np.random.default_rng(4)
-    n = 3000
-    sigs = rng.integers(0, 1 << 16, (n, 128)).astype(np.uint16)
-    sigs[:, :5] = 7
-    sigs[1::100] = sigs[0::100]
-    sigs[1::100, 60:70] = 3
-    more = [rng.integers(0, 256, 512).astype(np.uint8).tobytes() for _ in range(n)]
-    for i in range(0, n, 100):
-        more[i + 1] = more[i]
-    keys = neardup.bucket_keys(sigs).view(np.int64)
-    assert len(np.unique(keys[:, 0])) == 1
-    table_of = spark.createDataFrame([(i, sigs[i].tobytes(), more[i]) for i in range(n)], "node long, sig binary, more binary")
-    buckets = spark.createDataFrame([(int(keys[i, 0]), i) for i in range(n)], "key long, node long")
-    comp = spark.createDataFrame([], "node long, comp long")
-    rows = neardup._apart(buckets, comp, table_of)
-    assert rows.groupBy("key", "block").count().agg({"count": "max"}).first()[0] < 60
-    assert {tuple(x) for x in neardup._bucket_pairs(rows, None).collect()} == {(i, i + 1) for i in range(0, n, 100)}
+def classes_of(sets, percent=80):
+    """The smallest id that each set reaches over links of similar sets; pairs are found by common members."""
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            comp[x] = x = comp[comp[x]]
+        return x
+
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            holders[g].append(i)
+    both = collections.Counter((i, j) for ids in holders.values() if len(ids) < 300 for a, j in enumerate(ids) for i in ids[:a])
+    shared = sum(len(ids) >= 300 for ids in holders.values())  # of members in nearly all sets each pair has at most so many more
+    for (i, j), n in both.items():
+        if 100 * (n + shared) >= percent * (len(sets[i]) + len(sets[j]) - n - shared):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                comp[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_texts_of_one_template(spark):
+    """Texts that share three quarters of their words, some of which are near copies: candidates are linear in rows, no link is lost."""
+    rng = random.Random(4)
+    template = words(rng, 430, 9000)
+    rows = []
+    for i in range(1500):
+        if i % 10 == 9:  # a near copy of the text before, with two of its own words changed
+            w = rows[-1][1].split()
+            for _ in range(2):
+                w[rng.randrange(len(w))] = f"e{i}"
+            rows.append((i, " ".join(w), "a", "en"))
+        else:
+            rows.append((i, template + " " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(68)), "a", "en"))
+    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t, *_ in rows}
+    want = classes_of(sets)
+    assert sum(i != c for i, c in want.items()) == 150
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(table(spark, rows), 5, 80).collect()}
+    assert got == want
+    texts = spark.createDataFrame([(i, t) for i, t, *_ in rows], "node long, text string")
+    rare = neardup.rare_shingles.rare_first(neardup._shingles(texts, 5), 80).cache()
+    assert neardup.rare_shingles.all_pairs(rare, spark.createDataFrame([], "node long, comp long"), 80).count() < 300
+
+
+def test_rare_shingles_lose_no_pair(spark, monkeypatch):
+    """All pairs of random sets of many sizes, in blocks of few rows and with components of all kinds."""
+    monkeypatch.setattr(neardup.rare_shingles, "BLOCK", 3)
+    rng = random.Random(12)
+    sets = {}
+    for g in range(12):
+        base = [rng.randrange(400) for _ in range(rng.choice([3, 12, 40]))] + [rng.randrange(10**9) for _ in range(rng.choice([1, 10, 30]))]
+        for _ in range(10):
+            kept = {x if rng.random() < 0.93 else rng.randrange(10**9) for x in base if rng.random() < 0.97}
+            sets[len(sets)] = kept or {g}
+    members = spark.createDataFrame([(i, len(s), x) for i, s in sets.items() for x in s], "node long, size long, key long")
+    comp = {i: i - i % rng.choice([1, 1, 2, 10]) for i in sets}
+    labels = spark.createDataFrame(list(comp.items()), "node long, comp long")
+    rare = neardup.rare_shingles.rare_first(members, 80).cache()
+    like = {(i, j) for j in sets for i in range(j) if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    found = {tuple(x) for x in neardup.rare_shingles.all_pairs(rare, labels, 80).collect()}
+    assert len(like) > 50 and like <= found and all(comp[i] != comp[j] for i, j in found)
+    assert {tuple(x) for x in neardup.rare_shingles.star_pairs(rare, labels, 80).collect()} <= found
+
+
+def test_crowded_buckets_equal_brute_force(corpus, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 0)
+    monkeypatch.setattr(neardup.rare_shingles, "BLOCK", 2)
+    test_near_duplicates(corpus, 4)
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
