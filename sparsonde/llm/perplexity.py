@@ -5,7 +5,8 @@ Spark counts the 4-grams of byte classes of every text, per language; from them
 Kneser-Ney model per language, stored as a sorted array of grams with their log-probabilities. A document's
 perplexity per word by the language model, and per word and per byte by spelling, are compared with its language's bands:
 median +- WIDTH robust deviations over all documents of the language, wider for texts of under LONG words, whose
-perplexities scatter more. Only above its band is the language model's a fault: copies of other texts are below it.
+perplexities scatter more. Only above its band is the language model's a fault: copies of other texts are below it. As they
+would widen a band of all deviations, its deviations are those above the median alone, of which the band takes WORD_WIDTH.
 
 A byte class has 6 bits, so a language's model has at most 2**24 grams whatever the size of the corpus: that bounds what
 is broadcast. Languages are packed into groups of at most GRAMS_AT_ONCE grams, each with its own broadcast and pass.
@@ -27,7 +28,7 @@ ORDER, BITS = 4, 6
 BOS = 63
 GRAMS_AT_ONCE = 1 << 24
 #: Half the band's width in robust standard deviations of the log-perplexity, and at least in nats.
-WIDTH, LEAST = 6.0, 0.02
+WIDTH, WORD_WIDTH, LEAST = 6.0, 4.0, 0.02
 LONG = 200
 BIN = 1e-3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -275,7 +276,7 @@ def _scored(docs: DataFrame, models: dict) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, th long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + "".join(f", {c} double" for c in SPELLING))
 
 
-def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST, word_width: float = WORD_WIDTH) -> DataFrame:
     """doc_id, the counts, base_failed, the perplexities, their bands and kept of every row of ``docs``.
 
     word_perplexity is the language model's per word, spelling_perplexity and byte_perplexity are those of spelling per word and byte.
@@ -283,7 +284,7 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     A null text counts as empty: no words, base_failed, null perplexity. A null language is a language of its own. kept: not
     base_failed, word_perplexity not above its band and the others within theirs. A band is exp(median -+ max(width * 1.4826 * MAD, least) *
     sqrt(max(1, LONG / n_words))) of the log-perplexities of the language's documents that don't fail the base rules, from a
-    histogram of 0.001 nats of all of them.
+    histogram of 0.001 nats of all of them; word_perplexity's has word_width for width and the MAD of those at or above the median.
     """
     own = _language(docs)
     words = wordmodel.word_scores(own).filter("word_lp <> 0").groupBy(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).agg(F.max("word_lp").alias("word_lp"))  # rows alike in both score alike
@@ -319,8 +320,8 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     hist = good.groupBy("lang", "unit", F.round(F.col("lp") / BIN).cast("long").alias("bin")).count()
     mid = hist.groupBy("lang", "unit").agg(F.expr("percentile(bin, 0.5, count)").alias("mid"))
     off = hist.join(mid, ["lang", "unit"]).withColumn("off", F.abs(F.col("bin") - F.col("mid")))
-    spread = off.groupBy("lang", "unit", "mid").agg(F.expr("percentile(off, 0.5, count)").alias("mad"))
-    half = F.greatest(F.col("mad") * BIN * 1.4826 * width, F.lit(least))
+    spread = off.filter("unit <> 'by_word' or bin >= mid").groupBy("lang", "unit", "mid").agg(F.expr("percentile(off, 0.5, count)").alias("mad"))
+    half = F.greatest(F.col("mad") * BIN * 1.4826 * F.when(F.col("unit") == "by_word", word_width).otherwise(width), F.lit(least))
     per = F.struct((F.col("mid") * BIN).alias("mid"), half.alias("half"))
     band = store.written(spread.groupBy("lang").agg(*[F.max(F.when(F.col("unit") == u, per)).alias(f"{u}_band") for u in UNITS]), "lm-bands")
     out = scored.join(F.broadcast(band) if band.count() <= BROADCAST_ROWS else band, "lang", "left")  # a row per language
@@ -332,7 +333,7 @@ def quality(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     return out.select("doc_id", *COLUMNS, "base_failed", *[F.exp(u).alias(f"{u[3:]}_perplexity") for u in UNITS], *edges, (~F.col("base_failed") & inside[0] & inside[1] & inside[2]).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+def kept_documents(docs: DataFrame, width: float = WIDTH, least: float = LEAST, word_width: float = WORD_WIDTH) -> DataFrame:
     """``docs`` without the documents that the rules reject; rows that share a doc_id go if any of them is rejected, a null doc_id stays."""
-    bad = quality(docs, width, least).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("b_")).distinct()
+    bad = quality(docs, width, least, word_width).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("b_")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["b_"], "left_anti").select(*[docs[c] for c in docs.columns])

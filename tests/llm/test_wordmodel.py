@@ -64,8 +64,12 @@ def test_words_in_random_order(spark):
         mixed = prose(300)
         rng.shuffle(mixed)
         rows.append((1000 + i, " ".join(mixed), "a", "en"))
+    rows += [(2000 + i, rows[0][1] + f" w{i}", "a", "en") for i in range(50)]  # copies are far below the others and must not widen the band
     out = {x.doc_id: x for x in perplexity.quality(table(spark, rows)).collect()}
-    assert all(out[i].kept for i in range(120)) and not any(out[1000 + i].kept for i in range(3))
+    assert all(x.kept for i, x in out.items() if not 1000 <= i < 2000)
+    for x in (out[1000 + i] for i in range(3)):  # rejected by the language model alone: the spelling is that of the others
+        assert not x.kept and x.word_perplexity > x.high_word
+        assert x.low_spelling <= x.spelling_perplexity <= x.high_spelling and x.low_byte <= x.byte_perplexity <= x.high_byte
 
 
 def test_model_grows_with_the_corpus(spark):
