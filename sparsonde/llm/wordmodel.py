@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import store
 from .textblock import U, blocks, mix
 
-PIECE, PART = 12 << 20, 1 << 24
+PIECE, PART = 14 << 20, 1 << 24
 WORD_BITS, SPARE = 48, 12
 #: Words of which the log-probabilities are worked out at a time.
 AT_ONCE = 300_000
