@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 
 
+#: Equal rows are merged where that leaves so many times fewer.
+FEWER = 4
+
+
 @dataclass
 class Stats:
     """Counts, means and population deviations of the features and the label."""
@@ -90,6 +94,19 @@ def encoded(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
     return df.join(classes, df[label].eqNullSafe(F.col("label_")), "left").drop("label_")
 
 
+def merged(df: DataFrame, names: Sequence[str], weight: str | None = None) -> DataFrame | None:
+    """Equal rows of ``names`` as one each, persisted, with the sum of their weights in ``times__``; None unless there are ``FEWER`` times fewer of them. Weights
+    are scaled so that a weighted sum over the number of rows left is the one over all rows. The estimate of the distinct rows only decides whether to merge."""
+    n, kinds = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*names))).first()
+    if kinds * FEWER > n:
+        return None
+    kinds = df.groupBy(*names).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("times__")).persist()
+    out = kinds.withColumn("times__", F.col("times__") * (kinds.count() / n)).persist()
+    out.count()
+    kinds.unpersist()
+    return out
+
+
 def one_hot(label: Column, classes: Sequence) -> list[Column]:
     return [F.when(label == k, 1).otherwise(0).alias(f"is_{k}") for k in classes]
 

@@ -546,7 +546,7 @@ def _over_rows(df: DataFrame, names: Sequence[str], loss, start: np.ndarray, l1:
 
 
 class PoissonGLM(Params):
-    """One elastic-net Poisson model, ``alpha`` times the penalty. Data beyond ``block_mb`` stay distributed; either solver then is the orthant-wise one."""
+    """One elastic-net Poisson model, ``alpha`` times the penalty. Equal rows, where there are many, are one with a weight. Data beyond ``block_mb`` stay distributed; either solver then is the orthant-wise one."""
 
     def __init__(self, alpha=1.0, l1_ratio=1.0, fit_intercept=True, standardize=False, max_iter=1000, tol=1e-5, warm_start=False, solver="lbfgs", block_mb=BLOCK_MB) -> None:
         if solver not in ("lbfgs", "cd"):
@@ -556,12 +556,14 @@ class PoissonGLM(Params):
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, id_col: str | None = None) -> PoissonModel:
         fr.check(df, features, label)
         stats = fr.FeatureFrame(df, list(features), label, id_col or "").stats()
+        if (fewer := fr.merged(df, [*features, label], weight)) is not None:
+            df, weight, id_col = fewer, "times__", None
         names = [*features, label, *([weight] if weight else [])]
         ids = df if id_col else df.withColumn("id__", F.monotonically_increasing_id())
         p = len(features)
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
-        held = _block(ids, names, id_col or "id__", stats.n, self.block_mb, None)
+        held = _block(ids, names, id_col or "id__", stats.n if fewer is None else fewer.count(), self.block_mb, None)
         if held is not None:
             block = held[1]
             coef, b = kernels.fit_poisson((block[:, :p] - mean) / std, block[:, p], self.alpha, self.l1_ratio, self.fit_intercept, block[:, p + 1] if weight else None, self.solver, max_iter=self.max_iter, tol=self.tol)
@@ -572,11 +574,13 @@ class PoissonGLM(Params):
             start = np.r_[np.zeros(p), [np.log(max(stats.y_mean, 1e-10))] if self.fit_intercept else []]
             w = _over_rows(df, names, lambda w, v: kernels.poisson_loss(w, (v[:, :p] - mean) / std, v[:, p], l2, v[:, p + 1] if weight else None), start, self.alpha * self.l1_ratio, p, self.max_iter, self.tol)
             coef, b = w[:p], float(w[p]) if self.fit_intercept else 0.0
+        if fewer is not None:
+            fewer.unpersist()
         return PoissonModel(features, *fr.restored(coef, b, mean, std))
 
 
 class MaskedLogistic(Params):
-    """One logistic model whose coefficients outside a mask (outputs x features) stay 0. Data beyond ``block_mb`` stay distributed."""
+    """One logistic model whose coefficients outside a mask (outputs x features) stay 0. Equal rows, where there are many, are one with a weight. Data beyond ``block_mb`` stay distributed."""
 
     def __init__(self, penalty="l2", tol=1e-3, C=1.0, fit_intercept=True, standardize=False, class_weight=None, max_iter=10000, multi_class="auto", verbose=0, warm_start=False, block_mb=BLOCK_MB) -> None:
         if penalty not in ("l1", "l2"):
@@ -592,11 +596,13 @@ class MaskedLogistic(Params):
         if len(classes) < 2:
             raise ValueError("at least two classes are needed")
         outputs = fr.output_dim(len(classes), self.multi_class)
+        stats = fr.FeatureFrame(df, features, None, "").stats()
+        if (fewer := fr.merged(df, [*features, label], weight)) is not None:
+            df, weight = fewer, "times__"
         data = fr.encoded(df, label, "y__").withColumn("id__", F.monotonically_increasing_id())
-        stats = fr.FeatureFrame(data, features, "y__", "id__").stats()
         names = [*features, "y__", *([weight] if weight else [])]
         p, k = len(features), len(classes)
-        held = _block(data, names, "id__", stats.n, self.block_mb, None)
+        held = _block(data, names, "id__", stats.n if fewer is None else fewer.count(), self.block_mb, None)
         mean = stats.mean if self.standardize and self.fit_intercept else np.zeros(p)
         std = stats.std if self.standardize else np.ones(p)
         each = np.ones(k)
@@ -629,4 +635,6 @@ class MaskedLogistic(Params):
 
             w = _over_rows(data, names, loss, np.zeros((p + self.fit_intercept) * outputs), l1, p * outputs, self.max_iter, self.tol).reshape(-1, outputs)
             coef, b = (w[:p] * (1.0 if on is None else on)).T, w[p] if self.fit_intercept else np.zeros(outputs)
+        if fewer is not None:
+            fewer.unpersist()
         return LogisticModel(features, *fr.restored(coef, b, mean, std), classes)

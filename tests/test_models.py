@@ -144,6 +144,26 @@ def test_single_models_beyond_the_block_are_the_same(spark, penalty):
     assert np.abs(near.coef_ - far.coef_).max() < 1e-4 and abs(near.intercept_ - far.intercept_) < 1e-4
 
 
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    from sparsonde.plans import glm
+
+    rng = np.random.default_rng(7)
+    rows = [(float(g), int(y), float(w)) for g, y, w in zip(rng.integers(0, 3, 600), rng.integers(0, 3, 600), rng.integers(1, 4, 600), strict=True)]
+    df = spark.createDataFrame(rows, "g double, y int, w double").repartition(3).cache()
+    two = df.withColumn("y", (F.col("y") > 0).cast("int"))
+    fits = [lambda mb, on=on, c=c, w=w: MaskedLogistic("l2", 1e-8, c, class_weight="balanced", standardize=True, block_mb=mb).fit(on, ["g"], "y", w) for on, c, w in ((two, np.inf, None), (two, 5.0, "w"), (df, 5.0, "w"))]
+    fits.append(lambda mb: PoissonGLM(0.05, 0.5, standardize=True, tol=1e-8, block_mb=mb).fit(df, ["g"], "y", "w"))
+    held, block, passes = [], glm._block, []
+    monkeypatch.setattr(glm, "_block", lambda d, *a: held.append(d.count()) or block(d, *a))
+    over = glm._over_rows
+    monkeypatch.setattr(glm, "_over_rows", lambda d, *a: passes.append(d.count()) or over(d, *a))
+    got = [fit(mb) for mb in (256, 0) for fit in fits]
+    assert max(held) <= 9 and max(passes) <= 9
+    monkeypatch.setattr(frame, "FEWER", np.inf)
+    for m, want in zip(got, [fit(256) for fit in fits] * 2, strict=True):
+        assert np.abs(np.ravel(m.coef_) - np.ravel(want.coef_)).max() < 1e-4 and np.abs(np.ravel(m.intercept_) - np.ravel(want.intercept_)).max() < 1e-4
+
+
 def test_poisson(spark):
     df, beta, _ = datasets.poisson_regression(spark, 1500, 3, beta=[0.0, 1.0, 1.5], random_state=5, X_scale=0.5)
     df = df.cache()
