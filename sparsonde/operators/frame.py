@@ -89,9 +89,9 @@ def restored(coef: np.ndarray, intercept: float | np.ndarray, mean: np.ndarray,
 
 
 def encoded(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """``df`` with the label's place among the sorted distinct labels, from 0. The distinct labels are joined, not the rows ranked."""
+    """``df`` with the label's place among the sorted distinct labels, from 0. The distinct labels are joined by broadcast, a row per class: neither are the rows ranked nor do those of a class meet in a task."""
     classes = df.select(label).distinct().withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int")).withColumnRenamed(label, "label_")
-    return df.join(classes, df[label].eqNullSafe(F.col("label_")), "left").drop("label_")
+    return df.join(F.broadcast(classes), df[label].eqNullSafe(F.col("label_")), "left").drop("label_")
 
 
 def merged(df: DataFrame, names: Sequence[str], weight: str | None = None) -> DataFrame | None:

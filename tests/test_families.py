@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparsonde.operators import families, kernels
+from sparsonde.operators import families, frame, kernels
 from sparsonde.operators.design import CSR, Dense, Design, sparse_rows
 from sparsonde.plans import lockstep
 from sparsonde.plans.glm import StableGLM, StableL1Logistic
@@ -151,3 +151,16 @@ def test_an_array_column_equals_columns(spark):
     n, mean, std = Design(vector="v", p=5).moments(few)
     x = np.array([r["v"] for r in few.select("v").collect()])
     assert n == 300 and np.allclose(mean, x.mean(axis=0)) and np.allclose(std, np.where(x.std(axis=0) > 0, x.std(axis=0), 1)) and math.isclose(mean[3], x[:, 3].mean())
+
+
+def test_encoding_leaves_rows_where_they_are(spark):
+    df = spark.range(1000).selectExpr("id", "concat('c', id % 3) AS y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = frame.encoded(df, "y", "k")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r.y, r.k) for r in out.collect()} == {("c0", 0), ("c1", 1), ("c2", 2)} and out.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
