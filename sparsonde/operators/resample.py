@@ -65,7 +65,8 @@ def test_size(n: int, fraction: float) -> int:
 def cutoffs(df: DataFrame, id_col: str, boots: int, fraction: float, seed: int, stratum: str | None = None) -> DataFrame:
     """(boot[, stratum], cut_h, cut_id): the last (hash, id) of each boot's test rows, so that sizes are exact.
 
-    No sort of the rows: hashes are counted in 4096 bins per boot first, and only the bin that holds the cut is looked at row by row.
+    No sort of the rows: hashes are counted in 4096 bins per boot first, and only the bin that holds the cut is looked at row by row. Those bins
+    are broadcast, one per boot and stratum, so of the rows only what lies in them moves.
     """
     by = ["boot"] + (["stratum"] if stratum else [])
     rows = df.select(F.col(id_col).cast("long").alias("id"), *([F.col(stratum).alias("stratum")] if stratum else []))
@@ -77,7 +78,7 @@ def cutoffs(df: DataFrame, id_col: str, boots: int, fraction: float, seed: int,
     total = F.sum("n").over(whole)
     bins = bins.withColumn("test", F.ceil((1 - F.lit(fraction)) * total - 1e-9)).withColumn("upto", F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     edge = bins.filter((F.col("upto") >= F.col("test")) & (F.col("upto") - F.col("n") < F.col("test"))).select(*by, "bin", (F.col("test") - F.col("upto") + F.col("n")).alias("more"))
-    inside = rows.join(edge, [*by, "bin"]).withColumn("rank", F.row_number().over(whole.orderBy("h", "id")))
+    inside = rows.join(F.broadcast(edge), [*by, "bin"]).withColumn("rank", F.row_number().over(whole.orderBy("h", "id")))
     return inside.filter(F.col("rank") == F.col("more")).select(*by, F.col("h").alias("cut_h"), F.col("id").alias("cut_id"))
 
 

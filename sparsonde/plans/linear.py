@@ -115,9 +115,19 @@ class StableElasticNet(Params):
         features = features.names if isinstance(features, Design) else list(features)
         if len(features) > WIDE:
             return self._fit_wide(df, Design(features), label, id_col, stratify)
-        fr.check(df, features, label)
         if id_col is None:
+            fr.check(df, features, label)
             df, id_col = with_row_id(df, [*features, label]), "row_id"
+        # Read by several passes: what the rows are derived from is worked out once.
+        names = [c for c in (*features, label) if c in df.columns]  # one that isn't there fails the check
+        df = df.select(*dict.fromkeys([id_col, *names, *([stratify] if stratify else [])])).persist()
+        try:
+            return self._fit_rows(df, features, label, id_col, stratify)
+        finally:
+            df.unpersist()
+
+    def _fit_rows(self, df: DataFrame, features: list[str], label: str, id_col: str, stratify: str | None) -> LinearModel:
+        fr.check(df, features, label)
         frame = fr.FeatureFrame(df, features, label, id_col)
         full = frame.stats()
         p = len(features)

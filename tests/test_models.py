@@ -237,6 +237,31 @@ def test_splits_are_exact_and_portable(spark):
     assert sorted(x.row_id for x in resample.with_row_id(spark.createDataFrame([(3,), (1,)], "x long"), ["x"]).collect()) == [0, 1]
 
 
+def test_only_the_rows_of_the_cuts_bins_move(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resample.cutoffs(spark.range(997).withColumn("g", F.col("id") % 3), "id", 3, 0.8, 5, "g")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_derived_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = datasets.linear_regression(spark, 200, 3, 2, random_state=2)[0]
+    fitted = StableLasso(n_boots_sel=3, n_boots_est=3, n_lambdas=4, random_state=1).fit(df.mapInArrow(count, df.schema), names(3), "y", "row_id")
+    assert seen.value == 200 and fitted.coef_.any()
+    with pytest.raises(ValueError, match="no column"):
+        StableLasso().fit(df, names(4), "y", "row_id")
+
+
 def test_intersections(spark):
     cube = [[[2, 1, 0, 0, 1], [0, 2, 0, 3, 0], [1, 0, 0, 5, 1]], [[1, 1, 0, 0, 0], [0, 1, 0, 2, 0], [0, 0, 1, 5, 1]], [[3, 1, 0, 1, 1], [0, 0, 0, 2, 0], [1, 0, 0, 5, 0]]]
     rows = [(b, r, j, float(v)) for b, x in enumerate(cube) for r, y in enumerate(x) for j, v in enumerate(y)]
