@@ -1,6 +1,6 @@
 """Stable logistic and Poisson models.
 
-Data of at most ``block_mb`` go to the tasks as one block, a task per boot. Larger data stay where they are: each Newton step is
+Data of which a task holds at most ``block_mb`` go to the tasks as one block, a task per boot. Larger data stay where they are: each Newton step is
 one aggregate over all rows that gives every boot's gradient and weighted Gram matrix at once, and the boots' path solvers
 advance in step (``DistributedPath``).
 """
@@ -27,6 +27,8 @@ from .linear import LinearModel, Params, information_criteria
 from .lockstep import LockstepFit
 
 BLOCK_MB = 256
+#: What a task holds of a block, as a multiple of it: the block, its training rows, ids, hashes and the solver's vectors. The tasks of an executor hold that each.
+HELD = 5
 #: Models of which one pass sums up gradients and Gram matrices.
 MODELS_AT_ONCE = 256
 
@@ -72,8 +74,8 @@ class PoissonModel(LinearModel):
 
 
 def _block(df: DataFrame, names: Sequence[str], id_col: str, n: int, block_mb: float, stratum: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None] | None:
-    """The columns as one array, ordered by id, if they fit the block."""
-    if n * len(names) * 8 > block_mb * 2**20:
+    """The columns as one array, ordered by id, if what a task holds of them is at most ``block_mb``."""
+    if n * len(names) * 8 * HELD > block_mb * 2**20:
         return None
     table = df.select(id_col, *names, *([F.col(stratum).alias("stratum__")] if stratum else [])).toArrow()
     ids = table[id_col].cast(pa.int64()).to_numpy()

@@ -179,6 +179,16 @@ def test_poisson(spark):
             StablePoisson(**bad)
 
 
+def test_a_block_is_bounded_by_what_tasks_hold(spark):
+    from sparsonde.plans import glm
+
+    df = spark.range(1000).selectExpr("id", "double(id) AS x", "double(id % 3) AS y")
+    mb = 1000 * 2 * 8 / 2**20
+    assert glm._block(df, ["x", "y"], "id", 1000, 2 * mb, None) is None
+    ids, block, _ = glm._block(df, ["x", "y"], "id", 1000, 10 * mb, None)
+    assert ids.tolist() == list(range(1000)) and block.shape == (1000, 2)
+
+
 def test_columns(spark, linear):
     df, _ = linear
     some = ColumnSubset(3, random_state=1).fit(df, names(8), c=3)
