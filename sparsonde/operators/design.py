@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +15,8 @@ from sparsonde.functions import columns as fn
 
 #: Columns of the right-hand side that a sparse product takes at a time.
 ACROSS = 32
+#: Numbers of a dense block of rows: what is worked on at once doesn't grow with the rows of a batch.
+BLOCK = 1 << 20
 
 
 class Dense:
@@ -173,6 +176,31 @@ class Design:
             x = np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in self.names]) if batch.num_rows else np.zeros((0, self.p))
         return Dense((x - (0.0 if self.mean is None else self.mean)) / std)
 
+    def parts(self, batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+        """A batch in parts of at most ``most`` rows, and of at most ``BLOCK`` numbers if they are dense."""
+        rows = max(1, most if self.sparse else min(most, BLOCK // self.p))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+    def rows_of_batch(self, df: DataFrame) -> AbstractContextManager:
+        """While this holds, Spark sends the rows of arrays to Python in batches of about ``BLOCK`` numbers instead of as many rows as it does of narrow ones."""
+        key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+        before = int(spark.conf.get(key))
+        rows = max(1, BLOCK // self.p)
+
+        @contextmanager
+        def held():
+            if self.sparse or 0 < before <= rows:
+                yield
+                return
+            spark.conf.set(key, rows)
+            try:
+                yield
+            finally:
+                spark.conf.set(key, before)
+
+        return held()
+
     def predictor(self, coef: np.ndarray, intercept: float) -> Column:
         """The linear predictor as a column expression."""
         if not (self.sparse or self.vector):
@@ -192,10 +220,12 @@ class Design:
             n, total = 0, np.zeros((2, p))
             for batch in batches:
                 n += batch.num_rows
-                total += self.block(batch).sums()
+                for part in self.parts(batch, batch.num_rows):
+                    total += self.block(part).sums()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * p + 1)), pa.array(np.r_[total.ravel(), n])], ["k", "v"])
 
-        rows = df.select(*self.columns).mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")["v"].to_numpy()  # 2 p + 1 numbers
+        with self.rows_of_batch(df):
+            rows = df.select(*self.columns).mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")["v"].to_numpy()  # 2 p + 1 numbers
         n = max(rows[-1], 1.0)
         mean = rows[:p] / n
         std = np.sqrt(np.maximum(rows[p : 2 * p] / n - mean**2, 0.0))

@@ -65,15 +65,15 @@ class LockstepFit:
         def run(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for at in range(0, batch.num_rows, rows):
-                    part = batch.slice(at, rows)
+                for part in design.parts(batch, rows):
                     strata, place = suffstats.strata_of(part, stratum) if stratum else ([None], np.zeros(part.num_rows, np.int64))
                     for key, s in sums(design.block(part), part.column("y__").to_numpy(), part.column(id_col).cast(pa.int64()).to_numpy(), strata, place).items():
                         total[key] = total.get(key, 0) + s
             return total
 
         self.passes += 1
-        return suffstats.summed(self.df, run)
+        with design.rows_of_batch(self.df):
+            return suffstats.summed(self.df, run)
 
     def evaluate(self, points: dict[tuple, np.ndarray], cuts: dict, seed: int, side: str = "train") -> dict[tuple, tuple[float, float, float, np.ndarray]]:
         """Rows, mean loss, share of right labels and gradient of the mean loss at each point; a key's first part is the boot whose ``side`` counts."""

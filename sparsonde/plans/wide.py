@@ -41,8 +41,7 @@ class WideFit:
     def _blocks(self, batches: Iterator[pa.RecordBatch], cuts: dict, boots: Sequence[int], seed: int):
         """Parts of batches: the features, the labels, and of each boot which rows are its test rows."""
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in self.design.parts(batch, ROWS):
                 ids = part.column(self.id_col).cast(pa.int64()).to_numpy()
                 strata, place = suffstats.strata_of(part, self.stratum) if self.stratum else ([None], np.zeros(len(ids), np.int64))
                 tests = {}
@@ -75,7 +74,8 @@ class WideFit:
             return {-1: n} | {i: total[:, i].copy() for i in range(len(keys))}
 
         self.passes += 1
-        found = suffstats.summed(self.df, run)
+        with self.design.rows_of_batch(self.df):
+            found = suffstats.summed(self.df, run)
         return {m: found[i] / max(found[-1][m[0]], 1.0) for i, m in enumerate(keys)}, found[-1]
 
     def tiles(self, groups: list[np.ndarray], new: int, cuts: dict, seed: int, boots: int, sides: Sequence[int] = (0,)) -> DataFrame:
@@ -106,7 +106,8 @@ class WideFit:
                         total += parts[i][on].T @ parts[j][on]
                 yield _table(sums)
 
-            some = written(self.df.mapInArrow(run, SCHEMA).repartition("boot", "side", "i", "j").mapInArrow(_added, SCHEMA), "gram-tiles")
+            with self.design.rows_of_batch(self.df):
+                some = written(self.df.mapInArrow(run, SCHEMA).repartition("boot", "side", "i", "j").mapInArrow(_added, SCHEMA), "gram-tiles")
             out = some if out is None else out.unionByName(some)
             self.passes += 1
         return out

@@ -3,6 +3,7 @@
 import resource
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,19 @@ def test_sparse_features_and_constant_labels(spark):
     assert np.abs(m.coef_[[4, 9]] - [3, -2]).max() < 0.2 and abs(m.intercept_ - 2) < 0.1 and m.score(df, "y") > 0.95
     flat = StableLasso().fit(df.withColumn("y", F.lit(2.0)), design, "y", "row_id")
     assert not flat.coef_.any() and flat.intercept_ == 2
+
+
+def test_batches_and_blocks_of_wide_rows_are_bounded(spark, monkeypatch):
+    df, x = _data(spark, 300, 40, [3, 17])
+    design = Design(vector="v", p=40)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr("sparsonde.operators.design.BLOCK", 40 * 16)
+    batch = df.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    assert max(p.num_rows for p in design.parts(batch, 4096)) == 16 and sum(p.num_rows for p in design.parts(batch, 4096)) == 300
+    with design.rows_of_batch(df):
+        seen = [r[0] for r in df.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()]
+    assert max(seen) <= 16 and sum(seen) == 300 and spark.conf.get(key) == before
+    n, mean, std = design.moments(df)
+    assert n == 300 and np.allclose(mean, x.mean(axis=0)) and np.allclose(std, x.std(axis=0))
+    assert not list(design.parts(batch.slice(0, 0), 0)) and not list(Design(indices="v", values="v", p=40).parts(batch.slice(0, 0), 0))
